@@ -56,3 +56,205 @@ register("country_share", with_views(CE, _top(
               GROUP BY short_code, country, country_code) x""",
     "short_code, country, country_code, total_clicks, percentage")))(
     lambda spark, d: rp.country_share(clicks(spark, d), START_DATE, END_DATE, 20))
+
+register("device_share", with_views(CE, _top(
+    "short_code", "total_clicks DESC, device_type, browser, os", 50,
+    f"""SELECT short_code, device_type, browser, os, total_clicks,
+          round(CAST(total_clicks AS DOUBLE) * 100.0 / CAST(sum(total_clicks) OVER (PARTITION BY short_code) AS DOUBLE), 6) AS percentage
+        FROM (SELECT short_code, device_type, browser, os, CAST(count(*) AS BIGINT) AS total_clicks FROM click_events
+              WHERE clicked_date BETWEEN DATE '{START_DATE}' AND DATE '{END_DATE}'
+              GROUP BY short_code, device_type, browser, os) x""",
+    "short_code, device_type, browser, os, total_clicks, percentage")))(
+    lambda spark, d: rp.device_share(clicks(spark, d), START_DATE, END_DATE, 50))
+
+register("geo_top10", with_views(CE, _top(
+    "short_code", "clicks DESC, country", 10,
+    """SELECT short_code, country, CAST(count(*) AS BIGINT) AS clicks FROM
+         (SELECT short_code, nullif(country, '') AS country FROM click_events) c
+       WHERE country IS NOT NULL GROUP BY short_code, country""",
+    "short_code, country, clicks")))(
+    lambda spark, d: rp.geo_top(clicks(spark, d), 10))
+
+register("device_pivot", with_views(CE, """
+SELECT short_code,
+  CAST(count(*) FILTER (WHERE device_type = 'desktop') AS BIGINT) AS desktop,
+  CAST(count(*) FILTER (WHERE device_type = 'mobile') AS BIGINT) AS mobile,
+  CAST(count(*) FILTER (WHERE device_type = 'bot') AS BIGINT) AS bot,
+  CAST(count(*) AS BIGINT) AS total
+FROM click_events GROUP BY short_code"""))(
+    lambda spark, d: rp.device_pivot(clicks(spark, d)))
+
+register("url_stats_windows", with_views(CE, f"""
+SELECT short_code, CAST(count(*) AS BIGINT) AS total_clicks,
+  CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors,
+  CAST(count(*) FILTER (WHERE clicked_at > TIMESTAMP '{AS_OF}' - INTERVAL '1' DAY) AS BIGINT) AS last_24_hours,
+  CAST(count(*) FILTER (WHERE clicked_at > TIMESTAMP '{AS_OF}' - INTERVAL '7' DAY) AS BIGINT) AS last_7_days,
+  CAST(count(*) FILTER (WHERE clicked_at > TIMESTAMP '{AS_OF}' - INTERVAL '30' DAY) AS BIGINT) AS last_30_days
+FROM click_events GROUP BY short_code"""))(
+    lambda spark, d: rp.url_stats_windows(clicks(spark, d), AS_OF))
+
+register("url_lifetime_stats", with_views(CE, """
+SELECT short_code, CAST(count(*) AS BIGINT) AS total_clicks,
+  CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors, max(clicked_at) AS last_clicked
+FROM click_events GROUP BY short_code"""))(
+    lambda spark, d: rp.url_lifetime_stats(clicks(spark, d), exact=True))
+
+# HyperLogLog variant: estimates differ from exact counts by design -> rows-only check.
+register("url_lifetime_stats_approx")(
+    lambda spark, d: rp.url_lifetime_stats(clicks(spark, d), exact=False))
+
+register("top_referrers_nonblank", with_views(CE, _top(
+    "short_code", "click_count DESC, referer", 10,
+    f"""SELECT short_code, referer, CAST(count(*) AS BIGINT) AS click_count FROM click_events
+        WHERE clicked_date BETWEEN DATE '{START_DATE}' AND DATE '{END_DATE}' AND referer <> ''
+        GROUP BY short_code, referer""",
+    "short_code, referer, click_count")))(
+    lambda spark, d: rp.top_referrers(clicks(spark, d), START_DATE, END_DATE, 10))
+
+register("top_referrers_direct", with_views(CE, _top(
+    "short_code", "clicks DESC, raw_referer ASC NULLS FIRST", 10,
+    """SELECT short_code, raw_referer, CAST(count(*) AS BIGINT) AS clicks FROM
+         (SELECT short_code, nullif(referer, '') AS raw_referer FROM click_events) c
+       GROUP BY short_code, raw_referer""",
+    "short_code, COALESCE(raw_referer, 'direct') AS referer, clicks")))(
+    lambda spark, d: rp.top_referrers_direct(clicks(spark, d), 10))
+
+register("timeline_daily", with_views(CE, f"""
+SELECT short_code, date_trunc('day', clicked_at) AS bucket, CAST(count(*) AS BIGINT) AS clicks
+FROM click_events WHERE clicked_at > TIMESTAMP '{AS_OF}' - INTERVAL '7' DAY
+GROUP BY short_code, bucket"""))(
+    lambda spark, d: rp.timeline_daily(clicks(spark, d), AS_OF, 7))
+
+register("series_hourly", with_views(CE, f"""
+SELECT short_code, clicked_hour, CAST(count(*) AS BIGINT) AS total_clicks,
+  CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors
+FROM (SELECT *, date_trunc('hour', clicked_at) AS clicked_hour FROM click_events) c
+WHERE clicked_hour BETWEEN TIMESTAMP '{START_TS}' AND TIMESTAMP '{END_TS}'
+GROUP BY short_code, clicked_hour"""))(
+    lambda spark, d: rp.series_hourly(clicks(spark, d), START_TS, END_TS))
+
+register("series_daily", with_views(CE, f"""
+SELECT short_code, clicked_date, CAST(count(*) AS BIGINT) AS total_clicks,
+  CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors
+FROM click_events WHERE clicked_date BETWEEN DATE '{START_DATE}' AND DATE '{END_DATE}'
+GROUP BY short_code, clicked_date"""))(
+    lambda spark, d: rp.series_daily(clicks(spark, d), START_DATE, END_DATE))
+
+register("series_weekly", with_views(CE, f"""
+SELECT short_code, CAST(date_trunc('week', clicked_at) AS TIMESTAMP) AS bucket, CAST(count(*) AS BIGINT) AS total_clicks,
+  CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors
+FROM click_events WHERE clicked_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '{AS_OF}'
+GROUP BY short_code, bucket"""))(
+    lambda spark, d: rp.series(clicks(spark, d), "2024-01-01 00:00:00", AS_OF, "week"))
+
+register("country_device_cross", with_views(CE, """
+SELECT short_code, country, device_type, CAST(count(*) AS BIGINT) AS clicks
+FROM click_events GROUP BY short_code, country, device_type"""))(
+    lambda spark, d: rp.country_device_cross(clicks(spark, d)))
+
+register("recent_clicks", with_views(CE, """
+SELECT event_id, short_code, ip_address, country, city, browser, os, device_type, referer,
+  strftime(clicked_at, '%Y-%m-%d %H:%M:%S') AS clicked_at_text, CAST(count(*) OVER () AS BIGINT) AS total
+FROM (SELECT * FROM click_events ORDER BY clicked_at DESC, event_id LIMIT 50) t"""))(
+    lambda spark, d: rp.recent_clicks(clicks(spark, d), 50))
+
+register("recent_clicks_per_code", with_views(CE, _top(
+    "short_code", "clicked_at DESC, event_id", 10,
+    "SELECT * FROM click_events",
+    """event_id, short_code, ip_address, country, city, browser, os, device_type, referer,
+       strftime(clicked_at, '%Y-%m-%d %H:%M:%S') AS clicked_at_text, CAST(rn AS INTEGER) AS rank""")))(
+    lambda spark, d: rp.recent_clicks_per_code(clicks(spark, d), 10))
+
+
+def _ranked_sql(source: str, label: str, n: int) -> str:
+    return f"""SELECT short_code, string_agg({label} || ':' || CAST(c AS VARCHAR), ',' ORDER BY c DESC, {label}) AS s
+      FROM ({_top('short_code', f'c DESC, {label}', n,
+                  f"SELECT short_code, {label}, CAST(count(*) AS BIGINT) AS c FROM {source} WHERE {label} <> '' GROUP BY short_code, {label}",
+                  f'short_code, {label}, c')}) t GROUP BY short_code"""
+
+
+register("composite_stats", with_views(CE, f"""
+SELECT t.short_code, t.total_clicks, t.unique_visitors, t.desktop, t.mobile, t.tablet, t.bot,
+  co.s AS top_countries, re.s AS top_referrers
+FROM (SELECT short_code, CAST(count(*) AS BIGINT) AS total_clicks, CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors,
+        CAST(count(*) FILTER (WHERE device_type = 'desktop') AS BIGINT) AS desktop,
+        CAST(count(*) FILTER (WHERE device_type = 'mobile') AS BIGINT) AS mobile,
+        CAST(count(*) FILTER (WHERE device_type = 'tablet') AS BIGINT) AS tablet,
+        CAST(count(*) FILTER (WHERE device_type = 'bot') AS BIGINT) AS bot
+      FROM click_events GROUP BY short_code) t
+LEFT JOIN ({_ranked_sql('click_events', 'country', 5)}) co ON co.short_code = t.short_code
+LEFT JOIN ({_ranked_sql('click_events', 'referer', 5)}) re ON re.short_code = t.short_code"""))(
+    lambda spark, d: rp.composite_stats(clicks(spark, d), n=5))
+
+register("geo_city_share", with_views(CE, f"""
+SELECT short_code, 'country' AS level, country, '' AS city, clicks, percentage FROM ({_top(
+    'short_code', 'clicks DESC, country', 5,
+    '''SELECT short_code, country, clicks,
+         round(CAST(clicks AS DOUBLE) * 100.0 / CAST(sum(clicks) OVER (PARTITION BY short_code) AS DOUBLE), 6) AS percentage
+       FROM (SELECT short_code, country, CAST(count(*) AS BIGINT) AS clicks FROM click_events WHERE country <> ''
+             GROUP BY short_code, country) x''', 'short_code, country, clicks, percentage')}) a
+UNION ALL
+SELECT short_code, 'city' AS level, country, city, clicks, percentage FROM ({_top(
+    'short_code', 'clicks DESC, city, country', 5,
+    '''SELECT short_code, city, country, clicks,
+         round(CAST(clicks AS DOUBLE) * 100.0 / CAST(sum(clicks) OVER (PARTITION BY short_code) AS DOUBLE), 6) AS percentage
+       FROM (SELECT short_code, city, country, CAST(count(*) AS BIGINT) AS clicks FROM click_events
+             WHERE country <> '' AND city <> '' GROUP BY short_code, city, country) x''',
+    'short_code, city, country, clicks, percentage')}) b"""))(
+    lambda spark, d: rp.geo_city_share(clicks(spark, d), 5))
+
+# --- rollups --------------------------------------------------------------------------------------
+from clickspark.operators import rollups as ru  # noqa: E402
+
+register("rollup_daily", with_views(CE, """
+SELECT short_code, clicked_date, CAST(count(*) AS BIGINT) AS click_count,
+  CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors
+FROM click_events GROUP BY short_code, clicked_date"""))(
+    lambda spark, d: ru.daily_by_url(clicks(spark, d), exact=True))
+
+register("rollup_country", with_views(CE, """
+SELECT short_code, clicked_date, country, country_code, CAST(count(*) AS BIGINT) AS click_count
+FROM click_events WHERE country <> '' GROUP BY short_code, clicked_date, country, country_code"""))(
+    lambda spark, d: ru.clicks_by_country(clicks(spark, d)))
+
+register("rollup_device", with_views(CE, """
+SELECT short_code, clicked_date, device_type, browser, os, CAST(count(*) AS BIGINT) AS click_count
+FROM click_events GROUP BY short_code, clicked_date, device_type, browser, os"""))(
+    lambda spark, d: ru.clicks_by_device(clicks(spark, d)))
+
+register("rollup_hourly", with_views(CE, """
+SELECT short_code, clicked_hour, clicked_date,
+  CAST(count(*) AS BIGINT) AS click_count, CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors
+FROM (SELECT short_code, ip_address, date_trunc('hour', clicked_at) AS clicked_hour, CAST(clicked_at AS DATE) AS clicked_date
+      FROM click_events) c
+GROUP BY short_code, clicked_hour, clicked_date"""))(
+    lambda spark, d: ru.hourly_clicks(clicks(spark, d), exact=True))
+
+register("rollup_daily_stats", with_views(CE, """
+SELECT short_code, date_trunc('day', clicked_at) AS day, CAST(count(*) AS BIGINT) AS total_clicks,
+  CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors,
+  CAST(count(DISTINCT CASE WHEN device_type = 'mobile' THEN ip_address END) AS BIGINT) AS mobile_clicks,
+  CAST(count(DISTINCT CASE WHEN device_type = 'desktop' THEN ip_address END) AS BIGINT) AS desktop_clicks
+FROM click_events GROUP BY short_code, day"""))(
+    lambda spark, d: ru.daily_stats(clicks(spark, d)))
+
+# The same A3 report read from the R2 rollup: its twin is the raw-click oracle.
+register("country_share_from_rollup", ORACLES["country_share"])(
+    lambda spark, d: ru.country_share_from_rollup(ru.clicks_by_country(clicks(spark, d)), START_DATE, END_DATE, 20))
+
+register("rollup_refresh_window", with_views(CE, f"""
+SELECT short_code, date_trunc('day', clicked_at) AS day, CAST(count(*) AS BIGINT) AS total_clicks,
+  CAST(count(DISTINCT ip_address) AS BIGINT) AS unique_visitors,
+  CAST(count(DISTINCT CASE WHEN device_type = 'mobile' THEN ip_address END) AS BIGINT) AS mobile_clicks,
+  CAST(count(DISTINCT CASE WHEN device_type = 'desktop' THEN ip_address END) AS BIGINT) AS desktop_clicks
+FROM click_events
+WHERE clicked_at >= TIMESTAMP '2024-01-28 00:00:00' AND clicked_at < TIMESTAMP '2024-01-30 00:00:00'
+GROUP BY short_code, day"""))(
+    lambda spark, d: ru.refresh_window(clicks(spark, d), "2024-01-30 12:00:00", 3, 1))
+
+# Sketch-merged daily series: visitor estimates -> rows-only check.
+register("series_daily_from_sketches")(
+    lambda spark, d: ru.daily_series_from_rollup(ru.daily_by_url(clicks(spark, d), exact=False), START_DATE, END_DATE))
+
+# --- further sections register themselves on import -----------------------------------------------
+from clickspark.plans import catalog_urls  # noqa: E402,F401

@@ -54,6 +54,7 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "cl
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("CLICKSPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in SESSION_DEFAULTS.items():
         builder = builder.config(key, value)
