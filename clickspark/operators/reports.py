@@ -176,9 +176,9 @@ def pipeline_lag(clicks: DataFrame, expected_p95_seconds: float = 10.0) -> DataF
     """Click-to-processed lag percentiles (seconds) against the expected lag."""
     lag = (F.unix_micros("processed_at") - F.unix_micros("clicked_at")) / F.lit(1e6)
     out = clicks.agg(
-        F.percentile(lag, 0.5).alias("p50_seconds"),
-        F.percentile(lag, 0.95).alias("p95_seconds"),
-        F.percentile(lag, 0.99).alias("p99_seconds"),
+        F.round(F.percentile(lag, 0.5), 6).alias("p50_seconds"),
+        F.round(F.percentile(lag, 0.95), 6).alias("p95_seconds"),
+        F.round(F.percentile(lag, 0.99), 6).alias("p99_seconds"),
         F.count(F.lit(1)).alias("events"),
     )
     return out.withColumn("within_expectation", F.col("p95_seconds") <= expected_p95_seconds)

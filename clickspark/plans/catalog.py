@@ -258,3 +258,4 @@ register("series_daily_from_sketches")(
 
 # --- further sections register themselves on import -----------------------------------------------
 from clickspark.plans import catalog_urls  # noqa: E402,F401
+from clickspark.plans import catalog_rows  # noqa: E402,F401
