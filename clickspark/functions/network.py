@@ -64,8 +64,25 @@ def geo_class(ip: Column | str) -> Column:
     return F.when(is_ip(c) & (is_loopback(c) | is_private(c)), F.lit("Local")).otherwise(F.lit("Unknown"))
 
 
-def geo_columns(ip: Column | str) -> dict[str, Column]:
-    label = geo_class(ip)
+def ip_flags(ip: Column | str) -> dict[str, Column]:
+    """Per-row parse results reused by ``geo_class_from_flags``: IPv4 number (NULL unless a
+    valid dotted quad) and the IPv6 check (only attempted when the text contains ``:``)."""
+    c = _c(ip)
+    return {"_ip_num": ipv4_number(c),
+            "_ip_v6": F.coalesce(c.contains(":") & is_ipv6(c), F.lit(False))}
+
+
+def geo_class_from_flags(ip: Column | str, ip_num: Column, v6: Column) -> Column:
+    """``geo_class`` over precomputed ``ip_flags`` (same result, each regex evaluated once)."""
+    c = _c(ip)
+    v4_local = _in_cidr(ip_num, "127.0.0.0", 8) | _in_cidr(ip_num, "10.0.0.0", 8) \
+        | _in_cidr(ip_num, "172.16.0.0", 12) | _in_cidr(ip_num, "192.168.0.0", 16)
+    v6_local = v6 & (F.lower(c).isin("::1", "0:0:0:0:0:0:0:1") | F.lower(c).rlike("^f[cd][0-9a-f]{0,2}:"))
+    return F.when(F.coalesce(v4_local, F.lit(False)) | v6_local, F.lit("Local")).otherwise(F.lit("Unknown"))
+
+
+def geo_columns(ip: Column | str, label: Column | None = None) -> dict[str, Column]:
+    label = geo_class(ip) if label is None else label
     return {
         "country": label, "country_code": F.lit("XX"), "region": label, "city": label,
         "latitude": F.lit(0.0), "longitude": F.lit(0.0), "timezone": F.lit("UTC"),

@@ -38,9 +38,9 @@ def is_bot(ua_col: Column | str) -> Column:
     return _ua(ua_col).rlike(BOT_PATTERN)
 
 
-def browser(ua_col: Column | str) -> Column:
+def browser(ua_col: Column | str, bot: Column | None = None) -> Column:
     ua = _ua(ua_col)
-    return (F.when(is_bot(ua), _extract(ua, r"(?i)([A-Za-z]*(?:bot|crawler|spider|slurp))"))
+    return (F.when(is_bot(ua) if bot is None else bot, _extract(ua, r"(?i)([A-Za-z]*(?:bot|crawler|spider|slurp))"))
             .when(ua.contains("Edg/"), F.lit("Edge"))
             .when(ua.contains("OPR/"), F.lit("Opera"))
             .when(ua.contains("Chrome/"), F.lit("Chrome"))
@@ -49,9 +49,9 @@ def browser(ua_col: Column | str) -> Column:
             .otherwise(F.lit("")))
 
 
-def browser_version(ua_col: Column | str) -> Column:
+def browser_version(ua_col: Column | str, bot: Column | None = None) -> Column:
     ua = _ua(ua_col)
-    return (F.when(is_bot(ua), _extract(ua, r"(?i)[A-Za-z]*(?:bot|crawler|spider|slurp)/([0-9.]+)"))
+    return (F.when(is_bot(ua) if bot is None else bot, _extract(ua, r"(?i)[A-Za-z]*(?:bot|crawler|spider|slurp)/([0-9.]+)"))
             .when(ua.contains("Edg/"), _extract(ua, r"Edg/([0-9.]+)"))
             .when(ua.contains("OPR/"), _extract(ua, r"OPR/([0-9.]+)"))
             .when(ua.contains("Chrome/"), _extract(ua, r"Chrome/([0-9.]+)"))
@@ -86,22 +86,24 @@ def os_name(ua_col: Column | str) -> Column:
 
 
 def os_version(os_col: Column) -> Column:
-    """Apple handheld OS version: first token with ``_`` or ``.``, underscores to dots."""
-    tokens = F.filter(F.split(os_col, " "), lambda t: t.contains("_") | t.contains("."))
-    first = F.get(tokens, 0)
+    """Apple handheld OS version: first space-separated token containing ``_`` or ``.``,
+    underscores to dots (a regex, so the projection stays inside whole-stage codegen)."""
+    first = F.regexp_extract(os_col, r"(?:^| )([^ ]*[_.][^ ]*)", 1)
     apple = os_col.contains("iPhone OS") | os_col.contains("CPU OS")
-    return F.when(apple, F.coalesce(F.replace(first, F.lit("_"), F.lit(".")), F.lit(""))).otherwise(F.lit(""))
+    return F.when(apple, F.replace(first, F.lit("_"), F.lit("."))).otherwise(F.lit(""))
 
 
-def is_mobile(ua_col: Column | str) -> Column:
+def is_mobile(ua_col: Column | str, bot: Column | None = None) -> Column:
     ua = _ua(ua_col)
-    return ~is_bot(ua) & (ua.contains("Mobi") | ua.contains("iPhone") | ua.contains("Android"))
+    b = is_bot(ua) if bot is None else bot
+    return ~b & (ua.contains("Mobi") | ua.contains("iPhone") | ua.contains("Android"))
 
 
-def device_type(ua_col: Column | str) -> Column:
+def device_type(ua_col: Column | str, bot: Column | None = None) -> Column:
     """Bot before mobile before desktop."""
     ua = _ua(ua_col)
-    return F.when(is_bot(ua), F.lit("bot")).when(is_mobile(ua), F.lit("mobile")).otherwise(F.lit("desktop"))
+    b = is_bot(ua) if bot is None else bot
+    return F.when(b, F.lit("bot")).when(is_mobile(ua, b), F.lit("mobile")).otherwise(F.lit("desktop"))
 
 
 def device_model(ua_col: Column | str) -> Column:
@@ -125,15 +127,16 @@ def device_brand(ua_col: Column | str) -> Column:
             .otherwise(F.lit("")))
 
 
-def parse(ua_col: Column | str) -> dict[str, Column]:
-    """All UA-derived columns of the click table."""
-    os_col = os_name(ua_col)
+def parse(ua_col: Column | str, bot: Column | None = None, os_col: Column | None = None) -> dict[str, Column]:
+    """All UA-derived columns of the click table. ``bot`` / ``os_col`` may be precomputed
+    columns so the regexes behind them run once per row."""
+    os_col = os_name(ua_col) if os_col is None else os_col
     return {
-        "browser": browser(ua_col),
-        "browser_version": browser_version(ua_col),
+        "browser": browser(ua_col, bot),
+        "browser_version": browser_version(ua_col, bot),
         "os": os_col,
         "os_version": os_version(os_col),
-        "device_type": device_type(ua_col),
+        "device_type": device_type(ua_col, bot),
         "device_brand": device_brand(ua_col),
         "device_model": device_model(ua_col),
     }

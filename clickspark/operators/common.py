@@ -44,3 +44,13 @@ def filter_codes(df: DataFrame, codes: Sequence[str] | None, col: str = "short_c
 def with_scalar_total(page: DataFrame, matched: DataFrame, name: str = "total") -> DataFrame:
     """Attach the one-row count of ``matched`` as a scalar subquery column (no join)."""
     return page.withColumn(name, matched.select(F.count(F.lit(1))).scalar())
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a batch input over at least the cluster's default parallelism before a
+    CPU-heavy projection, when it arrives in fewer partitions (one small file, one Kafka
+    partition). Inputs that already have enough partitions are left alone (no shuffle)."""
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickspark.functions import network, useragent
-from clickspark.operators.common import ts
+from clickspark.operators.common import spread, ts
+
+# Upper bound on distinct user agents parsed once and broadcast (checked per run).
+MAX_BROADCAST_AGENTS = 200_000
+UA_COLUMNS = ["browser", "browser_version", "os", "os_version", "device_type", "device_brand", "device_model"]
 
 RAW_FIELDS = ["short_code", "timestamp", "ip", "user_agent", "original_url", "referer", "query_params"]
 
@@ -27,22 +31,66 @@ def parse_click_time(text: Column, arrival: Column) -> Column:
     return F.coalesce(F.timestamp_seconds(secs), arrival)
 
 
-def enrich_clicks(raw: DataFrame, arrival=None, position: str | None = None) -> DataFrame:
+def parsed_agents(agents: DataFrame) -> DataFrame:
+    """UA columns for a frame of distinct ``_ua`` values."""
+    bot = useragent.is_bot("_ua")
+    staged = agents.select("_ua", bot.alias("_bot"), useragent.os_name("_ua").alias("_os"))
+    cols = useragent.parse(F.col("_ua"), F.col("_bot"), F.col("_os"))
+    return staged.select("_ua", *[cols[k].alias(f"_ua_{k}") for k in UA_COLUMNS])
+
+
+def agent_lookup(raw: DataFrame, max_agents: int = MAX_BROADCAST_AGENTS) -> DataFrame | None:
+    """Parsed distinct user agents, or None when there are more than ``max_agents``.
+
+    User agents repeat heavily (a few browser builds dominate), so parsing each distinct
+    agent once and broadcasting the result replaces per-click regex work by a hash lookup.
+    The distinct set is partial-aggregated per task; its size is checked with a bounded
+    ``limit(max + 1).count()`` before anything is broadcast, and beyond the bound the caller
+    parses per row instead (no shuffle of the click side either way)."""
+    agents = raw.select(F.coalesce(F.col("user_agent"), F.lit("")).alias("_ua")).distinct()
+    if agents.limit(max_agents + 1).count() > max_agents:
+        return None
+    return F.broadcast(parsed_agents(agents))
+
+
+def enrich_clicks(raw: DataFrame, arrival=None, position: str | None = None,
+                  ua_lookup: str = "auto", max_agents: int = MAX_BROADCAST_AGENTS) -> DataFrame:
     """Raw stream messages -> click table rows.
 
     ``arrival``: processing time for rows without a usable timestamp (default: now);
     ``position``: optional column with the message's source position (offset / file + row),
-    mixed into the event id so identical clicks stay distinct while replays do not."""
+    mixed into the event id so identical clicks stay distinct while replays do not;
+    ``ua_lookup``: ``auto`` parses distinct agents once behind a size check (batch inputs),
+    ``rows`` parses every row (always used for streaming frames)."""
     now = F.current_timestamp() if arrival is None else ts(arrival)
-    ua = F.coalesce(F.col("user_agent"), F.lit(""))
-    ip = F.coalesce(F.col("ip"), F.lit(""))
-    parsed = useragent.parse(ua)
-    geo = network.geo_columns(ip)
-    device = parsed["device_type"]
-    clicked_at = parse_click_time(F.col("timestamp"), now)
+    raw = spread(raw)
+    lookup = agent_lookup(raw, max_agents) if ua_lookup == "auto" and not raw.isStreaming else None
     id_cols = [F.col(c) for c in RAW_FIELDS] + ([F.col(position)] if position else [])
-    out = raw.select(
-        event_id(id_cols).alias("event_id"),
+    # Stage 1: normalised inputs and the per-row regex results, each computed once. The
+    # later stages reference them several times, so Catalyst keeps the projects apart
+    # instead of inlining (and re-evaluating) the regexes; all stages share one codegen span.
+    flags = raw.select(
+        *RAW_FIELDS,
+        event_id(id_cols).alias("_event_id"),
+        F.coalesce(F.col("user_agent"), F.lit("")).alias("_ua"),
+        F.coalesce(F.col("ip"), F.lit("")).alias("_ip"),
+        parse_click_time(F.col("timestamp"), now).alias("_clicked_at"),
+    )
+    flags = flags.select("*", *[v.alias(k) for k, v in network.ip_flags("_ip").items()])
+    flags = flags.select("*", network.geo_class_from_flags("_ip", F.col("_ip_num"), F.col("_ip_v6")).alias("_geo"))
+    if lookup is not None:
+        flags = flags.join(lookup, "_ua", "left")
+    else:
+        flags = flags.select("*", useragent.is_bot("_ua").alias("_bot"), useragent.os_name("_ua").alias("_os"))
+        per_row = useragent.parse(F.col("_ua"), F.col("_bot"), F.col("_os"))
+        flags = flags.select("*", *[per_row[k].alias(f"_ua_{k}") for k in UA_COLUMNS])
+    ua, ip = F.col("_ua"), F.col("_ip")
+    parsed = {k: F.col(f"_ua_{k}") for k in UA_COLUMNS}
+    geo = network.geo_columns(ip, F.col("_geo"))
+    device = F.col("_ua_device_type")
+    clicked_at = F.col("_clicked_at")
+    out = flags.select(
+        F.col("_event_id").alias("event_id"),
         F.coalesce("short_code", F.lit("")).alias("short_code"),
         F.coalesce("original_url", F.lit("")).alias("original_url"),
         clicked_at.alias("clicked_at"),
