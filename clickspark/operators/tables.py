@@ -157,3 +157,45 @@ def stream_health(landing: DataFrame, time_col: str = "clicked_at", backlog_thre
                         F.max(time_col).alias("last_entry"))
     return stats.withColumn("backlog_alert", F.col("length") > backlog_threshold)
 
+
+
+def update_users(users: DataFrame, updates: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """M8: apply (id, name, email) updates by key. An update is rejected when the email fails
+    the CHECK pattern (Q4) or is already used by another user (UNIQUE); accepted rows replace
+    the old ones (K5 semantics) with ``updated_at = as_of`` (M7). Returns (new users, rejects)."""
+    from clickspark.functions import validation as v
+    owners = users.select(F.lower("email").alias("_email"), F.col("id").alias("_owner"))
+    checked = (updates.join(owners, F.lower(updates.email) == owners._email, "left")
+               .withColumn("reason", F.when(~v.is_valid_email("email"), F.lit("invalid_email"))
+                           .when(F.col("_owner").isNotNull() & (F.col("_owner") != F.col("id")), F.lit("email_taken"))
+                           .when(F.col("id").isNull(), F.lit("missing_id")))
+               .drop("_email", "_owner"))
+    known = checked.join(users.select("id"), "id", "left_semi")
+    accepted = known.where(F.col("reason").isNull()).select("id", "name", "email") \
+        .withColumn("updated_at", ts(as_of))
+    rejects = checked.where(F.col("reason").isNotNull()).unionByName(
+        checked.where(F.col("reason").isNull()).join(users.select("id"), "id", "left_anti")
+        .withColumn("reason", F.lit("unknown_user")))
+    base = users.withColumn("updated_at", F.col("updated_at") if "updated_at" in users.columns else F.col("created_at"))
+    merged = upsert_by_key(base, accepted.withColumn("created_at", F.lit(None).cast("timestamp")), "id", "updated_at")
+    # keep the original creation time of updated users
+    created = users.select("id", F.col("created_at").alias("_created"))
+    merged = merged.join(created, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
+    return merged, rejects
+
+
+def publish_clicks(events: DataFrame) -> DataFrame:
+    """One JSON stream message per click: mandatory code and time (epoch seconds as
+    text), optional fields only when non-empty (``to_json`` drops NULL keys)."""
+    optional = [("ip_address", "ip"), ("user_agent", "user_agent"), ("original_url", "original_url"),
+                ("referer", "referer"), ("query_params", "query_params")]
+    ts_text = F.unix_seconds(F.col("clicked_at")).cast("string")
+    payload = F.struct(
+        F.col("short_code").alias("short_code"), ts_text.alias("timestamp"),
+        *[F.nullif(F.col(c).cast("string"), F.lit("")).alias(key) for c, key in optional if c in events.columns])
+    return events.select(F.to_json(payload).alias("value"))
+
+
+def replay_clicks(events: DataFrame, landing_dir: str) -> None:
+    """K2: bulk re-publish of click messages into the stream's landing folder (one append)."""
+    publish_clicks(events).write.mode("append").text(landing_dir)

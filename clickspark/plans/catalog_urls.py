@@ -283,3 +283,43 @@ SELECT CAST(count(*) AS BIGINT) AS length, min(clicked_at) AS first_entry, max(c
     lambda spark, d: tb.stream_health(clicks(spark, d), "clicked_at", 10000))
 
 assert "country_share" in ORACLES
+
+# --- creation / expiry / publishing ---------------------------------------------------------------
+from clickspark.operators import enrich as en  # noqa: E402
+
+register("derive_expiry", with_views(["urls"], """
+SELECT short_code, created_at, coalesce(expires_at, created_at + INTERVAL '72' HOUR) AS expires_at FROM urls"""))(
+    lambda spark, d: en.derive_expiry(urls(spark, d), 72).select("short_code", "created_at", "expires_at"))
+
+register("increment_rejects", with_views(["click_events", "urls"], """
+SELECT short_code, CAST(count(*) AS BIGINT) AS delta FROM click_events
+WHERE short_code NOT IN (SELECT short_code FROM urls) GROUP BY short_code"""))(
+    lambda spark, d: rs.increment_rejects(urls(spark, d), rp.fold_increments(clicks(spark, d))))
+
+register("publish_clicks", with_views(["click_events"], """
+SELECT to_json(json_object('short_code', short_code, 'timestamp', CAST(epoch_us(clicked_at) // 1000000 AS VARCHAR),
+  'ip', ip_address)) AS value FROM click_events"""))(
+    lambda spark, d: tb.publish_clicks(clicks(spark, d).select("short_code", "clicked_at", "ip_address")))
+
+
+def _ranges(spark, d):
+    """IP range table derived from the nation table: 203.0.113.(10n) .. 203.0.113.(10n+9) -> nation n."""
+    n = fx.table(spark, d, "nation")
+    return n.select(F.concat(F.lit("203.0.113."), (F.col("n_nationkey") * 10).cast("string")).alias("start_ip"),
+                    F.concat(F.lit("203.0.113."), (F.col("n_nationkey") * 10 + 9).cast("string")).alias("end_ip"),
+                    F.col("n_name").alias("country"),
+                    F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("country_code"),
+                    F.lit("").alias("region"), F.lit("").alias("city"))
+
+
+register("geo_by_range", with_views(["click_events"], """
+SELECT c.event_id, c.ip_address, r.country, r.country_code
+FROM click_events c LEFT JOIN (
+  SELECT n_nationkey * 10 + (CAST(203 AS BIGINT) * 16777216 + 113 * 256) AS lo, n_nationkey * 10 + 9 + (CAST(203 AS BIGINT) * 16777216 + 113 * 256) AS hi,
+    n_name AS country, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS country_code FROM nation) r
+  ON (CASE WHEN regexp_matches(c.ip_address, '^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$')
+      THEN TRY_CAST(string_split(c.ip_address, '.')[1] AS BIGINT) * 16777216 + TRY_CAST(string_split(c.ip_address, '.')[2] AS BIGINT) * 65536
+         + TRY_CAST(string_split(c.ip_address, '.')[3] AS BIGINT) * 256 + TRY_CAST(string_split(c.ip_address, '.')[4] AS BIGINT) END)
+   BETWEEN r.lo AND r.hi"""))(
+    lambda spark, d: en.geo_by_range(clicks(spark, d).select("event_id", "ip_address"), _ranges(spark, d))
+    .select("event_id", "ip_address", "country", "country_code"))
