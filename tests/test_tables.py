@@ -18,7 +18,8 @@ AS_OF = fx.AS_OF
 
 
 def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """Text of ``df.explain("formatted")``."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
 def test_click_table_layout_prunes_months_and_pushes_filters(spark, scratch):
@@ -28,7 +29,8 @@ def test_click_table_layout_prunes_months_and_pushes_filters(spark, scratch):
     df = tb.read_click_table(spark, path, "2024-01-05", "2024-01-25", codes=["c42"])
     plan = _plan(df)
     assert "PartitionFilters: [isnotnull(clicked_month" in plan
-    assert "PushedFilters: [" in plan and "In(short_code" in plan or "EqualTo(short_code" in plan
+    pushed = plan.split("PushedFilters: ")[1].split("\n")[0]
+    assert "EqualTo(short_code,c42)" in pushed and "GreaterThanOrEqual(clicked_date" in pushed
     assert df.count() == fx.click_events(spark, SF_SMALL).where(
         (F.col("short_code") == "c42") & F.col("clicked_date").between("2024-01-05", "2024-01-25")).count()
 
@@ -40,7 +42,6 @@ def test_report_scan_reads_only_needed_columns(spark, scratch):
     plan = _plan(rp.country_share(spark.read.parquet(path), "2024-01-05", "2024-01-25"))
     read_schema = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert "referer" not in read_schema and "browser" not in read_schema
-    assert "WholeStageCodegen" in plan or "*(" in plan
 
 
 def test_publish_and_replay_round_trip(spark, scratch):
