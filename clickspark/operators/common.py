@@ -17,6 +17,23 @@ def dt(value) -> Column:
     return value if isinstance(value, Column) else F.lit(str(value)).cast("date")
 
 
+def prune_months(df: DataFrame, start=None, end=None, col: str = "clicked_month") -> DataFrame:
+    """Add the ``clicked_month`` partition bounds implied by a date/time range, when the frame
+    is a partitioned click table (Catalyst cannot derive the month from the date itself).
+    The bounds are literals computed here, so the scan prunes whole month directories."""
+    if col not in df.columns:
+        return df
+    import datetime as _dt
+    def month(v):
+        v = str(v)
+        return _dt.date.fromisoformat(v[:10]).strftime("%Y%m")
+    if start is not None and not isinstance(start, Column):
+        df = df.where(F.col(col) >= month(start))
+    if end is not None and not isinstance(end, Column):
+        df = df.where(F.col(col) <= month(end))
+    return df
+
+
 def share_pct(part: Column, total: Column) -> Column:
     """``part * 100 / total`` in DOUBLE, rounded to 6 places; NULL when total is 0."""
     return F.round(F.try_divide(part.cast("double") * F.lit(100.0), total.cast("double")), 6)

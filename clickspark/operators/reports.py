@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickspark.operators.common import dt, filter_codes, share_pct, top_n_per_key, ts
+from clickspark.operators.common import dt, filter_codes, prune_months, share_pct, top_n_per_key, ts
 from clickspark.schemas import blank_to_null
 
 
@@ -26,8 +26,8 @@ def hours(n: int) -> Column:
 
 
 def _in_dates(df: DataFrame, start, end) -> DataFrame:
-    """Inclusive date range on ``clicked_date`` (pushed to the scan / partition filter)."""
-    return df.where(F.col("clicked_date").between(dt(start), dt(end)))
+    """Inclusive date range on ``clicked_date`` (pushed to the scan, months pruned)."""
+    return prune_months(df, start, end).where(F.col("clicked_date").between(dt(start), dt(end)))
 
 
 def _cnt(name: str = "total_clicks") -> Column:
@@ -133,7 +133,7 @@ def series_hourly(clicks: DataFrame, start, end, codes: Sequence[str] | None = N
     ``clicked_at < end + 1h``: these raw-column bounds are added so the scan is pruned."""
     lo, hi = ts(start), ts(end)
     bucket = F.date_trunc("hour", "clicked_at")
-    base = (filter_codes(clicks, codes)
+    base = (prune_months(filter_codes(clicks, codes), start, end)
             .where((F.col("clicked_at") >= lo) & (F.col("clicked_at") < hi + hours(1)))
             .withColumn("clicked_hour", bucket)
             .where(F.col("clicked_hour").between(lo, hi)))
@@ -154,7 +154,7 @@ GRANULARITIES = {"hour": "hour", "day": "day", "week": "week"}
 def series(clicks: DataFrame, start, end, granularity: str = "day", codes: Sequence[str] | None = None) -> DataFrame:
     """Series at hour / day / week granularity (weeks start on Monday), inclusive time range."""
     unit = GRANULARITIES[granularity]
-    base = filter_codes(clicks, codes).where(F.col("clicked_at").between(ts(start), ts(end)))
+    base = prune_months(filter_codes(clicks, codes), start, end).where(F.col("clicked_at").between(ts(start), ts(end)))
     return base.groupBy("short_code", F.date_trunc(unit, "clicked_at").alias("bucket")).agg(
         _cnt(), F.count_distinct("ip_address").alias("unique_visitors"))
 

@@ -121,3 +121,11 @@ def test_page_args_rules():
     assert ls.page_args("click_feed", 5000, None) == ls.Page(50, 0)
     assert ls.page_args("search", 101, 2) == ls.Page(20, 2)
     assert ls.page_args("timeline", 400, None) == ls.Page(400, 0)
+
+
+def test_reports_prune_month_partitions(spark, scratch):
+    from clickspark.operators import reports as rp
+    path = os.path.join(scratch, "clicks")
+    tb.write_click_table(fx.click_events(spark, SF_SMALL), path, mode="overwrite")
+    plan = _plan(rp.country_share(spark.read.parquet(path), "2024-01-05", "2024-01-25"))
+    assert "PartitionFilters: [isnotnull(clicked_month" in plan and "202401" in plan.split("PartitionFilters: ")[1]
