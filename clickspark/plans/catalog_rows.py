@@ -127,7 +127,7 @@ FROM (SELECT request_id, alias, {_DEC_VALUE} AS v, {_DEC_ERROR} AS err FROM alia
 register("shard_balance")(lambda spark, d: ids.shard_balance(fx.urls(spark, d), 4))
 
 register("sample_estimate", with_views(["click_events"], f"""
-SELECT short_code, CAST(count(*) AS BIGINT) AS sampled_clicks, round(count(*) * {65536.0 / int(0.1 * 65536)!r}, 6) AS estimated_clicks
+SELECT short_code, CAST(count(*) AS BIGINT) AS sampled_clicks, round(CAST(count(*) AS DOUBLE) * {65536.0 / int(0.1 * 65536)!r}, 6) AS estimated_clicks
 FROM click_events WHERE substr(md5(event_id), 1, 4) < '{format(int(0.1 * 65536), '04x')}' GROUP BY short_code"""))(
     lambda spark, d: ids.sample_estimate(clicks(spark, d), 0.10))
 
@@ -142,7 +142,7 @@ SELECT line_no,
   coalesce(json_extract_string(line, '$.msg'), '') AS message,
   coalesce(json_extract_string(line, '$.service'), 'unknown') AS service,
   json_extract_string(line, '$.user') AS user_field,
-  nullif(len(list_filter(json_keys(line), lambda k: k NOT IN ('level', 'msg', 'timestamp', 'service'))), 0) AS n_fields
+  CAST(nullif(len(list_filter(json_keys(line), lambda k: k NOT IN ('level', 'msg', 'timestamp', 'service'))), 0) AS INTEGER) AS n_fields
 FROM log_lines WHERE json_valid(line)"""
 
 

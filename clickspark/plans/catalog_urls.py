@@ -297,8 +297,8 @@ WHERE short_code NOT IN (SELECT short_code FROM urls) GROUP BY short_code"""))(
     lambda spark, d: rs.increment_rejects(urls(spark, d), rp.fold_increments(clicks(spark, d))))
 
 register("publish_clicks", with_views(["click_events"], """
-SELECT to_json(json_object('short_code', short_code, 'timestamp', CAST(epoch_us(clicked_at) // 1000000 AS VARCHAR),
-  'ip', ip_address)) AS value FROM click_events"""))(
+SELECT CAST(to_json(json_object('short_code', short_code, 'timestamp', CAST(epoch_us(clicked_at) // 1000000 AS VARCHAR),
+  'ip', ip_address)) AS VARCHAR) AS value FROM click_events"""))(
     lambda spark, d: tb.publish_clicks(clicks(spark, d).select("short_code", "clicked_at", "ip_address")))
 
 
