@@ -226,33 +226,52 @@ def _ranked_list(df: DataFrame, label: str, count: str, n: int, name: str) -> Da
 
 def composite_stats(clicks: DataFrame, start=None, end=None, n: int = 5,
                     codes: Sequence[str] | None = None) -> DataFrame:
-    """Totals, top countries, top referrers and device counts per code, optional range.
-
-    Built from small per-code aggregates joined on ``short_code``; the lists carry at most
-    ``n`` entries each, so no group ever collects more than ``n`` rows."""
+    """Totals, distinct visitors, top countries, top referrers and device counts per code,
+    optional time range.
+
+    One scan and one shuffle feed every part: a GROUPING SETS aggregate over (code),
+    (code, country), (code, referer) and (code, ip) (Expand + partial aggregation before the
+    exchange). Its result is small (one row per code / country / referer / visitor) and is
+    reused through exchange reuse by the per-part selections below; the lists carry at most
+    ``n`` entries, so no group ever collects more than ``n`` rows."""
     base = filter_codes(clicks, codes)
     if start is not None and end is not None:
-        base = base.where(F.col("clicked_at").between(ts(start), ts(end)))
+        base = prune_months(base, start, end).where(F.col("clicked_at").between(ts(start), ts(end)))
     d = F.col("device_type")
-    totals = base.groupBy("short_code").agg(
-        _cnt(), F.count_distinct("ip_address").alias("unique_visitors"),
+    sets = [["short_code"], ["short_code", "country"], ["short_code", "referer"], ["short_code", "ip_address"]]
+    agg = base.groupingSets(sets, "short_code", "country", "referer", "ip_address").agg(
+        _cnt("c"),
         F.count_if(d == "desktop").alias("desktop"), F.count_if(d == "mobile").alias("mobile"),
-        F.count_if(d == "tablet").alias("tablet"), F.count_if(d == "bot").alias("bot"))
-    countries = base.where(F.col("country") != "").groupBy("short_code", "country").agg(_cnt("c"))
-    referrers = base.where(F.col("referer") != "").groupBy("short_code", "referer").agg(_cnt("c"))
-    return (totals
+        F.count_if(d == "tablet").alias("tablet"), F.count_if(d == "bot").alias("bot"),
+        F.grouping_id().alias("gid"))
+    # grouping_id bits (country, referer, ip_address): 1 = column not grouped in that set
+    totals = agg.where(F.col("gid") == 7).select(
+        "short_code", F.col("c").alias("total_clicks"), "desktop", "mobile", "tablet", "bot")
+    visitors = (agg.where((F.col("gid") == 6) & F.col("ip_address").isNotNull())
+                .groupBy("short_code").agg(_cnt("unique_visitors")))
+    countries = agg.where((F.col("gid") == 3) & (F.col("country") != "")).select("short_code", "country", "c")
+    referrers = agg.where((F.col("gid") == 5) & (F.col("referer") != "")).select("short_code", "referer", "c")
+    return (totals.join(visitors, "short_code", "left")
+            .withColumn("unique_visitors", F.coalesce("unique_visitors", F.lit(0)))
             .join(_ranked_list(countries, "country", "c", n, "top_countries"), "short_code", "left")
-            .join(_ranked_list(referrers, "referer", "c", n, "top_referrers"), "short_code", "left"))
+            .join(_ranked_list(referrers, "referer", "c", n, "top_referrers"), "short_code", "left")
+            .select("short_code", "total_clicks", "unique_visitors", "desktop", "mobile", "tablet", "bot",
+                    "top_countries", "top_referrers"))
 
 
 def geo_city_share(clicks: DataFrame, limit: int = 5, codes: Sequence[str] | None = None) -> DataFrame:
-    """Countries and cities of every code, each with its share, ``limit`` of each."""
+    """Countries and cities of every code, each with its share, ``limit`` of each.
+
+    One GROUPING SETS aggregate over (code, country) and (code, city, country) feeds both
+    levels (single scan, single shuffle); shares and top-n run on the aggregated rows."""
     base = filter_codes(clicks, codes).where(F.col("country") != "")
+    agg = base.groupingSets([["short_code", "country"], ["short_code", "city", "country"]],
+                            "short_code", "country", "city").agg(_cnt("clicks"), F.grouping_id().alias("gid"))
     per_code = Window.partitionBy("short_code")
-    countries = base.groupBy("short_code", "country").agg(_cnt("clicks"))
+    countries = agg.where(F.col("gid") == 1).select("short_code", "country", "clicks")
     countries = countries.withColumn("percentage", share_pct(F.col("clicks"), F.sum("clicks").over(per_code)))
     countries = top_n_per_key(countries, ["short_code"], [F.desc("clicks"), F.asc("country")], limit)
-    cities = base.where(F.col("city") != "").groupBy("short_code", "city", "country").agg(_cnt("clicks"))
+    cities = agg.where((F.col("gid") == 0) & (F.col("city") != "")).select("short_code", "city", "country", "clicks")
     cities = cities.withColumn("percentage", share_pct(F.col("clicks"), F.sum("clicks").over(per_code)))
     cities = top_n_per_key(cities, ["short_code"], [F.desc("clicks"), F.asc("city"), F.asc("country")], limit)
     return (countries.select("short_code", F.lit("country").alias("level"), "country", F.lit("").alias("city"),
