@@ -62,16 +62,23 @@ def device_share(clicks: DataFrame, start, end, top_n: int = 50, codes: Sequence
 
 def url_stats_windows(clicks: DataFrame, as_of, codes: Sequence[str] | None = None) -> DataFrame:
     """A1: total, exact distinct IPs and clicks in the last 24 h / 7 d / 30 d (strict ``>``),
-    all in one aggregate over one scan."""
+    all in one aggregate over one scan. With ``codes``, every listed code gets a row, zeros
+    for codes without clicks (trap T8: the row store answers an empty code with zeros)."""
     now = ts(as_of)
     at = F.col("clicked_at")
-    return filter_codes(clicks, codes).groupBy("short_code").agg(
+    stats = filter_codes(clicks, codes).groupBy("short_code").agg(
         _cnt(),
         F.count_distinct("ip_address").alias("unique_visitors"),
         F.count_if(at > now - days(1)).alias("last_24_hours"),
         F.count_if(at > now - days(7)).alias("last_7_days"),
         F.count_if(at > now - days(30)).alias("last_30_days"),
     )
+    if not codes:
+        return stats
+    wanted = clicks.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(codes)], "short_code string")
+    metrics = [c for c in stats.columns if c != "short_code"]
+    return wanted.join(stats, "short_code", "left").select(
+        "short_code", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in metrics])
 
 
 def url_lifetime_stats(clicks: DataFrame, exact: bool = True, codes: Sequence[str] | None = None) -> DataFrame:
