@@ -15,21 +15,21 @@ from clickspark.operators.common import ts
 CLICK_BLOOM_COLUMNS = ("short_code", "country", "browser", "os")
 
 
-def write_click_table(clicks: DataFrame, path: str, mode: str = "append", files_per_month: int | None = None) -> None:
-    """K3 / K4: monthly partitions, rows clustered by (code, time) inside each file, bloom
-    filters on the high-selectivity filter columns.
-
-    ``repartition`` by (month, code) groups each code's rows; ``sortWithinPartitions`` gives
-    tight row-group min/max on ``short_code`` / ``clicked_at`` for pushed-down range filters.
-    AQE's rebalance splits partitions of hot codes."""
+def write_click_table(clicks: DataFrame, path: str, mode: str = "append", compact: bool = False) -> None:
+    """K3 / K4: monthly partitions, rows ordered by (code, time) inside each file, zstd, and
+    Parquet bloom filters on the high-selectivity filter columns.
+
+    Ingest (``compact=False``) never shuffles: each task sorts its own rows by
+    (month, code, time), which also satisfies the partitioned writer's ordering, so row-group
+    min/max on ``short_code`` / ``clicked_at`` stay tight for pushed-down filters.
+    Compaction (``compact=True``, M5) additionally clusters codes into files with the
+    AQE ``rebalance`` hint, which splits hot codes and merges small partitions."""
     df = clicks
     if "clicked_month" not in df.columns:
         df = df.withColumn("clicked_month", F.date_format("clicked_date", "yyyyMM"))
-    if files_per_month:
-        df = df.repartition(files_per_month, "clicked_month", "short_code")
-    else:
-        df = df.repartition("clicked_month", "short_code")
-    df = df.sortWithinPartitions("short_code", "clicked_at")
+    if compact:
+        df = df.hint("rebalance", "clicked_month", "short_code")
+    df = df.sortWithinPartitions("clicked_month", "short_code", "clicked_at")
     writer = df.write.mode(mode).partitionBy("clicked_month").option("compression", "zstd")
     for col in CLICK_BLOOM_COLUMNS:
         writer = writer.option(f"parquet.bloom.filter.enabled#{col}", "true")
@@ -121,7 +121,7 @@ def retention(clicks: DataFrame, as_of, days: int) -> DataFrame:
 def rewrite_cold(clicks: DataFrame, path: str, as_of, cold_days: int = 7) -> None:
     """M5: rewrite clicks older than ``cold_days`` clustered by code, zstd-compressed."""
     cold = clicks.where(F.col("clicked_at") < ts(as_of) - F.make_dt_interval(F.lit(cold_days)))
-    write_click_table(cold, path, mode="overwrite")
+    write_click_table(cold, path, mode="overwrite", compact=True)
 
 
 def trim_landing(landing: DataFrame, keep_newest: int, time_col: str = "ingested_at") -> DataFrame:

@@ -29,12 +29,20 @@ ROLLUPS = {
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: list[str] | None = None,
-                 fmt: str = "parquet") -> None:
+                 fmt: str = "parquet", sort_cols: list[str] | None = None, options: dict | None = None) -> None:
     """Idempotent per-batch write: the batch's partitions are replaced, others untouched."""
     out = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     parts = (partition_cols or []) + ["batch_id"]
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*parts).format(fmt).save(path))
+    if sort_cols:
+        out = out.sortWithinPartitions(*parts, *sort_cols)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    for key, value in (options or {}).items():
+        writer = writer.option(key, value)
+    writer.partitionBy(*parts).format(fmt).save(path)
+
+
+CLICK_FILE_OPTIONS = {"compression": "zstd",
+                      **{f"parquet.bloom.filter.enabled#{c}": "true" for c in tb.CLICK_BLOOM_COLUMNS}}
 
 
 def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True):
@@ -51,7 +59,8 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True):
         _write_batch(bad.withColumn("attempts", F.lit(1)), f"{out_dir}/quarantine", batch_id)
         clicks = en.enrich_clicks(good, arrival=arrival).persist()
         try:
-            _write_batch(clicks, f"{out_dir}/clicks", batch_id, ["clicked_month"])
+            _write_batch(clicks, f"{out_dir}/clicks", batch_id, ["clicked_month"],
+                         sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
             for name, build in ROLLUPS.items():
                 _write_batch(build(clicks), f"{out_dir}/rollups/{name}", batch_id)
             if search_export:
