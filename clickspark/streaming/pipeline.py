@@ -89,13 +89,37 @@ def start_enrichment(raw: DataFrame, out_dir: str, checkpoint: str, trigger: dic
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _rollup_inputs(spark: SparkSession, out_dir: str, name: str, upto: int | None = None) -> DataFrame:
+    """Latest compacted version of a rollup plus the partial rows of later batches."""
+    compacted_dir = f"{out_dir}/rollups_compacted/{name}"
+    versions = committed_versions(spark, compacted_dir)
+    if upto is not None:
+        versions = [v for v in versions if v < upto]
+    parts = spark.read.parquet(f"{out_dir}/rollups/{name}")
+    if versions:
+        parts = parts.where(F.col("batch_id") > versions[-1])
+    if upto is not None:
+        parts = parts.where(F.col("batch_id") <= upto)
+    parts = parts.drop("batch_id")
+    if versions:
+        parts = parts.unionByName(spark.read.parquet(f"{compacted_dir}/v={versions[-1]}"))
+    return parts
+
+
 def read_rollup(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
-    """R5 read side: merge all partial rows of a rollup and estimate visitors."""
-    parts = spark.read.parquet(f"{out_dir}/rollups/{name}").drop("batch_id")
-    merged = ru.merge_partials(parts, ru.ROLLUP_KEYS[name])
+    """R5 read side: merge compacted rows and newer partial rows by key (counts add, visitor
+    sketches union) and estimate visitors."""
+    merged = ru.merge_partials(_rollup_inputs(spark, out_dir, name), ru.ROLLUP_KEYS[name])
     return ru.estimate_visitors(merged) if "visitors_sketch" in merged.columns else merged
 
 
+def compact_rollup(spark: SparkSession, out_dir: str, name: str, upto_batch: int) -> None:
+    """Merge the partial rows of batches ``<= upto_batch`` into compacted version
+    ``v=<upto_batch>`` (sketches stay mergeable); idempotent like ``compact_counters``."""
+    merged = ru.merge_partials(_rollup_inputs(spark, out_dir, name, upto_batch), ru.ROLLUP_KEYS[name])
+    merged.write.mode("overwrite").parquet(f"{out_dir}/rollups_compacted/{name}/v={upto_batch}")
+
+
 # --- X2: counter pipeline over versioned URL tables -------------------------------------------------
 
 def _fs(spark: SparkSession, path: str):
@@ -123,24 +147,50 @@ def read_version(spark: SparkSession, table_dir: str, before: int | None = None)
     return spark.read.parquet(f"{table_dir}/v={versions[-1]}") if versions else None
 
 
-def counter_batch(urls_dir: str, as_of=None):
-    """Fold the batch into per-code deltas (A13) and write URL version
-    ``v=<batch_id>`` = latest version before this batch + deltas. A replay of the same batch
-    starts from the same base version, so counters are never applied twice."""
+def counter_batch(deltas_dir: str):
+    """Fold the batch into per-code increments and append them to the delta log
+    under ``batch_id=<n>`` (replaced on replay, so a redelivered batch is never counted twice).
+    Only the increments are written per micro-batch, never the URL table itself."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = read_version(spark, urls_dir, before=batch_id)
-        if base is None:
-            raise RuntimeError(f"no URL table version before batch {batch_id} under {urls_dir}")
-        deltas = rp.fold_increments(batch)
-        when = as_of if as_of is not None else F.current_timestamp()
-        updated = rs.apply_counters(base, deltas, when)
-        updated.write.mode("overwrite").parquet(f"{urls_dir}/v={batch_id}")
+        _write_batch(rp.fold_increments(batch), deltas_dir, batch_id)
 
     return run
 
 
+def _deltas_after(spark: SparkSession, deltas_dir: str, version: int | None) -> DataFrame | None:
+    fs, root = _fs(spark, deltas_dir)
+    if not fs.exists(root):
+        return None
+    deltas = spark.read.parquet(deltas_dir)
+    return deltas if version is None else deltas.where(F.col("batch_id") > version)
+
+
+def read_counters(spark: SparkSession, urls_dir: str, deltas_dir: str, as_of=None) -> DataFrame:
+    """C3 read side: latest compacted URL version + the increments of later batches
+    (pre-aggregated per code before the join)."""
+    versions = committed_versions(spark, urls_dir)
+    base = spark.read.parquet(f"{urls_dir}/v={versions[-1]}")
+    deltas = _deltas_after(spark, deltas_dir, versions[-1])
+    if deltas is None:
+        return base
+    when = as_of if as_of is not None else F.current_timestamp()
+    return rs.apply_counters(base, deltas.drop("batch_id"), when)
+
+
+def compact_counters(spark: SparkSession, urls_dir: str, deltas_dir: str, upto_batch: int, as_of=None) -> None:
+    """Fold the increments of batches ``<= upto_batch`` into URL version ``v=<upto_batch>``.
+    Idempotent: the new version is computed from the latest version before it."""
+    versions = [v for v in committed_versions(spark, urls_dir) if v < upto_batch]
+    base = spark.read.parquet(f"{urls_dir}/v={versions[-1]}")
+    deltas = _deltas_after(spark, deltas_dir, versions[-1])
+    if deltas is not None:
+        deltas = deltas.where(F.col("batch_id") <= upto_batch).drop("batch_id")
+        when = as_of if as_of is not None else F.current_timestamp()
+        base = rs.apply_counters(base, deltas, when)
+    base.write.mode("overwrite").parquet(f"{urls_dir}/v={upto_batch}")
+
+
 def seed_url_table(urls: DataFrame, urls_dir: str, version: int = -1) -> None:
     """Write the initial URL table version (before the first micro-batch)."""
     cols = urls.columns
@@ -148,11 +198,11 @@ def seed_url_table(urls: DataFrame, urls_dir: str, version: int = -1) -> None:
     out.write.mode("overwrite").parquet(f"{urls_dir}/v={version}")
 
 
-def start_counters(raw: DataFrame, urls_dir: str, checkpoint: str, trigger: dict | None = None, as_of=None):
+def start_counters(raw: DataFrame, deltas_dir: str, checkpoint: str, trigger: dict | None = None):
     """Second query on the same click source (every sink sees every click, trap T2);
     messages without a short code are skipped (S2)."""
     clicks = raw.where(F.col("short_code").isNotNull() & (F.col("short_code") != ""))
-    return (clicks.writeStream.foreachBatch(counter_batch(urls_dir, as_of))
+    return (clicks.writeStream.foreachBatch(counter_batch(deltas_dir))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 

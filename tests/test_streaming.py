@@ -45,6 +45,11 @@ def test_enrichment_stream_equals_batch(spark, scratch):
         "short_code", "clicked_date", "country", "country_code", "click_count")
     direct = ru.clicks_by_country(batch)
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, direct.collect()))
+    # compaction of the first batches leaves the merged result unchanged
+    for name in pl.ROLLUPS:
+        before = sorted(map(tuple, pl.read_rollup(spark, out, name).collect()))
+        pl.compact_rollup(spark, out, name, 1)
+        assert sorted(map(tuple, pl.read_rollup(spark, out, name).collect())) == before
     # search export: two NDJSON lines per click
     lines = spark.read.text(f"{out}/search").count()
     assert lines == 2 * batch.count()
@@ -63,27 +68,40 @@ def test_replayed_batch_is_idempotent(spark, scratch):
 
 
 def test_counter_pipeline_replay_does_not_double_count(spark, scratch):
-    urls_dir = os.path.join(scratch, "urls")
+    urls_dir, deltas_dir = os.path.join(scratch, "urls"), os.path.join(scratch, "deltas")
     pl.seed_url_table(fx.urls(spark, SF_SMALL), urls_dir)
-    run = pl.counter_batch(urls_dir, as_of=AS_OF)
+    run = pl.counter_batch(deltas_dir)
     raw = fx.raw_clicks(spark, SF_SMALL)
     run(raw, 0)
     run(raw, 0)  # replay
-    v0 = pl.read_version(spark, urls_dir)
-    expected = raw.where(F.col("short_code").isin([r.short_code for r in fx.urls(spark, SF_SMALL).collect()])).count()
-    assert v0.agg(F.sum("clicks")).first()[0] == expected
+    known = [r.short_code for r in fx.urls(spark, SF_SMALL).collect()]
+    expected = raw.where(F.col("short_code").isin(known)).count()
+
+    def total():
+        return pl.read_counters(spark, urls_dir, deltas_dir, AS_OF).agg(F.sum("clicks")).first()[0]
+
+    assert total() == expected
     run(raw, 1)
-    assert pl.read_version(spark, urls_dir).agg(F.sum("clicks")).first()[0] == 2 * expected
+    assert total() == 2 * expected
+    pl.compact_counters(spark, urls_dir, deltas_dir, 1, AS_OF)
+    pl.compact_counters(spark, urls_dir, deltas_dir, 1, AS_OF)  # idempotent
+    assert pl.committed_versions(spark, urls_dir)[-1] == 1
+    assert total() == 2 * expected
+    run(raw, 2)
+    assert total() == 3 * expected
 
 
 def test_counter_stream(spark, scratch):
     landing = _land_raw(spark, scratch, parts=2)
-    urls_dir = os.path.join(scratch, "urls")
+    urls_dir, deltas_dir = os.path.join(scratch, "urls"), os.path.join(scratch, "deltas")
     pl.seed_url_table(fx.urls(spark, SF_SMALL), urls_dir)
-    q = pl.start_counters(src.click_stream(spark, landing, max_files_per_trigger=1), urls_dir,
-                          os.path.join(scratch, "ckpt"), as_of=AS_OF)
+    q = pl.start_counters(src.click_stream(spark, landing, max_files_per_trigger=1), deltas_dir,
+                          os.path.join(scratch, "ckpt"))
     q.awaitTermination()
-    assert len(pl.committed_versions(spark, urls_dir)) == 3  # seed + two batches
+    assert spark.read.parquet(deltas_dir).select("batch_id").distinct().count() == 2
+    known = [r.short_code for r in fx.urls(spark, SF_SMALL).collect()]
+    expected = fx.raw_clicks(spark, SF_SMALL).where(F.col("short_code").isin(known)).count()
+    assert pl.read_counters(spark, urls_dir, deltas_dir, AS_OF).agg(F.sum("clicks")).first()[0] == expected
 
 
 def test_rate_limit_stream_equals_batch(spark, scratch):
