@@ -73,6 +73,36 @@ ROLLUP_KEYS = {
 }
 
 
+SKETCH_ROLLUPS = ("daily_by_url", "hourly_clicks")
+PARTIAL_COLUMNS = ["short_code", "clicked_date", "clicked_hour", "country", "country_code", "device_type", "browser", "os"]
+
+
+def partial_rollups(clicks: DataFrame) -> DataFrame:
+    """R1-R4 partial rows of one micro-batch from a single GROUPING SETS aggregate (one scan,
+    one shuffle, one write). ``rollup`` names the set; grouping columns outside a set are NULL;
+    visitor sketches are kept for the rollups that report visitors."""
+    base = clicks.withColumn("clicked_hour", F.date_trunc("hour", "clicked_at"))
+    sets = [[k for k in keys] for keys in ROLLUP_KEYS.values()]
+    agg = base.groupingSets(sets, *PARTIAL_COLUMNS).agg(
+        F.count(F.lit(1)).alias("click_count"),
+        F.hll_sketch_agg("ip_address", HLL_LG_K).alias("visitors_sketch"),
+        F.grouping("country").alias("_g_country"), F.grouping("device_type").alias("_g_device"),
+        F.grouping("clicked_hour").alias("_g_hour"))
+    name = (F.when(F.col("_g_country") == 0, F.lit("clicks_by_country"))
+            .when(F.col("_g_device") == 0, F.lit("clicks_by_device"))
+            .when(F.col("_g_hour") == 0, F.lit("hourly_clicks"))
+            .otherwise(F.lit("daily_by_url")))
+    out = agg.withColumn("rollup", name).drop("_g_country", "_g_device", "_g_hour")
+    out = out.withColumn("visitors_sketch", F.when(F.col("rollup").isin(*SKETCH_ROLLUPS), F.col("visitors_sketch")))
+    return out.where((F.col("rollup") != "clicks_by_country") | (F.col("country") != ""))
+
+
+def select_rollup(partials: DataFrame, name: str) -> DataFrame:
+    """Rows of one rollup from the combined partial table, in that rollup's own columns."""
+    cols = ROLLUP_KEYS[name] + ["click_count"] + (["visitors_sketch"] if name in SKETCH_ROLLUPS else [])
+    return partials.where(F.col("rollup") == name).select(*cols)
+
+
 def merge_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
     """Merge partial rollup rows by key: counts add, visitor sketches union."""
     aggs = [F.sum("click_count").cast("bigint").alias("click_count")]

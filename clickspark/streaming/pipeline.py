@@ -20,12 +20,7 @@ from clickspark.operators import tables as tb
 
 log = logging.getLogger(__name__)
 
-ROLLUPS = {
-    "daily_by_url": lambda df: ru.daily_by_url(df, exact=False),
-    "clicks_by_country": ru.clicks_by_country,
-    "clicks_by_device": ru.clicks_by_device,
-    "hourly_clicks": lambda df: ru.hourly_clicks(df, exact=False),
-}
+ROLLUPS = list(ru.ROLLUP_KEYS)
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: list[str] | None = None,
@@ -55,14 +50,15 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True):
     4. export the bulk search documents (K6) - a failure is logged, the batch still commits."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        good, bad = en.split_bad_messages(batch)
-        _write_batch(bad.withColumn("attempts", F.lit(1)), f"{out_dir}/quarantine", batch_id)
-        clicks = en.enrich_clicks(good, arrival=arrival).persist()
+        batch = batch.persist()  # the source is read once for all sinks
+        clicks = None
         try:
+            good, bad = en.split_bad_messages(batch)
+            _write_batch(bad.withColumn("attempts", F.lit(1)), f"{out_dir}/quarantine", batch_id)
+            clicks = en.enrich_clicks(good, arrival=arrival).persist()
             _write_batch(clicks, f"{out_dir}/clicks", batch_id, ["clicked_month"],
                          sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
-            for name, build in ROLLUPS.items():
-                _write_batch(build(clicks), f"{out_dir}/rollups/{name}", batch_id)
+            _write_batch(ru.partial_rollups(clicks), f"{out_dir}/rollups", batch_id, ["rollup"])
             if search_export:
                 try:
                     docs = clicks.select("event_id", "short_code", "original_url", "clicked_at", "ip_address",
@@ -73,7 +69,9 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True):
                 except Exception as exc:  # search sink is best effort (X1)
                     log.warning("search export failed for batch %s: %s", batch_id, exc)
         finally:
-            clicks.unpersist()
+            if clicks is not None:
+                clicks.unpersist()
+            batch.unpersist()
 
     return run
 
@@ -95,7 +93,9 @@ def _rollup_inputs(spark: SparkSession, out_dir: str, name: str, upto: int | Non
     versions = committed_versions(spark, compacted_dir)
     if upto is not None:
         versions = [v for v in versions if v < upto]
-    parts = spark.read.parquet(f"{out_dir}/rollups/{name}")
+    partials = spark.read.parquet(f"{out_dir}/rollups")
+    keep = ru.select_rollup(partials, name).columns
+    parts = partials.where(F.col("rollup") == name).select(*keep, "batch_id")
     if versions:
         parts = parts.where(F.col("batch_id") > versions[-1])
     if upto is not None:
