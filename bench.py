@@ -77,6 +77,10 @@ def main() -> None:
     if os.path.isdir(warm_dir):
         run_noop(en.enrich_clicks(fx.raw_clicks(spark, warm_dir), arrival=AS_OF))
         run_noop(rp.country_share(fx.click_events(spark, warm_dir), "2024-01-05", "2024-01-25", 20))
+        warm_landing = os.path.join(work, "warm_landing")
+        fx.raw_clicks(spark, warm_dir).write.json(warm_landing)
+        pl.start_enrichment(src.click_stream(spark, warm_landing), os.path.join(work, "warm_out"),
+                            os.path.join(work, "warm_ckpt"), arrival=AS_OF).awaitTermination()
 
     q: dict[str, float] = {}
     raw = fx.raw_clicks(spark, sf_dir)
