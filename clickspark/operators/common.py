@@ -35,7 +35,9 @@ def prune_months(df: DataFrame, start=None, end=None, col: str = "clicked_month"
 
 
 def share_pct(part: Column, total: Column) -> Column:
-    """``part * 100 / total`` in DOUBLE, rounded to 6 places; NULL when total is 0."""
+    """``part * 100 / total`` in DOUBLE, rounded to 6 places; NULL when total is 0.
+    The reference's scalar-subquery denominator becomes a window sum over the already
+    aggregated rows of each code (no join, no second scan)."""
     return F.round(F.try_divide(part.cast("double") * F.lit(100.0), total.cast("double")), 6)
 
 
@@ -59,7 +61,8 @@ def filter_codes(df: DataFrame, codes: Sequence[str] | None, col: str = "short_c
 
 
 def with_scalar_total(page: DataFrame, matched: DataFrame, name: str = "total") -> DataFrame:
-    """Attach the one-row count of ``matched`` as a scalar subquery column (no join)."""
+    """Attach the match count behind a page (one-row count of ``matched``) as a scalar
+    subquery column (no join)."""
     return page.withColumn(name, matched.select(F.count(F.lit(1))).scalar())
 
 
@@ -71,3 +74,18 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def newest_first(df: DataFrame, time_col: str, tie: str) -> DataFrame:
+    """L1: newest-first presentation order (with a key tie-break, trap T10)."""
+    return df.orderBy(F.desc(time_col), F.asc(tie))
+
+
+def by_count(df: DataFrame, count_col: str, keys: Sequence[str]) -> DataFrame:
+    """L2: per-code top-k presentation order: code, count descending, then the keys."""
+    return df.orderBy("short_code", F.desc(count_col), *keys)
+
+
+def chronological(df: DataFrame, time_col: str) -> DataFrame:
+    """L3: per-code series in ascending time order."""
+    return df.orderBy("short_code", time_col)

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickspark.operators.common import dt, filter_codes, prune_months, share_pct, top_n_per_key, ts
+from clickspark.operators.common import (by_count, chronological, dt, filter_codes, prune_months, share_pct,
+                                        top_n_per_key, ts)
 from clickspark.schemas import blank_to_null
 
 
@@ -36,7 +37,8 @@ def _cnt(name: str = "total_clicks") -> Column:
 
 # --- A3 / A4 / A17: shares within an inclusive date range -------------------------------------
 
-def country_share(clicks: DataFrame, start, end, top_n: int = 20, codes: Sequence[str] | None = None) -> DataFrame:
+def country_share(clicks: DataFrame, start, end, top_n: int = 20, codes: Sequence[str] | None = None,
+                  ordered: bool = False) -> DataFrame:
     """A3: clicks per (code, country) in ``[start, end]``, blank country excluded, share of the
     code's non-blank total, top ``top_n`` per code (ties broken by country name)."""
     base = _in_dates(filter_codes(clicks, codes), start, end).where(F.col("country") != "")
@@ -44,8 +46,9 @@ def country_share(clicks: DataFrame, start, end, top_n: int = 20, codes: Sequenc
     per_code = Window.partitionBy("short_code")
     with_pct = grouped.withColumn(
         "percentage", share_pct(F.col("total_clicks"), F.sum("total_clicks").over(per_code)))
-    return top_n_per_key(with_pct, ["short_code"],
-                         [F.desc("total_clicks"), F.asc("country"), F.asc("country_code")], top_n)
+    out = top_n_per_key(with_pct, ["short_code"],
+                        [F.desc("total_clicks"), F.asc("country"), F.asc("country_code")], top_n)
+    return by_count(out, "total_clicks", ["country", "country_code"]) if ordered else out
 
 
 def device_share(clicks: DataFrame, start, end, top_n: int = 50, codes: Sequence[str] | None = None) -> DataFrame:
@@ -125,15 +128,17 @@ def top_referrers_direct(clicks: DataFrame, limit: int = 10, codes: Sequence[str
     return top.select("short_code", F.coalesce("raw_referer", F.lit("direct")).alias("referer"), "clicks")
 
 
-def timeline_daily(clicks: DataFrame, as_of, n_days: int = 7, codes: Sequence[str] | None = None) -> DataFrame:
+def timeline_daily(clicks: DataFrame, as_of, n_days: int = 7, codes: Sequence[str] | None = None,
+                   ordered: bool = False) -> DataFrame:
     """Daily click counts of the last ``n_days`` days (strict ``>``; first bucket partial, no gap fill)."""
     base = filter_codes(clicks, codes).where(F.col("clicked_at") > ts(as_of) - days(n_days))
-    return base.groupBy("short_code", F.date_trunc("day", "clicked_at").alias("bucket")).agg(_cnt("clicks"))
+    out = base.groupBy("short_code", F.date_trunc("day", "clicked_at").alias("bucket")).agg(_cnt("clicks"))
+    return chronological(out, "bucket") if ordered else out
 
 
 # --- A10 / A11 / A12: time series ---------------------------------------------------------------
 
-def series_hourly(clicks: DataFrame, start, end, codes: Sequence[str] | None = None) -> DataFrame:
+def series_hourly(clicks: DataFrame, start, end, codes: Sequence[str] | None = None, ordered: bool = False) -> DataFrame:
     """A10: clicks and exact visitors per hour; bounds apply to the bucket start (inclusive).
 
     ``bucket >= start`` implies ``clicked_at >= start`` and ``bucket <= end`` implies
@@ -144,26 +149,28 @@ def series_hourly(clicks: DataFrame, start, end, codes: Sequence[str] | None = N
             .where((F.col("clicked_at") >= lo) & (F.col("clicked_at") < hi + hours(1)))
             .withColumn("clicked_hour", bucket)
             .where(F.col("clicked_hour").between(lo, hi)))
-    return base.groupBy("short_code", "clicked_hour").agg(
-        _cnt(), F.count_distinct("ip_address").alias("unique_visitors"))
+    out = base.groupBy("short_code", "clicked_hour").agg(_cnt(), F.count_distinct("ip_address").alias("unique_visitors"))
+    return chronological(out, "clicked_hour") if ordered else out
 
 
-def series_daily(clicks: DataFrame, start, end, codes: Sequence[str] | None = None) -> DataFrame:
+def series_daily(clicks: DataFrame, start, end, codes: Sequence[str] | None = None, ordered: bool = False) -> DataFrame:
     """Clicks and exact visitors per day, inclusive dates."""
     base = _in_dates(filter_codes(clicks, codes), start, end)
-    return base.groupBy("short_code", "clicked_date").agg(
-        _cnt(), F.count_distinct("ip_address").alias("unique_visitors"))
+    out = base.groupBy("short_code", "clicked_date").agg(_cnt(), F.count_distinct("ip_address").alias("unique_visitors"))
+    return chronological(out, "clicked_date") if ordered else out
 
 
 GRANULARITIES = {"hour": "hour", "day": "day", "week": "week"}
 
 
-def series(clicks: DataFrame, start, end, granularity: str = "day", codes: Sequence[str] | None = None) -> DataFrame:
+def series(clicks: DataFrame, start, end, granularity: str = "day", codes: Sequence[str] | None = None,
+           ordered: bool = False) -> DataFrame:
     """Series at hour / day / week granularity (weeks start on Monday), inclusive time range."""
     unit = GRANULARITIES[granularity]
     base = prune_months(filter_codes(clicks, codes), start, end).where(F.col("clicked_at").between(ts(start), ts(end)))
-    return base.groupBy("short_code", F.date_trunc(unit, "clicked_at").alias("bucket")).agg(
+    out = base.groupBy("short_code", F.date_trunc(unit, "clicked_at").alias("bucket")).agg(
         _cnt(), F.count_distinct("ip_address").alias("unique_visitors"))
+    return chronological(out, "bucket") if ordered else out
 
 
 # --- A13 / A19 / A20 ----------------------------------------------------------------------------

@@ -91,3 +91,14 @@ def test_t25_negative_and_overlong_codes_rejected(spark):
     df = spark.createDataFrame([(-7, "zzzzzzzzzzzz")], "n long, c string")
     r = df.select(base62.encode("n").alias("e"), base62.decode_error("c").alias("err")).first()
     assert r.e is None and r.err == "overflow"
+
+
+def test_l1_l3_presentation_orders(spark):
+    c = fx.click_events(spark, SF_SMALL)
+    days = rp.series_daily(c, "2024-01-05", "2024-01-25", codes=["c10", "c11"], ordered=True).collect()
+    assert [(r.short_code, r.clicked_date) for r in days] == sorted((r.short_code, r.clicked_date) for r in days)
+    top = rp.country_share(c, "2024-01-01", "2024-01-30", codes=["c10"], ordered=True).collect()
+    assert [r.total_clicks for r in top] == sorted((r.total_clicks for r in top), reverse=True)
+    feed = rp.recent_clicks(c, 20).collect()
+    stamps = [r.clicked_at_text for r in feed]
+    assert stamps == sorted(stamps, reverse=True)
