@@ -148,3 +148,11 @@ def test_log_shipping_stream(spark, scratch):
     shipped = spark.read.json(out)
     assert shipped.count() == lines.where(~F.col("line").startswith("not")).count()
     assert set(shipped.columns) >= {"service", "log_date", "level", "message"}
+
+
+def test_agent_lookup_fallback_matches_broadcast_path(spark):
+    raw = fx.raw_clicks(spark, SF_SMALL)
+    broadcast = en.enrich_clicks(raw, arrival=AS_OF)
+    per_row = en.enrich_clicks(raw, arrival=AS_OF, max_agents=1)  # over the bound -> per-row parsing
+    assert en.agent_lookup(raw, 1) is None and en.agent_lookup(raw, 10) is not None
+    assert _rows(broadcast) == _rows(per_row)
