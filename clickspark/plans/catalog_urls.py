@@ -323,3 +323,26 @@ FROM click_events c LEFT JOIN (
    BETWEEN r.lo AND r.hi"""))(
     lambda spark, d: en.geo_by_range(clicks(spark, d).select("event_id", "ip_address"), _ranges(spark, d))
     .select("event_id", "ip_address", "country", "country_code"))
+
+register("fold_increments", with_views(["click_events"], """
+SELECT short_code, CAST(count(*) AS BIGINT) AS delta FROM click_events
+WHERE short_code IS NOT NULL AND short_code <> '' GROUP BY short_code"""))(
+    lambda spark, d: rp.fold_increments(clicks(spark, d)))
+
+register("bulk_export_ndjson", with_views(["click_events"], """
+SELECT '{"index":{"_index":"clicks","_id":"' || event_id || '"}}' || chr(10)
+  || CAST(to_json(json_object('event_id', event_id, 'short_code', short_code, 'country', country)) AS VARCHAR) AS value
+FROM click_events"""))(
+    lambda spark, d: tb.export_bulk_ndjson(clicks(spark, d).select("event_id", "short_code", "country"),
+                                           "clicks", "event_id"))
+
+_EMAIL = r"(?i)^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
+register("update_users", with_views(["users"], f"""
+SELECT id,
+  CASE WHEN regexp_matches('v2.' || email, '{_EMAIL}') THEN 'v2.' || email ELSE email END AS email,
+  CASE WHEN regexp_matches('v2.' || email, '{_EMAIL}') THEN upper(name) ELSE name END AS name
+FROM users"""))(
+    lambda spark, d: tb.update_users(
+        users(spark, d),
+        users(spark, d).select("id", F.upper("name").alias("name"), F.concat(F.lit("v2."), F.col("email")).alias("email")),
+        AS_OF)[0].select("id", "email", "name"))
