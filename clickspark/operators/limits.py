@@ -89,20 +89,43 @@ TOKEN_OUT = T.StructType([
 ])
 
 
+def _burst_starts(requests: DataFrame, key: str, time_col: str, id_col: str, gap_us: int) -> DataFrame:
+    """Tag every request with the start time of its burst (a burst ends when the gap to the
+    next request of the same key is >= ``gap_us``), without sorting a key's whole history in
+    one task.
+
+    Level 1 works per (key, bucket of width ``gap_us``): the previous request of a bucket's
+    first row is either in the same bucket or is the last request of the previous bucket
+    (anything older is >= one gap away). Level 2 carries the latest burst start across
+    buckets with a running max over one row per (key, bucket)."""
+    t = _micros(time_col)
+    df = requests.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / gap_us).cast("bigint"))
+    last_in_bucket = df.groupBy(key, "_b").agg(F.max("_t").alias("_prev_bucket_last")) \
+        .withColumn("_b", F.col("_b") + 1)
+    in_bucket = Window.partitionBy(key, "_b").orderBy("_t", id_col)
+    df = (df.join(last_in_bucket, [key, "_b"], "left")
+          .withColumn("_prev", F.coalesce(F.lag("_t").over(in_bucket), F.col("_prev_bucket_last"))))
+    is_start = F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= gap_us)
+    df = df.withColumn("_start_t", F.when(is_start, F.col("_t")))
+    df = df.withColumn("_local", F.max("_start_t").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
+    per_bucket = df.groupBy(key, "_b").agg(F.max("_start_t").alias("_bucket_start"))
+    across = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.withColumn("_carry", F.max("_bucket_start").over(across)).drop("_bucket_start")
+    df = df.join(carry, [key, "_b"], "left")
+    return df.withColumn("_burst", F.coalesce("_local", "_carry")).drop(
+        "_t", "_b", "_prev_bucket_last", "_prev", "_start_t", "_local", "_carry")
+
+
 def token_bucket_verdicts(requests: DataFrame, capacity: float, refill_per_second: float, key: str = "ip",
                           time_col: str = "requested_at", id_col: str = "event_id") -> DataFrame:
     """Token bucket per key (refill ``refill_per_second`` up to ``capacity``, 1 token per
     request). The recursion is per key, so it runs in ``applyInPandas``; the key's history is
     cut into independent bursts wherever the gap to the previous request is long enough to
     refill the bucket from empty (state is then exactly ``capacity``), so a group is one burst
-    of one key, not the key's whole history."""
+    of one key, not the key's whole history (``_burst_starts`` finds the cuts without a
+    per-key sort)."""
     refill_gap_us = int(capacity / refill_per_second * 1_000_000) + 1
-    t = _micros(time_col)
-    by_key = Window.partitionBy(key).orderBy(time_col, id_col)
-    prev = F.lag(t).over(by_key)
-    starts = (prev.isNull() | (t - prev >= refill_gap_us)).cast("int")
-    bursts = requests.withColumn("_new", starts).withColumn(
-        "_burst", F.sum("_new").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    bursts = _burst_starts(requests, key, time_col, id_col, refill_gap_us)
     slim = bursts.select(F.col(id_col).cast("bigint").alias("event_id"), F.col(key).alias("ip"),
                          F.col(time_col).alias("requested_at"), "_burst")
 

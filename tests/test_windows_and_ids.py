@@ -115,3 +115,21 @@ def test_fixed_window_allows_boundary_bursts(spark):
 def test_base62_encode_is_codegen_only(spark):
     plan = spark.range(3).select(base62.encode("id"))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_burst_starts_match_a_per_key_scan(spark):
+    rows, df = _requests(spark, n=2000, seed=11)
+    gap = 120 * 1_000_000
+    got = {r.event_id: r._burst for r in limits._burst_starts(df, "ip", "requested_at", "event_id", gap).collect()}
+    by_ip = {}
+    for eid, ip, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        by_ip.setdefault(ip, []).append((t, eid))
+    epoch = dt.datetime(1970, 1, 1)
+    for items in by_ip.values():
+        start, prev = None, None
+        for t, eid in items:
+            us = int((t - epoch).total_seconds() * 1_000_000)
+            if prev is None or us - prev >= gap:
+                start = us
+            prev = us
+            assert got[eid] == start
