@@ -199,3 +199,18 @@ def publish_clicks(events: DataFrame) -> DataFrame:
 def replay_clicks(events: DataFrame, landing_dir: str) -> None:
     """K2: bulk re-publish of click messages into the stream's landing folder (one append)."""
     publish_clicks(events).write.mode("append").text(landing_dir)
+
+
+def expire_urls(urls: DataFrame, as_of, clicks: DataFrame | None = None,
+                search_docs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """M1 + C7 + K7 (trap T27): the daily expiry job. Returns the kept URL table, the deleted
+    keys (their count is the job's result) and, when given, the click detail and search
+    documents without the deleted codes, so caches and indexes do not keep stale entries."""
+    kept, deleted = expired_split(urls, as_of)
+    keys = deleted.select("short_code")
+    out = {"urls": kept, "deleted_keys": keys}
+    if clicks is not None:
+        out["clicks"] = clicks.join(keys.distinct(), "short_code", "left_anti")
+    if search_docs is not None:
+        out["search_docs"] = delete_keys(search_docs, keys, "short_code")
+    return out

@@ -129,3 +129,12 @@ def test_reports_prune_month_partitions(spark, scratch):
     tb.write_click_table(fx.click_events(spark, SF_SMALL), path, mode="overwrite")
     plan = _plan(rp.country_share(spark.read.parquet(path), "2024-01-05", "2024-01-25"))
     assert "PartitionFilters: [isnotnull(clicked_month" in plan and "202401" in plan.split("PartitionFilters: ")[1]
+
+
+def test_expire_urls_cascades(spark):
+    urls, clicks = fx.urls(spark, SF_SMALL), fx.click_events(spark, SF_SMALL)
+    out = tb.expire_urls(urls, AS_OF, clicks=clicks, search_docs=urls.select("short_code", "long_url"))
+    gone = {r.short_code for r in out["deleted_keys"].collect()}
+    assert gone and not gone & {r.short_code for r in out["urls"].collect()}
+    assert not gone & {r.short_code for r in out["clicks"].select("short_code").distinct().collect()}
+    assert out["search_docs"].count() == urls.count() - len(gone)
