@@ -224,3 +224,34 @@ def windowed_rollup(clicks: DataFrame, bucket: str = "1 hour", watermark: str =
                  F.approx_count_distinct("ip_address").alias("unique_visitors"))
             .select("short_code", F.col("bucket.start").alias("bucket_start"),
                     F.col("bucket.end").alias("bucket_end"), "click_count", "unique_visitors"))
+
+
+# --- X9 / X12 / S9: quarantine and backlog monitoring -------------------------------------------
+
+def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Quarantined raw messages (explicit schema: the folder may hold no data files yet)."""
+    from pyspark.sql import types as T
+    from clickspark.schemas import RAW_CLICK
+    schema = T.StructType(RAW_CLICK.fields + [T.StructField("reason", T.StringType()),
+                                              T.StructField("attempts", T.IntegerType()),
+                                              T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{out_dir}/quarantine")
+
+
+def quarantine_report(spark: SparkSession, out_dir: str, alert_threshold: int = 100) -> DataFrame:
+    """Quarantined messages per batch and reason, with an alert flag when a batch
+    quarantined more than ``alert_threshold`` messages."""
+    q = read_quarantine(spark, out_dir)
+    per = q.groupBy("batch_id", "reason").agg(F.count(F.lit(1)).alias("messages"), F.max("attempts").alias("attempts"))
+    return per.withColumn("alert", F.col("messages") > alert_threshold)
+
+
+def backlog(query, threshold_rows: int = 10_000) -> dict:
+    """S8 / S9 for a running query: rows of the last micro-batch, input vs processing rate and
+    a backlog alert when a batch carried more than ``threshold_rows`` (driver-side metadata)."""
+    p = query.lastProgress or {}
+    rows = int(p.get("numInputRows", 0) or 0)
+    return {"batch_id": p.get("batchId"), "input_rows": rows,
+            "input_rows_per_second": p.get("inputRowsPerSecond"),
+            "processed_rows_per_second": p.get("processedRowsPerSecond"),
+            "backlog_alert": rows > threshold_rows}

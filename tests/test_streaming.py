@@ -53,6 +53,13 @@ def test_enrichment_stream_equals_batch(spark, scratch):
     # search export: two NDJSON lines per click
     lines = spark.read.text(f"{out}/search").count()
     assert lines == 2 * batch.count()
+    # quarantine holds the messages without a short code; the report and backlog helpers work
+    bad = fx.raw_clicks(spark, SF_SMALL).where(F.col("short_code").isNull() | (F.col("short_code") == "")).count()
+    assert pl.read_quarantine(spark, out).count() == bad
+    assert pl.quarantine_report(spark, out, 0).where("alert").count() == (0 if bad == 0 else
+                                                                        pl.quarantine_report(spark, out, 0).count())
+    info = pl.backlog(q, threshold_rows=10)
+    assert info["backlog_alert"] and info["input_rows"] > 10
 
 
 def test_replayed_batch_is_idempotent(spark, scratch):
@@ -156,3 +163,14 @@ def test_agent_lookup_fallback_matches_broadcast_path(spark):
     per_row = en.enrich_clicks(raw, arrival=AS_OF, max_agents=1)  # over the bound -> per-row parsing
     assert en.agent_lookup(raw, 1) is None and en.agent_lookup(raw, 10) is not None
     assert _rows(broadcast) == _rows(per_row)
+
+
+def test_bad_messages_are_quarantined_not_blocking(spark, scratch):
+    raw = fx.raw_clicks(spark, SF_SMALL)
+    bad = raw.limit(7).withColumn("short_code", F.lit(None).cast("string"))
+    out = os.path.join(scratch, "out")
+    pl.enrichment_batch(out, arrival=AS_OF, search_export=False)(raw.unionByName(bad), 0)
+    assert pl.read_quarantine(spark, out).count() == 7
+    report = pl.quarantine_report(spark, out, 5).collect()
+    assert [(r.reason, r.messages, r.alert) for r in report] == [("missing short_code", 7, True)]
+    assert spark.read.parquet(f"{out}/clicks").count() == raw.count()
