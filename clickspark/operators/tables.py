@@ -125,14 +125,21 @@ def rewrite_cold(clicks: DataFrame, path: str, as_of, cold_days: int = 7) -> Non
 
 
 def trim_landing(landing: DataFrame, keep_newest: int, time_col: str = "ingested_at") -> DataFrame:
-    """M6: landing files that lie wholly before the ``keep_newest``-th newest row.
-
-    Returns the input files to delete. The cutoff is the time of the N-th newest row,
-    found by a bounded top-N (TakeOrderedAndProject), not by sorting everything."""
-    cutoff = landing.select(time_col).orderBy(F.desc(time_col)).limit(keep_newest) \
-        .agg(F.min(time_col).alias("cutoff"))
-    per_file = landing.groupBy(F.input_file_name().alias("file")).agg(F.max(time_col).alias("newest"))
-    return per_file.where(F.col("newest") < cutoff.scalar())
+    """M6: landing files that lie wholly before (about) the ``keep_newest``-th newest row.
+
+    Returns the input files to delete. The rule is approximate by definition ("keep about
+    the newest N"), so the cutoff is the ``1 - N / total`` quantile of the entry times from
+    the mergeable ``percentile_approx`` sketch: two distributed aggregates, no sort, nothing
+    collected into one task. Files are deleted whole, so at least N entries are kept."""
+    micros = F.unix_micros(F.col(time_col))
+    total = landing.count()  # one scalar to the driver
+    if total <= keep_newest:
+        return landing.sparkSession.createDataFrame([], "file string, newest timestamp")
+    frac = 1.0 - keep_newest / total
+    cutoff = landing.agg(F.percentile_approx(micros, F.lit(frac), 10_000).alias("cutoff"))
+    per_file = landing.groupBy(F.input_file_name().alias("file")).agg(F.max(micros).alias("newest"))
+    return per_file.where(F.col("newest") < cutoff.scalar()).select(
+        "file", F.timestamp_micros("newest").alias("newest"))
 
 
 def export_bulk_ndjson(docs: DataFrame, index: str, id_col: str) -> DataFrame:
