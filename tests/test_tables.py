@@ -138,3 +138,28 @@ def test_expire_urls_cascades(spark):
     assert gone and not gone & {r.short_code for r in out["urls"].collect()}
     assert not gone & {r.short_code for r in out["clicks"].select("short_code").distinct().collect()}
     assert out["search_docs"].count() == urls.count() - len(gone)
+
+
+def test_small_helpers(spark, scratch):
+    urls = fx.urls(spark, SF_SMALL)
+    # NULL owner text becomes the empty string
+    path = os.path.join(scratch, "urls")
+    urls.write.parquet(path)
+    assert tb.read_urls(spark, path).where("user_id IS NULL").count() == 0
+    # Lookups by email / id, no password hash column
+    users = fx.users(spark, SF_SMALL).withColumn("password_hash", F.lit("x"))
+    found = tb.find_users(users, emails=["u1@example.com"])
+    assert [r.id for r in found.collect()] == ["1"] and "password_hash" not in found.columns
+    # point lookup honours expiry (strict)
+    live = {r.short_code for r in ls.lookup(urls, ["c00", "c01", "c02"], AS_OF).collect()}
+    expired = {r.short_code for r in tb.expired_split(urls.where(F.col("short_code").isin("c00", "c01", "c02")),
+                                                      AS_OF)[1].collect()}
+    assert live.isdisjoint(expired) and live | expired == {"c00", "c01", "c02"}
+    # Requested expiry, else created + 72 h
+    derived = en.derive_expiry(urls, 72).where(F.col("expires_at").isNull()).count()
+    assert derived == 0
+    # Deterministic click ids for tracked clicks
+    raw = fx.raw_clicks(spark, SF_SMALL).limit(20)
+    a = [r.click_id for r in rs.track_clicks(raw).orderBy("click_id").collect()]
+    b = [r.event_id for r in en.enrich_clicks(raw, arrival=AS_OF).orderBy("event_id").collect()]
+    assert a == b
