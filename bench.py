@@ -25,7 +25,7 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
+import uuid
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -67,8 +67,9 @@ def main() -> None:
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     ensure_session_defaults(spark)
-    base = spark.conf.get("spark.checkpoint.dir")
-    work = tempfile.mkdtemp(prefix="bench-", dir=base if base and base.startswith("/") else None)
+    # scratch space under the session's shared checkpoint folder (created by Spark on write)
+    base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    work = f"{base}/bench-{uuid.uuid4().hex[:12]}"
     clicks_path = os.path.join(work, "clicks")
     rollup_path = os.path.join(work, "rollups")
 

@@ -40,22 +40,26 @@ CLICK_FILE_OPTIONS = {"compression": "zstd",
                       **{f"parquet.bloom.filter.enabled#{c}": "true" for c in tb.CLICK_BLOOM_COLUMNS}}
 
 
-def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True):
+def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, ua_lookup: str = "rows"):
     """The ``foreachBatch`` function of the enrichment pipeline.
 
     1. quarantine messages without a short code (reason + attempt count), never block;
     2. enrich (J1) and write the click table (K3/K4) - a failure here fails the batch, so it
        is retried from the checkpoint;
     3. write mergeable rollup partials (R1-R4 with HLL visitor sketches);
-    4. export the bulk search documents (K6) - a failure is logged, the batch still commits."""
+    4. export the bulk search documents (K6) - a failure is logged, the batch still commits.
+
+    ``ua_lookup="rows"`` parses user agents per row: for latency-bound micro-batches one
+    regex pass is cheaper than an extra distinct job; bulk backfills use ``"auto"``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # the source is read once for all sinks
         clicks = None
         try:
             good, bad = en.split_bad_messages(batch)
-            _write_batch(bad.withColumn("attempts", F.lit(1)), f"{out_dir}/quarantine", batch_id)
-            clicks = en.enrich_clicks(good, arrival=arrival).persist()
+            if not bad.isEmpty():
+                _write_batch(bad.withColumn("attempts", F.lit(1)), f"{out_dir}/quarantine", batch_id)
+            clicks = en.enrich_clicks(good, arrival=arrival, ua_lookup=ua_lookup).persist()
             _write_batch(clicks, f"{out_dir}/clicks", batch_id, ["clicked_month"],
                          sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
             _write_batch(ru.partial_rollups(clicks), f"{out_dir}/rollups", batch_id, ["rollup"])
@@ -77,10 +81,10 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True):
 
 
 def start_enrichment(raw: DataFrame, out_dir: str, checkpoint: str, trigger: dict | None = None,
-                     arrival=None, query_name: str | None = None):
+                     arrival=None, query_name: str | None = None, ua_lookup: str = "rows"):
     """Start the enrichment query. ``trigger`` defaults to ``availableNow`` (drain
     and stop, for jobs); pass ``{"processingTime": "1 second"}`` for a service."""
-    writer = (raw.writeStream.foreachBatch(enrichment_batch(out_dir, arrival))
+    writer = (raw.writeStream.foreachBatch(enrichment_batch(out_dir, arrival, ua_lookup=ua_lookup))
               .option("checkpointLocation", checkpoint))
     if query_name:
         writer = writer.queryName(query_name)
@@ -235,6 +239,9 @@ def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
     schema = T.StructType(RAW_CLICK.fields + [T.StructField("reason", T.StringType()),
                                               T.StructField("attempts", T.IntegerType()),
                                               T.StructField("batch_id", T.LongType())])
+    fs, path = _fs(spark, f"{out_dir}/quarantine")
+    if not fs.exists(path):  # nothing quarantined yet
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{out_dir}/quarantine")
 
 
