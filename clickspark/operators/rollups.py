@@ -148,3 +148,14 @@ def refresh_window(clicks: DataFrame, as_of, start_offset_days: int = 3, end_off
     stats = daily_stats(window_rows)
     # keep only buckets whose whole day ends before the window end
     return stats.where(F.col("day") + F.make_dt_interval(F.lit(1)) <= hi)
+
+
+def refresh_daily_stats(clicks: DataFrame, path: str, as_of, start_offset_days: int = 3,
+                        end_offset_hours: int = 1) -> None:
+    """R7 job: recompute the whole daily buckets of the refresh window and replace exactly
+    those ``day`` partitions of the stored R6 rollup (dynamic partition overwrite); older
+    buckets stay as they are."""
+    fresh = refresh_window(clicks, as_of, start_offset_days, end_offset_hours)
+    (fresh.withColumn("bucket_day", F.date_format("day", "yyyy-MM-dd"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket_day").parquet(path))

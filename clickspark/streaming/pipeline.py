@@ -262,3 +262,10 @@ def backlog(query, threshold_rows: int = 10_000) -> dict:
             "input_rows_per_second": p.get("inputRowsPerSecond"),
             "processed_rows_per_second": p.get("processedRowsPerSecond"),
             "backlog_alert": rows > threshold_rows}
+
+
+def resolve_stream(clicks: DataFrame, urls: DataFrame) -> DataFrame:
+    """C1 on a stream: stream-static join of enriched clicks with the URL table, honouring
+    expiry at click time. The static side is re-read per micro-batch; Catalyst broadcasts it
+    only while its measured size is under the broadcast threshold."""
+    return rs.resolve_clicks(clicks, urls)

@@ -174,3 +174,26 @@ def test_bad_messages_are_quarantined_not_blocking(spark, scratch):
     report = pl.quarantine_report(spark, out, 5).collect()
     assert [(r.reason, r.messages, r.alert) for r in report] == [("missing short_code", 7, True)]
     assert spark.read.parquet(f"{out}/clicks").count() == raw.count()
+
+
+def test_resolve_stream_and_rollup_refresh(spark, scratch):
+    clicks = fx.click_events(spark, SF_SMALL)
+    landing = os.path.join(scratch, "clicks")
+    clicks.write.parquet(landing)
+    stream = spark.readStream.schema(clicks.schema).parquet(landing)
+    q = (pl.resolve_stream(stream, fx.urls(spark, SF_SMALL)).writeStream.format("memory").queryName("resolved")
+         .option("checkpointLocation", os.path.join(scratch, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    from clickspark.operators import resolve as rs
+    assert spark.table("resolved").count() == rs.resolve_clicks(clicks, fx.urls(spark, SF_SMALL)).count()
+    # First a full build, then a refresh replaces only the window's whole days
+    path = os.path.join(scratch, "daily_stats")
+    full = ru.daily_stats(clicks).withColumn("bucket_day", F.date_format("day", "yyyy-MM-dd"))
+    full.write.partitionBy("bucket_day").parquet(path)
+    late = clicks.unionByName(clicks.where("clicked_date = '2024-01-28'"))  # late copies for one day
+    ru.refresh_daily_stats(late, path, "2024-01-30 12:00:00")
+    stored = spark.read.parquet(path)
+    assert stored.count() == full.count()
+    day = lambda df, d: df.where(F.col("bucket_day") == d).agg(F.sum("total_clicks")).first()[0]
+    assert day(stored, "2024-01-28") == 2 * day(full, "2024-01-28")
+    assert day(stored, "2024-01-20") == day(full, "2024-01-20")
