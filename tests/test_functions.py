@@ -151,3 +151,31 @@ def test_display_labels(spark):
     assert [(r.a, r.x) for r in got] == [("30 min ago", "Never"), ("4 hours ago", "10 min"), ("11 days ago", "Expired")]
     t = spark.createDataFrame([("x" * 60,)], "s string").select(validation.truncate_text("s", 50).alias("t")).first().t
     assert t == "x" * 47 + "..."
+
+
+def test_base62_round_trip_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.integers(min_value=0, max_value=2 ** 63 - 1), min_size=1, max_size=200))
+    def check(values):
+        df = spark.createDataFrame([(v,) for v in values], "n bigint")
+        got = df.select("n", base62.encode("n").alias("c")).select(
+            "n", "c", base62.decode_value("c").alias("back")).collect()
+        for r in got:
+            assert r.back == r.n
+            assert r.c == _py_encode(r.n)
+
+    check()
+
+
+def _py_encode(n: int) -> str:
+    """Independent Python base62 for the property test."""
+    if n == 0:
+        return "0"
+    out = []
+    while n:
+        n, rem = divmod(n, 62)
+        out.append(base62.ALPHABET[rem])
+    return "".join(reversed(out))
