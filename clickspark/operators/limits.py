@@ -131,13 +131,13 @@ def token_bucket_verdicts(requests: DataFrame, capacity: float, refill_per_secon
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["requested_at", "event_id"])
-        secs = pdf["requested_at"].astype("int64").to_numpy() / 1e9
+        micros = (pdf["requested_at"].astype("int64").to_numpy() // 1000).tolist()  # ns -> us, exact ints
         tokens, last = capacity, None
         before, ok = [], []
-        for s in secs:
+        for us in micros:
             if last is not None:
-                tokens = min(capacity, tokens + (s - last) * refill_per_second)
-            last = s
+                tokens = min(capacity, tokens + (us - last) / 1e6 * refill_per_second)
+            last = us
             before.append(tokens)
             if tokens >= 1.0:
                 tokens -= 1.0

@@ -123,8 +123,9 @@ FROM (SELECT request_id, alias, {_DEC_VALUE} AS v, {_DEC_ERROR} AS err FROM alia
     lambda spark, d: ids.decode_short_codes(fx.aliases(spark, d), "alias").select(
         "request_id", "alias", "id", "created_at", "datacenter", "worker", "sequence", "error"))
 
-# crc32 has no DuckDB twin -> rows-only check.
-register("shard_balance")(lambda spark, d: ids.shard_balance(fx.urls(spark, d), 4))
+register("shard_balance", with_views(["urls"], f"""
+SELECT CAST({sr.crc32_sql('short_code')} % 4 AS INTEGER) AS shard, CAST(count(*) AS BIGINT) AS rows
+FROM urls GROUP BY shard"""))(lambda spark, d: ids.shard_balance(fx.urls(spark, d), 4))
 
 register("sample_estimate", with_views(["click_events"], f"""
 SELECT short_code, CAST(count(*) AS BIGINT) AS sampled_clicks, round(CAST(count(*) AS DOUBLE) * {65536.0 / int(0.1 * 65536)!r}, 6) AS estimated_clicks
@@ -206,9 +207,23 @@ WHERE f.allowed AND NOT s.allowed"""))(
     lambda spark, d: lm.boundary_bursts(
         lm.fixed_window_verdicts(fx.requests(spark, d), LIMIT, WINDOW_S), _verdicts(spark, d)))
 
-# Recursive per-IP state: checked against a brute-force loop in the tests -> rows-only here.
-register("token_bucket")(
-    lambda spark, d: lm.token_bucket_verdicts(fx.requests(spark, d), capacity=3.0, refill_per_second=3.0 / 86400))
+_CAP, _RATE = 3.0, 3.0 / 86400
+_REFILL = f"least(CAST({_CAP!r} AS DOUBLE), tb.tokens_after + CAST(s.us - tb.us AS DOUBLE) / 1e6 * {_RATE!r})"
+_SEQ = """SELECT event_id, ip, requested_at, epoch_us(requested_at) AS us,
+          row_number() OVER (PARTITION BY ip ORDER BY requested_at, event_id) AS rn FROM requests"""
+_TB = f"""
+  SELECT ip, rn, us, CAST({_CAP!r} AS DOUBLE) AS tokens_before, CAST({_CAP!r} AS DOUBLE) - 1.0 AS tokens_after
+  FROM seq WHERE rn = 1
+  UNION ALL
+  SELECT s.ip, s.rn, s.us, {_REFILL} AS tokens_before,
+    CASE WHEN {_REFILL} >= 1.0 THEN {_REFILL} - 1.0 ELSE {_REFILL} END AS tokens_after
+  FROM tb JOIN seq s ON s.ip = tb.ip AND s.rn = tb.rn + 1"""
+register("token_bucket", with_views(["requests"], """
+SELECT s.event_id, s.ip, s.requested_at, tb.tokens_before >= 1.0 AS allowed
+FROM seq s JOIN tb ON tb.ip = s.ip AND tb.rn = s.rn""", ctes=[("seq", _SEQ), ("tb", _TB)]).replace(
+    "WITH ", "WITH RECURSIVE ", 1))(
+    lambda spark, d: lm.token_bucket_verdicts(fx.requests(spark, d), capacity=_CAP, refill_per_second=_RATE)
+    .select("event_id", "ip", "requested_at", "allowed"))
 
 register("slo_report", with_views(["requests"], """
 SELECT CAST(requested_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS requests,

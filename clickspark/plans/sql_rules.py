@@ -129,3 +129,11 @@ def alias_reason_sql(col: str) -> str:
 
 def tokens_sql(col: str) -> str:
     return f"list_filter(string_split_regex(lower(coalesce({col}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+def crc32_sql(col: str) -> str:
+    """CRC-32 (IEEE, reflected, polynomial 0xEDB88320) of an ASCII text column, bit by bit."""
+    step = "lambda acc, z: xor(acc >> 1, CASE WHEN (acc & 1) = 1 THEN 3988292384 ELSE 0 END)"
+    per_byte = f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {step})"
+    return (f"xor(list_reduce(list_transform(string_split({col}, ''), lambda ch: unicode(ch)), {per_byte}, "
+            f"4294967295), 4294967295)")
