@@ -64,13 +64,27 @@ def rate_headers(verdicts: DataFrame, limit: int, time_col: str = "requested_at"
 
 
 def fixed_window_verdicts(requests: DataFrame, limit: int, window_seconds: float, key: str = "ip",
-                          time_col: str = "requested_at", id_col: str = "event_id") -> DataFrame:
-    """The first ``limit`` requests of each (key, aligned window) pass."""
+                          time_col: str = "requested_at", id_col: str = "event_id", sub_buckets: int = 64) -> DataFrame:
+    """The first ``limit`` requests of each (key, aligned window) pass; ``position`` is the
+    request's 1-based rank in its window.
+
+    The rank is computed in two levels so a hot (key, window) is not sorted in one task:
+    requests are counted per (key, window, sub-bucket of window / ``sub_buckets``), a prefix
+    sum over those <= ``sub_buckets`` counts gives each sub-bucket's offset, and
+    ``row_number`` runs only inside a sub-bucket."""
     w_us = int(round(window_seconds * 1_000_000))
-    bucket = F.floor(_micros(time_col) / w_us).cast("bigint")
-    w = Window.partitionBy(key, "window_start").orderBy(time_col, id_col)
-    out = requests.withColumn("window_start", F.timestamp_micros(bucket * w_us))
-    out = out.withColumn("position", F.row_number().over(w))
+    sub_us = max(1, w_us // sub_buckets)
+    t = _micros(time_col)
+    out = (requests.withColumn("_win", F.floor(t / w_us).cast("bigint"))
+           .withColumn("_sub", F.floor((t - F.col("_win") * w_us) / sub_us).cast("bigint")))
+    counts = out.groupBy(key, "_win", "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key, "_win").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inner = Window.partitionBy(key, "_win", "_sub").orderBy(time_col, id_col)
+    out = (out.join(offsets, [key, "_win", "_sub"])
+           .withColumn("position", (F.col("_offset") + F.row_number().over(inner)).cast("int"))
+           .withColumn("window_start", F.timestamp_micros(F.col("_win") * w_us))
+           .drop("_win", "_sub", "_offset"))
     return out.withColumn("allowed", F.col("position") <= limit)
 
 

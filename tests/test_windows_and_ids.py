@@ -133,3 +133,15 @@ def test_burst_starts_match_a_per_key_scan(spark):
                 start = us
             prev = us
             assert got[eid] == start
+
+
+def test_fixed_window_positions_with_hot_ip(spark):
+    rows, df = _requests(spark, n=2500, seed=5)
+    got = {r.event_id: r.position for r in limits.fixed_window_verdicts(df, 5, 1800).collect()}
+    groups = {}
+    for eid, ip, t in rows:
+        win = int((t - dt.datetime(1970, 1, 1)).total_seconds()) // 1800
+        groups.setdefault((ip, win), []).append((t, eid))
+    for items in groups.values():
+        for pos, (_, eid) in enumerate(sorted(items), start=1):
+            assert got[eid] == pos
