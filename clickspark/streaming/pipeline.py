@@ -36,8 +36,7 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: list[s
     writer.partitionBy(*parts).format(fmt).save(path)
 
 
-CLICK_FILE_OPTIONS = {"compression": "zstd",
-                      **{f"parquet.bloom.filter.enabled#{c}": "true" for c in tb.CLICK_BLOOM_COLUMNS}}
+CLICK_FILE_OPTIONS = tb.CLICK_WRITE_OPTIONS
 
 
 def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, ua_lookup: str = "rows"):
