@@ -1,11 +1,13 @@
 """Click enrichment (J1) and related row jobs: range-table geo (J9), expiry derivation.
 
-``enrich_clicks`` is one ``select`` of Catalyst expressions, so in batch and in streaming it
-runs inside whole-stage codegen with no Python in the path.
+``enrich_clicks`` is a staged projection of Catalyst expressions (no Python UDF, no lambda),
+so in batch and in streaming it runs inside whole-stage codegen with no Python in the path.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,20 @@ def parse_click_time(text: Column, arrival: Column) -> Column:
     return F.coalesce(F.timestamp_seconds(secs), arrival)
 
 
+@functools.lru_cache(maxsize=32)
+def _ua_stage_columns(app_id: str) -> tuple[list[Column], list[Column]]:
+    """UA stages over a ``_ua`` column: (bot flag + OS, parsed columns). Built once per
+    SparkContext: Columns are unresolved expressions, so reusing them across micro-batches
+    saves the driver-side construction of large rule trees."""
+    first = [useragent.is_bot("_ua").alias("_bot"), useragent.os_name("_ua").alias("_os")]
+    cols = useragent.parse(F.col("_ua"), F.col("_bot"), F.col("_os"))
+    return first, [cols[k].alias(f"_ua_{k}") for k in UA_COLUMNS]
+
+
 def parsed_agents(agents: DataFrame) -> DataFrame:
     """UA columns for a frame of distinct ``_ua`` values."""
-    bot = useragent.is_bot("_ua")
-    staged = agents.select("_ua", bot.alias("_bot"), useragent.os_name("_ua").alias("_os"))
-    cols = useragent.parse(F.col("_ua"), F.col("_bot"), F.col("_os"))
-    return staged.select("_ua", *[cols[k].alias(f"_ua_{k}") for k in UA_COLUMNS])
+    first, parsed = _ua_stage_columns(agents.sparkSession.sparkContext.applicationId)
+    return agents.select("_ua", *first).select("_ua", *parsed)
 
 
 def agent_lookup(raw: DataFrame, max_agents: int = MAX_BROADCAST_AGENTS) -> DataFrame | None:
@@ -53,43 +63,24 @@ def agent_lookup(raw: DataFrame, max_agents: int = MAX_BROADCAST_AGENTS) -> Data
     return F.broadcast(parsed_agents(agents))
 
 
-def enrich_clicks(raw: DataFrame, arrival=None, position: str | None = None,
-                  ua_lookup: str = "auto", max_agents: int = MAX_BROADCAST_AGENTS) -> DataFrame:
-    """Raw stream messages -> click table rows.
-
-    ``arrival``: processing time for rows without a usable timestamp (default: now);
-    ``position``: optional column with the message's source position (offset / file + row),
-    mixed into the event id so identical clicks stay distinct while replays do not;
-    ``ua_lookup``: ``auto`` parses distinct agents once behind a size check (batch inputs),
-    ``rows`` parses every row (always used for streaming frames)."""
+@functools.lru_cache(maxsize=32)
+def _enrich_stage_columns(app_id: str, arrival: str | None, position: str | None) -> dict[str, list[Column]]:
+    """Column lists of the enrichment stages, built once per (context, arrival, position)."""
     now = F.current_timestamp() if arrival is None else ts(arrival)
-    raw = spread(raw)
-    lookup = agent_lookup(raw, max_agents) if ua_lookup == "auto" and not raw.isStreaming else None
     id_cols = [F.col(c) for c in RAW_FIELDS] + ([F.col(position)] if position else [])
-    # Stage 1: normalised inputs and the per-row regex results, each computed once. The
-    # later stages reference them several times, so Catalyst keeps the projects apart
-    # instead of inlining (and re-evaluating) the regexes; all stages share one codegen span.
-    flags = raw.select(
-        *RAW_FIELDS,
-        event_id(id_cols).alias("_event_id"),
-        F.coalesce(F.col("user_agent"), F.lit("")).alias("_ua"),
-        F.coalesce(F.col("ip"), F.lit("")).alias("_ip"),
-        parse_click_time(F.col("timestamp"), now).alias("_clicked_at"),
-    )
-    flags = flags.select("*", *[v.alias(k) for k, v in network.ip_flags("_ip").items()])
-    flags = flags.select("*", network.geo_class_from_flags("_ip", F.col("_ip_num"), F.col("_ip_v6")).alias("_geo"))
-    if lookup is not None:
-        flags = flags.join(lookup, "_ua", "left")
-    else:
-        flags = flags.select("*", useragent.is_bot("_ua").alias("_bot"), useragent.os_name("_ua").alias("_os"))
-        per_row = useragent.parse(F.col("_ua"), F.col("_bot"), F.col("_os"))
-        flags = flags.select("*", *[per_row[k].alias(f"_ua_{k}") for k in UA_COLUMNS])
+    inputs = [*[F.col(c) for c in RAW_FIELDS],
+              event_id(id_cols).alias("_event_id"),
+              F.coalesce(F.col("user_agent"), F.lit("")).alias("_ua"),
+              F.coalesce(F.col("ip"), F.lit("")).alias("_ip"),
+              parse_click_time(F.col("timestamp"), now).alias("_clicked_at")]
+    ip_flags = [v.alias(k) for k, v in network.ip_flags("_ip").items()]
+    geo_label = [network.geo_class_from_flags("_ip", F.col("_ip_num"), F.col("_ip_v6")).alias("_geo")]
     ua, ip = F.col("_ua"), F.col("_ip")
     parsed = {k: F.col(f"_ua_{k}") for k in UA_COLUMNS}
     geo = network.geo_columns(ip, F.col("_geo"))
     device = F.col("_ua_device_type")
     clicked_at = F.col("_clicked_at")
-    out = flags.select(
+    final = [
         F.col("_event_id").alias("event_id"),
         F.coalesce("short_code", F.lit("")).alias("short_code"),
         F.coalesce("original_url", F.lit("")).alias("original_url"),
@@ -109,8 +100,35 @@ def enrich_clicks(raw: DataFrame, arrival=None, position: str | None = None,
         F.coalesce("referer", F.lit("")).alias("referer"),
         F.coalesce("query_params", F.lit("")).alias("query_params"),
         now.alias("processed_at"),
-    )
-    return out.withColumn("clicked_month", F.date_format("clicked_date", "yyyyMM"))
+        F.date_format(F.to_date(clicked_at), "yyyyMM").alias("clicked_month"),
+    ]
+    return {"inputs": inputs, "ip_flags": ip_flags, "geo": geo_label, "final": final}
+
+
+def enrich_clicks(raw: DataFrame, arrival=None, position: str | None = None,
+                  ua_lookup: str = "auto", max_agents: int = MAX_BROADCAST_AGENTS) -> DataFrame:
+    """Raw stream messages -> click table rows.
+
+    ``arrival``: processing time for rows without a usable timestamp (default: now);
+    ``position``: optional column with the message's source position (offset / file + row),
+    mixed into the event id so identical clicks stay distinct while replays do not;
+    ``ua_lookup``: ``auto`` parses distinct agents once behind a size check (batch inputs),
+    ``rows`` parses every row (always used for streaming frames).
+
+    Stage 1 computes normalised inputs and the per-row regex results once; later stages
+    reference them several times, so Catalyst keeps the projects apart instead of inlining
+    (and re-evaluating) the regexes; all stages share one whole-stage-codegen span."""
+    app_id = raw.sparkSession.sparkContext.applicationId
+    cols = _enrich_stage_columns(app_id, None if arrival is None else str(arrival), position)
+    raw = spread(raw)
+    lookup = agent_lookup(raw, max_agents) if ua_lookup == "auto" and not raw.isStreaming else None
+    flags = raw.select(*cols["inputs"]).select("*", *cols["ip_flags"]).select("*", *cols["geo"])
+    if lookup is not None:
+        flags = flags.join(lookup, "_ua", "left")
+    else:
+        first, parsed = _ua_stage_columns(app_id)
+        flags = flags.select("*", *first).select("*", *parsed)
+    return flags.select(*cols["final"])
 
 
 def split_bad_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ its own output: effectively-once results on plain files.
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,16 +62,27 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, ua_
             clicks = en.enrich_clicks(good, arrival=arrival, ua_lookup=ua_lookup).persist()
             _write_batch(clicks, f"{out_dir}/clicks", batch_id, ["clicked_month"],
                          sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
-            _write_batch(ru.partial_rollups(clicks), f"{out_dir}/rollups", batch_id, ["rollup"])
-            if search_export:
-                try:
-                    docs = clicks.select("event_id", "short_code", "original_url", "clicked_at", "ip_address",
-                                         "country", "country_code", "region", "city", "latitude", "longitude",
-                                         "user_agent", "browser", "os", "device_type", "referer")
-                    _write_batch(tb.export_bulk_ndjson(docs, "clicks", "event_id"), f"{out_dir}/search", batch_id,
-                                 fmt="text")
-                except Exception as exc:  # search sink is best effort (X1)
-                    log.warning("search export failed for batch %s: %s", batch_id, exc)
+
+            def rollups():
+                _write_batch(ru.partial_rollups(clicks), f"{out_dir}/rollups", batch_id, ["rollup"])
+
+            def search():
+                docs = clicks.select("event_id", "short_code", "original_url", "clicked_at", "ip_address",
+                                     "country", "country_code", "region", "city", "latitude", "longitude",
+                                     "user_agent", "browser", "os", "device_type", "referer")
+                _write_batch(tb.export_bulk_ndjson(docs, "clicks", "event_id"), f"{out_dir}/search", batch_id,
+                             fmt="text")
+
+            # the two sinks read the cached click rows and run as concurrent Spark jobs
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                rollup_job = pool.submit(rollups)
+                search_job = pool.submit(search) if search_export else None
+                if search_job is not None:
+                    try:
+                        search_job.result()
+                    except Exception as exc:  # search sink is best effort (X1)
+                        log.warning("search export failed for batch %s: %s", batch_id, exc)
+                rollup_job.result()  # a rollup failure fails the batch (retried from the checkpoint)
         finally:
             if clicks is not None:
                 clicks.unpersist()
