@@ -204,10 +204,10 @@ FEED_COLUMNS = ["event_id", "short_code", "original_url", "ip_address", "country
                 "browser", "browser_version", "os", "os_version", "device_type", "referer"]
 
 
-def _feed_projection(df: DataFrame) -> DataFrame:
+def _feed_projection(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """feed columns that exist, time formatted ``yyyy-MM-dd HH:mm:ss``."""
     cols = [c for c in FEED_COLUMNS if c in df.columns]
-    return df.select(*cols, F.date_format("clicked_at", "yyyy-MM-dd HH:mm:ss").alias("clicked_at_text"))
+    return df.select(*cols, F.date_format("clicked_at", "yyyy-MM-dd HH:mm:ss").alias("clicked_at_text"), *extra)
 
 
 def recent_clicks(clicks: DataFrame, limit: int = 50, codes: Sequence[str] | None = None) -> DataFrame:
@@ -218,13 +218,14 @@ def recent_clicks(clicks: DataFrame, limit: int = 50, codes: Sequence[str] | Non
     feed_limit = limit if 0 < limit <= 1000 else 50  # T16: out-of-range resets to 50
     newest = filter_codes(clicks, codes).orderBy(F.desc("clicked_at"), F.asc("event_id")).limit(feed_limit)
     page = _feed_projection(newest)
+    # total = rows returned; a window over at most ``feed_limit`` (<= 1000) rows
     return page.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
 
 
 def recent_clicks_per_code(clicks: DataFrame, n: int = 10) -> DataFrame:
     """Newest ``n`` clicks of every code (partial group limit before the shuffle)."""
     top = top_n_per_key(clicks, ["short_code"], [F.desc("clicked_at"), F.asc("event_id")], n, rank_col="rank")
-    return _feed_projection(top).join(top.select("event_id", "rank"), "event_id")
+    return _feed_projection(top, ["rank"])
 
 
 # --- A15 / A16: composite replies ---------------------------------------------------------------
