@@ -19,25 +19,40 @@ def _micros(col: str):
 
 
 def sliding_window_verdicts(requests: DataFrame, limit: int, window_seconds: float, key: str = "ip",
-                            time_col: str = "requested_at", id_col: str = "event_id") -> DataFrame:
+                            time_col: str = "requested_at", id_col: str = "event_id",
+                            sub_buckets: int = 8) -> DataFrame:
     """Per request, the number of earlier requests of the same key inside the window
     (times ``t - window < t' < t``; denied requests count too, trap T19), the verdict
     ``allowed = prior < limit``, ``remaining = max(limit - prior - 1, 0)`` (0 when denied) and
     the reset time (oldest request in the window + window when denied, else t + window).
 
-    Each request is evaluated in its bucket ``floor(t / window)``; a copy of every request is
-    also placed in the next bucket as halo, so the RANGE frame of each request is complete
-    inside one (key, bucket) partition. A partition never holds more than two windows of one
-    key's requests, whatever the key's total volume."""
+    Hot keys: time is cut into sub-buckets of ``window / k``. For a request in sub-bucket j
+    the window covers (1) earlier requests of sub-bucket j, (2) the whole sub-buckets
+    j-k+1 .. j-1 and (3) the tail of sub-bucket j-k. (1) and (3) come from a RANGE frame over
+    the partition (key, j), which holds sub-bucket j plus a halo copy of sub-bucket j-k; (2)
+    comes from per-(key, sub-bucket) counts and minima with a range window over at most k-1
+    rows. A partition therefore holds 2/k of a window of one key, whatever its volume."""
     w_us = int(round(window_seconds * 1_000_000))
-    base = requests.withColumn("_t", _micros(time_col)).withColumn("_bucket", F.floor(F.col("_t") / w_us).cast("bigint"))
-    probes = base.withColumn("_probe", F.lit(True))
-    halo = base.select(key, "_t", (F.col("_bucket") + 1).alias("_bucket")).withColumn("_probe", F.lit(False))
+    k = sub_buckets if sub_buckets > 0 and w_us % sub_buckets == 0 else 1
+    s_us = w_us // k
+    base = (requests.withColumn("_t", _micros(time_col))
+            .withColumn("_sub", F.floor(F.col("_t") / s_us).cast("bigint")))
+    # (2): whole sub-buckets strictly between j-k and j
+    per_sub = base.groupBy(key, "_sub").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"))
+    between = Window.partitionBy(key).orderBy("_sub").rangeBetween(-(k - 1), -1)
+    mids = (per_sub.withColumn("_mid_n", F.coalesce(F.sum("_n").over(between), F.lit(0)))
+            .withColumn("_mid_first", F.min("_first").over(between)).drop("_n", "_first"))
+    # (1) + (3): own sub-bucket plus a halo copy of sub-bucket j-k in partition (key, j)
+    probes = base.join(mids, [key, "_sub"]).withColumn("_probe", F.lit(True))
+    halo = base.select(key, "_t", (F.col("_sub") + k).alias("_sub")).withColumn("_probe", F.lit(False))
     both = probes.unionByName(halo, allowMissingColumns=True)
-    frame = (Window.partitionBy(key, "_bucket").orderBy("_t").rangeBetween(-(w_us - 1), -1))
-    scored = (both.withColumn("prior_count", F.count(F.lit(1)).over(frame))
-              .withColumn("_oldest", F.min("_t").over(frame))
+    frame = Window.partitionBy(key, "_sub").orderBy("_t").rangeBetween(-(w_us - 1), -1)
+    scored = (both.withColumn("_edge_n", F.count(F.lit(1)).over(frame))
+              .withColumn("_edge_first", F.min("_t").over(frame))
               .where(F.col("_probe")))
+    prior = (F.col("_edge_n") + F.col("_mid_n")).cast("bigint")
+    oldest = F.least(F.col("_edge_first"), F.col("_mid_first"))
+    scored = scored.withColumn("prior_count", prior).withColumn("_oldest", oldest)
     allowed = F.col("prior_count") < limit
     reset_us = F.when(allowed, F.col("_t") + w_us).otherwise(F.col("_oldest") + w_us)
     return (scored
@@ -45,8 +60,7 @@ def sliding_window_verdicts(requests: DataFrame, limit: int, window_seconds: flo
             .withColumn("remaining", F.when(allowed, F.greatest(F.lit(limit) - F.col("prior_count") - 1, F.lit(0)))
                         .otherwise(F.lit(0)).cast("int"))
             .withColumn("reset_at", F.timestamp_micros(reset_us))
-            .withColumn("prior_count", F.col("prior_count").cast("bigint"))
-            .drop("_t", "_bucket", "_probe", "_oldest"))
+            .drop("_t", "_sub", "_probe", "_oldest", "_edge_n", "_edge_first", "_mid_n", "_mid_first"))
 
 
 def rate_headers(verdicts: DataFrame, limit: int, time_col: str = "requested_at") -> DataFrame:

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from clickspark.functions import base62
@@ -66,10 +68,11 @@ def _requests(spark, n=3000, seed=7):
     return rows, spark.createDataFrame(rows, "event_id long, ip string, requested_at timestamp")
 
 
-def test_sliding_window_matches_brute_force_with_hot_ip(spark):
+@pytest.mark.parametrize("k", [1, 7, 8, 50])
+def test_sliding_window_matches_brute_force_with_hot_ip(spark, k):
     rows, df = _requests(spark)
     limit, window = 5, 600.0
-    got = {r.event_id: r for r in limits.sliding_window_verdicts(df, limit, window).collect()}
+    got = {r.event_id: r for r in limits.sliding_window_verdicts(df, limit, window, sub_buckets=k).collect()}
     by_ip = {}
     for eid, ip, t in rows:
         by_ip.setdefault(ip, []).append((t, eid))
