@@ -55,10 +55,12 @@ register("enrich_clicks", with_views(RAW, _ENRICHED_SQL))(
     lambda spark, d: _enriched(spark, d).select(*ENRICHED_COLS))
 
 register("pipeline_lag", with_views(RAW, f"""
-SELECT round(quantile_cont(lag, 0.5), 6) AS p50_seconds, round(quantile_cont(lag, 0.95), 6) AS p95_seconds,
-  round(quantile_cont(lag, 0.99), 6) AS p99_seconds, CAST(count(*) AS BIGINT) AS events,
-  round(quantile_cont(lag, 0.95), 6) <= 10.0 AS within_expectation
-FROM (SELECT (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(clicked_at)) / 1e6 AS lag FROM ({_ENRICHED_SQL}) e) x"""))(
+SELECT round(quantile_cont(lag_ms, 0.5) / 1000.0, 6) AS p50_seconds,
+  round(quantile_cont(lag_ms, 0.95) / 1000.0, 6) AS p95_seconds,
+  round(quantile_cont(lag_ms, 0.99) / 1000.0, 6) AS p99_seconds, CAST(count(*) AS BIGINT) AS events,
+  round(quantile_cont(lag_ms, 0.95) / 1000.0, 6) <= 10.0 AS within_expectation
+FROM (SELECT CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(clicked_at)) / 1000) AS BIGINT) AS lag_ms
+      FROM ({_ENRICHED_SQL}) e) x"""))(
     lambda spark, d: rp.pipeline_lag(_enriched(spark, d), 10.0))
 
 register("ua_columns", with_views(RAW, f"""
