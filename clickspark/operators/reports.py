@@ -118,6 +118,21 @@ def top_referrers(clicks: DataFrame, start, end, limit: int = 10, codes: Sequenc
     return top_n_per_key(grouped, ["short_code"], [F.desc("click_count"), F.asc("referer")], limit)
 
 
+def top_referrers_sketch(clicks: DataFrame, start, end, limit: int = 10, max_tracked: int = 10_000,
+                         codes: Sequence[str] | None = None) -> DataFrame:
+    """A7 for very high-cardinality referrers: one mergeable ``approx_top_k`` sketch per code
+    (partial aggregation keeps one sketch per task per code), so no (code, referer) pair table
+    is shuffled. Counts are estimates; with at most ``max_tracked`` distinct referrers per
+    code the result equals ``top_referrers``."""
+    base = _in_dates(filter_codes(clicks, codes), start, end).where(F.col("referer") != "")
+    sketch = base.groupBy("short_code").agg(
+        F.expr(f"approx_top_k(referer, {int(limit)}, {int(max_tracked)})").alias("_top"))
+    items = sketch.select("short_code", F.posexplode("_top").alias("_pos", "_item"))
+    return items.select("short_code", F.col("_item.item").alias("referer"),
+                        F.col("_item.count").cast("bigint").alias("click_count"),
+                        (F.col("_pos") + 1).alias("rank"))
+
+
 def top_referrers_direct(clicks: DataFrame, limit: int = 10, codes: Sequence[str] | None = None) -> DataFrame:
     """Referrers with missing ones labelled ``direct`` *after* grouping by the raw column,
     so a literal ``direct`` referrer and missing referrers stay two rows (trap T7)."""

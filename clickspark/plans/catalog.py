@@ -111,6 +111,10 @@ register("top_referrers_nonblank", with_views(CE, _top(
     "short_code, referer, click_count")))(
     lambda spark, d: rp.top_referrers(clicks(spark, d), START_DATE, END_DATE, 10))
 
+# Sketch variant for high-cardinality referrers: estimates by design -> rows-only check.
+register("top_referrers_sketch")(
+    lambda spark, d: rp.top_referrers_sketch(clicks(spark, d), START_DATE, END_DATE, 10))
+
 register("top_referrers_direct", with_views(CE, _top(
     "short_code", "clicks DESC, raw_referer ASC NULLS FIRST", 10,
     """SELECT short_code, raw_referer, CAST(count(*) AS BIGINT) AS clicks FROM

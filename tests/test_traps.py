@@ -102,3 +102,11 @@ def test_l1_l3_presentation_orders(spark):
     feed = rp.recent_clicks(c, 20).collect()
     stamps = [r.clicked_at_text for r in feed]
     assert stamps == sorted(stamps, reverse=True)
+
+
+def test_referrer_sketch_equals_exact_when_tracking_all(spark):
+    c = fx.click_events(spark, SF_SMALL)
+    exact = {(r.short_code, r.referer, r.click_count) for r in rp.top_referrers(c, "2024-01-01", "2024-01-30", 10).collect()}
+    sketch = {(r.short_code, r.referer, r.click_count)
+              for r in rp.top_referrers_sketch(c, "2024-01-01", "2024-01-30", 10).collect()}
+    assert exact == sketch
