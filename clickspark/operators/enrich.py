@@ -64,11 +64,15 @@ def agent_lookup(raw: DataFrame, max_agents: int = MAX_BROADCAST_AGENTS) -> Data
 
 
 @functools.lru_cache(maxsize=32)
-def _enrich_stage_columns(app_id: str, arrival: str | None, position: str | None) -> dict[str, list[Column]]:
+def _enrich_stage_columns(app_id: str, arrival: str | None, position: str | None,
+                          arrival_col: str | None = None) -> dict[str, list[Column]]:
     """Column lists of the enrichment stages, built once per (context, arrival, position)."""
-    now = F.current_timestamp() if arrival is None else ts(arrival)
+    if arrival_col:
+        now = F.col(arrival_col)
+    else:
+        now = F.current_timestamp() if arrival is None else ts(arrival)
     id_cols = [F.col(c) for c in RAW_FIELDS] + ([F.col(position)] if position else [])
-    inputs = [*[F.col(c) for c in RAW_FIELDS],
+    inputs = [*[F.col(c) for c in RAW_FIELDS], *([F.col(arrival_col)] if arrival_col else []),
               event_id(id_cols).alias("_event_id"),
               F.coalesce(F.col("user_agent"), F.lit("")).alias("_ua"),
               F.coalesce(F.col("ip"), F.lit("")).alias("_ip"),
@@ -106,20 +110,23 @@ def _enrich_stage_columns(app_id: str, arrival: str | None, position: str | None
 
 
 def enrich_clicks(raw: DataFrame, arrival=None, position: str | None = None,
-                  ua_lookup: str = "auto", max_agents: int = MAX_BROADCAST_AGENTS) -> DataFrame:
+                  ua_lookup: str = "auto", max_agents: int = MAX_BROADCAST_AGENTS,
+                  arrival_col: str | None = None) -> DataFrame:
     """Raw stream messages -> click table rows.
 
     ``arrival``: processing time for rows without a usable timestamp (default: now);
     ``position``: optional column with the message's source position (offset / file + row),
     mixed into the event id so identical clicks stay distinct while replays do not;
     ``ua_lookup``: ``auto`` parses distinct agents once behind a size check (batch inputs),
-    ``rows`` parses every row (always used for streaming frames).
+    ``rows`` parses every row (always used for streaming frames);
+    ``arrival_col``: a column holding the arrival time instead (the streaming pipeline stamps
+    the micro-batch time there, so a replayed batch gets the same times and partitions).
 
     Stage 1 computes normalised inputs and the per-row regex results once; later stages
     reference them several times, so Catalyst keeps the projects apart instead of inlining
     (and re-evaluating) the regexes; all stages share one whole-stage-codegen span."""
     app_id = raw.sparkSession.sparkContext.applicationId
-    cols = _enrich_stage_columns(app_id, None if arrival is None else str(arrival), position)
+    cols = _enrich_stage_columns(app_id, None if arrival is None else str(arrival), position, arrival_col)
     raw = spread(raw)
     lookup = agent_lookup(raw, max_agents) if ua_lookup == "auto" and not raw.isStreaming else None
     flags = raw.select(*cols["inputs"]).select("*", *cols["ip_flags"]).select("*", *cols["geo"])

@@ -40,6 +40,9 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, partition_cols: list[s
 CLICK_FILE_OPTIONS = tb.CLICK_WRITE_OPTIONS
 
 
+ARRIVAL_COL = "_arrival"
+
+
 def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, ua_lookup: str = "rows"):
     """The ``foreachBatch`` function of the enrichment pipeline.
 
@@ -56,10 +59,12 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, ua_
         batch = batch.persist()  # the source is read once for all sinks
         clicks = None
         try:
+            stamped = ARRIVAL_COL in batch.columns and arrival is None
             good, bad = en.split_bad_messages(batch)
             if not bad.isEmpty():
-                _write_batch(bad.withColumn("attempts", F.lit(1)), f"{out_dir}/quarantine", batch_id)
-            clicks = en.enrich_clicks(good, arrival=arrival, ua_lookup=ua_lookup).persist()
+                _write_batch(bad.drop(ARRIVAL_COL).withColumn("attempts", F.lit(1)), f"{out_dir}/quarantine", batch_id)
+            clicks = en.enrich_clicks(good, arrival=arrival, ua_lookup=ua_lookup,
+                                      arrival_col=ARRIVAL_COL if stamped else None).persist()
             _write_batch(clicks, f"{out_dir}/clicks", batch_id, ["clicked_month"],
                          sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
 
@@ -95,6 +100,10 @@ def start_enrichment(raw: DataFrame, out_dir: str, checkpoint: str, trigger: dic
                      arrival=None, query_name: str | None = None, ua_lookup: str = "rows"):
     """Start the enrichment query. ``trigger`` defaults to ``availableNow`` (drain
     and stop, for jobs); pass ``{"processingTime": "1 second"}`` for a service."""
+    if arrival is None:
+        # stamped in the streaming plan: Spark replaces current_timestamp() by the micro-batch
+        # time recorded in the offset log, so a replayed batch sees the same arrival time
+        raw = raw.withColumn(ARRIVAL_COL, F.current_timestamp())
     writer = (raw.writeStream.foreachBatch(enrichment_batch(out_dir, arrival, ua_lookup=ua_lookup))
               .option("checkpointLocation", checkpoint))
     if query_name:

@@ -197,3 +197,18 @@ def test_resolve_stream_and_rollup_refresh(spark, scratch):
     day = lambda df, d: df.where(F.col("bucket_day") == d).agg(F.sum("total_clicks")).first()[0]
     assert day(stored, "2024-01-28") == 2 * day(full, "2024-01-28")
     assert day(stored, "2024-01-20") == day(full, "2024-01-20")
+
+
+def test_stream_arrival_time_is_the_batch_time(spark, scratch):
+    landing = _land_raw(spark, scratch, parts=2)
+    out = os.path.join(scratch, "out")
+    q = pl.start_enrichment(src.click_stream(spark, landing, max_files_per_trigger=1), out,
+                            os.path.join(scratch, "ckpt"))  # no fixed arrival: batch time is used
+    q.awaitTermination()
+    clicks = spark.read.parquet(f"{out}/clicks")
+    per_batch = clicks.groupBy("batch_id").agg(F.countDistinct("processed_at").alias("n")).collect()
+    assert per_batch and all(r.n == 1 for r in per_batch)  # one arrival time per micro-batch
+    bad_time = clicks.where(F.col("event_id").isNotNull() & (F.col("clicked_at") == F.col("processed_at")))
+    raw_bad = fx.raw_clicks(spark, SF_SMALL).where(~F.col("timestamp").rlike("^[0-9]+$") | F.col("timestamp").isNull())
+    assert bad_time.count() == raw_bad.count()
+    assert "_arrival" not in clicks.columns
