@@ -212,3 +212,21 @@ def test_stream_arrival_time_is_the_batch_time(spark, scratch):
     raw_bad = fx.raw_clicks(spark, SF_SMALL).where(~F.col("timestamp").rlike("^[0-9]+$") | F.col("timestamp").isNull())
     assert bad_time.count() == raw_bad.count()
     assert "_arrival" not in clicks.columns
+
+
+def test_history_based_rate_verdicts_equal_batch(spark, scratch):
+    reqs = fx.requests(spark, SF_SMALL)
+    landing = os.path.join(scratch, "requests")
+    days = [("2024-01-01", "2024-01-07"), ("2024-01-07", "2024-01-13"), ("2024-01-13", "2024-01-19"),
+            ("2024-01-19", "2024-01-25"), ("2024-01-25", "2024-02-01")]
+    for lo, hi in days:  # one file per period, appended in time order (the source orders files by mtime)
+        reqs.where((F.col("requested_at") >= lo) & (F.col("requested_at") < hi)).coalesce(1) \
+            .write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(reqs.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    out = os.path.join(scratch, "rl")
+    rl.start_rate_verdicts(stream, out, os.path.join(scratch, "ckpt"), 3, 86400).awaitTermination()
+    got = {r.event_id: (r.prior_count, r.allowed, r.reset_at) for r in spark.read.parquet(f"{out}/verdicts").collect()}
+    want = {r.event_id: (r.prior_count, r.allowed, r.reset_at)
+            for r in limits.sliding_window_verdicts(reqs, 3, 86400).collect()}
+    assert got == want
+    assert spark.read.parquet(f"{out}/verdicts").select("batch_id").distinct().count() == 5
