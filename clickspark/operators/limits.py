@@ -30,25 +30,30 @@ def sliding_window_verdicts(requests: DataFrame, limit: int, window_seconds: flo
     the window covers (1) earlier requests of sub-bucket j, (2) the whole sub-buckets
     j-k+1 .. j-1 and (3) the tail of sub-bucket j-k. (1) and (3) come from a RANGE frame over
     the partition (key, j), which holds sub-bucket j plus a halo copy of sub-bucket j-k; (2)
-    comes from per-(key, sub-bucket) counts and minima with a range window over at most k-1
-    rows. A partition therefore holds 2/k of a window of one key, whatever its volume."""
+    comes from one summary row (count, first time) per earlier sub-bucket, copied into the
+    partition. A partition therefore holds 2/k of a window of one key plus k-1 summary rows,
+    whatever the key's volume, and probes, halo and summaries meet in a single shuffle."""
     w_us = int(round(window_seconds * 1_000_000))
     k = sub_buckets if sub_buckets > 0 and w_us % sub_buckets == 0 else 1
     s_us = w_us // k
     base = (requests.withColumn("_t", _micros(time_col))
             .withColumn("_sub", F.floor(F.col("_t") / s_us).cast("bigint")))
-    # (2): whole sub-buckets strictly between j-k and j
+    # (2): one summary row (count, first time) per (key, sub-bucket), copied into the k-1
+    # following sub-buckets' partitions (no join: everything meets in one shuffle)
     per_sub = base.groupBy(key, "_sub").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"))
-    between = Window.partitionBy(key).orderBy("_sub").rangeBetween(-(k - 1), -1)
-    mids = (per_sub.withColumn("_mid_n", F.coalesce(F.sum("_n").over(between), F.lit(0)))
-            .withColumn("_mid_first", F.min("_first").over(between)).drop("_n", "_first"))
+    summaries = (per_sub.withColumn("_sub", F.explode(F.sequence(F.col("_sub") + 1, F.col("_sub") + k - 1)))
+                 if k > 1 else per_sub.where(F.lit(False)))
+    summaries = summaries.withColumn("_probe", F.lit(False))
     # (1) + (3): own sub-bucket plus a halo copy of sub-bucket j-k in partition (key, j)
-    probes = base.join(mids, [key, "_sub"]).withColumn("_probe", F.lit(True))
+    probes = base.withColumn("_probe", F.lit(True))
     halo = base.select(key, "_t", (F.col("_sub") + k).alias("_sub")).withColumn("_probe", F.lit(False))
-    both = probes.unionByName(halo, allowMissingColumns=True)
-    frame = Window.partitionBy(key, "_sub").orderBy("_t").rangeBetween(-(w_us - 1), -1)
-    scored = (both.withColumn("_edge_n", F.count(F.lit(1)).over(frame))
+    both = probes.unionByName(halo, allowMissingColumns=True).unionByName(summaries, allowMissingColumns=True)
+    part = Window.partitionBy(key, "_sub")
+    frame = part.orderBy("_t").rangeBetween(-(w_us - 1), -1)
+    scored = (both.withColumn("_edge_n", F.count("_t").over(frame))
               .withColumn("_edge_first", F.min("_t").over(frame))
+              .withColumn("_mid_n", F.coalesce(F.sum("_n").over(part), F.lit(0)))
+              .withColumn("_mid_first", F.min("_first").over(part))
               .where(F.col("_probe")))
     prior = (F.col("_edge_n") + F.col("_mid_n")).cast("bigint")
     oldest = F.least(F.col("_edge_first"), F.col("_mid_first"))
@@ -60,7 +65,8 @@ def sliding_window_verdicts(requests: DataFrame, limit: int, window_seconds: flo
             .withColumn("remaining", F.when(allowed, F.greatest(F.lit(limit) - F.col("prior_count") - 1, F.lit(0)))
                         .otherwise(F.lit(0)).cast("int"))
             .withColumn("reset_at", F.timestamp_micros(reset_us))
-            .drop("_t", "_sub", "_probe", "_oldest", "_edge_n", "_edge_first", "_mid_n", "_mid_first"))
+            .drop("_t", "_sub", "_probe", "_oldest", "_edge_n", "_edge_first", "_mid_n", "_mid_first",
+                  "_n", "_first"))
 
 
 def rate_headers(verdicts: DataFrame, limit: int, time_col: str = "requested_at") -> DataFrame:
