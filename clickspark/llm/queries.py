@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickspark.llm import sharding, tokens
+from clickspark.llm import knn, sharding, simhash, tokens, warc
+from clickspark.llm.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    read = warc.read_archives(spark, path, with_payload=False)
+    page = lambda uri: F.col(uri).substr(10, 20).try_cast("long")  # noqa: E731  after "urn:page:"
+    return read.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.when(F.col("problem").isNotNull(), F.raise_error("problem")).otherwise(F.col("record_type")).alias("record_type"),
+        page("refers_to").alias("refers_to"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
@@ -32,9 +49,36 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
+    "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_shards": op8_shards,
+    "op10_top_k": op10_top_k,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+        firsts AS (SELECT hex, max(page_id) AS first_id FROM hashed GROUP BY hex),
+        twenty AS (SELECT hex, first_id, [CAST('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT) for i in range(8)] AS parts FROM firsts)
+        SELECT page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((parts[CAST(j // 4 + 1 AS BIGINT)] >> CAST(15 - 5 * (j % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1) for j in range(32)], '') AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM hashed JOIN twenty USING (hex)""",
+    "op10_top_k": """
+        WITH vectors AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+            WHERE len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.v, d.v)]) AS BIGINT) AS score
+            FROM vectors q JOIN vectors d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+}
