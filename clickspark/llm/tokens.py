@@ -45,10 +45,37 @@ _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d"
 
 
 @functools.cache
-def _tokenizer(path: str):
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters
+    for themselves, the other bytes in turn for the characters from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Packed ids by word; a missing word is split by the merges once."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _WORDS_KEPT:
+            self.clear()
+        spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+
+@functools.cache
+def _loaded(path: str):
+    """(tokenizer, its words, its special tokens); kept for all tasks of a worker process."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, _Words(tokenizer.model), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
 class WordEncoder:
@@ -60,10 +87,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end_id: int):
-        self.tokenizer = _tokenizer(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer, self.words, self.special = _loaded(path)
         self.end = struct.pack("<I", end_id)
-        self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -71,16 +96,9 @@ class WordEncoder:
 
     def pack(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, the end id included."""
-        split = [None if any(s in t for s in self.special) or not _PLAIN.fullmatch(t)
-                 else _SPLIT.findall(t.lower()) for t in texts]
-        if len(self.words) > _WORDS_KEPT:
-            self.words.clear()
-        new = list(set().union(*(s for s in split if s)).difference(self.words))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
         get = self.words.__getitem__
-        return [(self._whole(t) if s is None else b"".join(map(get, s))) + self.end
-                for t, s in zip(texts, split, strict=True)]
+        return [(self._whole(t) if any(s in t for s in self.special) or not _PLAIN.fullmatch(t)
+                 else b"".join(map(get, _SPLIT.findall(t.lower())))) + self.end for t in texts]
 
 
 def build_file(part: int, number: int, ids: list[int | None], packed: list[bytes]) -> bytes:
