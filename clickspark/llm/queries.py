@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickspark.llm import knn, sharding, simhash, tokens, warc
+from clickspark.llm import knn, sharding, simhash, tokens, toxicity, warc
 from clickspark.llm.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         page("refers_to").alias("refers_to"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_documents(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -55,6 +60,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op3_toxicity": op3_toxicity,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_shards": op8_shards,
