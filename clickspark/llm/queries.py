@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickspark.llm import knn, sharding, simhash, tokens, toxicity, warc
+from clickspark.llm import decontaminate, knn, sharding, simhash, tokens, toxicity, warc
 from clickspark.llm.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched_words", "item_words")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -61,6 +66,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_shards": op8_shards,
@@ -78,6 +84,23 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
         FROM hashed JOIN twenty USING (hex)""",
+    "op4_decontamination": r"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS h FROM documents),
+        items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark),
+        masks AS (SELECT * FROM (VALUES (7, [0, 1, 2, 3, 5, 6]), (7, [0, 1, 2, 4, 5, 6]), (8, [0, 1, 3, 4, 6, 7])) v(span, marked)),
+        doc_seeds AS (SELECT doc_id, span, marked, i AS at, array_to_string([h[CAST(i + m + 1 AS BIGINT)] for m in marked], ' ') AS seed
+            FROM (SELECT doc_id, h, span, marked, unnest(range(greatest(len(h) - span + 1, 0))) AS i FROM docs, masks)),
+        item_seeds AS (SELECT item_id, span, marked, i AS at, array_to_string([t[CAST(i + m + 1 AS BIGINT)] for m in marked], ' ') AS seed
+            FROM (SELECT item_id, t, span, marked, unnest(range(greatest(len(t) - span + 1, 0))) AS i FROM items, masks)),
+        hits AS (SELECT DISTINCT d.doc_id, b.item_id, d.at - b.at AS shift FROM doc_seeds d JOIN item_seeds b USING (seed, marked)),
+        aligned AS (SELECT doc_id, item_id, len(t) AS n, least(13, len(t)) AS wide,
+            [CASE WHEN h[CAST(j + shift + 1 AS BIGINT)] = t[CAST(j + 1 AS BIGINT)] THEN 1 ELSE 0 END
+             for j in range(greatest(0, -shift), least(len(t), len(h) - shift))] AS agree
+            FROM hits JOIN docs USING (doc_id) JOIN items USING (item_id))
+        SELECT doc_id, item_id, CAST(max(list_sum(agree)) AS INTEGER) AS matched_words, CAST(max(n) AS INTEGER) AS item_words
+        FROM aligned WHERE len(agree) >= wide
+            AND list_max([5 * list_sum(list_slice(agree, CAST(k + 1 AS BIGINT), CAST(k + wide AS BIGINT))) for k in range(len(agree) - wide + 1)]) >= 4 * wide
+        GROUP BY doc_id, item_id""",
     "op10_top_k": """
         WITH vectors AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings

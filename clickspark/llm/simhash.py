@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickspark.llm.components import connected_components
+from clickspark.llm.rowkeys import take_rows
 from clickspark.llm.storage import broadcast_if_small, materialise
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -220,11 +221,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_
     """
     rows = simhash_components(docs, words, distance, id_col, text_col)
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("best"))
-    best = materialise(best.select("best.*").distinct(), "kept")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).isNull().alias("unnamed"),
-                        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("key"), F.xxhash64(text_col).alias("text_hash"))
-    best = best.select("unnamed", F.coalesce("doc_id", F.lit(0)).alias("key"), "text_hash")
-    keys = ["unnamed", "key", "text_hash"]
-    order = Window.partitionBy(*keys).orderBy(F.to_json("row"))
-    chosen = keyed.join(best, keys, "left_semi").withColumn("copy", F.row_number().over(order)).filter("copy = 1")
-    return chosen.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    best = materialise(best.select("best.doc_id", "best.text_hash", F.lit(1).alias("copies")), "kept")
+    return take_rows(docs, best, id_col, text_col)

@@ -47,6 +47,10 @@ class OrdinalModel:
         """P(grade > j) for j = 0 .. K - 2, one row per score."""
         return _sigmoid(np.asarray(scores, dtype=float)[:, None] - np.array(self.thresholds)[None, :])
 
+    def toxic(self, scores: np.ndarray) -> np.ndarray:
+        """P(grade > 0) is at least one half, and some feature speaks for it."""
+        return (self.exceed(scores)[:, 0] >= 0.5) & (np.asarray(scores) > 0)
+
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, l2: np.ndarray,
                 steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
@@ -154,18 +158,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, least
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``severity`` (expected grade), ``grade`` (the most likely one), ``p_toxic`` and
-    ``toxic`` (``p_toxic`` at least one half) for every row, from its whole text.
+    ``toxic`` (:meth:`OrdinalModel.toxic`) for every row, from its whole text.
 
-    A null or empty text has no features: it gets the severity of the thresholds alone. Repeated
+    A null or empty text has no features: it gets the severity of the thresholds alone and is not toxic. Repeated
     rows each come back, a null id stays null, an empty table gives no rows. Only the two named
     columns are read.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            over = model.exceed(np.array([model.score(t) for t in batch["text"]]))
+            scores = np.array([model.score(t) for t in batch["text"]])
+            over = model.exceed(scores)
             chance = -np.diff(np.c_[np.ones(len(over)), over, np.zeros(len(over))], axis=1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "severity": over.sum(axis=1), "grade": chance.argmax(axis=1).astype("int32"),
-                                "p_toxic": over[:, 0], "toxic": over[:, 0] >= 0.5})
+                                "p_toxic": over[:, 0], "toxic": model.toxic(scores)})
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     graded = rows.mapInPandas(run, "doc_id string, severity double, grade int, p_toxic double, toxic boolean")
@@ -179,6 +184,6 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.array([model.score(t) for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(model.exceed(scores)[:, 0] < 0.5))
+            yield batch.filter(pa.array(~model.toxic(scores)))
 
     return docs.mapInArrow(run, docs.schema)
