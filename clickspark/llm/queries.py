@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickspark.llm import decontaminate, knn, sharding, simhash, tokens, toxicity, warc
+from clickspark.llm import decontaminate, knn, mixing, sharding, simhash, tokens, toxicity, warc
 from clickspark.llm.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched_words", "item_words")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_shards": op8_shards,
