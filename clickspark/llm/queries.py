@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickspark.llm import decontaminate, knn, mixing, sharding, simhash, tokens, toxicity, warc
+from clickspark.llm import decontaminate, knn, mixing, pii, sharding, simhash, tokens, toxicity, warc
 from clickspark.llm.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,12 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_shards": op8_shards,
+    "op9_pii": op9_pii,
     "op10_top_k": op10_top_k,
 }
 
