@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickspark.llm.storage import materialise
+
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIX = 4
 
@@ -83,24 +84,18 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, l2: np.n
     return p[:width], np.cumsum(np.r_[p[width], np.exp(p[width + 1:])])
 
 
-def telling(sets: list[set[str]], toxic: np.ndarray, least: int, z: float) -> dict[str, float]:
-    """z score of each feature that at least ``least`` texts hold and whose share differs between
-    toxic and clean texts by more than ``z`` standard errors."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    if not n1 or not n0:
+def telling(sample: DataFrame, least: int, z: float) -> dict[str, float]:
+    """z score of each feature that at least ``least`` texts of ``sample`` (features, label) hold and
+    whose share differs between toxic and clean texts by more than ``z`` standard errors."""
+    totals = sample.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("n1"), F.count("*").alias("n")).first()
+    n1, n = totals["n1"], totals["n"]
+    if not 0 < n1 < n:
         return {}
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for s, t in zip(sets, toxic, strict=True):
-        seen[int(t)].update(s)
-    found = {}
-    for f in sorted(seen[0].keys() | seen[1].keys()):
-        a, b = seen[1][f], seen[0][f]
-        p = (a + b) / (n1 + n0)
-        if a + b >= least and 0 < p < 1:
-            score = (a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-            if abs(score) > z:
-                found[f] = score
-    return found
+    held = sample.select(F.explode("features").alias("feature"), "label").groupBy("feature").agg(F.sum("label").alias("a"), F.count("*").alias("c"))
+    p = F.col("c") / n
+    score = (F.col("a") / n1 - (F.col("c") - F.col("a")) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
+    found = held.filter((F.col("c") >= least) & (F.col("c") < n)).select("feature", score.alias("z")).filter(F.abs("z") > z)
+    return {r["feature"]: r["z"] for r in found.orderBy("feature").collect()}
 
 
 def severity_grades(sets: list[set[str]], toxic: np.ndarray, marks: dict[str, float]) -> np.ndarray:
@@ -114,44 +109,51 @@ def severity_grades(sets: list[set[str]], toxic: np.ndarray, marks: dict[str, fl
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text",
-                    label_col: str = "toxic") -> list[tuple[set[str], bool]]:
-    """Features and label of at most ``max_rows`` labelled documents, those with the smallest id hashes.
+                    label_col: str = "toxic") -> DataFrame:
+    """Features and label (0 or 1) of at most ``max_rows`` labelled documents, those with the smallest
+    id hashes.
 
     Null ids and labels are left out, an id labelled twice is toxic if one label says so, equal
-    texts count once. Only features leave the executors, never texts.
+    texts count once.
     """
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"features": [sorted(features(t)) for t in batch["text"]], "label": batch["label"]})
 
     chosen = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-              .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+              .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col(label_col).cast("int") > 0).cast("int")).alias("label"))
               .orderBy(F.xxhash64("id"), "id").limit(max_rows))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("text", "label")  # at most max_rows
     once = rows.filter("text is not null").groupBy(F.xxhash64("text")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    found = once.select("text", "label").mapInPandas(extract, "features array<string>, label int").collect()
-    # in a fixed order, so that reruns agree to the last bit
-    return sorted(((frozenset(r["features"]), r["label"] > 0) for r in found), key=lambda x: (x[1], sorted(x[0])))
+    return materialise(once.select("text", "label").mapInPandas(extract, "features array<string>, label int"), "labelled")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, least: int = 5, z: float = 4.5, l2: float = 1e-4, **columns: str) -> OrdinalModel:
     """Fit on a bounded sample of labelled rows (``max_rows``, see :func:`labelled_sample`).
 
-    Features are chosen by :func:`telling`, grades by :func:`severity_grades`. Without toxic or
-    without clean examples the model has no weights and calls nothing toxic.
+    Features are chosen by :func:`telling` on the executors; the driver gets the chosen features of
+    the sample and nothing else. Grades come from :func:`severity_grades`. Without toxic or without
+    clean examples the model has no weights and calls nothing toxic.
     """
     sample = labelled_sample(docs, labels, max_rows, **columns)
-    sets, toxic = [s for s, _ in sample], np.array([t for _, t in sample], dtype=bool)
-    marks = telling(sets, toxic, least, z)
+    marks = telling(sample, least, z)
     if not marks:
         return OrdinalModel({}, (60.0,))
-    grades = severity_grades(sets, toxic, marks)
     number = {f: i for i, f in enumerate(sorted(marks))}
-    pairs = [(i, number[f]) for i, s in enumerate(sets) for f in s & number.keys()]
-    rows, cols = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"held": [sorted(number[f] for f in fs if f in number) for fs in batch["features"]], "label": batch["label"]})
+
+    # sorted, so that reruns agree to the last bit
+    held = sorted((r["label"], r["held"]) for r in sample.mapInPandas(reduce, "held array<int>, label int").collect())
+    names, toxic = list(number), np.array([label > 0 for label, _ in held])
+    grades = severity_grades([{names[i] for i in h} for _, h in held], toxic, marks)
+    rows = np.repeat(np.arange(len(held)), [len(h) for _, h in held])
+    cols = np.array([i for _, h in held for i in h], dtype=np.int64)
     best = max(map(abs, marks.values()))
-    penalty = np.array([l2 * best / abs(marks[f]) for f in number])  # chance features are held back
+    penalty = np.array([l2 * best / abs(marks[f]) for f in names])  # chance features are held back
     weights, thresholds = fit_ordinal(rows, cols, grades, penalty)
     return OrdinalModel({f: float(weights[i]) for f, i in number.items()}, tuple(map(float, thresholds)))
 
