@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickspark.llm import decontaminate, knn, mixing, pii, sharding, simhash, tokens, toxicity, warc
+from clickspark.llm import decontaminate, extraction, knn, mixing, pii, sharding, simhash, tokens, toxicity, warc
 from clickspark.llm.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         page("refers_to").alias("refers_to"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.grade_documents(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -76,6 +80,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_main_text": op2_main_text,
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
