@@ -13,6 +13,9 @@ Measured (seconds, each forced to full execution with the ``noop`` sink):
   url_stats            A1 totals / distinct / 24h-7d-30d windows, every code
   resolve_clicks       C1 click -> long URL with expiry residual
   dead_links           C2 anti join + per-code hits
+  counter_batch        X2 one micro-batch of all clicks folded into the delta log
+  read_counters        C3 URL table plus the deltas of later batches
+  assign_codes         J7 one id and code per event
   rate_verdict         W1 sliding-window verdict per request
   recent_clicks        F2 newest 50 clicks over all codes
   composite_stats      A15 composite reply, every code
@@ -25,7 +28,7 @@ from __future__ import annotations
 import json
 import os
 import sys
-import uuid
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -33,6 +36,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from clickspark.operators import enrich as en  # noqa: E402
+from clickspark.operators import ids  # noqa: E402
 from clickspark.operators import limits as lm  # noqa: E402
 from clickspark.operators import reports as rp  # noqa: E402
 from clickspark.operators import resolve as rs  # noqa: E402
@@ -67,9 +71,7 @@ def main() -> None:
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     ensure_session_defaults(spark)
-    # scratch space under the session's shared checkpoint folder (created by Spark on write)
-    base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    work = f"{base}/bench-{uuid.uuid4().hex[:12]}"
+    work = tempfile.mkdtemp(prefix="clickspark-bench-")  # local benchmark only
     clicks_path = os.path.join(work, "clicks")
     rollup_path = os.path.join(work, "rollups")
 
@@ -93,8 +95,7 @@ def main() -> None:
     fixture_path = os.path.join(work, "click_events")
     tb.write_click_table(fx.click_events(spark, sf_dir), fixture_path, mode="overwrite")
     clicks = spark.read.parquet(fixture_path)
-    urls = fx.urls(spark, sf_dir).cache()
-    urls.count()
+    urls = fx.urls(spark, sf_dir)
 
     def build_rollups():  # R1-R4 partials in one GROUPING SETS job, one table partitioned by rollup
         ru.partial_rollups(clicks).write.mode("overwrite").partitionBy("rollup").parquet(rollup_path)
@@ -111,6 +112,12 @@ def main() -> None:
     q["url_stats"] = timed(lambda: run_noop(rp.url_stats_windows(clicks, AS_OF)))
     q["resolve_clicks"] = timed(lambda: run_noop(rs.resolve_clicks(clicks, urls)))
     q["dead_links"] = timed(lambda: run_noop(rs.dead_link_hits(clicks, urls)))
+    base = os.path.join(work, "counters")
+    pl.seed_url_table(fx.urls(spark, sf_dir), f"{base}/urls")
+    q["counter_batch"] = timed(lambda: pl.counter_batch(f"{base}/deltas")(raw, 0))
+    q["read_counters"] = timed(lambda: run_noop(pl.read_counters(spark, f"{base}/urls", f"{base}/deltas", AS_OF)))
+    ids_in = fx.table(spark, sf_dir, "events").selectExpr("event_id request_id", "cast(ts as timestamp) requested_at")
+    q["assign_codes"] = timed(lambda: run_noop(ids.assign_short_codes(ids_in)))
     q["rate_verdict"] = timed(lambda: run_noop(lm.sliding_window_verdicts(fx.requests(spark, sf_dir), 3, 86400)))
     q["recent_clicks"] = timed(lambda: run_noop(rp.recent_clicks(clicks, 50)))
     q["composite_stats"] = timed(lambda: run_noop(rp.composite_stats(clicks, n=5)))

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"  # no leading zeros
-# Full or compressed IPv6 (at most one '::'), optionally with an embedded IPv4 tail.
-IPV6 = (r"^(?=.*:)(?!.*::.*::)(?:[0-9A-Fa-f]{1,4}|:)?(?::[0-9A-Fa-f]{0,4}){1,7}"
-        r"(?::(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3})?$")
+# Groups of one to four hex digits, at most one '::'; an IPv4 tail is put in as two groups before.
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*"
+IPV6_FORM = rf"^(?:{_GROUPS})?(?:::(?:{_GROUPS})?)?$"
+IPV4_TAIL = rf":{_OCTET}(?:\.{_OCTET}){{3}}$"
+# An IPv4 address inside an IPv6 one: five zero groups (or '::' for them), ffff, the address.
+MAPPED = r"(?i)^(?:::|(?:0{1,4}:){5}|(?:0{1,4}:){1,4}:|::(?:0{1,4}:){1,4})ffff:"
 
 
 def _c(col: Column | str) -> Column:
@@ -21,8 +24,12 @@ def is_ipv4(ip: Column | str) -> Column:
 
 
 def is_ipv6(ip: Column | str) -> Column:
+    """Eight groups, or fewer around one ``::``; the last two may be written as an IPv4 address."""
     c = _c(ip)
-    return F.coalesce(c.rlike(IPV6) & (F.size(F.split(c, ":")) <= 9), F.lit(False))
+    plain = F.regexp_replace(c, IPV4_TAIL, ":0:0")
+    groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
+    right = F.when(plain.contains("::"), groups <= 7).otherwise(groups == 8)
+    return F.coalesce(c.contains(":") & plain.rlike(IPV6_FORM) & right, F.lit(False))
 
 
 def is_ip(ip: Column | str) -> Column:
@@ -44,24 +51,31 @@ def _in_cidr(num: Column, base: str, bits: int) -> Column:
     return F.shiftright(num, 32 - bits) == F.lit(start >> (32 - bits))
 
 
-def is_loopback(ip: Column | str) -> Column:
-    c = _c(ip)
-    n = ipv4_number(c)
-    return F.coalesce(_in_cidr(n, "127.0.0.0", 8), F.lit(False)) | (is_ipv6(c) & F.lower(c).isin("::1", "0:0:0:0:0:0:0:1"))
+def _is_local_number(num: Column) -> Column:
+    """Loopback or private IPv4 (as a number)."""
+    return F.coalesce(_in_cidr(num, "127.0.0.0", 8) | _in_cidr(num, "10.0.0.0", 8)
+                      | _in_cidr(num, "172.16.0.0", 12) | _in_cidr(num, "192.168.0.0", 16), F.lit(False))
+
+
+def _is_local_v6(c: Column) -> Column:
+    """For a valid IPv6 text: ``::1`` in any spelling, fc00::/7, or a mapped loopback / private IPv4."""
+    loopback = ~c.contains(".") & (F.regexp_replace(c, "[0:]", "") == "1") & c.endswith("1")
+    unique = F.lower(c).rlike("^f[cd][0-9a-f]{2}:")
+    dotted = ipv4_number(F.regexp_extract(c, r"([0-9.]+)$", 1))
+    high, low = F.regexp_extract(c, r":([0-9A-Fa-f]{1,4}):([0-9A-Fa-f]{1,4})$", 1), F.regexp_extract(c, r":([0-9A-Fa-f]{1,4})$", 1)
+    hexed = F.conv(F.concat(high, F.lpad(low, 4, "0")), 16, 10).cast("bigint")
+    mapped = c.rlike(MAPPED) & _is_local_number(F.when(c.contains("."), dotted).otherwise(hexed))
+    return F.coalesce(loopback | unique | mapped, F.lit(False))
 
 
-def is_private(ip: Column | str) -> Column:
+def is_local(ip: Column | str) -> Column:
     c = _c(ip)
-    n = ipv4_number(c)
-    v4 = _in_cidr(n, "10.0.0.0", 8) | _in_cidr(n, "172.16.0.0", 12) | _in_cidr(n, "192.168.0.0", 16)
-    v6 = is_ipv6(c) & F.lower(c).rlike("^f[cd][0-9a-f]{0,2}:")
-    return F.coalesce(v4, F.lit(False)) | v6
+    return _is_local_number(ipv4_number(c)) | (is_ipv6(c) & _is_local_v6(c))
 
 
 def geo_class(ip: Column | str) -> Column:
     """``Unknown`` for unparsable or public addresses, ``Local`` for loopback / private."""
-    c = _c(ip)
-    return F.when(is_ip(c) & (is_loopback(c) | is_private(c)), F.lit("Local")).otherwise(F.lit("Unknown"))
+    return F.when(is_local(ip), F.lit("Local")).otherwise(F.lit("Unknown"))
 
 
 def ip_flags(ip: Column | str) -> dict[str, Column]:
@@ -74,11 +88,8 @@ def ip_flags(ip: Column | str) -> dict[str, Column]:
 
 def geo_class_from_flags(ip: Column | str, ip_num: Column, v6: Column) -> Column:
     """``geo_class`` over precomputed ``ip_flags`` (same result, each regex evaluated once)."""
-    c = _c(ip)
-    v4_local = _in_cidr(ip_num, "127.0.0.0", 8) | _in_cidr(ip_num, "10.0.0.0", 8) \
-        | _in_cidr(ip_num, "172.16.0.0", 12) | _in_cidr(ip_num, "192.168.0.0", 16)
-    v6_local = v6 & (F.lower(c).isin("::1", "0:0:0:0:0:0:0:1") | F.lower(c).rlike("^f[cd][0-9a-f]{0,2}:"))
-    return F.when(F.coalesce(v4_local, F.lit(False)) | v6_local, F.lit("Local")).otherwise(F.lit("Unknown"))
+    local = _is_local_number(ip_num) | (v6 & _is_local_v6(_c(ip)))
+    return F.when(local, F.lit("Local")).otherwise(F.lit("Unknown"))
 
 
 def geo_columns(ip: Column | str, label: Column | None = None) -> dict[str, Column]:

@@ -66,14 +66,38 @@ def with_scalar_total(page: DataFrame, matched: DataFrame, name: str = "total")
     return page.withColumn(name, matched.select(F.count(F.lit(1))).scalar())
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a batch input over at least the cluster's default parallelism before a
-    CPU-heavy projection, when it arrives in fewer partitions (one small file, one Kafka
-    partition). Inputs that already have enough partitions are left alone (no shuffle)."""
-    if df.isStreaming:
-        return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles (``points``: column name -> share) of ``value`` per ``keys``.
+
+    Level 1 counts values in logarithmic buckets (4096 per factor of e, so some 10^5 of them at
+    most), and a running sum over the buckets finds those that hold the wanted ranks. Level 2
+    ranks the distinct values of those buckets only. No group's values meet in one task."""
+    keys = list(keys)
+    x = F.col(value).cast("double")
+    rows = rows.where(x.isNotNull()).select(*keys, x.alias("_x"), (
+        F.signum(x) * F.floor(F.log1p(F.abs(x)) * 4096)).cast("bigint").alias("_b"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    place = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in points.items()}
+    wanted = F.explode(F.array(*[F.struct(
+        F.lit(name).alias("name"), F.lit(side).alias("side"), (h - F.floor(h)).alias("part"),
+        F.least(F.floor(h) + side, F.col("_total") - 1).alias("rank")) for name, h in place.items() for side in (0, 1)]))
+    picks = counted.select(*keys, "_b", "_n", "_before", wanted.alias("w")).where(
+        (F.col("_before") <= F.col("w.rank")) & (F.col("w.rank") < F.col("_before") + F.col("_n")))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    values = rows.join(picks.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi") \
+        .groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_m")) \
+        .withColumn("_ahead", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
+    at = F.col("w.rank") - F.col("_before")
+    found = picks.join(values, [*keys, "_b"]).where((F.col("_ahead") <= at) & (at < F.col("_ahead") + F.col("_m")))
+
+    def one(name: str) -> Column:
+        pick = lambda side, what: F.max(F.when((F.col("w.name") == name) & (F.col("w.side") == side), what))
+        low, high, part = pick(0, F.col("_x")), pick(1, F.col("_x")), pick(0, F.col("w.part"))
+        return (low + (high - low) * part).alias(name)
+    return found.groupBy(*keys).agg(*[one(n) for n in points])
 
 
 def newest_first(df: DataFrame, time_col: str, tie: str) -> DataFrame:

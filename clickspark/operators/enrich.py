@@ -12,19 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickspark.functions import network, useragent
-from clickspark.operators.common import spread, ts
+from clickspark.operators.common import ts
 
-# Upper bound on distinct user agents parsed once and broadcast (checked per run).
-MAX_BROADCAST_AGENTS = 200_000
 UA_COLUMNS = ["browser", "browser_version", "os", "os_version", "device_type", "device_brand", "device_model"]
 
 RAW_FIELDS = ["short_code", "timestamp", "ip", "user_agent", "original_url", "referer", "query_params"]
 
 
-def event_id(cols: list[Column]) -> Column:
-    """Deterministic event id (trap T4): SHA-256 over the raw fields (+ source position), so a
-    replayed message gets the same id and sinks stay idempotent."""
-    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
+def event_id(cols: list[Column], position: Column | None = None) -> Column:
+    """Deterministic event id (trap T4): SHA-256 over the raw fields (+ source position, where there
+    is one), so a replayed message gets the same id and sinks stay idempotent."""
+    fields = F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    if position is not None:
+        fields = F.concat(fields, F.coalesce(F.concat(F.lit("\u0001"), position.cast("string")), F.lit("")))
+    return F.sha2(fields, 256)
 
 
 def parse_click_time(text: Column, arrival: Column) -> Column:
@@ -43,24 +44,31 @@ def _ua_stage_columns(app_id: str) -> tuple[list[Column], list[Column]]:
     return first, [cols[k].alias(f"_ua_{k}") for k in UA_COLUMNS]
 
 
-def parsed_agents(agents: DataFrame) -> DataFrame:
-    """UA columns for a frame of distinct ``_ua`` values."""
-    first, parsed = _ua_stage_columns(agents.sparkSession.sparkContext.applicationId)
-    return agents.select("_ua", *first).select("_ua", *parsed)
+def with_positions(raw: DataFrame, file_col: str | None = None) -> DataFrame:
+    """Add ``position``, which tells identical messages apart and is the same on a replay.
 
+    A message that carries a ``message_id`` (K1/K2) or a ``position`` (Kafka partition and offset)
+    has it already. The others are counted per identical content and file and numbered 1..n:
+    which of n equal rows gets which number makes no difference. The first one of rows without a
+    file has position NULL. Only the messages without an id of their own are shuffled; a source
+    whose messages all carry one needs no exchange at all (pass it on as it is)."""
+    own = [F.col(c) for c in ("message_id", "position") if c in raw.columns]
+    known = F.coalesce(*own) if len(own) > 1 else own[0] if own else F.lit(None).cast("string")
+    cols = [c for c in raw.columns if c not in ("position", file_col)]
+    rows = raw.select(*cols, known.alias("position"), *([F.col(file_col)] if file_col else []))
+    if not own and file_col is None:
+        return _numbered(rows.drop("position"), cols, None)
+    return rows.where(F.col("position").isNotNull()).select(*cols, "position").unionByName(
+        _numbered(rows.where(F.col("position").isNull()).drop("position"), cols, file_col))
 
-def agent_lookup(raw: DataFrame, max_agents: int = MAX_BROADCAST_AGENTS) -> DataFrame | None:
-    """Parsed distinct user agents, or None when there are more than ``max_agents``.
 
-    User agents repeat heavily (a few browser builds dominate), so parsing each distinct
-    agent once and broadcasting the result replaces per-click regex work by a hash lookup.
-    The distinct set is partial-aggregated per task; its size is checked with a bounded
-    ``limit(max + 1).count()`` before anything is broadcast, and beyond the bound the caller
-    parses per row instead (no shuffle of the click side either way)."""
-    agents = raw.select(F.coalesce(F.col("user_agent"), F.lit("")).alias("_ua")).distinct()
-    if agents.limit(max_agents + 1).count() > max_agents:
-        return None
-    return F.broadcast(parsed_agents(agents))
+def _numbered(rows: DataFrame, cols: list[str], file_col: str | None) -> DataFrame:
+    keys = cols + ([file_col] if file_col else [])
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    each = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    number = F.concat(F.lit("#"), F.col("_i").cast("string"))
+    position = F.concat(F.col(file_col), number) if file_col else F.when(F.col("_i") > 1, number)
+    return each.select(*cols, position.alias("position"))
 
 
 @functools.lru_cache(maxsize=32)
@@ -71,9 +79,8 @@ def _enrich_stage_columns(app_id: str, arrival: str | None, position: str | None
         now = F.col(arrival_col)
     else:
         now = F.current_timestamp() if arrival is None else ts(arrival)
-    id_cols = [F.col(c) for c in RAW_FIELDS] + ([F.col(position)] if position else [])
     inputs = [*[F.col(c) for c in RAW_FIELDS], *([F.col(arrival_col)] if arrival_col else []),
-              event_id(id_cols).alias("_event_id"),
+              event_id([F.col(c) for c in RAW_FIELDS], F.col(position) if position else None).alias("_event_id"),
               F.coalesce(F.col("user_agent"), F.lit("")).alias("_ua"),
               F.coalesce(F.col("ip"), F.lit("")).alias("_ip"),
               parse_click_time(F.col("timestamp"), now).alias("_clicked_at")]
@@ -110,40 +117,36 @@ def _enrich_stage_columns(app_id: str, arrival: str | None, position: str | None
 
 
 def enrich_clicks(raw: DataFrame, arrival=None, position: str | None = None,
-                  ua_lookup: str = "auto", max_agents: int = MAX_BROADCAST_AGENTS,
                   arrival_col: str | None = None) -> DataFrame:
     """Raw stream messages -> click table rows.
 
     ``arrival``: processing time for rows without a usable timestamp (default: now);
-    ``position``: optional column with the message's source position (offset / file + row),
-    mixed into the event id so identical clicks stay distinct while replays do not;
-    ``ua_lookup``: ``auto`` parses distinct agents once behind a size check (batch inputs),
-    ``rows`` parses every row (always used for streaming frames);
+    ``position``: optional column with the message's source position (message id, offset, or file
+    and occurrence, see ``with_positions``), mixed into the event id so identical clicks stay
+    distinct while replays do not;
     ``arrival_col``: a column holding the arrival time instead (the streaming pipeline stamps
     the micro-batch time there, so a replayed batch gets the same times and partitions).
 
-    Stage 1 computes normalised inputs and the per-row regex results once; later stages
-    reference them several times, so Catalyst keeps the projects apart instead of inlining
-    (and re-evaluating) the regexes; all stages share one whole-stage-codegen span."""
+    One scan, no exchange, no job while the plan is built. Stage 1 computes normalised inputs and
+    the per-row regex results once; later stages reference them several times, so Catalyst keeps
+    the projects apart instead of inlining (and re-evaluating) the regexes; all stages share one
+    whole-stage-codegen span."""
     app_id = raw.sparkSession.sparkContext.applicationId
     cols = _enrich_stage_columns(app_id, None if arrival is None else str(arrival), position, arrival_col)
-    raw = spread(raw)
-    lookup = agent_lookup(raw, max_agents) if ua_lookup == "auto" and not raw.isStreaming else None
+    first, parsed = _ua_stage_columns(app_id)
     flags = raw.select(*cols["inputs"]).select("*", *cols["ip_flags"]).select("*", *cols["geo"])
-    if lookup is not None:
-        flags = flags.join(lookup, "_ua", "left")
-    else:
-        first, parsed = _ua_stage_columns(app_id)
-        flags = flags.select("*", *first).select("*", *parsed)
-    return flags.select(*cols["final"])
+    return flags.select("*", *first).select("*", *parsed).select(*cols["final"])
 
 
 def split_bad_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Messages without a short code are quarantined with a reason instead of blocking."""
-    bad = F.col("short_code").isNull() | (F.trim(F.col("short_code")) == "")
-    good = raw.where(~bad)
-    quarantined = raw.where(bad).withColumn("reason", F.lit("missing short_code"))
-    return good, quarantined
+    """Messages that are no JSON (``_text`` holds them) or have no short code are quarantined
+    with a reason instead of blocking."""
+    malformed = F.col("_text").isNotNull() if "_text" in raw.columns else F.lit(False)
+    blank = F.col("short_code").isNull() | (F.trim(F.col("short_code")) == "")
+    good = raw.where(~(malformed | blank))
+    quarantined = raw.where(malformed | blank).withColumn(
+        "reason", F.when(malformed, F.lit("malformed message")).otherwise(F.lit("missing short_code")))
+    return good.drop("_text"), quarantined
 
 
 def derive_expiry(requests: DataFrame, default_ttl_hours: int = 72) -> DataFrame:
@@ -157,19 +160,30 @@ def geo_by_range(clicks: DataFrame, ranges: DataFrame, ip_col: str = "ip_address
     """IP -> location through a user-supplied IPv4 range table
     (``start_ip, end_ip, country, country_code, region, city``).
 
-    Work is done once per *distinct* IP, not per click. The range join is made an equi-join
-    on the /16 block: each range is exploded into the blocks it covers (bounded by 65 536 per
-    range; wider ranges should be split upstream), then ``between`` is the residual. Catalyst
-    broadcasts the block table only when its measured size is under the broadcast threshold,
-    else it shuffles both sides on the block key."""
-    ips = (clicks.select(F.col(ip_col).alias("ip")).distinct()
-           .withColumn("ip_num", network.ipv4_number("ip"))
-           .withColumn("block", F.shiftright("ip_num", 16)))
+    Work is done once per *distinct* IP, not per click. Ranges are cut into aligned blocks of 2^k
+    addresses, a handful of sizes per range (a range of 2^24 addresses has at most 48 blocks), and an
+    address looks up its own block of every size: equi-joins on (size, block), so neither a
+    dense block nor a wide range makes pairs that are thrown away. Where ranges overlap the one
+    with the highest start, then the smallest, wins: a click is never multiplied."""
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(32)))
+    width = F.pow(F.lit(2.0), F.col("k")).cast("bigint")
     r = ranges.select(
-        network.ipv4_number("start_ip").alias("lo"), network.ipv4_number("end_ip").alias("hi"),
-        "country", "country_code", "region", "city")
-    blocks = r.withColumn("block", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-    located = ips.join(blocks, "block").where(F.col("ip_num").between(F.col("lo"), F.col("hi"))) \
-        .select("ip", "country", "country_code", "region", "city")
-    return clicks.drop("country", "country_code", "region", "city").join(
-        located.withColumnRenamed("ip", ip_col), ip_col, "left")
+        network.ipv4_number("start_ip").alias("lo"), (network.ipv4_number("end_ip") + 1).alias("hi"),
+        F.struct("country", "country_code", "region", "city").alias("place")).where(F.col("lo") < F.col("hi"))
+    # a range holds an aligned block of 2^k iff the block lies inside and its parent does not;
+    # for every k those are at most one block at each end
+    cut = r.withColumn("k", sizes)
+    first, last = F.ceil(F.col("lo") / width).cast("bigint"), F.floor(F.col("hi") / width).cast("bigint")
+    blocks = cut.select("lo", "hi", "place", "k", width.alias("w"), first.alias("first"), (last - 1).alias("last")) \
+        .where(F.col("first") <= F.col("last"))
+    ends = F.array_distinct(F.array("first", "last"))
+    parent_low = F.floor(F.col("block") / 2) * 2 * F.col("w")
+    whole_parent = (parent_low >= F.col("lo")) & (parent_low + 2 * F.col("w") <= F.col("hi"))
+    blocks = blocks.withColumn("block", F.explode(ends)).where(~whole_parent | (F.col("k") == 32))
+    ips = clicks.select(F.col(ip_col).alias("ip")).distinct().withColumn("ip_num", network.ipv4_number("ip")) \
+        .where(F.col("ip_num").isNotNull())
+    probes = ips.withColumn("k", sizes).withColumn("block", F.floor(F.col("ip_num") / width).cast("bigint"))
+    found = probes.join(blocks.select("k", "block", "lo", "hi", "place"), ["k", "block"]).groupBy("ip").agg(
+        F.max_by("place", F.struct("lo", -F.col("hi"), F.to_json("place"))).alias("place"))
+    located = found.select(F.col("ip").alias(ip_col), "place.country", "place.country_code", "place.region", "place.city")
+    return clicks.drop("country", "country_code", "region", "city").join(located, ip_col, "left")

@@ -1,18 +1,24 @@
 """Request-rate verdicts: sliding window (W1/W2), fixed window (W5), token bucket.
 
-Hot keys: one client IP may send a third of all requests, so no operator partitions by IP
-alone. The sliding window is evaluated per (ip, window-length bucket) with a one-bucket
-halo, the fixed window per (ip, bucket), and the token bucket per (ip, burst) where a burst
-ends whenever the bucket has had time to refill completely.
+Hot keys: one client IP may send a third of all requests, so no operator sorts a key's whole
+history in one task. A key's time is cut into buckets whose number follows the key's own
+request count; running sums stay inside a bucket and one summary row per bucket carries them
+over. The token bucket is a recursion per key and is streamed in order with one number of
+state per key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Requests per bucket that a hot key is cut into.
+BUCKET_ROWS = 50_000
+
 
 def _micros(col: str):
     return F.unix_micros(F.col(col))
@@ -20,53 +26,49 @@ def _micros(col: str):
 
 def sliding_window_verdicts(requests: DataFrame, limit: int, window_seconds: float, key: str = "ip",
                             time_col: str = "requested_at", id_col: str = "event_id",
-                            sub_buckets: int = 8) -> DataFrame:
+                            bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per request, the number of earlier requests of the same key inside the window
     (times ``t - window < t' < t``; denied requests count too, trap T19), the verdict
     ``allowed = prior < limit``, ``remaining = max(limit - prior - 1, 0)`` (0 when denied) and
     the reset time (oldest request in the window + window when denied, else t + window).
 
-    Hot keys: time is cut into sub-buckets of ``window / k``. For a request in sub-bucket j
-    the window covers (1) earlier requests of sub-bucket j, (2) the whole sub-buckets
-    j-k+1 .. j-1 and (3) the tail of sub-bucket j-k. (1) and (3) come from a RANGE frame over
-    the partition (key, j), which holds sub-bucket j plus a halo copy of sub-bucket j-k; (2)
-    comes from one summary row (count, first time) per earlier sub-bucket, copied into the
-    partition. A partition therefore holds 2/k of a window of one key plus k-1 summary rows,
-    whatever the key's volume, and probes, halo and summaries meet in a single shuffle."""
+    Each request is a +1 at its time and a -1 one window later, so the prior count is a
+    running sum, and the reset time of a denied request is the next expiry after it. Both are
+    frames that only grow, hence linear in a key's requests however dense they are. A key is
+    cut into time buckets of about ``bucket_rows`` requests; two rows per bucket carry the sum
+    of the buckets before and the first expiry of the buckets after it."""
     w_us = int(round(window_seconds * 1_000_000))
-    k = sub_buckets if sub_buckets > 0 and w_us % sub_buckets == 0 else 1
-    s_us = w_us // k
-    base = (requests.withColumn("_t", _micros(time_col))
-            .withColumn("_sub", F.floor(F.col("_t") / s_us).cast("bigint")))
-    # (2): one summary row (count, first time) per (key, sub-bucket), copied into the k-1
-    # following sub-buckets' partitions (no join: everything meets in one shuffle)
-    per_sub = base.groupBy(key, "_sub").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"))
-    summaries = (per_sub.withColumn("_sub", F.explode(F.sequence(F.col("_sub") + 1, F.col("_sub") + k - 1)))
-                 if k > 1 else per_sub.where(F.lit(False)))
-    summaries = summaries.withColumn("_probe", F.lit(False))
-    # (1) + (3): own sub-bucket plus a halo copy of sub-bucket j-k in partition (key, j)
-    probes = base.withColumn("_probe", F.lit(True))
-    halo = base.select(key, "_t", (F.col("_sub") + k).alias("_sub")).withColumn("_probe", F.lit(False))
-    both = probes.unionByName(halo, allowMissingColumns=True).unionByName(summaries, allowMissingColumns=True)
-    part = Window.partitionBy(key, "_sub")
-    frame = part.orderBy("_t").rangeBetween(-(w_us - 1), -1)
-    scored = (both.withColumn("_edge_n", F.count("_t").over(frame))
-              .withColumn("_edge_first", F.min("_t").over(frame))
-              .withColumn("_mid_n", F.coalesce(F.sum("_n").over(part), F.lit(0)))
-              .withColumn("_mid_first", F.min("_first").over(part))
-              .where(F.col("_probe")))
-    prior = (F.col("_edge_n") + F.col("_mid_n")).cast("bigint")
-    oldest = F.least(F.col("_edge_first"), F.col("_mid_first"))
-    scored = scored.withColumn("prior_count", prior).withColumn("_oldest", oldest)
+    timed = requests.withColumn("_t", _micros(time_col))
+    span = timed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_from"), F.max("_t").alias("_to"))
+    span = span.select(key, "_from", F.greatest(F.lit(1), F.ceil(
+        (F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / bucket_rows))).cast("bigint").alias("_width"))
+    # order inside a bucket: at one time expiries (even) come before requests (odd)
+    arrivals = timed.join(span, key).withColumn("_at", F.col("_t")) \
+        .withColumn("_o", F.col("_t") * 2 + 1).withColumn("_d", F.lit(1).cast("bigint"))
+    expiries = arrivals.select(key, "_from", "_width", (F.col("_t") + w_us).alias("_at"),
+                               ((F.col("_t") + w_us) * 2).alias("_o"), F.lit(-1).cast("bigint").alias("_d"),
+                               (F.col("_t") + w_us).alias("_expiry"))
+    moves = arrivals.unionByName(expiries, allowMissingColumns=True) \
+        .withColumn("_b", F.floor((F.col("_at") - F.col("_from")) / F.col("_width")).cast("bigint")).drop("_from", "_width", "_at")
+    buckets = moves.groupBy(key, "_b").agg(F.sum("_d").alias("_sum"), F.min("_expiry").alias("_first"))
+    by_bucket = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("_before", F.coalesce(F.sum("_sum").over(by_bucket), F.lit(0))) \
+        .withColumn("_next", F.min("_first").over(back))
+    low = buckets.select(key, "_b", F.lit(-(1 << 62)).cast("bigint").alias("_o"), F.col("_before").alias("_d"))
+    high = buckets.select(key, "_b", F.lit(1 << 62).cast("bigint").alias("_o"), F.col("_next").alias("_expiry"))
+    every = moves.unionByName(low, allowMissingColumns=True).unionByName(high, allowMissingColumns=True)
+    ahead = Window.partitionBy(key, "_b").orderBy("_o").rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(key, "_b").orderBy(F.desc("_o")).rangeBetween(Window.unboundedPreceding, -1)
+    scored = (every.withColumn("prior_count", F.coalesce(F.sum("_d").over(ahead), F.lit(0)))
+              .withColumn("_frees", F.min("_expiry").over(later)).where(F.col("_t").isNotNull()))
     allowed = F.col("prior_count") < limit
-    reset_us = F.when(allowed, F.col("_t") + w_us).otherwise(F.col("_oldest") + w_us)
     return (scored
             .withColumn("allowed", allowed)
             .withColumn("remaining", F.when(allowed, F.greatest(F.lit(limit) - F.col("prior_count") - 1, F.lit(0)))
                         .otherwise(F.lit(0)).cast("int"))
-            .withColumn("reset_at", F.timestamp_micros(reset_us))
-            .drop("_t", "_sub", "_probe", "_oldest", "_edge_n", "_edge_first", "_mid_n", "_mid_first",
-                  "_n", "_first"))
+            .withColumn("reset_at", F.timestamp_micros(F.when(allowed, F.col("_t") + w_us).otherwise(F.col("_frees"))))
+            .drop("_t", "_o", "_d", "_expiry", "_b", "_frees"))
 
 
 def rate_headers(verdicts: DataFrame, limit: int, time_col: str = "requested_at") -> DataFrame:
@@ -84,19 +86,20 @@ def rate_headers(verdicts: DataFrame, limit: int, time_col: str = "requested_at"
 
 
 def fixed_window_verdicts(requests: DataFrame, limit: int, window_seconds: float, key: str = "ip",
-                          time_col: str = "requested_at", id_col: str = "event_id", sub_buckets: int = 64) -> DataFrame:
+                          time_col: str = "requested_at", id_col: str = "event_id",
+                          bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The first ``limit`` requests of each (key, aligned window) pass; ``position`` is the
     request's 1-based rank in its window.
 
-    The rank is computed in two levels so a hot (key, window) is not sorted in one task:
-    requests are counted per (key, window, sub-bucket of window / ``sub_buckets``), a prefix
-    sum over those <= ``sub_buckets`` counts gives each sub-bucket's offset, and
-    ``row_number`` runs only inside a sub-bucket."""
+    The rank is computed in two levels: a window is cut into sub-buckets of equal length, as
+    many as its own request count asks for; a prefix sum over the sub-bucket counts gives each
+    one's offset, and ``row_number`` runs only inside a sub-bucket."""
     w_us = int(round(window_seconds * 1_000_000))
-    sub_us = max(1, w_us // sub_buckets)
     t = _micros(time_col)
-    out = (requests.withColumn("_win", F.floor(t / w_us).cast("bigint"))
-           .withColumn("_sub", F.floor((t - F.col("_win") * w_us) / sub_us).cast("bigint")))
+    timed = requests.withColumn("_win", F.floor(t / w_us).cast("bigint"))
+    sizes = timed.groupBy(key, "_win").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("_subs"))
+    out = timed.join(sizes, [key, "_win"]).withColumn(
+        "_sub", F.floor((t - F.col("_win") * w_us) / F.ceil(F.lit(w_us) / F.col("_subs"))).cast("bigint")).drop("_subs")
     counts = out.groupBy(key, "_win", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key, "_win").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -153,33 +156,30 @@ def _burst_starts(requests: DataFrame, key: str, time_col: str, id_col: str, gap
 def token_bucket_verdicts(requests: DataFrame, capacity: float, refill_per_second: float, key: str = "ip",
                           time_col: str = "requested_at", id_col: str = "event_id") -> DataFrame:
     """Token bucket per key (refill ``refill_per_second`` up to ``capacity``, 1 token per
-    request). The recursion is per key, so it runs in ``applyInPandas``; the key's history is
-    cut into independent bursts wherever the gap to the previous request is long enough to
-    refill the bucket from empty (state is then exactly ``capacity``), so a group is one burst
-    of one key, not the key's whole history (``_burst_starts`` finds the cuts without a
-    per-key sort)."""
+    request). A key's history is cut into independent bursts wherever the gap to the previous
+    request is long enough to refill the bucket from empty. The recursion inside a burst is
+    sequential; it is streamed in time order with two numbers of state (``mapInPandas`` over
+    sorted partitions), so memory is one Arrow batch however long a burst is. A client that
+    never pauses is one burst and is walked through by one task."""
     refill_gap_us = int(capacity / refill_per_second * 1_000_000) + 1
     bursts = _burst_starts(requests, key, time_col, id_col, refill_gap_us)
     slim = bursts.select(F.col(id_col).cast("bigint").alias("event_id"), F.col(key).alias("ip"),
-                         F.col(time_col).alias("requested_at"), "_burst")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["requested_at", "event_id"])
-        micros = (pdf["requested_at"].astype("int64").to_numpy() // 1000).tolist()  # ns -> us, exact ints
-        tokens, last = capacity, None
-        before, ok = [], []
-        for us in micros:
-            if last is not None:
-                tokens = min(capacity, tokens + (us - last) / 1e6 * refill_per_second)
-            last = us
-            before.append(tokens)
-            if tokens >= 1.0:
-                tokens -= 1.0
-                ok.append(True)
-            else:
-                ok.append(False)
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "ip": pdf["ip"].to_numpy(),
-                             "requested_at": pdf["requested_at"].to_numpy(), "tokens_before": before,
-                             "allowed": ok})
-
-    return slim.groupBy("ip", "_burst").applyInPandas(run, TOKEN_OUT)
+                         F.col(time_col).alias("requested_at"), "_burst", _micros(time_col).alias("_us"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        burst, tokens, last = None, capacity, 0
+        for pdf in batches:
+            before, ok = [], []
+            for ip, start, us in zip(pdf["ip"], pdf["_burst"], pdf["_us"], strict=True):
+                if (ip, start) != burst:
+                    burst, tokens = (ip, start), capacity
+                else:
+                    tokens = min(capacity, tokens + (us - last) / 1e6 * refill_per_second)
+                last = us
+                before.append(tokens)
+                ok.append(tokens >= 1.0)
+                tokens -= 1.0 if tokens >= 1.0 else 0.0
+            yield pdf[["event_id", "ip", "requested_at"]].assign(tokens_before=before, allowed=ok)
+
+    ordered = slim.repartition("ip", "_burst").sortWithinPartitions("ip", "_burst", "_us", "event_id")
+    return ordered.mapInPandas(run, TOKEN_OUT)

@@ -18,7 +18,8 @@ class Page:
 
 
 def page_args(endpoint: str, limit: int | None, offset: int | None) -> Page:
-    """L5 (trap T16): the argument rule of each endpoint, applied on the driver."""
+    """L5 (trap T16): the argument rule of each endpoint, for callers that answer requests. The
+    operators themselves take the page they are given."""
     off = offset if offset is not None and offset >= 0 else 0
     if endpoint == "list":  # clamp to [1, 1000], default 100
         lim = 100 if not limit or limit <= 0 else min(limit, 1000)
@@ -56,16 +57,15 @@ def listing_page(urls: DataFrame, as_of, limit: int, offset: int, base_url: str
     """Page of active URLs newest first, with ``short_url``, ``total`` and ``has_more``.
 
     The page is a bounded top-(offset+limit) sort; the total is a scalar subquery."""
-    page = page_args("list", limit, offset)
     matched = active(urls, as_of)
     if owner is not None:
         matched = matched.where(F.col("user_id") == owner)
-    rows = matched.orderBy(F.desc("created_at"), F.asc("short_code")).offset(page.offset).limit(page.limit)
+    rows = matched.orderBy(F.desc("created_at"), F.asc("short_code")).offset(offset).limit(limit)
     rows = rows.select("short_code", "long_url", "clicks", "created_at", "expires_at",
                        F.coalesce("user_id", F.lit("")).alias("user_id"),
                        F.concat(F.lit(base_url), F.lit("/"), F.col("short_code")).alias("short_url"))
     rows = with_scalar_total(rows, matched)
-    return rows.withColumn("has_more", F.lit(page.offset + page.limit) < F.col("total"))
+    return rows.withColumn("has_more", F.lit(offset + limit) < F.col("total"))
 
 
 def owner_pages(urls: DataFrame, as_of, limit: int = 10, offset: int = 0) -> DataFrame:
@@ -110,11 +110,24 @@ def click_display(clicks: DataFrame) -> DataFrame:
     )
 
 
-def viewer_pages(df: DataFrame, order_cols: list, key: str, size: int = 10) -> DataFrame:
+def viewer_pages(df: DataFrame, order_cols: list, key: str, size: int = 10, block_rows: int = 50_000) -> DataFrame:
     """Page number ``(row_number - 1) div size`` and page count ``ceil(n / size)`` per ``key``
-    (e.g. per short code for the click viewer)."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("_rn", F.row_number().over(w.orderBy(*order_cols)))
-    count = F.count(F.lit(1)).over(w)
-    return (ranked.withColumn("page_no", F.floor((F.col("_rn") - 1) / size).cast("int"))
-            .withColumn("page_count", F.ceil(count / size).cast("int")).drop("_rn"))
+    (e.g. per short code for the click viewer). ``order_cols`` starts with the time column.
+
+    A hot key is cut into blocks of time, as many as its row count asks for; the rank runs inside
+    a block and a prefix sum over one row per block carries it on."""
+    first = order_cols[0]
+    time_col, newest = (first[0], first[1] == "desc") if isinstance(first, tuple) else (first, False)
+    t = F.unix_micros(F.col(time_col))
+    span = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.min(t).alias("_from"), F.max(t).alias("_to"))
+    width = F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_rows") / block_rows))
+    block = F.floor(((F.col("_to") - t) if newest else (t - F.col("_from"))) / width).cast("bigint")
+    cut = df.join(span, key).withColumn("_block", block).drop("_from", "_to")
+    counts = cut.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    order = [(F.desc(c[0]) if c[1] == "desc" else F.asc(c[0])) if isinstance(c, tuple) else F.asc(c) for c in order_cols]
+    rank = F.col("_offset") + F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order))
+    return (cut.join(counts, [key, "_block"]).withColumn("_rn", rank)
+            .withColumn("page_no", F.floor((F.col("_rn") - 1) / size).cast("int"))
+            .withColumn("page_count", F.ceil(F.col("_rows") / size).cast("int")).drop("_rn", "_rows", "_block", "_offset"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickspark.functions import validation as v
+from clickspark.operators.common import quantiles
+from clickspark.operators.tables import by_number
 
 
 def alias_audit(aliases: DataFrame, alias_col: str = "alias", deny_terms: list[str] | None = None) -> DataFrame:
@@ -43,47 +45,42 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def email_audit(users: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Q4/Q5: registration audit, first failing rule wins: missing field, invalid email,
-    short password (when a ``password`` column is present), email already registered
-    (``existing`` users), duplicate inside the batch (every copy but the smallest id).
+    """Q4/Q5: registration audit, first failing rule wins: missing field, short password (when a
+    ``password`` column is present), invalid email, email already registered (``existing`` users),
+    duplicate inside the batch. Emails are compared as exact text. Only rows that pass the other
+    rules may claim an email; the smallest id of those gets it (``9`` before ``10``).
 
     The first id per email is a grouped ``min`` joined back (partial aggregation; a hot
     email is split by AQE's skew-join handling) rather than a window over the email."""
     email = F.col("email")
-    firsts = users.groupBy(F.lower("email").alias("_email")).agg(F.min("id").alias("_first_id"))
-    users = users.join(firsts, F.lower(users.email) == firsts._email, "left")
-    first = F.col("_first_id").isNull() | (F.col("id") == F.col("_first_id"))
     reason = F.when(F.coalesce(email, F.lit("")) == "", F.lit("missing_email")) \
         .when(F.coalesce(F.col("name"), F.lit("")) == "", F.lit("missing_name"))
     if "password" in users.columns:
         reason = reason.when(F.coalesce(F.col("password"), F.lit("")) == "", F.lit("missing_password")) \
             .when(F.length("password") < 8, F.lit("short_password"))
     reason = reason.when(~v.is_valid_email(email), F.lit("invalid_email"))
-    out = users
     if existing is not None:
-        taken = existing.select(F.lower("email").alias("_taken")).distinct().withColumn("_hit", F.lit(True))
-        out = out.join(taken, F.lower(out.email) == taken._taken, "left").drop("_taken")
+        users = users.join(existing.select("email").distinct().withColumn("_hit", F.lit(True)), "email", "left")
         reason = reason.when(F.col("_hit"), F.lit("email_taken"))
-    reason = reason.when(~first, F.lit("duplicate_email"))
-    out = out.withColumn("reason", reason).drop("_email", "_first_id")
-    return out.drop("_hit") if existing is not None else out
+    checked = users.withColumn("reason", reason)
+    firsts = checked.where(F.col("reason").isNull()).groupBy("email").agg(F.min(by_number("id"))["id"].alias("_first"))
+    return checked.join(firsts, "email", "left").withColumn("reason", F.coalesce(
+        "reason", F.when(F.col("id") != F.col("_first"), F.lit("duplicate_email")))).drop("_first", "_hit")
 
 
 def slo_report(requests: DataFrame, p95_ms: float = 500.0, p99_ms: float = 1000.0, max_error_rate: float = 0.01,
-               by: str | None = "day", exact: bool = True) -> DataFrame:
-    """Q7: p95 / p99 duration, error and success rate against the load-test thresholds.
-
-    ``exact=True`` uses ``percentile`` (value-count maps merged across tasks, bounded by the
-    number of distinct durations); ``exact=False`` uses the mergeable ``percentile_approx``."""
-    pct = (lambda c, p: F.percentile(c, p)) if exact else (lambda c, p: F.percentile_approx(c, p, 10000).cast("double"))
-    keys = [F.to_date("requested_at").alias("day")] if by == "day" else []
+               by: str | None = "day") -> DataFrame:
+    """Q7: exact p95 / p99 duration, error and success rate against the load-test thresholds."""
+    keys = ["day"] if by == "day" else []
+    rows = requests.withColumn("day", F.to_date("requested_at"))
     failed = F.col("status") >= 500
-    out = requests.groupBy(*keys).agg(
+    rates = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests"),
-        F.round(pct(F.col("duration_ms"), 0.95), 6).alias("p95_ms"),
-        F.round(pct(F.col("duration_ms"), 0.99), 6).alias("p99_ms"),
         F.round(F.avg(failed.cast("double")), 6).alias("error_rate"),
-        F.round(F.avg((~failed).cast("double")), 6).alias("success_rate"),
-    )
+        F.round(F.avg((~failed).cast("double")), 6).alias("success_rate"))
+    marks = quantiles(rows, keys, "duration_ms", {"p95_ms": 0.95, "p99_ms": 0.99})
+    out = rates.join(marks, keys, "left") if keys else rates.join(marks, F.lit(True), "left")
+    out = out.withColumns({c: F.round(c, 6) for c in ("p95_ms", "p99_ms")}).select(
+        *keys, "requests", "p95_ms", "p99_ms", "error_rate", "success_rate")
     return out.withColumn(
         "passed", (F.col("p95_ms") < p95_ms) & (F.col("p99_ms") < p99_ms) & (F.col("error_rate") < max_error_rate))

@@ -8,12 +8,13 @@ costs one partial row per map task, not one task holding all its clicks.
 
 from __future__ import annotations
 
+import datetime as dtm
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickspark.operators.common import (by_count, chronological, dt, filter_codes, prune_months, share_pct,
+from clickspark.operators.common import (by_count, chronological, dt, filter_codes, prune_months, quantiles, share_pct,
                                         top_n_per_key, ts)
 from clickspark.schemas import blank_to_null
 
@@ -118,21 +119,6 @@ def top_referrers(clicks: DataFrame, start, end, limit: int = 10, codes: Sequenc
     return top_n_per_key(grouped, ["short_code"], [F.desc("click_count"), F.asc("referer")], limit)
 
 
-def top_referrers_sketch(clicks: DataFrame, start, end, limit: int = 10, max_tracked: int = 10_000,
-                         codes: Sequence[str] | None = None) -> DataFrame:
-    """A7 for very high-cardinality referrers: one mergeable ``approx_top_k`` sketch per code
-    (partial aggregation keeps one sketch per task per code), so no (code, referer) pair table
-    is shuffled. Counts are estimates; with at most ``max_tracked`` distinct referrers per
-    code the result equals ``top_referrers``."""
-    base = _in_dates(filter_codes(clicks, codes), start, end).where(F.col("referer") != "")
-    sketch = base.groupBy("short_code").agg(
-        F.expr(f"approx_top_k(referer, {int(limit)}, {int(max_tracked)})").alias("_top"))
-    items = sketch.select("short_code", F.posexplode("_top").alias("_pos", "_item"))
-    return items.select("short_code", F.col("_item.item").alias("referer"),
-                        F.col("_item.count").cast("bigint").alias("click_count"),
-                        (F.col("_pos") + 1).alias("rank"))
-
-
 def top_referrers_direct(clicks: DataFrame, limit: int = 10, codes: Sequence[str] | None = None) -> DataFrame:
     """Referrers with missing ones labelled ``direct`` *after* grouping by the raw column,
     so a literal ``direct`` referrer and missing referrers stay two rows (trap T7)."""
@@ -144,13 +130,25 @@ def top_referrers_direct(clicks: DataFrame, limit: int = 10, codes: Sequence[str
 
 
 def timeline_daily(clicks: DataFrame, as_of, n_days: int = 7, codes: Sequence[str] | None = None,
-                   ordered: bool = False) -> DataFrame:
-    """Daily click counts of the last ``n_days`` days (strict ``>``; first bucket partial, no gap fill)."""
-    base = filter_codes(clicks, codes).where(F.col("clicked_at") > ts(as_of) - days(n_days))
+                   ordered: bool = False, fill_gaps: bool = False) -> DataFrame:
+    """Daily click counts of the last ``n_days`` days (strict ``>``; first bucket partial). With
+    ``fill_gaps`` every code seen in the period gets a row for each day, 0 where it has no click."""
+    since = dtm.datetime.fromisoformat(str(as_of)) - dtm.timedelta(days=n_days)
+    base = prune_months(filter_codes(clicks, codes), start=since).where(F.col("clicked_at") > ts(since))
     out = base.groupBy("short_code", F.date_trunc("day", "clicked_at").alias("bucket")).agg(_cnt("clicks"))
+    if fill_gaps:
+        out = fill_days(out, since, as_of, "clicks")
     return chronological(out, "bucket") if ordered else out
 
 
+def fill_days(series: DataFrame, start, end, count: str, bucket: str = "bucket") -> DataFrame:
+    """T11 option: one row per code of ``series`` and day from ``start`` to ``end`` (exclusive)."""
+    last = ts(end) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
+    every = F.sequence(F.date_trunc("day", ts(start)), F.date_trunc("day", last), F.make_dt_interval(F.lit(1)))
+    grid = series.select("short_code").distinct().select("short_code", F.explode(every).alias(bucket))
+    return grid.join(series, ["short_code", bucket], "left").withColumn(count, F.coalesce(count, F.lit(0)))
+
+
 # --- A10 / A11 / A12: time series ---------------------------------------------------------------
 
 def series_hourly(clicks: DataFrame, start, end, codes: Sequence[str] | None = None, ordered: bool = False) -> DataFrame:
@@ -201,24 +199,13 @@ def country_device_cross(clicks: DataFrame, codes: Sequence[str] | None = None)
     return filter_codes(clicks, codes).groupBy("short_code", "country", "device_type").agg(_cnt("clicks"))
 
 
-def pipeline_lag(clicks: DataFrame, expected_p95_seconds: float = 10.0, exact: bool = True) -> DataFrame:
-    """Click-to-processed lag percentiles (seconds) against the expected lag.
-
-    Lags are taken in whole milliseconds, so the exact percentile's value-count map is bounded
-    by the lag range in ms (not by the number of events); ``exact=False`` uses the mergeable
-    ``percentile_approx`` sketch instead."""
-    lag_ms = F.floor((F.unix_micros("processed_at") - F.unix_micros("clicked_at")) / 1000)
-
-    def pct(p):
-        value = F.percentile(lag_ms, p) if exact else F.percentile_approx(lag_ms, p, 10_000).cast("double")
-        return F.round(value / 1000.0, 6)
-
-    out = clicks.agg(
-        pct(0.5).alias("p50_seconds"),
-        pct(0.95).alias("p95_seconds"),
-        pct(0.99).alias("p99_seconds"),
-        F.count(F.lit(1)).alias("events"),
-    )
+def pipeline_lag(clicks: DataFrame, expected_p95_seconds: float = 10.0) -> DataFrame:
+    """Exact click-to-processed lag percentiles (seconds, from whole milliseconds) against the
+    expected lag."""
+    lags = clicks.select(F.floor((F.unix_micros("processed_at") - F.unix_micros("clicked_at")) / 1000).alias("lag_ms"))
+    marks = quantiles(lags, [], "lag_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    seconds = [F.round(F.col(p) / 1000.0, 6).alias(f"{p}_seconds") for p in ("p50", "p95", "p99")]
+    out = marks.select(*seconds, lags.select(F.count(F.lit(1))).scalar().alias("events"))
     return out.withColumn("within_expectation", F.col("p95_seconds") <= expected_p95_seconds)
 
 
@@ -235,14 +222,14 @@ def _feed_projection(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 
 def recent_clicks(clicks: DataFrame, limit: int = 50, codes: Sequence[str] | None = None) -> DataFrame:
-    """the newest ``limit`` clicks (one code or all), newest first, ``total`` = rows returned.
+    """the newest ``limit`` clicks (one code or all), newest first, ``total`` = rows
+    returned. Any limit is honoured; ``listing.page_args`` has the endpoint's own rule.
 
     ``orderBy().limit()`` plans as TakeOrderedAndProject: each task keeps its own top
     ``limit`` rows, so only ``limit x tasks`` rows reach the final merge."""
-    feed_limit = limit if 0 < limit <= 1000 else 50  # T16: out-of-range resets to 50
-    newest = filter_codes(clicks, codes).orderBy(F.desc("clicked_at"), F.asc("event_id")).limit(feed_limit)
+    newest = filter_codes(clicks, codes).orderBy(F.desc("clicked_at"), F.asc("event_id")).limit(limit)
     page = _feed_projection(newest)
-    # total = rows returned; a window over at most ``feed_limit`` (<= 1000) rows
+    # total = rows returned; a window over at most ``limit`` rows
     return page.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
 
 
@@ -254,66 +241,56 @@ def recent_clicks_per_code(clicks: DataFrame, n: int = 10) -> DataFrame:
 
 # --- A15 / A16: composite replies ---------------------------------------------------------------
 
-def _ranked_list(df: DataFrame, label: str, count: str, n: int, name: str) -> DataFrame:
-    """Top ``n`` (label, count) of every code as ``'label:count,...'`` in count-desc order."""
-    top = top_n_per_key(df, ["short_code"], [F.desc(count), F.asc(label)], n)
-    packed = top.groupBy("short_code").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col(count)).alias("neg"), F.col(label).alias("label")))).alias("xs"))
-    text = F.array_join(F.transform("xs", lambda x: F.concat(x["label"], F.lit(":"), (-x["neg"]).cast("string"))), ",")
-    return packed.select("short_code", text.alias(name))
+def _listed(rows: DataFrame, order: Sequence, n: int) -> DataFrame:
+    """Rank and share of every (code, set) list, cut to ``n`` entries. One window partitioning serves
+    both, over rows that are counts already."""
+    w = Window.partitionBy("short_code", "gid")
+    ranked = rows.withColumn("percentage", share_pct(F.col("clicks"), F.sum("clicks").over(w))) \
+        .withColumn("rank", F.row_number().over(w.orderBy(F.desc("clicks"), *order)))
+    return ranked.where(F.col("rank") <= n)
 
 
 def composite_stats(clicks: DataFrame, start=None, end=None, n: int = 5,
                     codes: Sequence[str] | None = None) -> DataFrame:
-    """Totals, distinct visitors, top countries, top referrers and device counts per code,
-    optional time range.
-
-    One scan and one shuffle feed every part: a GROUPING SETS aggregate over (code),
-    (code, country), (code, referer) and (code, ip) (Expand + partial aggregation before the
-    exchange). Its result is small (one row per code / country / referer / visitor) and is
-    reused through exchange reuse by the per-part selections below; the lists carry at most
-    ``n`` entries, so no group ever collects more than ``n`` rows."""
+    """A15 per code, optional inclusive time range: totals, distinct visitors, ``countries`` (code,
+    name, clicks, share), ``referrers`` (referer, clicks, share) and ``devices`` (mobile, desktop,
+    tablet, other); lists hold the ``n`` highest, shares refer to all non-blank entries.
+
+    Two scans of the clicks: one aggregate for totals and exact visitors, one GROUPING SETS
+    aggregate over (country, code) and (referer) for both lists, which one window ranks."""
     base = filter_codes(clicks, codes)
     if start is not None and end is not None:
         base = prune_months(base, start, end).where(F.col("clicked_at").between(ts(start), ts(end)))
     d = F.col("device_type")
-    sets = [["short_code"], ["short_code", "country"], ["short_code", "referer"], ["short_code", "ip_address"]]
-    agg = base.groupingSets(sets, "short_code", "country", "referer", "ip_address").agg(
-        _cnt("c"),
-        F.count_if(d == "desktop").alias("desktop"), F.count_if(d == "mobile").alias("mobile"),
-        F.count_if(d == "tablet").alias("tablet"), F.count_if(d == "bot").alias("bot"),
-        F.grouping_id().alias("gid"))
-    # grouping_id bits (country, referer, ip_address): 1 = column not grouped in that set
-    totals = agg.where(F.col("gid") == 7).select(
-        "short_code", F.col("c").alias("total_clicks"), "desktop", "mobile", "tablet", "bot")
-    visitors = (agg.where((F.col("gid") == 6) & F.col("ip_address").isNotNull())
-                .groupBy("short_code").agg(_cnt("unique_visitors")))
-    countries = agg.where((F.col("gid") == 3) & (F.col("country") != "")).select("short_code", "country", "c")
-    referrers = agg.where((F.col("gid") == 5) & (F.col("referer") != "")).select("short_code", "referer", "c")
-    return (totals.join(visitors, "short_code", "left")
-            .withColumn("unique_visitors", F.coalesce("unique_visitors", F.lit(0)))
-            .join(_ranked_list(countries, "country", "c", n, "top_countries"), "short_code", "left")
-            .join(_ranked_list(referrers, "referer", "c", n, "top_referrers"), "short_code", "left")
-            .select("short_code", "total_clicks", "unique_visitors", "desktop", "mobile", "tablet", "bot",
-                    "top_countries", "top_referrers"))
+    totals = base.groupBy("short_code").agg(
+        _cnt(), F.count_distinct("ip_address").alias("unique_visitors"),
+        F.count_if(d == "mobile").alias("mobile"), F.count_if(d == "desktop").alias("desktop"),
+        F.count_if(d == "tablet").alias("tablet"))
+    named = base.groupingSets([["short_code", "country", "country_code"], ["short_code", "referer"]],
+                              "short_code", "country", "country_code", "referer").agg(
+        _cnt("clicks"), F.grouping("referer").cast("int").alias("gid"))
+    named = named.where(F.when(F.col("gid") == 1, F.col("country")).otherwise(F.col("referer")) != "")
+    top = _listed(named, ["country", "country_code", "referer"], n)
+    country = F.struct("rank", "country_code", F.col("country").alias("country_name"), F.col("clicks").alias("click_count"), "percentage")
+    referrer = F.struct("rank", "referer", F.col("clicks").alias("click_count"), "percentage")
+    lists = top.groupBy("short_code").agg(  # at most 2n rows of a code
+        F.sort_array(F.collect_list(F.when(F.col("gid") == 1, country))).alias("countries"),
+        F.sort_array(F.collect_list(F.when(F.col("gid") == 0, referrer))).alias("referrers"))
+    other = F.col("total_clicks") - F.col("mobile") - F.col("desktop") - F.col("tablet")
+    return totals.join(lists, "short_code", "left").select(
+        "short_code", "total_clicks", "unique_visitors", "countries", "referrers",
+        F.struct("mobile", "desktop", "tablet", other.alias("other")).alias("devices"))
 
 
 def geo_city_share(clicks: DataFrame, limit: int = 5, codes: Sequence[str] | None = None) -> DataFrame:
-    """Countries and cities of every code, each with its share, ``limit`` of each.
+    """Countries and cities of every code, each with its country code and share, ``limit`` of
+    each.
 
-    One GROUPING SETS aggregate over (code, country) and (code, city, country) feeds both
-    levels (single scan, single shuffle); shares and top-n run on the aggregated rows."""
+    One scan: a GROUPING SETS aggregate over both levels, then one window per (code, level)."""
     base = filter_codes(clicks, codes).where(F.col("country") != "")
-    agg = base.groupingSets([["short_code", "country"], ["short_code", "city", "country"]],
-                            "short_code", "country", "city").agg(_cnt("clicks"), F.grouping_id().alias("gid"))
-    per_code = Window.partitionBy("short_code")
-    countries = agg.where(F.col("gid") == 1).select("short_code", "country", "clicks")
-    countries = countries.withColumn("percentage", share_pct(F.col("clicks"), F.sum("clicks").over(per_code)))
-    countries = top_n_per_key(countries, ["short_code"], [F.desc("clicks"), F.asc("country")], limit)
-    cities = agg.where((F.col("gid") == 0) & (F.col("city") != "")).select("short_code", "city", "country", "clicks")
-    cities = cities.withColumn("percentage", share_pct(F.col("clicks"), F.sum("clicks").over(per_code)))
-    cities = top_n_per_key(cities, ["short_code"], [F.desc("clicks"), F.asc("city"), F.asc("country")], limit)
-    return (countries.select("short_code", F.lit("country").alias("level"), "country", F.lit("").alias("city"),
-                             "clicks", "percentage")
-            .unionByName(cities.select("short_code", F.lit("city").alias("level"), "country", "city",
-                                       "clicks", "percentage")))
+    agg = base.groupingSets([["short_code", "country", "country_code"], ["short_code", "city", "country", "country_code"]],
+                            "short_code", "country", "country_code", "city").agg(_cnt("clicks"), F.grouping("city").cast("int").alias("gid"))
+    named = agg.where((F.col("gid") == 1) | (F.col("city") != ""))
+    top = _listed(named, [F.asc_nulls_first("city"), "country", "country_code"], limit)
+    return top.select("short_code", F.when(F.col("gid") == 1, F.lit("country")).otherwise(F.lit("city")).alias("level"),
+                      "country", "country_code", F.coalesce("city", F.lit("")).alias("city"), "clicks", "percentage")

@@ -86,18 +86,16 @@ def cascade_delete(clicks: DataFrame, deleted_codes: DataFrame) -> DataFrame:
 
 def creation_audit(requests: DataFrame, urls: DataFrame) -> DataFrame:
     """K11 checks per request (``request_id, long_url, alias``): invalid URL, alias rule (Q1),
-    alias already taken (left join on the existing keys), alias repeated inside the batch
-    (every request but the smallest id). NULL reason = accepted."""
-    reason = (F.when(~v.is_valid_url("long_url"), F.lit("invalid_url"))
-              .otherwise(v.alias_reason("alias")))
-    checked = requests.withColumn("reason", reason)
+    alias already taken (left join on the existing keys), alias repeated inside the batch. Only
+    requests that pass the other checks may claim an alias; the smallest id of those gets it.
+    NULL reason = accepted."""
     taken = urls.select(F.col("short_code").alias("alias")).distinct().withColumn("_taken", F.lit(True))
-    firsts = checked.groupBy("alias").agg(F.min("request_id").alias("_first"))
-    checked = checked.join(taken, "alias", "left").join(firsts, "alias", "left")
-    reason = (F.coalesce(F.col("reason"),
-                         F.when(F.col("_taken"), F.lit("alias_taken"))
-                         .when(F.col("request_id") != F.col("_first"), F.lit("duplicate_in_batch"))))
-    return checked.withColumn("reason", reason).drop("_taken", "_first")
+    reason = (F.when(~v.is_valid_url("long_url"), F.lit("invalid_url"))
+              .otherwise(F.coalesce(v.alias_reason("alias"), F.when(F.col("_taken"), F.lit("alias_taken")))))
+    checked = requests.join(taken, "alias", "left").withColumn("reason", reason).drop("_taken")
+    firsts = checked.where(F.col("reason").isNull()).groupBy("alias").agg(F.min("request_id").alias("_first"))
+    return checked.join(firsts, "alias", "left").withColumn("reason", F.coalesce(
+        "reason", F.when(F.col("request_id") != F.col("_first"), F.lit("duplicate_in_batch")))).drop("_first")
 
 
 def bulk_create_urls(requests: DataFrame, urls: DataFrame, as_of, default_ttl_hours: int = 72) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +125,9 @@ def bulk_register(new_users: DataFrame, users: DataFrame) -> tuple[DataFrame, Da
 
 
 def track_clicks(raw: DataFrame) -> DataFrame:
-    """Record clicks by request and reply with their (deterministic) click ids."""
-    from clickspark.operators.enrich import RAW_FIELDS, event_id
+    """Record clicks by request and reply with their click ids. Identical clicks get one id
+    each (see ``enrich.with_positions``), the same ones whenever the batch is replayed."""
+    from clickspark.operators.enrich import RAW_FIELDS, event_id, with_positions
     present = [c for c in RAW_FIELDS if c in raw.columns]
-    return raw.withColumn("click_id", event_id([F.col(c) for c in present]))
+    numbered = with_positions(raw)
+    return numbered.withColumn("click_id", event_id([F.col(c) for c in present], F.col("position"))).drop("position")

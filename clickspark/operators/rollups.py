@@ -13,10 +13,12 @@ is identical because the rollup keeps the report's grouping keys.
 
 from __future__ import annotations
 
+import datetime as dtm
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickspark.operators.common import dt, share_pct, top_n_per_key, ts
+from clickspark.operators.common import dt, prune_months, share_pct, top_n_per_key, ts
 
 HLL_LG_K = 12  # 2^12 registers: ~1.6 % relative error, 4 KiB per sketch
 
@@ -78,23 +80,24 @@ PARTIAL_COLUMNS = ["short_code", "clicked_date", "clicked_hour", "country", "cou
 
 
 def partial_rollups(clicks: DataFrame) -> DataFrame:
-    """R1-R4 partial rows of one micro-batch from a single GROUPING SETS aggregate (one scan,
-    one shuffle, one write). ``rollup`` names the set; grouping columns outside a set are NULL;
-    visitor sketches are kept for the rollups that report visitors."""
+    """R1-R4 partial rows of one micro-batch. ``rollup`` names the set; grouping columns outside a
+    set are NULL. Two GROUPING SETS aggregates: one with visitor sketches for the sets that report
+    visitors, one with counts alone for the wide sets, which ship no sketch."""
     base = clicks.withColumn("clicked_hour", F.date_trunc("hour", "clicked_at"))
-    sets = [[k for k in keys] for keys in ROLLUP_KEYS.values()]
-    agg = base.groupingSets(sets, *PARTIAL_COLUMNS).agg(
-        F.count(F.lit(1)).alias("click_count"),
-        F.hll_sketch_agg("ip_address", HLL_LG_K).alias("visitors_sketch"),
-        F.grouping("country").alias("_g_country"), F.grouping("device_type").alias("_g_device"),
-        F.grouping("clicked_hour").alias("_g_hour"))
-    name = (F.when(F.col("_g_country") == 0, F.lit("clicks_by_country"))
-            .when(F.col("_g_device") == 0, F.lit("clicks_by_device"))
-            .when(F.col("_g_hour") == 0, F.lit("hourly_clicks"))
-            .otherwise(F.lit("daily_by_url")))
-    out = agg.withColumn("rollup", name).drop("_g_country", "_g_device", "_g_hour")
-    out = out.withColumn("visitors_sketch", F.when(F.col("rollup").isin(*SKETCH_ROLLUPS), F.col("visitors_sketch")))
-    return out.where((F.col("rollup") != "clicks_by_country") | (F.col("country") != ""))
+
+    def pair(names: tuple[str, str], second_only: str, *extra: Column) -> DataFrame:
+        """Two rollups at once; rows of the second are those grouped by ``second_only``."""
+        columns = list(dict.fromkeys(k for n in names for k in ROLLUP_KEYS[n]))
+        agg = base.groupingSets([ROLLUP_KEYS[n] for n in names], *columns).agg(
+            F.count(F.lit(1)).alias("click_count"), *extra, F.grouping(second_only).alias("_outside"))
+        return agg.withColumn("rollup", F.when(F.col("_outside") == 1, names[0]).otherwise(names[1])).drop("_outside")
+
+    sketch = F.hll_sketch_agg("ip_address", HLL_LG_K).alias("visitors_sketch")
+    counted = pair(("clicks_by_country", "clicks_by_device"), "device_type")
+    sketched = pair(("daily_by_url", "hourly_clicks"), "clicked_hour", sketch)
+    out = counted.unionByName(sketched, allowMissingColumns=True)
+    return out.select(*PARTIAL_COLUMNS, "click_count", "visitors_sketch", "rollup").where(
+        (F.col("rollup") != "clicks_by_country") | (F.col("country") != ""))
 
 
 def select_rollup(partials: DataFrame, name: str) -> DataFrame:
@@ -138,16 +141,15 @@ def refresh_window(clicks: DataFrame, as_of, start_offset_days: int = 3, end_off
     """The whole daily buckets inside ``[as_of - start_offset, as_of - end_offset)``, recomputed.
 
     Only buckets lying completely inside the window are produced, so writing the result with
-    dynamic partition overwrite on ``day`` replaces exactly those buckets and keeps older ones."""
-    now = ts(as_of)
-    lo = F.date_trunc("day", now - F.make_dt_interval(F.lit(start_offset_days)))
-    lo_full = F.when(lo < now - F.make_dt_interval(F.lit(start_offset_days)), lo + F.make_dt_interval(F.lit(1))) \
-        .otherwise(lo)
-    hi = now - F.make_dt_interval(F.lit(0), F.lit(end_offset_hours))
-    window_rows = clicks.where((F.col("clicked_at") >= lo_full) & (F.col("clicked_at") < hi))
-    stats = daily_stats(window_rows)
-    # keep only buckets whose whole day ends before the window end
-    return stats.where(F.col("day") + F.make_dt_interval(F.lit(1)) <= hi)
+    dynamic partition overwrite on ``day`` replaces exactly those buckets and keeps older ones.
+    The bounds are literals, so the scan reads the months of the window only."""
+    now = dtm.datetime.fromisoformat(str(as_of))
+    midnight = {"hour": 0, "minute": 0, "second": 0, "microsecond": 0}
+    start = now - dtm.timedelta(days=start_offset_days)
+    low = start.replace(**midnight)
+    low = low if low >= start else low + dtm.timedelta(days=1)
+    high = (now - dtm.timedelta(hours=end_offset_hours)).replace(**midnight)
+    return daily_stats(prune_months(clicks, low, high).where((F.col("clicked_at") >= ts(low)) & (F.col("clicked_at") < ts(high))))
 
 
 def refresh_daily_stats(clicks: DataFrame, path: str, as_of, start_offset_days: int = 3,

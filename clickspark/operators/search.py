@@ -11,8 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickspark.operators.common import ts, with_scalar_total
-from clickspark.operators.listing import page_args
+from clickspark.operators.common import prune_months, top_n_per_key, ts, with_scalar_total
 
 TOKEN_SPLIT = "[^a-z0-9]+"
 
@@ -42,21 +41,20 @@ def click_search(clicks: DataFrame, short_code: str | None = None, country_code:
         cond = cond & (F.col("clicked_at") >= F.date_trunc("second", ts(start)))
     if end is not None:
         cond = cond & (F.col("clicked_at") <= F.date_trunc("second", ts(end)))
-    matched = clicks.where(cond)
+    matched = prune_months(clicks, start, end).where(cond)
     page = (matched.orderBy(F.desc("clicked_at"), F.asc("event_id")).offset(offset).limit(limit)
             .select("event_id", "short_code", "clicked_at", "country_code", "device_type", "ip_address"))
     return with_scalar_total(page, matched)
 
 
-def url_search(urls: DataFrame, q: str, limit: int | None = 20, offset: int | None = 0) -> DataFrame:
+def url_search(urls: DataFrame, q: str, limit: int = 20, offset: int = 0) -> DataFrame:
     """URLs where any query token is a token of the long URL or of the code; newest
     first; one page plus the real ``total``. A single query is a map-only filter
     (``arrays_overlap`` with a literal token array): no join, no shuffle before the top-k."""
-    page = page_args("search", limit, offset)
     qt = F.array(*[F.lit(t) for t in query_tokens(q)]) if query_tokens(q) else F.array().cast("array<string>")
     doc_tokens = F.array_union(tokens(F.col("long_url")), tokens(F.col("short_code")))
     matched = urls.where(F.arrays_overlap(doc_tokens, qt))
-    rows = (matched.orderBy(F.desc("created_at"), F.asc("short_code")).offset(page.offset).limit(page.limit)
+    rows = (matched.orderBy(F.desc("created_at"), F.asc("short_code")).offset(offset).limit(limit)
             .select("short_code", "long_url", "created_at"))
     return with_scalar_total(rows, matched)
 
@@ -67,12 +65,19 @@ def token_table(urls: DataFrame) -> DataFrame:
     return urls.select(F.explode(doc_tokens).alias("token"), "short_code", "created_at")
 
 
-def bulk_url_search(urls: DataFrame, queries: DataFrame, per_query: int = 20) -> DataFrame:
+def bulk_url_search(urls: DataFrame, queries: DataFrame, per_query: int = 20, salts: int = 16) -> DataFrame:
     """F12 for a table of queries (``query_id, q``): token join against the inverted index,
-    de-duplicated per (query, URL), top ``per_query`` newest per query, plus totals."""
-    from clickspark.operators.common import top_n_per_key
-    qt = queries.select("query_id", F.explode(tokens(F.col("q"))).alias("token"))
-    hits = qt.join(token_table(urls), "token").select("query_id", "short_code", "created_at").distinct()
+    de-duplicated per (query, URL), top ``per_query`` newest per query, plus totals.
+
+    Some tokens stand in every URL, so index rows are spread over ``salts`` parts of a token and
+    the few query rows are copied to each; a URL has one part, hence the de-duplication and the
+    top-k keep working per part before they meet per query."""
+    index = token_table(urls).withColumn("_salt", F.pmod(F.xxhash64("short_code"), F.lit(salts)).cast("int"))
+    qt = queries.select("query_id", F.explode(tokens(F.col("q"))).alias("token")) \
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hits = qt.join(index, ["token", "_salt"]).groupBy("query_id", "_salt", "short_code", "created_at").agg(F.lit(1).alias("_one"))
+    newest = [F.desc("created_at"), F.asc("short_code")]
     totals = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    top = top_n_per_key(hits, ["query_id"], [F.desc("created_at"), F.asc("short_code")], per_query, rank_col="rank")
+    per_part = top_n_per_key(hits, ["query_id", "_salt"], newest, per_query)
+    top = top_n_per_key(per_part.select("query_id", "short_code", "created_at"), ["query_id"], newest, per_query, rank_col="rank")
     return top.join(totals, "query_id")

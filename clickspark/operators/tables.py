@@ -7,10 +7,12 @@ the micro-batch id (or a caller-given version) and rewritten whole on replay.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickspark.operators.common import ts
+from clickspark.operators.common import prune_months, ts
 
 CLICK_BLOOM_COLUMNS = ("short_code", "country", "browser", "os")
 # Parquet writes a column's bloom filter only when the chunk is not fully dictionary-encoded
@@ -20,7 +22,8 @@ CLICK_WRITE_OPTIONS = {"compression": "zstd", "parquet.bloom.filter.adaptive.ena
                        **{f"parquet.bloom.filter.enabled#{c}": "true" for c in CLICK_BLOOM_COLUMNS}}
 
 
-def write_click_table(clicks: DataFrame, path: str, mode: str = "append", compact: bool = False) -> None:
+def write_click_table(clicks: DataFrame, path: str, mode: str = "append", compact: bool = False,
+                      only_months: bool = False) -> None:
     """K3 / K4: monthly partitions, rows ordered by (code, time) inside each file, zstd, and
     Parquet bloom filters on the high-selectivity filter columns.
 
@@ -28,14 +31,16 @@ def write_click_table(clicks: DataFrame, path: str, mode: str = "append", compac
     (month, code, time), which also satisfies the partitioned writer's ordering, so row-group
     min/max on ``short_code`` / ``clicked_at`` stay tight for pushed-down filters.
     Compaction (``compact=True``, M5) additionally clusters codes into files with the
-    AQE ``rebalance`` hint, which splits hot codes and merges small partitions."""
+    AQE ``rebalance`` hint, which splits hot codes and merges small partitions.
+    ``mode="overwrite"`` replaces the table, with ``only_months`` just the months in ``clicks``."""
     df = clicks
     if "clicked_month" not in df.columns:
         df = df.withColumn("clicked_month", F.date_format("clicked_date", "yyyyMM"))
     if compact:
         df = df.hint("rebalance", "clicked_month", "short_code")
     df = df.sortWithinPartitions("clicked_month", "short_code", "clicked_at")
-    writer = df.write.mode(mode).partitionBy("clicked_month")
+    writer = df.write.mode(mode).partitionBy("clicked_month") \
+        .option("partitionOverwriteMode", "dynamic" if only_months else "static")
     for key, value in CLICK_WRITE_OPTIONS.items():
         writer = writer.option(key, value)
     writer.parquet(path)
@@ -116,35 +121,75 @@ def expired_split(urls: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     return urls.where(~gone), urls.where(gone)
 
 
-def retention(clicks: DataFrame, as_of, days: int) -> DataFrame:
-    """M3 / M4: rows with ``clicked_date >= as_of_date - days`` (older whole partitions are
-    dropped by pruning; only the boundary month is filtered row by row)."""
-    cutoff = F.date_sub(F.to_date(ts(as_of)), days)
-    return clicks.where(F.col("clicked_date") >= cutoff)
-
+def _cutoff_date(as_of, days: int) -> dt.date:
+    return dt.date.fromisoformat(str(as_of)[:10]) - dt.timedelta(days=days)
 
-def rewrite_cold(clicks: DataFrame, path: str, as_of, cold_days: int = 7) -> None:
-    """M5: rewrite clicks older than ``cold_days`` clustered by code, zstd-compressed."""
-    cold = clicks.where(F.col("clicked_at") < ts(as_of) - F.make_dt_interval(F.lit(cold_days)))
-    write_click_table(cold, path, mode="overwrite", compact=True)
 
+def retention(clicks: DataFrame, as_of, days: int) -> DataFrame:
+    """M3 / M4: rows with ``clicked_date >= as_of_date - days``. On a table partitioned by month the
+    older months are pruned and only the boundary month is filtered row by row."""
+    cutoff = _cutoff_date(as_of, days)
+    return prune_months(clicks, start=cutoff).where(F.col("clicked_date") >= F.lit(cutoff))
+
+
+def drop_expired(spark: SparkSession, path: str, as_of, days: int) -> list[str]:
+    """M3 / M4 as a job on the stored click table: the boundary month is rewritten without its
+    expired rows and every month before it is removed as a folder. Returns the removed months.
+    Running it again changes nothing."""
+    cutoff = _cutoff_date(as_of, days)
+    month = cutoff.strftime("%Y%m")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    months = {st.getPath().getName().removeprefix("clicked_month="): st.getPath()
+              for st in fs.listStatus(root) if st.getPath().getName().startswith("clicked_month=")}
+    if month in months:
+        boundary = spark.read.parquet(path).where(F.col("clicked_month") == month)
+        expired = boundary.where(F.col("clicked_date") < F.lit(cutoff))
+        if not expired.isEmpty():
+            kept = boundary.where(F.col("clicked_date") >= F.lit(cutoff))
+            if kept.isEmpty():
+                fs.delete(months[month], True)
+            else:
+                write_click_table(kept, path, mode="overwrite", only_months=True)
+    old = sorted(m for m in months if m < month)
+    for m in old:
+        fs.delete(months[m], True)
+    return old
 
-def trim_landing(landing: DataFrame, keep_newest: int, time_col: str = "ingested_at") -> DataFrame:
-    """M6: landing files that lie wholly before (about) the ``keep_newest``-th newest row.
 
-    Returns the input files to delete. The rule is approximate by definition ("keep about
-    the newest N"), so the cutoff is the ``1 - N / total`` quantile of the entry times from
-    the mergeable ``percentile_approx`` sketch: two distributed aggregates, no sort, nothing
-    collected into one task. Files are deleted whole, so at least N entries are kept."""
+def rewrite_cold(clicks: DataFrame, path: str, as_of, cold_days: int = 7) -> None:
+    """M5: rewrite the months that end before ``as_of - cold_days``, clustered by code.
+
+    Only whole cold months are touched, so each replaced partition is replaced by all of its own
+    rows; the month of the cutoff and later ones stay as they are. ``path`` may be the folder that
+    ``clicks`` is read from: the new files are put in place after they are complete."""
+    month = _cutoff_date(as_of, cold_days).strftime("%Y%m")
+    if "clicked_month" not in clicks.columns:
+        clicks = clicks.withColumn("clicked_month", F.date_format("clicked_date", "yyyyMM"))
+    cold = clicks.where(F.col("clicked_month").cast("string") < F.lit(month))
+    write_click_table(cold, path, mode="overwrite", compact=True, only_months=True)
+
+
+def trim_landing(landing: DataFrame, keep_newest: int, time_col: str = "ingested_at",
+                 file_col: str | None = None) -> DataFrame:
+    """M6: landing files that hold none of the ``keep_newest`` newest rows, hence may be deleted.
+
+    A file qualifies if the files that lie wholly after its newest row hold ``keep_newest`` rows
+    already. Exact counts and times per file are one aggregate; the running sum over files, newest
+    first, sees one row per file and bound. ``file_col`` names the file of a row (default: the
+    input file)."""
     micros = F.unix_micros(F.col(time_col))
-    total = landing.count()  # one scalar to the driver
-    if total <= keep_newest:
-        return landing.sparkSession.createDataFrame([], "file string, newest timestamp")
-    frac = 1.0 - keep_newest / total
-    cutoff = landing.agg(F.percentile_approx(micros, F.lit(frac), 10_000).alias("cutoff"))
-    per_file = landing.groupBy(F.input_file_name().alias("file")).agg(F.max(micros).alias("newest"))
-    return per_file.where(F.col("newest") < cutoff.scalar()).select(
-        "file", F.timestamp_micros("newest").alias("newest"))
+    name = F.col(file_col) if file_col else F.input_file_name()
+    files = landing.select(name.alias("file"), micros.alias("_t")).groupBy("file").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_oldest"), F.max("_t").alias("_newest"))
+    bounds = files.select(F.explode(F.array(
+        F.struct(F.col("_oldest").alias("_at"), F.col("_n").alias("_n"), F.lit(None).cast("string").alias("file")),
+        F.struct(F.col("_newest").alias("_at"), F.lit(0).cast("bigint").alias("_n"), F.col("file").alias("file")))).alias("b")).select("b.*")
+    newer = Window.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    counted = bounds.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    return counted.where(F.col("file").isNotNull() & (F.col("_newer") >= keep_newest)).select(
+        "file", F.timestamp_micros("_at").alias("newest"))
 
 
 def export_bulk_ndjson(docs: DataFrame, index: str, id_col: str) -> DataFrame:
@@ -163,43 +208,65 @@ def dedup_events(events: DataFrame, key: str = "event_id", order_col: str = "pro
     return picked.select(key, "_row.*")
 
 
-def stream_health(landing: DataFrame, time_col: str = "clicked_at", backlog_threshold: int = 10000) -> DataFrame:
-    """Length, first and last entry time of the landing table and a backlog alert."""
+def stream_health(landing: DataFrame, time_col: str = "clicked_at", backlog_threshold: int = 10000,
+                  processed: DataFrame | None = None, id_col: str = "event_id") -> DataFrame:
+    """Length, first and last entry time of the landing table, its unprocessed entries
+    (those whose id is not in ``processed``; all of them without it) and an alert when they are
+    more than ``backlog_threshold``."""
     stats = landing.agg(F.count(F.lit(1)).alias("length"), F.min(time_col).alias("first_entry"),
                         F.max(time_col).alias("last_entry"))
-    return stats.withColumn("backlog_alert", F.col("length") > backlog_threshold)
+    waiting = landing if processed is None else landing.join(processed.select(id_col).distinct(), id_col, "left_anti")
+    return stats.withColumn("backlog", waiting.select(F.count(F.lit(1))).scalar()) \
+        .withColumn("backlog_alert", F.col("backlog") > backlog_threshold)
 
 
+def by_number(col: str) -> Column:
+    """Order of text ids in which ``9`` comes before ``10``."""
+    return F.struct(F.length(col).alias("n"), F.col(col).alias("id"))
 
-def update_users(users: DataFrame, updates: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """M8: apply (id, name, email) updates by key. An update is rejected when the email fails
-    the CHECK pattern (Q4) or is already used by another user (UNIQUE); accepted rows replace
-    the old ones (K5 semantics) with ``updated_at = as_of`` (M7). Returns (new users, rejects)."""
+
+def user_update_audit(users: DataFrame, updates: DataFrame) -> DataFrame:
+    """M8 checks per update (id, name, email), the first that fails: missing id, unknown user, email
+    against Q4, email held by another user (exact text), several updates of one user (the smallest
+    name and email stays), several acceptable updates to one email (the smallest id stays)."""
     from clickspark.functions import validation as v
-    owners = users.select(F.lower("email").alias("_email"), F.col("id").alias("_owner"))
-    checked = (updates.join(owners, F.lower(updates.email) == owners._email, "left")
-               .withColumn("reason", F.when(~v.is_valid_email("email"), F.lit("invalid_email"))
-                           .when(F.col("_owner").isNotNull() & (F.col("_owner") != F.col("id")), F.lit("email_taken"))
-                           .when(F.col("id").isNull(), F.lit("missing_id")))
-               .drop("_email", "_owner"))
-    known = checked.join(users.select("id"), "id", "left_semi")
-    accepted = known.where(F.col("reason").isNull()).select("id", "name", "email") \
-        .withColumn("updated_at", ts(as_of))
-    rejects = checked.where(F.col("reason").isNotNull()).unionByName(
-        checked.where(F.col("reason").isNull()).join(users.select("id"), "id", "left_anti")
-        .withColumn("reason", F.lit("unknown_user")))
-    base = users.withColumn("updated_at", F.col("updated_at") if "updated_at" in users.columns else F.col("created_at"))
-    merged = upsert_by_key(base, accepted.withColumn("created_at", F.lit(None).cast("timestamp")), "id", "updated_at")
-    # keep the original creation time of updated users
-    created = users.select("id", F.col("created_at").alias("_created"))
-    merged = merged.join(created, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
-    return merged, rejects
+    owners = users.groupBy("email").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))  # one row per email
+    known = users.select("id").distinct().withColumn("_known", F.lit(True))
+    checked = updates.join(owners, "email", "left").join(known, "id", "left")
+    reason = (F.when(F.col("id").isNull(), F.lit("missing_id")).when(F.col("_known").isNull(), F.lit("unknown_user"))
+              .when(~v.is_valid_email("email"), F.lit("invalid_email"))
+              .when((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id")), F.lit("email_taken")))
+    checked = checked.withColumn("reason", reason).drop("_low", "_high", "_known")
+    same = F.struct("name", "email")
+    first = checked.where(F.col("reason").isNull()).groupBy("id").agg(F.min(same).alias("_one"))
+    checked = checked.join(first, "id", "left").withColumn(
+        "reason", F.coalesce("reason", F.when(same != F.col("_one"), F.lit("duplicate_update")))).drop("_one")
+    winner = checked.where(F.col("reason").isNull()).groupBy("email").agg(F.min(by_number("id"))["id"].alias("_winner"))
+    return checked.join(winner, "email", "left").withColumn("reason", F.coalesce(
+        "reason", F.when(F.col("id") != F.col("_winner"), F.lit("duplicate_email")))).drop("_winner").select("id", "name", "email", "reason")
+
+
+def update_users(users: DataFrame, updates: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """M8: apply (id, name, email) updates by key; returns (new users, rejects with reason).
+
+    Accepted updates set name, email and ``updated_at`` (M7) of their user; every other column and
+    every other user stays as it is. No two users get one email (see ``user_update_audit``)."""
+    audited = user_update_audit(users, updates)
+    accepted = audited.where(F.col("reason").isNull()).select(
+        "id", F.col("name").alias("_name"), F.col("email").alias("_email"), F.lit(True).alias("_hit")).distinct()
+    base = users if "updated_at" in users.columns else users.withColumn("updated_at", F.col("created_at"))
+    merged = base.join(accepted, "id", "left").withColumns({
+        "name": F.when(F.col("_hit"), F.col("_name")).otherwise(F.col("name")),
+        "email": F.when(F.col("_hit"), F.col("_email")).otherwise(F.col("email")),
+        "updated_at": F.when(F.col("_hit"), ts(as_of)).otherwise(F.col("updated_at"))}).select(*base.columns)
+    return merged, audited.where(F.col("reason").isNotNull())
 
 
 def publish_clicks(events: DataFrame) -> DataFrame:
     """One JSON stream message per click: mandatory code and time (epoch seconds as
-    text), optional fields only when non-empty (``to_json`` drops NULL keys)."""
-    optional = [("ip_address", "ip"), ("user_agent", "user_agent"), ("original_url", "original_url"),
+    text), optional fields only when non-empty (``to_json`` drops NULL keys). A click id travels as
+    ``message_id``, so that identical clicks stay apart and replays do not."""
+    optional = [("event_id", "message_id"), ("ip_address", "ip"), ("user_agent", "user_agent"), ("original_url", "original_url"),
                 ("referer", "referer"), ("query_params", "query_params")]
     ts_text = F.unix_seconds(F.col("clicked_at")).cast("string")
     payload = F.struct(

@@ -221,11 +221,11 @@ _TB = f"""
     CASE WHEN {_REFILL} >= 1.0 THEN {_REFILL} - 1.0 ELSE {_REFILL} END AS tokens_after
   FROM tb JOIN seq s ON s.ip = tb.ip AND s.rn = tb.rn + 1"""
 register("token_bucket", with_views(["requests"], """
-SELECT s.event_id, s.ip, s.requested_at, tb.tokens_before >= 1.0 AS allowed
+SELECT s.event_id, s.ip, s.requested_at, round(tb.tokens_before, 6) AS tokens_before, tb.tokens_before >= 1.0 AS allowed
 FROM seq s JOIN tb ON tb.ip = s.ip AND tb.rn = s.rn""", ctes=[("seq", _SEQ), ("tb", _TB)]).replace(
     "WITH ", "WITH RECURSIVE ", 1))(
     lambda spark, d: lm.token_bucket_verdicts(fx.requests(spark, d), capacity=_CAP, refill_per_second=_RATE)
-    .select("event_id", "ip", "requested_at", "allowed"))
+    .select("event_id", "ip", "requested_at", F.round("tokens_before", 6).alias("tokens_before"), "allowed"))
 
 register("slo_report", with_views(["requests"], """
 SELECT CAST(requested_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS requests,
@@ -249,9 +249,25 @@ ORDER BY clicked_at DESC, event_id LIMIT 20 OFFSET 5"""))(
     lambda spark, d: se.click_search(clicks(spark, d), device="mobile", start="2024-01-10 00:00:00.500",
                                      end="2024-01-20 12:00:00.900", limit=20, offset=5))
 
-_MATCH = f"list_has_any(list_concat({sr.tokens_sql('long_url')}, {sr.tokens_sql('short_code')}), ['fr', 'top'])"
-register("url_search", with_views(["urls"], f"""
+for _name, _query in (("url_search", "FR top"), ("url_search_code", "C42 utm-source")):
+    _terms = "[" + ", ".join(f"'{t}'" for t in _query.lower().replace("-", " ").split()) + "]"
+    _match = f"list_has_any(list_concat({sr.tokens_sql('long_url')}, {sr.tokens_sql('short_code')}), {_terms})"
+    register(_name, with_views(["urls"], f"""
 SELECT short_code, long_url, created_at, t.total
-FROM urls, (SELECT CAST(count(*) AS BIGINT) AS total FROM urls WHERE {_MATCH}) t
-WHERE {_MATCH} ORDER BY created_at DESC, short_code LIMIT 20"""))(
-    lambda spark, d: se.url_search(fx.urls(spark, d), "FR top", 20, 0))
+FROM urls, (SELECT CAST(count(*) AS BIGINT) AS total FROM urls WHERE {_match}) t
+WHERE {_match} ORDER BY created_at DESC, short_code LIMIT 20"""))(
+        lambda spark, d, q=_query: se.url_search(fx.urls(spark, d), q, 20, 0))
+
+# One query per supplier: its number as a code, and words that stand in many URLs or in none.
+register("bulk_url_search", with_views(["urls"], f"""
+SELECT query_id, short_code, created_at, rank, total FROM (
+  SELECT query_id, short_code, created_at, CAST(row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, short_code) AS INTEGER) AS rank,
+    CAST(count(*) OVER (PARTITION BY query_id) AS BIGINT) AS total
+  FROM (SELECT s_suppkey AS query_id, CASE s_suppkey % 3 WHEN 0 THEN ['https', 'nothing'] WHEN 1 THEN ['c' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0')] ELSE ['none'] END AS terms
+        FROM supplier) q
+  JOIN urls ON list_has_any(list_concat({sr.tokens_sql('long_url')}, {sr.tokens_sql('short_code')}), terms)) x
+WHERE rank <= 5"""))(
+    lambda spark, d: se.bulk_url_search(fx.urls(spark, d), fx.table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("query_id"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.lit("HTTPS nothing")).when(F.col("s_suppkey") % 3 == 1, F.format_string("c%02d", "s_suppkey"))
+        .otherwise(F.lit("none")).alias("q")), per_query=5))

@@ -14,6 +14,7 @@ from clickspark.plans.fixture_sql import with_views
 from clickspark.plans.sql_rules import alias_reason_sql
 from clickspark.sources import fixtures as fx
 
+EMAIL_SQL = r"(?i)^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 ACTIVE = f"(expires_at IS NULL OR expires_at > TIMESTAMP '{AS_OF}')"
 LIVE_AT_CLICK = "(u.expires_at IS NULL OR u.expires_at > c.clicked_at)"
 
@@ -33,13 +34,23 @@ SELECT c.event_id, c.short_code, c.clicked_at, u.long_url
 FROM click_events c JOIN urls u ON u.short_code = c.short_code WHERE {LIVE_AT_CLICK}"""))(
     lambda spark, d: rs.resolve_clicks(clicks(spark, d), urls(spark, d)))
 
+# URL table in which every tenth code has been renamed, so that its clicks find no link.
+RENAMED = """SELECT CASE WHEN CAST(substr(short_code, 2) AS BIGINT) % 10 = 7 THEN 'gone-' || short_code ELSE short_code END AS short_code,
+  long_url, clicks, created_at, expires_at, user_id FROM urls"""
+
+
+def renamed_urls(spark, d):
+    gone = F.substring("short_code", 2, 18).cast("bigint") % 10 == 7
+    return urls(spark, d).withColumn("short_code", F.when(gone, F.concat(F.lit("gone-"), "short_code")).otherwise(F.col("short_code")))
+
+
 register("dead_link_hits", with_views(["click_events", "urls"], f"""
 SELECT m.short_code, CAST(count(*) AS BIGINT) AS hits, min(m.clicked_at) AS first_hit, max(m.clicked_at) AS last_hit,
-  m.short_code IN (SELECT short_code FROM urls) AS known
+  m.short_code IN (SELECT short_code FROM renamed) AS known
 FROM (SELECT c.* FROM click_events c
-      WHERE NOT EXISTS (SELECT 1 FROM urls u WHERE u.short_code = c.short_code AND {LIVE_AT_CLICK})) m
-GROUP BY m.short_code"""))(
-    lambda spark, d: rs.dead_link_hits(clicks(spark, d), urls(spark, d)))
+      WHERE NOT EXISTS (SELECT 1 FROM renamed u WHERE u.short_code = c.short_code AND {LIVE_AT_CLICK})) m
+GROUP BY m.short_code""", ctes=[("renamed", RENAMED)]))(
+    lambda spark, d: rs.dead_link_hits(clicks(spark, d), renamed_urls(spark, d)))
 
 register("apply_counters", with_views(["click_events", "urls"], f"""
 SELECT u.short_code, CAST(u.clicks + coalesce(d.delta, 0) AS BIGINT) AS clicks,
@@ -77,20 +88,30 @@ FROM aliases WHERE alias IN (SELECT short_code FROM urls)"""))(
     lambda spark, d: rs.alias_clashes(fx.aliases(spark, d), urls(spark, d), 3)
     .withColumn("suggestions", F.array_join("suggestions", ",")))
 
+# Requests in which a bad one comes before a good one with the same alias.
+_REQUESTS = """
+SELECT request_id, CASE WHEN request_id % 16 IN (1, 9) THEN 'pair-' || CAST(request_id // 16 AS VARCHAR) ELSE alias END AS alias,
+  CASE WHEN request_id % 9 = 4 OR request_id % 32 = 1 THEN 'not-a-valid-url' ELSE 'https://example.com/item/' || CAST(request_id AS VARCHAR) END AS long_url
+FROM aliases"""
+
+
+def _requests(spark, d):
+    rid = F.col("request_id")
+    return fx.aliases(spark, d).select(
+        "request_id",
+        F.when((rid % 16).isin(1, 9), F.concat(F.lit("pair-"), F.floor(rid / 16).cast("string"))).otherwise(F.col("alias")).alias("alias"),
+        F.when((rid % 9 == 4) | (rid % 32 == 1), F.lit("not-a-valid-url"))
+        .otherwise(F.concat(F.lit("https://example.com/item/"), rid.cast("string"))).alias("long_url"))
+
+
 register("bulk_create_audit", with_views(["aliases", "urls"], f"""
-SELECT request_id, alias, long_url,
-  CASE WHEN NOT coalesce(regexp_matches(lower(long_url), '^https?://[^/?#]+'), false) THEN 'invalid_url'
-       ELSE coalesce({alias_reason_sql('alias')},
-                     CASE WHEN alias IN (SELECT short_code FROM urls) THEN 'alias_taken'
-                          WHEN request_id <> min(request_id) OVER (PARTITION BY alias) THEN 'duplicate_in_batch' END) END AS reason
-FROM (SELECT request_id, alias,
-        CASE WHEN request_id % 9 = 4 THEN 'not-a-valid-url' ELSE 'https://example.com/item/' || CAST(request_id AS VARCHAR) END AS long_url
-      FROM aliases) r"""))(
-    lambda spark, d: rs.creation_audit(
-        fx.aliases(spark, d).withColumn(
-            "long_url", F.when(F.col("request_id") % 9 == 4, F.lit("not-a-valid-url"))
-            .otherwise(F.concat(F.lit("https://example.com/item/"), F.col("request_id").cast("string")))),
-        urls(spark, d)).select("request_id", "alias", "long_url", "reason"))
+SELECT a.request_id, a.alias, a.long_url,
+  coalesce(a.own, CASE WHEN EXISTS (SELECT 1 FROM judged b WHERE b.alias = a.alias AND b.own IS NULL AND b.request_id < a.request_id)
+                       THEN 'duplicate_in_batch' END) AS reason
+FROM judged a""", ctes=[("reqs", _REQUESTS), ("judged", f"""
+SELECT *, CASE WHEN NOT coalesce(regexp_matches(lower(long_url), '^https?://[^/?#]+'), false) THEN 'invalid_url'
+       ELSE coalesce({alias_reason_sql('alias')}, CASE WHEN alias IN (SELECT short_code FROM urls) THEN 'alias_taken' END) END AS own FROM reqs""")]))(
+    lambda spark, d: rs.creation_audit(_requests(spark, d), urls(spark, d)).select("request_id", "alias", "long_url", "reason"))
 
 # --- listing --------------------------------------------------------------------------------------
 
@@ -152,14 +173,12 @@ FROM click_events"""))(
     lambda spark, d: ls.click_display(clicks(spark, d)))
 
 register("click_viewer_pages", with_views(["click_events"], """
-SELECT event_id, short_code, rank, CAST((rank - 1) // 3 AS INTEGER) AS page_no,
-  CAST(ceil(count(*) OVER (PARTITION BY short_code) / 3.0) AS INTEGER) AS page_count
-FROM (SELECT event_id, short_code,
-        CAST(row_number() OVER (PARTITION BY short_code ORDER BY clicked_at DESC, event_id) AS INTEGER) AS rank
-      FROM click_events) x WHERE rank <= 10"""))(
-    lambda spark, d: ls.viewer_pages(
-        rp.recent_clicks_per_code(clicks(spark, d), 10).select("event_id", "short_code", "rank"),
-        [F.asc("rank")], "short_code", 3))
+SELECT event_id, short_code,
+  CAST((row_number() OVER (PARTITION BY short_code ORDER BY clicked_at DESC, event_id) - 1) // 10 AS INTEGER) AS page_no,
+  CAST(ceil(count(*) OVER (PARTITION BY short_code) / 10.0) AS INTEGER) AS page_count
+FROM click_events"""))(
+    lambda spark, d: ls.viewer_pages(clicks(spark, d).select("event_id", "short_code", "clicked_at"),
+                                     [("clicked_at", "desc"), ("event_id", "asc")], "short_code", 10).drop("clicked_at"))
 
 # --- quality --------------------------------------------------------------------------------------
 
@@ -195,20 +214,38 @@ SELECT page_id, long_url, coalesce(regexp_matches(lower(long_url), '^https?://[^
   FROM pages) c""")(
     lambda spark, d: qa.url_validity(_url_candidates(spark, d)))
 
+_DIRTY = """
+SELECT CASE WHEN CAST(substr(short_code, 2) AS BIGINT) % 23 = 5 THEN 'c01' ELSE short_code END AS short_code,
+  CASE WHEN CAST(substr(short_code, 2) AS BIGINT) % 17 = 3 THEN '' ELSE long_url END AS long_url,
+  CASE WHEN CAST(substr(short_code, 2) AS BIGINT) % 19 = 4 THEN CAST(-1 AS BIGINT) ELSE clicks END AS clicks, created_at, expires_at, user_id
+FROM urls"""
+
+
+def _dirty_urls(spark, d):
+    """URL rows that break each constraint."""
+    n = F.substring("short_code", 2, 18).cast("bigint")
+    return urls(spark, d).withColumns({
+        "long_url": F.when(n % 17 == 3, F.lit("")).otherwise(F.col("long_url")),
+        "clicks": F.when(n % 19 == 4, F.lit(-1).cast("bigint")).otherwise(F.col("clicks")),
+        "short_code": F.when(n % 23 == 5, F.lit("c01")).otherwise(F.col("short_code"))})
+
+
 register("url_constraints", with_views(["urls"], """
 SELECT u.*, CASE WHEN coalesce(long_url, '') = '' THEN 'empty_long_url' WHEN clicks < 0 THEN 'negative_clicks'
-  WHEN short_code IN (SELECT short_code FROM urls GROUP BY short_code HAVING count(*) > 1) THEN 'duplicate_short_code' END AS reason
-FROM urls u
+  WHEN short_code IN (SELECT short_code FROM dirty GROUP BY short_code HAVING count(*) > 1) THEN 'duplicate_short_code' END AS reason
+FROM dirty u
 WHERE coalesce(long_url, '') = '' OR clicks < 0
-   OR short_code IN (SELECT short_code FROM urls GROUP BY short_code HAVING count(*) > 1)"""))(
-    lambda spark, d: qa.url_constraints(urls(spark, d)))
-
-register("email_audit", with_views(["users"], """
-SELECT id, email,
-  CASE WHEN coalesce(email, '') = '' THEN 'missing_email' WHEN coalesce(name, '') = '' THEN 'missing_name'
-       WHEN NOT coalesce(regexp_matches(email, '(?i)^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$'), false) THEN 'invalid_email'
-       WHEN id <> min(id) OVER (PARTITION BY lower(email)) THEN 'duplicate_email' END AS reason
-FROM users"""))(
+   OR short_code IN (SELECT short_code FROM dirty GROUP BY short_code HAVING count(*) > 1)""", ctes=[("dirty", _DIRTY)]))(
+    lambda spark, d: qa.url_constraints(_dirty_urls(spark, d)))
+
+register("email_audit", with_views(["users"], f"""
+SELECT a.id, a.email,
+  coalesce(a.own, CASE WHEN EXISTS (SELECT 1 FROM judged b WHERE b.email = a.email AND b.own IS NULL AND CAST(b.id AS BIGINT) < CAST(a.id AS BIGINT))
+                       THEN 'duplicate_email' END) AS reason
+FROM judged a""", ctes=[("judged", f"""
+SELECT id, email, CASE WHEN coalesce(email, '') = '' THEN 'missing_email' WHEN coalesce(name, '') = '' THEN 'missing_name'
+       WHEN NOT coalesce(regexp_matches(email, '{EMAIL_SQL}'), false) THEN 'invalid_email' END AS own
+FROM users""")]))(
     lambda spark, d: qa.email_audit(users(spark, d)).select("id", "email", "reason"))
 
 # --- table maintenance ----------------------------------------------------------------------------
@@ -218,10 +255,10 @@ SELECT short_code, expires_at FROM urls WHERE expires_at IS NOT NULL AND expires
     lambda spark, d: tb.expired_split(urls(spark, d), AS_OF)[1].select("short_code", "expires_at"))
 
 for _days in (180, 90, 20):
-    register(f"retention_{_days}", with_views(["click_events"], f"""
-SELECT event_id, short_code, clicked_date FROM click_events
+    register(f"retention_{_days}", with_views(["click_history"], f"""
+SELECT event_id, short_code, clicked_date FROM click_history
 WHERE clicked_date >= CAST(TIMESTAMP '{AS_OF}' AS DATE) - INTERVAL '{_days}' DAY"""))(
-        (lambda n: lambda spark, d: tb.retention(clicks(spark, d), AS_OF, n)
+        (lambda n: lambda spark, d: tb.retention(fx.click_history(spark, d), AS_OF, n)
          .select("event_id", "short_code", "clicked_date"))(_days))
 
 _REPLAYED = f"""
@@ -277,10 +314,14 @@ SELECT DISTINCT alias AS short_code, alias IN (SELECT short_code FROM urls) AS f
     lambda spark, d: tb.delete_report(urls(spark, d),
                                       fx.aliases(spark, d).select(F.col("alias").alias("short_code")), "short_code"))
 
-register("stream_health", with_views(["click_events"], """
+for _name, _share, _most in (("stream_health", 3, 100), ("stream_health_quiet", 100, 1_000_000)):
+    # processed: all entries but every third (hundredth) one
+    register(_name, with_views(["click_events"], f"""
 SELECT CAST(count(*) AS BIGINT) AS length, min(clicked_at) AS first_entry, max(clicked_at) AS last_entry,
-  count(*) > 10000 AS backlog_alert FROM click_events"""))(
-    lambda spark, d: tb.stream_health(clicks(spark, d), "clicked_at", 10000))
+  CAST(count(*) FILTER (WHERE CAST(event_id AS BIGINT) % {_share} = 0) AS BIGINT) AS backlog,
+  count(*) FILTER (WHERE CAST(event_id AS BIGINT) % {_share} = 0) > {_most} AS backlog_alert FROM click_events"""))(
+        lambda spark, d, k=_share, n=_most: tb.stream_health(
+            clicks(spark, d), "clicked_at", n, clicks(spark, d).where(F.col("event_id").cast("bigint") % k != 0).select("event_id")))
 
 assert "country_share" in ORACLES
 
@@ -293,8 +334,8 @@ SELECT short_code, created_at, coalesce(expires_at, created_at + INTERVAL '72' H
 
 register("increment_rejects", with_views(["click_events", "urls"], """
 SELECT short_code, CAST(count(*) AS BIGINT) AS delta FROM click_events
-WHERE short_code NOT IN (SELECT short_code FROM urls) GROUP BY short_code"""))(
-    lambda spark, d: rs.increment_rejects(urls(spark, d), rp.fold_increments(clicks(spark, d))))
+WHERE short_code NOT IN (SELECT short_code FROM renamed) GROUP BY short_code""", ctes=[("renamed", RENAMED)]))(
+    lambda spark, d: rs.increment_rejects(renamed_urls(spark, d), rp.fold_increments(clicks(spark, d))))
 
 register("publish_clicks", with_views(["click_events"], """
 SELECT CAST(to_json(json_object('short_code', short_code, 'timestamp', CAST(epoch_us(clicked_at) // 1000000 AS VARCHAR),
@@ -336,13 +377,36 @@ FROM click_events"""))(
     lambda spark, d: tb.export_bulk_ndjson(clicks(spark, d).select("event_id", "short_code", "country"),
                                            "clicks", "event_id"))
 
-_EMAIL = r"(?i)^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
+# Updates: a third take the email of the next update, some an email in use, some are malformed.
+_UPDATES = """
+SELECT id, upper(name) AS name, CASE CAST(id AS BIGINT) % 6 WHEN 0 THEN 'broken' WHEN 1 THEN 'v2.u' || CAST(CAST(id AS BIGINT) // 12 AS VARCHAR) || '@example.com'
+  WHEN 2 THEN 'u' || CAST(CAST(id AS BIGINT) + 5 AS VARCHAR) || '@example.com' ELSE 'v3.' || email END AS email FROM users
+UNION ALL SELECT 'x' || id, name, 'v4.u' || id || '@example.com' FROM users WHERE CAST(id AS BIGINT) % 50 = 0"""
+
+
+def _updates(spark, d):
+    u, n = users(spark, d), F.col("id").cast("bigint")
+    mail = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"), F.lit("@example.com"))
+    own = u.select("id", F.upper("name").alias("name"),
+                   F.when(n % 6 == 0, F.lit("broken")).when(n % 6 == 1, mail("v2.u", F.floor(n / 12))).when(n % 6 == 2, mail("u", n + 5))
+                   .otherwise(F.concat(F.lit("v3."), F.col("email"))).alias("email"))
+    unknown = u.where(n % 50 == 0).select(F.concat(F.lit("x"), "id").alias("id"), "name", mail("v4.u", F.col("id")).alias("email"))
+    return own.unionByName(unknown)
+
+
+_JUDGED_UPDATES = [("updates", _UPDATES), ("judged", f"""
+SELECT u.*, CASE WHEN u.id NOT IN (SELECT id FROM users) THEN 'unknown_user'
+    WHEN NOT regexp_matches(u.email, '{EMAIL_SQL}') THEN 'invalid_email'
+    WHEN EXISTS (SELECT 1 FROM users o WHERE o.email = u.email AND o.id <> u.id) THEN 'email_taken' END AS own FROM updates u"""), ("decided", """
+SELECT id, name, email, coalesce(own, CASE WHEN EXISTS (SELECT 1 FROM judged b WHERE b.own IS NULL AND b.email = a.email
+    AND TRY_CAST(b.id AS BIGINT) < TRY_CAST(a.id AS BIGINT)) THEN 'duplicate_email' END) AS reason FROM judged a""")]
+
 register("update_users", with_views(["users"], f"""
-SELECT id,
-  CASE WHEN regexp_matches('v2.' || email, '{_EMAIL}') THEN 'v2.' || email ELSE email END AS email,
-  CASE WHEN regexp_matches('v2.' || email, '{_EMAIL}') THEN upper(name) ELSE name END AS name
-FROM users"""))(
+SELECT u.id, coalesce(d.email, u.email) AS email, coalesce(d.name, u.name) AS name, 'hash-' || u.id AS password_hash, u.created_at,
+  CASE WHEN d.id IS NULL THEN u.created_at ELSE TIMESTAMP '{AS_OF}' END AS updated_at
+FROM users u LEFT JOIN decided d ON d.id = u.id AND d.reason IS NULL""", ctes=_JUDGED_UPDATES))(
     lambda spark, d: tb.update_users(
-        users(spark, d),
-        users(spark, d).select("id", F.upper("name").alias("name"), F.concat(F.lit("v2."), F.col("email")).alias("email")),
-        AS_OF)[0].select("id", "email", "name"))
+        users(spark, d).withColumn("password_hash", F.concat(F.lit("hash-"), "id")), _updates(spark, d), AS_OF)[0])
+
+register("update_user_rejects", with_views(["users"], "SELECT * FROM decided WHERE reason IS NOT NULL", ctes=_JUDGED_UPDATES))(
+    lambda spark, d: tb.update_users(users(spark, d), _updates(spark, d), AS_OF)[1])

@@ -30,7 +30,10 @@ SELECT concat('c', lpad(regexp_extract(props, '([0-9]+)', 1), 2, '0')) AS short_
   CASE WHEN event_id % 50 = 0 THEN CAST(NULL AS VARCHAR) WHEN event_id % 50 = 1 THEN 'bad'
        ELSE CAST(1704067200 + event_id * 60 AS VARCHAR) END AS "timestamp",
   CASE WHEN user_id % 10 = 1 THEN CAST(NULL AS VARCHAR) WHEN user_id % 10 = 2 THEN '::1'
-       WHEN user_id % 10 = 3 THEN '192.168.1.7' ELSE concat('203.0.113.', CAST(user_id % 256 AS VARCHAR)) END AS ip,
+       WHEN user_id % 10 = 3 THEN '192.168.1.7'
+       WHEN user_id % 10 = 4 THEN ['12:34', 'fc00:1', ':::', '1:2:3:4:5:6:7:8', 'fe80::1', '::ffff:10.0.0.1', 'fd12:3456::1', 'fc::1',
+                                   '::ffff:8.8.8.8', '0:0::0:1', '1::2::3'][event_id % 11 + 1]
+       ELSE concat('203.0.113.', CAST(user_id % 256 AS VARCHAR)) END AS ip,
   CASE event_id % 6
     WHEN 0 THEN 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36'
     WHEN 1 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.0 Mobile/15E148 Safari/604.1'
@@ -73,13 +76,19 @@ SELECT CASE p_partkey % 8 WHEN 0 THEN 'ab' WHEN 1 THEN concat('link-', CAST(p_pa
 FROM part""",
     "access_log": """
 SELECT event_id,
-  CASE event_id % 4 WHEN 0 THEN '203.0.113.195, 70.41.3.18' WHEN 1 THEN '  203.0.113.9  , 10.0.0.1' WHEN 2 THEN 'garbage' ELSE '' END AS x_forwarded_for,
-  CASE event_id % 3 WHEN 0 THEN '192.168.1.100' ELSE '' END AS x_real_ip,
+  CASE event_id % 4 WHEN 0 THEN '203.0.113.195, 70.41.3.18' WHEN 1 THEN '  203.0.113.9  , 10.0.0.1' WHEN 2 THEN CASE event_id % 12 WHEN 2 THEN 'garbage' WHEN 6 THEN '12:34, 1.2.3.4' ELSE ':::' END ELSE '' END AS x_forwarded_for,
+  CASE WHEN event_id % 3 = 0 THEN '192.168.1.100' WHEN event_id % 7 = 0 THEN '::ffff:10.0.0.1' WHEN event_id % 7 = 1 THEN 'fc00:1' ELSE '' END AS x_real_ip,
   CASE event_id % 3 WHEN 0 THEN '192.168.1.50:12345' WHEN 1 THEN '[::1]:12345' ELSE '192.168.1.51' END AS remote_addr
 FROM events""",
 }
 
 
+VIEW_SQL["click_history"] = f"""
+SELECT * REPLACE (clicked_at - INTERVAL 1 DAY * (CAST(event_id AS BIGINT) % 300) AS clicked_at,
+                  CAST(clicked_at - INTERVAL 1 DAY * (CAST(event_id AS BIGINT) % 300) AS DATE) AS clicked_date)
+FROM ({VIEW_SQL["click_events"]}) h"""
+
+
 def with_views(views: list[str], body: str, ctes: list[tuple[str, str]] = ()) -> str:
     """Prefix ``body`` with the derived-table CTEs it reads plus optional extra CTEs."""
     parts = [f"{name} AS ({VIEW_SQL[name]}\n)" for name in views]

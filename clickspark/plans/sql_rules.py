@@ -1,5 +1,7 @@
-"""DuckDB SQL text of the row rules, written independently of the Spark Column builders so
-the oracle checks the rule, not only the engine."""
+"""DuckDB SQL text of the row rules.
+
+Word lists and limits are shared with the Spark side; tests/test_functions.py checks them against
+literal rows."""
 
 from __future__ import annotations
 
@@ -57,20 +59,39 @@ def ipv4_sql(col: str) -> str:
     return f"coalesce(regexp_matches({col}, '{IPV4}'), false)"
 
 
+def _ipv6_grammar() -> str:
+    """The address grammar of the URI standard, form by form."""
+    h, tail = "[0-9a-f]{1,4}", rf"([0-9a-f]{{1,4}}:[0-9a-f]{{1,4}}|{OCTET}(\.{OCTET}){{3}})"
+    forms = [f"({h}:){{6}}{tail}"]
+    for before, groups in ((0, 5), (1, 4), (2, 3), (3, 2), (4, 1), (5, 0)):
+        head = f"(({h}:){{0,{before - 1}}}{h})?" if before else ""
+        forms.append(f"{head}::({h}:){{{groups}}}{tail}" if groups else f"{head}::{tail}")
+    forms += [f"(({h}:){{0,5}}{h})?::{h}", f"(({h}:){{0,6}}{h})?::"]
+    return "^(" + "|".join(forms) + ")$"
+
+
+IPV6 = _ipv6_grammar()
+
+
 def ipv6_sql(col: str) -> str:
-    return f"coalesce(contains({col}, ':') AND regexp_matches({col}, '^[0-9A-Fa-f:.]+$'), false)"
+    return f"coalesce(regexp_matches(lower({col}), '{IPV6}'), false)"
 
 
 def octet(col: str, i: int) -> str:
     return f"CAST(string_split({col}, '.')[{i}] AS INTEGER)"
 
 
+def _local_v4(col: str) -> str:
+    return (f"({octet(col, 1)} = 127 OR {octet(col, 1)} = 10 OR ({octet(col, 1)} = 172 AND {octet(col, 2)} BETWEEN 16 AND 31) "
+            f"OR ({octet(col, 1)} = 192 AND {octet(col, 2)} = 168))")
+
+
 def local_sql(col: str) -> str:
-    v4 = (f"({ipv4_sql(col)} AND ({octet(col, 1)} = 127 OR {octet(col, 1)} = 10 "
-          f"OR ({octet(col, 1)} = 172 AND {octet(col, 2)} BETWEEN 16 AND 31) "
-          f"OR ({octet(col, 1)} = 192 AND {octet(col, 2)} = 168)))")
-    v6 = f"({ipv6_sql(col)} AND (lower({col}) IN ('::1', '0:0:0:0:0:0:0:1') OR regexp_matches(lower({col}), '^f[cd][0-9a-f]{{0,2}}:')))"
-    return f"({v4} OR {v6})"
+    tail = f"regexp_extract({col}, '([0-9.]+)$', 1)"
+    mapped = f"(regexp_matches(lower({col}), '^(::|(0{{1,4}}:){{5}})ffff:[0-9.]+$') AND {ipv4_sql(tail)} AND {_local_v4(tail)})"
+    v6 = (f"({ipv6_sql(col)} AND (regexp_matches({col}, '^[0:]*:0{{0,3}}1$') OR regexp_matches(lower({col}), '^f[cd][0-9a-f][0-9a-f]:') OR "
+          f"CASE WHEN contains({col}, '.') THEN {mapped} ELSE false END))")
+    return f"(CASE WHEN {ipv4_sql(col)} THEN {_local_v4(col)} ELSE {v6} END)"
 
 
 def geo_label_sql(col: str) -> str:

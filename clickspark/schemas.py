@@ -21,10 +21,11 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in fields])
 
 
-# Raw stream message: every value arrives as text, optional keys may be absent.
+# Raw stream message: every value arrives as text, optional keys may be absent. ``message_id`` is
+# given by our own publishers.
 RAW_CLICK = _struct(
     ("short_code", S), ("timestamp", S), ("ip", S), ("user_agent", S),
-    ("original_url", S), ("referer", S), ("query_params", S),
+    ("original_url", S), ("referer", S), ("query_params", S), ("message_id", S),
 )
 
 # Enriched click row (columnar store); empty string means "missing".

@@ -3,50 +3,27 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings the operators assume. UTC makes TIMESTAMP arithmetic match the SQL oracles;
-# AQE coalesces small shuffles, splits skewed join partitions (one hot short code can own
-# a third of the clicks) and turns sort-merge joins into broadcast joins only when the
-# measured shuffle output is below the broadcast threshold.
+# AQE (on by default) coalesces small shuffles, splits skewed join partitions (one hot short code
+# can own a third of the clicks) and broadcasts only below the measured threshold.
 SESSION_DEFAULTS = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Post-shuffle partitions are coalesced/split towards this size; scan splits are capped at
     # the same size, so task counts follow data volume (not a fixed partition number).
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
 
 def ensure_session_defaults(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators depend on to an existing session."""
-    for key, value in SESSION_DEFAULTS.items():
-        spark.conf.set(key, value)
-    checkpoint_dir(spark)
-    return spark
+    """The one setting that results depend on: UTC makes TIMESTAMP arithmetic match the SQL oracles.
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
-
-    On a cluster this setting names shared storage and is only read here. Only when it
-    is unset (local tests) a fresh scratch folder is created and registered.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="clickspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    Sizes, overwrite modes and folders of a given session are the caller's and stay as they are;
+    writers that need dynamic partition overwrite ask for it per write."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
 
 
 def build_session(master: str | None = None, partitions: int = 8, app: str = "clickspark") -> SparkSession:

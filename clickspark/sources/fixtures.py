@@ -69,6 +69,13 @@ def click_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def click_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clicks spread over 300 days before the period: event n is n mod 300 days older."""
+    back = (F.col("event_id").cast("bigint") % 300).cast("int")
+    moved = click_events(spark, sf_dir).withColumn("clicked_at", F.col("clicked_at") - F.make_dt_interval(back))
+    return moved.withColumn("clicked_date", F.col("clicked_at").cast("date"))
+
+
 # Six user agents of the raw stream (fixed values of the fixture).
 FIXTURE_AGENTS = [
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
@@ -80,6 +87,11 @@ FIXTURE_AGENTS = [
 ]
 
 
+# Addresses and near-addresses of every kind the rules tell apart (fixed values of the fixture).
+ODD_ADDRESSES = ["12:34", "fc00:1", ":::", "1:2:3:4:5:6:7:8", "fe80::1", "::ffff:10.0.0.1", "fd12:3456::1", "fc::1",
+                 "::ffff:8.8.8.8", "0:0::0:1", "1::2::3"]
+
+
 def raw_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-string stream messages: seconds as text, missing and unparsable times (trap T1)."""
     e = table(spark, sf_dir, "events")
@@ -94,6 +106,7 @@ def raw_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(uid % 10 == 1, null_s)
         .when(uid % 10 == 2, F.lit("::1"))
         .when(uid % 10 == 3, F.lit("192.168.1.7"))
+        .when(uid % 10 == 4, _case(eid % 11, list(enumerate(ODD_ADDRESSES[:10])), ODD_ADDRESSES[10]))
         .otherwise(F.concat(F.lit("203.0.113."), (uid % 256).cast("string")))
         .alias("ip"),
         _case(eid % 6, list(enumerate(FIXTURE_AGENTS[:5])), FIXTURE_AGENTS[5]).alias("user_agent"),
@@ -194,15 +207,17 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid = F.col("event_id")
     return e.select(
         eid,
-        _case(eid % 4, [(0, "203.0.113.195, 70.41.3.18"), (1, "  203.0.113.9  , 10.0.0.1"), (2, "garbage")], "")
-        .alias("x_forwarded_for"),
-        F.when(eid % 3 == 0, F.lit("192.168.1.100")).otherwise(F.lit("")).alias("x_real_ip"),
+        _case(eid % 4, [(0, "203.0.113.195, 70.41.3.18"), (1, "  203.0.113.9  , 10.0.0.1"),
+                        (2, _case(eid % 12, [(2, "garbage"), (6, "12:34, 1.2.3.4")], ":::"))], "").alias("x_forwarded_for"),
+        F.when(eid % 3 == 0, F.lit("192.168.1.100")).when(eid % 7 == 0, F.lit("::ffff:10.0.0.1")).when(eid % 7 == 1, F.lit("fc00:1"))
+        .otherwise(F.lit("")).alias("x_real_ip"),
         _case(eid % 3, [(0, "192.168.1.50:12345"), (1, "[::1]:12345")], "192.168.1.51").alias("remote_addr"),
     )
 
 
 VIEWS = {
     "click_events": click_events,
+    "click_history": click_history,
     "raw_click": raw_clicks,
     "urls": urls,
     "users": users,

@@ -18,6 +18,7 @@ from clickspark.operators import reports as rp
 from clickspark.operators import resolve as rs
 from clickspark.operators import rollups as ru
 from clickspark.operators import tables as tb
+from clickspark.streaming import sources as src
 
 log = logging.getLogger(__name__)
 
@@ -43,30 +44,40 @@ CLICK_FILE_OPTIONS = tb.CLICK_WRITE_OPTIONS
 ARRIVAL_COL = "_arrival"
 
 
-def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, ua_lookup: str = "rows"):
+def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, max_attempts: int = 3):
     """The ``foreachBatch`` function of the enrichment pipeline.
 
-    1. quarantine messages without a short code (reason + attempt count), never block;
-    2. enrich (J1) and write the click table (K3/K4) - a failure here fails the batch, so it
-       is retried from the checkpoint;
+    1. quarantine malformed messages and those without a short code, never block;
+    2. enrich (J1) and write the click table (K3/K4); a failure here fails the batch, so it is
+       retried from the checkpoint. Every try is noted under the batch id, and from the
+       ``max_attempts``-th on the batch's messages go to the quarantine instead (X12);
     3. write mergeable rollup partials (R1-R4 with HLL visitor sketches);
     4. export the bulk search documents (K6) - a failure is logged, the batch still commits.
 
-    ``ua_lookup="rows"`` parses user agents per row: for latency-bound micro-batches one
-    regex pass is cheaper than an extra distinct job; bulk backfills use ``"auto"``."""
+    Messages without an id of their own are numbered per file (``enrich.with_positions``), so
+    identical clicks are kept apart and a replay gives the same ids."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        attempt = note_attempt(spark, out_dir, batch_id)
         batch = batch.persist()  # the source is read once for all sinks
         clicks = None
         try:
-            stamped = ARRIVAL_COL in batch.columns and arrival is None
             good, bad = en.split_bad_messages(batch)
+            bad = bad.drop(ARRIVAL_COL, src.FILE_COL).withColumn("attempts", F.lit(attempt))
             if not bad.isEmpty():
-                _write_batch(bad.drop(ARRIVAL_COL).withColumn("attempts", F.lit(1)), f"{out_dir}/quarantine", batch_id)
-            clicks = en.enrich_clicks(good, arrival=arrival, ua_lookup=ua_lookup,
-                                      arrival_col=ARRIVAL_COL if stamped else None).persist()
-            _write_batch(clicks, f"{out_dir}/clicks", batch_id, ["clicked_month"],
-                         sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
+                _write_batch(bad, f"{out_dir}/quarantine", batch_id)
+            try:
+                clicks = _enriched(good, arrival).persist()
+                _write_batch(clicks, f"{out_dir}/clicks", batch_id, ["clicked_month"],
+                             sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
+            except Exception as exc:
+                if attempt < max_attempts:
+                    raise
+                log.error("batch %s failed %s times, its messages go to the quarantine: %s", batch_id, attempt, exc)
+                failed = good.drop(ARRIVAL_COL, src.FILE_COL).withColumn("reason", F.lit("failed batch")).withColumn("attempts", F.lit(attempt))
+                _write_batch(bad.unionByName(failed, allowMissingColumns=True), f"{out_dir}/quarantine", batch_id)
+                return
 
             def rollups():
                 _write_batch(ru.partial_rollups(clicks), f"{out_dir}/rollups", batch_id, ["rollup"])
@@ -96,15 +107,33 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, ua_
     return run
 
 
+def _enriched(good: DataFrame, arrival) -> DataFrame:
+    """Enriched rows with ids by position; positions only where the source or the publisher gives any."""
+    stamped = ARRIVAL_COL in good.columns and arrival is None
+    if not {"message_id", "position", src.FILE_COL} & set(good.columns):
+        return en.enrich_clicks(good, arrival=arrival, arrival_col=ARRIVAL_COL if stamped else None)
+    placed = en.with_positions(good, src.FILE_COL if src.FILE_COL in good.columns else None)
+    return en.enrich_clicks(placed, arrival=arrival, position="position", arrival_col=ARRIVAL_COL if stamped else None)
+
+
+def note_attempt(spark: SparkSession, out_dir: str, batch_id: int) -> int:
+    """Note one more try of a micro-batch (an empty marker file) and return how many there are."""
+    fs, folder = _fs(spark, f"{out_dir}/attempts/batch_id={batch_id}")
+    fs.mkdirs(folder)
+    made = len(fs.listStatus(folder)) + 1
+    fs.createNewFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"try-{made:06d}"))
+    return made
+
+
 def start_enrichment(raw: DataFrame, out_dir: str, checkpoint: str, trigger: dict | None = None,
-                     arrival=None, query_name: str | None = None, ua_lookup: str = "rows"):
+                     arrival=None, query_name: str | None = None, max_attempts: int = 3):
     """Start the enrichment query. ``trigger`` defaults to ``availableNow`` (drain
     and stop, for jobs); pass ``{"processingTime": "1 second"}`` for a service."""
     if arrival is None:
         # stamped in the streaming plan: Spark replaces current_timestamp() by the micro-batch
         # time recorded in the offset log, so a replayed batch sees the same arrival time
         raw = raw.withColumn(ARRIVAL_COL, F.current_timestamp())
-    writer = (raw.writeStream.foreachBatch(enrichment_batch(out_dir, arrival, ua_lookup=ua_lookup))
+    writer = (raw.writeStream.foreachBatch(enrichment_batch(out_dir, arrival, max_attempts=max_attempts))
               .option("checkpointLocation", checkpoint))
     if query_name:
         writer = writer.queryName(query_name)
@@ -257,6 +286,7 @@ def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
     from pyspark.sql import types as T
     from clickspark.schemas import RAW_CLICK
     schema = T.StructType(RAW_CLICK.fields + [T.StructField("reason", T.StringType()),
+                                              T.StructField("_text", T.StringType()),
                                               T.StructField("attempts", T.IntegerType()),
                                               T.StructField("batch_id", T.LongType())])
     fs, path = _fs(spark, f"{out_dir}/quarantine")
@@ -273,15 +303,22 @@ def quarantine_report(spark: SparkSession, out_dir: str, alert_threshold: int =
     return per.withColumn("alert", F.col("messages") > alert_threshold)
 
 
-def backlog(query, threshold_rows: int = 10_000) -> dict:
-    """S8 / S9 for a running query: rows of the last micro-batch, input vs processing rate and
-    a backlog alert when a batch carried more than ``threshold_rows`` (driver-side metadata)."""
+def backlog(query, landing: DataFrame, out_dir: str, threshold_rows: int = 10_000) -> dict:
+    """S8 / S9 for a running query over landing files: entries that no committed micro-batch has
+    taken yet, against the threshold, besides the last progress.
+
+    Taken are the click rows and quarantined messages under ``out_dir``; both sides are counts."""
+    spark = landing.sparkSession
     p = query.lastProgress or {}
-    rows = int(p.get("numInputRows", 0) or 0)
-    return {"batch_id": p.get("batchId"), "input_rows": rows,
+    taken = 0
+    for folder in ("clicks", "quarantine"):
+        fs, path = _fs(spark, f"{out_dir}/{folder}")
+        taken += spark.read.parquet(f"{out_dir}/{folder}").count() if fs.exists(path) else 0
+    waiting = max(0, landing.count() - taken)
+    return {"batch_id": p.get("batchId"), "input_rows": int(p.get("numInputRows", 0) or 0),
             "input_rows_per_second": p.get("inputRowsPerSecond"),
             "processed_rows_per_second": p.get("processedRowsPerSecond"),
-            "backlog_alert": rows > threshold_rows}
+            "backlog_rows": waiting, "backlog_alert": waiting > threshold_rows}
 
 
 def resolve_stream(clicks: DataFrame, urls: DataFrame) -> DataFrame:

@@ -1,134 +1,86 @@
-"""Sliding-window rate verdicts on a request stream with per-IP state.
-
-State per IP = the request times still inside the window (bounded by ``limit``-independent
-traffic in one window). Each micro-batch's requests of an IP are sorted and evaluated against
-the state, exactly as the batch operator W1 does; an event-time timeout drops the state of
-IPs that have been idle for a whole window.
-"""
+"""Sliding-window rate verdicts on a request stream, by the batch operator W1 over stored history."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ip", T.StringType()),
-    T.StructField("requested_at", T.TimestampType()), T.StructField("prior_count", T.LongType()),
-    T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.IntegerType()),
-    T.StructField("reset_at", T.TimestampType()),
-])
-STATE_SCHEMA = T.StructType([T.StructField("times_us", T.ArrayType(T.LongType()))])
-
-
-def _evaluator(limit: int, window_us: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (ip,) = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        history = list(state.get[0]) if state.exists else []
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["requested_at", "event_id"])
-        times = pdf["requested_at"].astype("int64").to_numpy() // 1000  # ns -> us
-        window = np.array(sorted(history), dtype=np.int64)
-        prior, reset = [], []
-        for t in times:
-            window = window[window > t - window_us]
-            earlier = window[window < t]
-            n = len(earlier)
-            prior.append(n)
-            reset.append(t + window_us if n < limit else int(earlier.min()) + window_us)
-            window = np.append(window, t)  # denied requests are recorded too (T19)
-        prior_arr = np.array(prior, dtype=np.int64)
-        allowed = prior_arr < limit
-        out = pd.DataFrame({
-            "event_id": pdf["event_id"].to_numpy().astype("int64"),
-            "ip": ip,
-            "requested_at": pdf["requested_at"].to_numpy(),
-            "prior_count": prior_arr,
-            "allowed": allowed,
-            "remaining": np.where(allowed, np.maximum(limit - prior_arr - 1, 0), 0).astype("int32"),
-            "reset_at": pd.to_datetime(np.array(reset, dtype=np.int64), unit="us"),
-        })
-        keep = window[window > int(times.max()) - window_us] if len(window) else window
-        state.update((keep.tolist(),))
-        state.setTimeoutTimestamp(int(times.max() // 1000) + window_us // 1000)
-        yield out
-
-    return step
-
-
-def rate_verdict_stream(requests: DataFrame, limit: int, window_seconds: float, watermark: str | None = None) -> DataFrame:
-    """Streaming twin of ``limits.sliding_window_verdicts`` (append mode)."""
-    window_us = int(round(window_seconds * 1_000_000))
-    wm = watermark or f"{int(window_seconds)} seconds"
-    src = requests.withWatermark("requested_at", wm).select("event_id", "ip", "requested_at")
-    return src.groupBy("ip").applyInPandasWithState(
-        _evaluator(limit, window_us), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-# --- X8 without per-key state: batch operator over the batch plus the previous window ---------------
-
-def _hour_key(col: str):
-    from pyspark.sql import functions as F
-    return F.date_format(F.col(col), "yyyyMMddHH")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clickspark.operators.limits import sliding_window_verdicts
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _path(spark, folder)
+    return fs.exists(path)
+
+
+VERDICT = ["prior_count", "allowed", "remaining", "reset_at"]
 
 
 def verdict_batch(out_dir: str, limit: int, window_seconds: float, key: str = "ip",
                   time_col: str = "requested_at", id_col: str = "event_id"):
-    """``foreachBatch`` function: verdicts of the micro-batch's requests computed by the batch
-    operator W1 (sub-bucketed, hot-key safe) over the batch plus the requests of the preceding
-    window, read from the request history (partitioned by request hour, so only the hours of
-    one window are scanned). History and verdicts are written under the batch id (replay
-    rewrites the same partitions); history rows of a replayed batch are excluded by batch id."""
-    from pyspark.sql import functions as F
+    """``foreachBatch`` function: verdicts of the micro-batch's requests, exact for late ones too.
+
+    The batch operator runs over the batch and the stored requests from one window before its
+    first request to one window after its last (the history is partitioned by request hour, so
+    only those hours are read). It writes the verdicts of the batch and, again, those of stored
+    requests that the batch changed. History and verdicts are written under the batch id, and
+    a replay leaves out rows of its own and later batches, so it rewrites the same partitions."""
 
-    from clickspark.operators.limits import sliding_window_verdicts
+    def write(df: DataFrame, batch_id: int, folder: str, *parts: str) -> None:
+        (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "batch_id").parquet(folder))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            lo = batch.agg(F.min(time_col)).first()[0]
-            if lo is None:
+            first, last = batch.agg(F.min(time_col), F.max(time_col)).first()
+            if first is None:
                 return
-            current = batch.withColumn("_new", F.lit(True))
-            hist_dir = f"{out_dir}/requests"
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(hist_dir)
-            fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            combined = current
-            if fs.exists(path):
-                start = F.lit(lo) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(window_seconds)))
-                history = (spark.read.parquet(hist_dir)
-                           .where((F.col("req_hour") >= F.date_format(start, "yyyyMMddHH"))
-                                  & (F.col(time_col) > start) & (F.col("batch_id") < batch_id))
-                           .select(*batch.columns).withColumn("_new", F.lit(False)))
-                combined = current.unionByName(history)
+            window = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(window_seconds)))
+            combined = batch.withColumn("_new", F.lit(True))
+            history, stored = f"{out_dir}/requests", f"{out_dir}/verdicts"
+            if _exists(spark, history):
+                lo, hi = F.lit(first) - window, F.lit(last) + window
+                hour = F.col("req_hour").cast("string")
+                near = (spark.read.parquet(history)
+                        .where((hour >= F.date_format(lo, "yyyyMMddHH")) & (hour <= F.date_format(hi, "yyyyMMddHH"))
+                               & (F.col(time_col) > lo) & (F.col(time_col) < hi) & (F.col("batch_id") < batch_id)))
+                combined = combined.unionByName(near.select(*batch.columns).withColumn("_new", F.lit(False)))
             verdicts = sliding_window_verdicts(combined, limit, window_seconds, key, time_col, id_col)
-            new = verdicts.where("_new").drop("_new")
-            (new.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/verdicts"))
-            (batch.withColumn("req_hour", _hour_key(time_col)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("req_hour", "batch_id").parquet(hist_dir))
+            fresh = verdicts.where("_new").drop("_new")
+            if _exists(spark, stored):
+                known = read_verdicts(spark, out_dir, before=batch_id, id_col=id_col).select(
+                    id_col, F.struct(*VERDICT).alias("_known"))
+                old = verdicts.where(~F.col("_new") & (F.col(time_col) > F.lit(first))).drop("_new")
+                changed = old.join(known, id_col).where(F.struct(*VERDICT) != F.col("_known")).drop("_known")
+                fresh = fresh.unionByName(changed.select(*fresh.columns))
+            write(fresh, batch_id, stored)
+            write(batch.withColumn("req_hour", F.date_format(F.col(time_col), "yyyyMMddHH")), batch_id, history, "req_hour")
         finally:
             batch.unpersist()
 
     return run
 
 
+def read_verdicts(spark: SparkSession, out_dir: str, before: int | None = None, id_col: str = "event_id") -> DataFrame:
+    """The latest verdict of every request (a later batch may have corrected it)."""
+    rows = spark.read.parquet(f"{out_dir}/verdicts")
+    if before is not None:
+        rows = rows.where(F.col("batch_id") < before)
+    kept = [c for c in rows.columns if c not in (id_col, "batch_id")]
+    latest = rows.groupBy(id_col).agg(F.max_by(F.struct(*kept), F.col("batch_id")).alias("_row"))
+    return latest.select(id_col, "_row.*")
+
+
 def start_rate_verdicts(requests: DataFrame, out_dir: str, checkpoint: str, limit: int, window_seconds: float,
                         trigger: dict | None = None):
-    """X8 as a micro-batch job over stored history (no per-key state; see ``verdict_batch``).
-    Exact for requests that arrive in time order across micro-batches."""
+    """X8 as a micro-batch job over stored history; no per-key state (see ``verdict_batch``)."""
     return (requests.writeStream.foreachBatch(verdict_batch(out_dir, limit, window_seconds))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

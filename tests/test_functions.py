@@ -179,3 +179,54 @@ def _py_encode(n: int) -> str:
         n, rem = divmod(n, 62)
         out.append(base62.ALPHABET[rem])
     return "".join(reversed(out))
+
+
+ADDRESSES = {  # text: (is an address, class)
+    "12:34": (False, "Unknown"), "fc00:1": (False, "Unknown"), ":::": (False, "Unknown"), "a:b:c": (False, "Unknown"),
+    "1:2:3:4:5:6:7:8": (True, "Unknown"), "fe80::1": (True, "Unknown"), "::ffff:10.0.0.1": (True, "Local"),
+    "::ffff:8.8.8.8": (True, "Unknown"), "::ffff:0a00:0001": (True, "Local"), "0:0:0:0:0:ffff:192.168.1.1": (True, "Local"),
+    "::1": (True, "Local"), "0:0::0:1": (True, "Local"), "::": (True, "Unknown"), "fd12:3456::1": (True, "Local"), "fc::1": (True, "Unknown"),
+    "1::2::3": (False, "Unknown"), "1:2:3:4:5:6:7:8:9": (False, "Unknown"), "1:2:3:4:5:6:7::": (True, "Unknown"), ":1:2:3:4:5:6:7": (False, "Unknown"),
+    "::12345": (False, "Unknown"), "::1.2.3": (False, "Unknown"), "1:2:3:4:5:6:1.2.3.4": (True, "Unknown"), "1.2.3.4": (True, "Unknown"),
+    "01.2.3.4": (False, "Unknown"), "172.31.0.1": (True, "Local"), "172.32.0.1": (True, "Unknown"), "": (False, "Unknown"), "::1:0": (True, "Unknown"),
+}
+
+
+def test_addresses_against_literal_rows(spark):
+    import ipaddress
+
+    from clickspark.functions import network
+
+    rows = spark.createDataFrame([(a,) for a in ADDRESSES], "ip string").select(
+        "ip", network.is_ip("ip").alias("valid"), network.geo_class("ip").alias("place")).collect()
+    assert {r.ip: (r.valid, r.place) for r in rows} == ADDRESSES
+    for text, (valid, _) in ADDRESSES.items():
+        try:
+            ipaddress.ip_address(text)
+            assert valid, text
+        except ValueError:
+            assert not valid, text
+
+
+def test_rules_against_literal_rows(spark):
+    """Rows that don't depend on the lists the SQL twins share with the code."""
+    from clickspark.functions import useragent as ua
+    from clickspark.functions import validation as v
+
+    aliases = {"ab": "too_short", "x" * 51: "too_long", "a b c": "invalid_chars", "admin": "reserved", "API": "reserved",
+               "my-casino-1": "denied", "good-alias_9": None, "y" * 50: None, "abc": None}
+    rows = spark.createDataFrame([(a,) for a in aliases], "alias string").select("alias", v.alias_reason("alias").alias("reason")).collect()
+    assert {r.alias: r.reason for r in rows} == aliases
+    agents = {
+        "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.0 Mobile/15E148 Safari/604.1":
+            ("Safari", "17.0", "mobile", "Apple", "iPhone"),
+        "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36 Edg/120.0.1":
+            ("Edge", "120.0.1", "desktop", "", ""),
+        "Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)": ("Googlebot", "2.1", "bot", "", ""),
+        "Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0": ("Firefox", "121.0", "desktop", "", ""),
+    }
+    parsed = ua.parse("a")
+    rows = spark.createDataFrame([(a,) for a in agents], "a string").select("a", *[c.alias(k) for k, c in parsed.items()]).collect()
+    got = {r.a: (r.browser, r.browser_version, r.device_type, r.device_brand, r.device_model) for r in rows}
+    assert {k: x[:3] for k, x in got.items()} == {k: x[:3] for k, x in agents.items()}
+    assert got[list(agents)[0]] == agents[list(agents)[0]]

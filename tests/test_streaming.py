@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from clickspark.operators import enrich as en
@@ -38,7 +39,8 @@ def test_enrichment_stream_equals_batch(spark, scratch):
     streamed = spark.read.parquet(f"{out}/clicks")
     good, _ = en.split_bad_messages(fx.raw_clicks(spark, SF_SMALL))
     batch = en.enrich_clicks(good, arrival=AS_OF)
-    assert _rows(streamed) == _rows(batch)
+    assert _rows(streamed.drop("event_id").withColumn("event_id", F.lit(""))) == _rows(batch.drop("event_id").withColumn("event_id", F.lit("")))
+    assert streamed.select("event_id").distinct().count() == streamed.count()  # ids come from file and place
     assert streamed.select("batch_id").distinct().count() == 4  # one file per micro-batch
     # rollup partials merged across batches equal the batch rollup
     merged = pl.read_rollup(spark, out, "clicks_by_country").select(
@@ -58,8 +60,11 @@ def test_enrichment_stream_equals_batch(spark, scratch):
     assert pl.read_quarantine(spark, out).count() == bad
     assert pl.quarantine_report(spark, out, 0).where("alert").count() == (0 if bad == 0 else
                                                                         pl.quarantine_report(spark, out, 0).count())
-    info = pl.backlog(q, threshold_rows=10)
-    assert info["backlog_alert"] and info["input_rows"] > 10
+    entries = spark.read.text(landing)
+    info = pl.backlog(q, entries, out, threshold_rows=10)
+    assert info["input_rows"] > 10 and info["backlog_rows"] == 0 and not info["backlog_alert"]
+    info = pl.backlog(q, entries.unionByName(entries.limit(50)), out, threshold_rows=10)
+    assert info["backlog_rows"] == 50 and info["backlog_alert"]
 
 
 def test_replayed_batch_is_idempotent(spark, scratch):
@@ -111,21 +116,6 @@ def test_counter_stream(spark, scratch):
     assert pl.read_counters(spark, urls_dir, deltas_dir, AS_OF).agg(F.sum("clicks")).first()[0] == expected
 
 
-def test_rate_limit_stream_equals_batch(spark, scratch):
-    reqs = fx.requests(spark, SF_SMALL)
-    landing = os.path.join(scratch, "requests")
-    reqs.orderBy("requested_at").coalesce(1).write.parquet(landing)
-    stream = spark.readStream.schema(reqs.schema).parquet(landing)
-    verdicts = rl.rate_verdict_stream(stream, 3, 86400)
-    q = (verdicts.writeStream.format("memory").queryName("rl_out").outputMode("append")
-         .option("checkpointLocation", os.path.join(scratch, "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    streamed = {r.event_id: (r.prior_count, r.allowed) for r in spark.table("rl_out").collect()}
-    batch = {r.event_id: (r.prior_count, r.allowed)
-             for r in limits.sliding_window_verdicts(reqs, 3, 86400).collect()}
-    assert streamed == batch
-
-
 def test_dedup_and_windowed_rollup_streams(spark, scratch):
     clicks = fx.click_events(spark, SF_SMALL)
     landing = os.path.join(scratch, "clicks")
@@ -157,12 +147,46 @@ def test_log_shipping_stream(spark, scratch):
     assert set(shipped.columns) >= {"service", "log_date", "level", "message"}
 
 
-def test_agent_lookup_fallback_matches_broadcast_path(spark):
-    raw = fx.raw_clicks(spark, SF_SMALL)
-    broadcast = en.enrich_clicks(raw, arrival=AS_OF)
-    per_row = en.enrich_clicks(raw, arrival=AS_OF, max_agents=1)  # over the bound -> per-row parsing
-    assert en.agent_lookup(raw, 1) is None and en.agent_lookup(raw, 10) is not None
-    assert _rows(broadcast) == _rows(per_row)
+def test_identical_clicks_keep_ids_of_their_own_and_replays_do_not(spark, scratch):
+    landing = os.path.join(scratch, "landing")
+    raw = fx.raw_clicks(spark, SF_SMALL).limit(100)
+    raw.unionByName(raw).unionByName(raw).coalesce(1).write.json(landing)
+    with open(os.path.join(landing, "part-extra.json"), "w") as f:
+        f.write('{"short_code": "c01", "message_id": "m1"}\n{"short_code": "c01", "message_id": "m2"}\nnot json\n{"short_code": "c01", "message_id": "m2"}\n')
+    ids = []
+    for i in range(2):  # the same files into two outputs: a full replay
+        out = os.path.join(scratch, f"out{i}")
+        pl.start_enrichment(src.click_stream(spark, landing), out, os.path.join(scratch, f"ckpt{i}"), arrival=AS_OF).awaitTermination()
+        rows = spark.read.parquet(f"{out}/clicks")
+        assert rows.count() == 303 and rows.select("event_id").distinct().count() == 302
+        bad = pl.read_quarantine(spark, out).collect()
+        assert [(r.reason, r._text) for r in bad] == [("malformed message", "not json")]
+        ids.append(sorted(r.event_id for r in rows.select("event_id").collect()))
+    assert ids[0] == ids[1]
+
+
+def test_kafka_positions_keep_identical_messages_apart(spark):
+    raw = fx.raw_clicks(spark, SF_SMALL).limit(5).withColumn("position", F.lit("0:7"))
+    again = raw.withColumn("position", F.lit("0:8"))
+    rows = en.enrich_clicks(en.with_positions(raw.unionByName(again).unionByName(raw)), arrival=AS_OF, position="position")
+    assert rows.count() == 15 and rows.select("event_id").distinct().count() == 10
+
+
+def test_a_failing_batch_is_quarantined_after_its_attempts(spark, scratch, monkeypatch):
+    out = os.path.join(scratch, "out")
+    raw = fx.raw_clicks(spark, SF_SMALL).limit(20)
+    run = pl.enrichment_batch(out, arrival=AS_OF, search_export=False, max_attempts=3)
+
+    def broken(*args):
+        raise RuntimeError("sink is down")
+
+    monkeypatch.setattr(pl, "_enriched", broken)
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            run(raw, 0)
+    run(raw, 0)
+    report = pl.quarantine_report(spark, out, 5).collect()
+    assert [(r.reason, r.messages, r.attempts, r.alert) for r in report] == [("failed batch", 20, 3, True)]
 
 
 def test_bad_messages_are_quarantined_not_blocking(spark, scratch):
@@ -225,8 +249,21 @@ def test_history_based_rate_verdicts_equal_batch(spark, scratch):
     stream = spark.readStream.schema(reqs.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     out = os.path.join(scratch, "rl")
     rl.start_rate_verdicts(stream, out, os.path.join(scratch, "ckpt"), 3, 86400).awaitTermination()
-    got = {r.event_id: (r.prior_count, r.allowed, r.reset_at) for r in spark.read.parquet(f"{out}/verdicts").collect()}
+    got = {r.event_id: (r.prior_count, r.allowed, r.reset_at) for r in rl.read_verdicts(spark, out).collect()}
     want = {r.event_id: (r.prior_count, r.allowed, r.reset_at)
             for r in limits.sliding_window_verdicts(reqs, 3, 86400).collect()}
     assert got == want
     assert spark.read.parquet(f"{out}/verdicts").select("batch_id").distinct().count() == 5
+
+
+def test_late_requests_correct_earlier_verdicts(spark, scratch):
+    reqs = fx.requests(spark, SF_SMALL).select("event_id", "ip", "requested_at")
+    out = os.path.join(scratch, "rl")
+    run = rl.verdict_batch(out, 3, 86400)
+    parts = [reqs.where(F.pmod(F.hash("event_id"), F.lit(4)) == i) for i in range(4)]  # times in no order at all
+    for i, part in enumerate(parts):
+        run(part, i)
+    run(parts[3], 3)  # replay of the last batch
+    got = {r.event_id: (r.prior_count, r.allowed, r.reset_at) for r in rl.read_verdicts(spark, out).collect()}
+    want = {r.event_id: (r.prior_count, r.allowed, r.reset_at) for r in limits.sliding_window_verdicts(reqs, 3, 86400).collect()}
+    assert got == want

@@ -25,7 +25,7 @@ def _plan(df):
 def test_click_table_layout_prunes_months_and_pushes_filters(spark, scratch):
     path = os.path.join(scratch, "clicks")
     tb.write_click_table(fx.click_events(spark, SF_SMALL), path, mode="overwrite")
-    assert sorted(os.listdir(path))[0].startswith("clicked_month=")
+    assert any(f.startswith("clicked_month=") for f in os.listdir(path))
     df = tb.read_click_table(spark, path, "2024-01-05", "2024-01-25", codes=["c42"])
     plan = _plan(df)
     assert "PartitionFilters: [isnotnull(clicked_month" in plan
@@ -62,16 +62,20 @@ def test_publish_and_replay_round_trip(spark, scratch):
 
 
 def test_update_users(spark):
-    users = fx.users(spark, SF_SMALL)
+    users = fx.users(spark, SF_SMALL).withColumn("password_hash", F.concat(F.lit("h"), "id"))
     updates = spark.createDataFrame([("1", "New Name", "new1@example.com"), ("2", "X", "u3@example.com"),
-                                     ("3", "Y", "bad-email"), ("999999", "Z", "z@example.com")],
+                                     ("3", "Y", "bad-email"), ("999999", "Z", "z@example.com"), ("9", "N", "same@example.com"),
+                                     ("10", "T", "same@example.com"), ("4", "a", "four@example.com"), ("4", "b", "vier@example.com"),
+                                     (None, "n", "n@example.com")],
                                     "id string, name string, email string")
     merged, rejects = tb.update_users(users, updates, AS_OF)
-    assert merged.count() == users.count()
+    assert merged.count() == users.count() and merged.where("password_hash is null").count() == 0
     one = merged.where("id = '1'").first()
-    assert one.email == "new1@example.com" and one.name == "New Name" and one.created_at is not None
-    reasons = {r.id: r.reason for r in rejects.collect()}
-    assert reasons == {"2": "email_taken", "3": "invalid_email", "999999": "unknown_user"}
+    assert one.email == "new1@example.com" and one.name == "New Name" and one.created_at is not None and one.password_hash == "h1"
+    reasons = {(r.id, r.name): r.reason for r in rejects.collect()}
+    assert reasons == {("2", "X"): "email_taken", ("3", "Y"): "invalid_email", ("999999", "Z"): "unknown_user",
+                       ("10", "T"): "duplicate_email", ("4", "b"): "duplicate_update", (None, "n"): "missing_id"}
+    assert merged.where("email = 'same@example.com'").first().id == "9"
 
 
 def test_bulk_create_and_register(spark):
@@ -91,16 +95,50 @@ def test_bulk_create_and_register(spark):
     assert {r.id: r.reason for r in bad.collect()} == {"x1": "email_taken", "x3": "duplicate_email"}
 
 
-def test_maintenance_jobs(spark, scratch):
-    clicks = fx.click_events(spark, SF_SMALL)
-    cold = os.path.join(scratch, "cold")
-    tb.rewrite_cold(clicks, cold, AS_OF, cold_days=7)
-    assert spark.read.parquet(cold).count() == clicks.where(F.col("clicked_at") < "2024-01-24").count()
+def test_only_acceptable_rows_claim_a_name(spark):
+    reqs = spark.createDataFrame([(1, "bad url", "good-one"), (2, "https://ok.example", "good-one"), (3, "https://ok.example", "good-one")],
+                                 "request_id long, long_url string, alias string")
+    assert {r.request_id: r.reason for r in rs.creation_audit(reqs, fx.urls(spark, SF_SMALL)).collect()} == {
+        1: "invalid_url", 2: None, 3: "duplicate_in_batch"}
+    new = spark.createDataFrame([("8", "", "a@example.com", "long enough"), ("9", "Ann", "a@example.com", "long enough"),
+                                 ("10", "Bob", "a@example.com", "long enough"), ("11", "Cy", "A@example.com", "short"),
+                                 ("12", "Cy", "A@example.com", "long enough")], "id string, name string, email string, password string")
+    ok, bad = rs.bulk_register(new, fx.users(spark, SF_SMALL))
+    assert sorted(r.id for r in ok.collect()) == ["12", "9"]
+    assert {r.id: r.reason for r in bad.collect()} == {"8": "missing_name", "10": "duplicate_email", "11": "short_password"}
+
+
+def test_cold_months_are_rewritten_in_place(spark, scratch):
+    path = os.path.join(scratch, "clicks")
+    history = fx.click_history(spark, SF_SMALL)
+    tb.write_click_table(history, path)
+    before = sorted(map(tuple, history.select("event_id", "clicked_at").collect()))
+    files = lambda: {f for d, _, fs in os.walk(path) for f in fs if f.startswith("part") and "202401" in d}
+    hot = files()
+    tb.rewrite_cold(spark.read.parquet(path), path, AS_OF, cold_days=7)
+    assert sorted(map(tuple, spark.read.parquet(path).select("event_id", "clicked_at").collect())) == before
+    assert files() == hot  # the month of the cutoff is not touched
+    # expiry drops whole months and cuts the boundary month, twice with one result
+    assert tb.drop_expired(spark, path, AS_OF, 90) and tb.drop_expired(spark, path, AS_OF, 90) == []
+    assert spark.read.parquet(path).count() == tb.retention(history, AS_OF, 90).count() > 0
+    # overwriting a table leaves no stale month
+    tb.write_click_table(history.where("clicked_date >= '2024-01-01'"), path, mode="overwrite")
+    assert os.listdir(path).count("clicked_month=202401") == 1 and sum(d.startswith("clicked_month") for d in os.listdir(path)) == 1
+
+
+def test_landing_files_inside_the_newest_rows_stay(spark, scratch):
     landing = os.path.join(scratch, "landing")
-    clicks.select(F.col("clicked_at").alias("ingested_at"), "event_id").repartitionByRange(6, "ingested_at") \
-        .write.parquet(landing)
-    doomed = tb.trim_landing(spark.read.parquet(landing), keep_newest=300)
-    assert 0 < doomed.count() < 6
+    rows = fx.click_events(spark, SF_SMALL).select(F.col("clicked_at").alias("ingested_at"), "event_id")
+    rows.repartitionByRange(6, "ingested_at").write.parquet(landing)
+    for keep in (1, 300, 900, 10_000):
+        doomed = {r.file for r in tb.trim_landing(spark.read.parquet(landing), keep).collect()}
+        kept = spark.read.parquet(landing).withColumn("f", F.input_file_name()).where(~F.col("f").isin(*doomed, ""))
+        newest = rows.orderBy(F.desc("ingested_at")).limit(keep)
+        assert newest.select("event_id").exceptAll(kept.select("event_id")).count() == 0
+        assert (len(doomed) > 0) == (keep < 900)
+    mixed = spark.createDataFrame([("g", 10), ("g", 1), ("g", 1), ("f", 5), ("f", 5)], "file string, t long").select(
+        "file", F.timestamp_seconds("t").alias("ingested_at"))
+    assert tb.trim_landing(mixed, 3, file_col="file").collect() == []
     kept, gone = tb.expired_split(fx.urls(spark, SF_SMALL), AS_OF)
     assert kept.count() + gone.count() == fx.urls(spark, SF_SMALL).count()
     assert tb.delete_keys(fx.urls(spark, SF_SMALL), gone, "short_code").count() == kept.count()

@@ -68,11 +68,11 @@ def _requests(spark, n=3000, seed=7):
     return rows, spark.createDataFrame(rows, "event_id long, ip string, requested_at timestamp")
 
 
-@pytest.mark.parametrize("k", [1, 7, 8, 50])
+@pytest.mark.parametrize("k", [3, 40, 500, 50_000])
 def test_sliding_window_matches_brute_force_with_hot_ip(spark, k):
     rows, df = _requests(spark)
     limit, window = 5, 600.0
-    got = {r.event_id: r for r in limits.sliding_window_verdicts(df, limit, window, sub_buckets=k).collect()}
+    got = {r.event_id: r for r in limits.sliding_window_verdicts(df, limit, window, bucket_rows=k).collect()}
     by_ip = {}
     for eid, ip, t in rows:
         by_ip.setdefault(ip, []).append((t, eid))
@@ -148,3 +148,54 @@ def test_fixed_window_positions_with_hot_ip(spark):
     for items in groups.values():
         for pos, (_, eid) in enumerate(sorted(items), start=1):
             assert got[eid] == pos
+
+
+def test_sliding_window_is_linear_in_a_dense_client(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(n).selectExpr("id event_id", "'one' ip", "timestamp_millis(1704067200000 + id * 125) requested_at")
+        start = time.perf_counter()
+        limits.sliding_window_verdicts(df, 3, 86400).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(160_000) < 4 * seconds(40_000) + 3
+
+
+@pytest.mark.parametrize("rows", [2, 30, 50_000])
+def test_fixed_window_rank_in_blocks(spark, rows):
+    items, df = _requests(spark, n=1200, seed=5)
+    got = {r.event_id: r.position for r in limits.fixed_window_verdicts(df, 5, 3600, bucket_rows=rows).collect()}
+    seen = {}
+    for eid, ip, t in sorted(items, key=lambda r: (r[2], r[0])):
+        window = (ip, int(t.replace(tzinfo=dt.timezone.utc).timestamp()) // 3600)
+        seen[window] = seen.get(window, 0) + 1
+        assert got[eid] == seen[window]
+
+
+@pytest.mark.parametrize("rows", [3, 700, 50_000])
+def test_codes_of_two_runs_never_clash(spark, rows):
+    base = dt.datetime(2024, 3, 1, 12, 0, 0)
+    times = [base + dt.timedelta(milliseconds=m) for m in [0] * 4500 + [1] * 300 + [5] * 10]
+    df = spark.createDataFrame(list(enumerate(times)), "request_id long, requested_at timestamp").withColumn("gen", F.lit(37))
+    first = ids.assign_short_codes(df, generator_col="gen", block_rows=rows)
+    last = ids.last_slots_of(first)
+    second = ids.assign_short_codes(df, generator_col="gen", last_slots=last, block_rows=rows)
+    one, two = ({r.id for r in x.select("id").collect()} for x in (first, second))
+    assert len(one) == len(two) == len(times) and not one & two and min(two) > max(one)
+    epoch_ms = int((base - dt.datetime(2024, 1, 1)).total_seconds() * 1000)
+    expected = _generator_loop([(i, epoch_ms + int((t - base).total_seconds() * 1000)) for i, t in enumerate(times)])
+    assert one == {(t << 22) | (1 << 17) | (5 << 12) | seq for t, seq in expected.values()}
+
+
+def test_quantiles_match_numpy(spark):
+    import numpy as np
+
+    from clickspark.operators.common import quantiles
+
+    rnd = random.Random(11)
+    data = {"a": [rnd.expovariate(0.01) for _ in range(999)], "b": [float(rnd.randint(-5, 5)) for _ in range(400)], "c": [7.25], "d": [-1e9, 1e9, 0.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in data.items() for x in xs] + [("e", None)], "k string, x double")
+    for r in quantiles(df, ["k"], "x", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).collect():
+        assert np.allclose([r.p50, r.p95, r.p99], np.quantile(data[r.k], [0.5, 0.95, 0.99]))
