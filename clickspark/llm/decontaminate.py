@@ -25,19 +25,26 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _seeds(hashes: str, number: int, mask: str) -> Column:
-    """Seed of every window of the mask's length, in order; none if the text is shorter."""
-    marked = [i for i, c in enumerate(mask) if c == "1"]
+def _seeds(hashes: str, pairs: str, number: int, mask: str) -> Column:
+    """Seed of every window of the mask's length, in order; none if the text is shorter. Neighbouring
+    marked words go in as one hash of both."""
+    parts, i = [], 0
+    while i < len(mask):
+        two = mask[i:i + 2] == "11"
+        if mask[i] == "1":
+            parts.append((pairs if two else hashes, i))
+        i += 2 if two else 1
     last = F.size(hashes) - len(mask)
-    seed = lambda at: F.xxhash64(F.lit(number), *[F.col(hashes)[at + i] for i in marked])
+    seed = lambda at: F.xxhash64(F.lit(number), *[F.col(c)[at + i] for c, i in parts])
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), seed)).otherwise(F.array().cast("array<bigint>"))
 
 
 def seeds(hashed: DataFrame, hashes: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """One row per window and mask: ``seed`` and ``at``, the window's first word. Other columns stay."""
     kept = [c for c in hashed.columns if c != hashes]
-    every = F.concat(*[_seeds(hashes, i, m) for i, m in enumerate(masks)])
-    rows = hashed.select(*kept, F.size(hashes).alias("_n"), F.posexplode(every).alias("_i", "seed"))
+    paired = hashed.withColumn("_pairs", F.transform(hashes, lambda w, i: F.xxhash64(w, F.get(hashes, i + 1))))
+    every = F.concat(*[_seeds(hashes, "_pairs", i, m) for i, m in enumerate(masks)])
+    rows = paired.select(*kept, F.size(hashes).alias("_n"), F.posexplode(every).alias("_i", "seed"))
     # the windows of the masks follow each other in the exploded array
     at, before = F.col("_i"), F.lit(0)
     for mask in masks[:-1]:
