@@ -143,5 +143,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as :func:`mix` takes it, with all its columns."""
     taken = mix(docs, id_col=id_col, text_col=text_col, **options)
-    copies = taken.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    return take_rows(docs, materialise(copies, "taken"), id_col, text_col)
+    copies = taken.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    return take_rows(docs, copies, id_col, text_col)

@@ -219,7 +219,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_
     equal ids, of the smallest columns among repeated rows. Rows without an id come last. All
     columns are kept.
     """
-    rows = simhash_components(docs, words, distance, id_col, text_col)
+    rows = materialise(simhash_components(docs, words, distance, id_col, text_col), "components")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("best"))
-    best = materialise(best.select("best.doc_id", "best.text_hash", F.lit(1).alias("copies")), "kept")
-    return take_rows(docs, best, id_col, text_col)
+    same = rows.groupBy(F.struct("doc_id", "text_hash").alias("key")).agg(F.count("*").alias("rows"))
+    best = best.select(F.struct("best.doc_id", "best.text_hash").alias("key")).join(same, "key")
+    return take_rows(docs, best.select("key.doc_id", "key.text_hash", F.lit(1).alias("copies"), "rows"), id_col, text_col)
