@@ -118,7 +118,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: s
     """
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"features": [sorted(features(t)) for t in batch["text"]], "label": batch["label"]})
+            for at in range(0, len(batch), 256):  # the words of few texts at a time
+                some = batch.iloc[at:at + 256]
+                yield pd.DataFrame({"features": [sorted(features(t)) for t in some["text"]], "label": some["label"].to_numpy()})
 
     chosen = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col(label_col).cast("int") > 0).cast("int")).alias("label"))
