@@ -51,6 +51,8 @@ def balance(pairs: DataFrame, sources: DataFrame, cap: float = 2.0, iterations:
     times its size, or that has no words, has multiplier null: all rates at the cap. Newton steps are
     kept within 4 of the last multiplier and inside the bracket known so far, else the bracket is
     halved; the residual is monotone, so this ends. One number reaches the driver per iteration.
+    Sums of doubles depend on their order in the last bits, so multipliers are rounded to seven places:
+    reruns agree, and what that moves is mended with the copies.
     """
     words = pairs.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs"))
     none = F.lit(None).cast("double")
@@ -60,7 +62,7 @@ def balance(pairs: DataFrame, sources: DataFrame, cap: float = 2.0, iterations:
         none.alias("low"), none.alias("high"), F.lit(False).alias("done")), "multipliers")
     for _ in range(iterations):
         if state.filter(~F.col("done")).limit(1).count() == 0:
-            return state.select("source_key", "scale", "multiplier")
+            break
         size = F.col("size") / F.col("scale")
         rate = tilted_rate(F.col("multiplier"), size, cap)
         mass = F.col("n") * F.col("size")
@@ -76,7 +78,7 @@ def balance(pairs: DataFrame, sources: DataFrame, cap: float = 2.0, iterations:
             "source_key", "target", "scale",
             F.when(F.col("done") | done, at).when(inside, newton).otherwise((low + high) / 2).alias("multiplier"),
             low.alias("low"), high.alias("high"), (F.col("done") | done).alias("done")), "multipliers")
-    return state.select("source_key", "scale", "multiplier")
+    return state.select("source_key", "scale", F.round("multiplier", 7).alias("multiplier"))
 
 
 def tilted_rate(multiplier: Column, size: Column, cap: float) -> Column:

@@ -77,7 +77,7 @@ def test_rates_are_the_constrained_optimum(spark):
     for target in (0.2 * total, total, 1.4 * total, 1.99 * total):
         (row,) = mixing.balance(pairs, spark.createDataFrame([("a", total, float(target))], "source_key string, source_size long, target double")).collect()
         rates = [min(2.0, math.exp(row.multiplier * s / row.scale)) for s in sizes]
-        assert math.isclose(sum(r * s for r, s in zip(rates, sizes, strict=True)), target, rel_tol=1e-7)
+        assert math.isclose(sum(r * s for r, s in zip(rates, sizes, strict=True)), target, rel_tol=1e-5)
         if target == total:
             assert abs(row.multiplier) < 1e-6
 
