@@ -12,9 +12,10 @@ A reader decodes the tail of a file and then only the frames of the documents it
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -44,7 +45,6 @@ _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d"
                     "|[^\\sA-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
-@functools.cache
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters
     for themselves, the other bytes in turn for the characters from 256 on."""
@@ -69,13 +69,18 @@ class _Words(dict):
         return packed
 
 
-@functools.cache
 def _loaded(path: str):
-    """(tokenizer, its words, its special tokens); kept for all tasks of a worker process."""
-    from tokenizers import Tokenizer
+    """(tokenizer, its words, its special tokens), kept for all tasks of a worker process.
 
-    tokenizer = Tokenizer.from_file(path)
-    return tokenizer, _Words(tokenizer.model), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    Functions of this module arrive in a worker by value, new ones with every task, so what is kept
+    hangs on a module of its own."""
+    kept = sys.modules.setdefault("_token_words", types.ModuleType("_token_words")).__dict__
+    if path not in kept:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        kept[path] = tokenizer, _Words(tokenizer.model), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return kept[path]
 
 
 class WordEncoder:
