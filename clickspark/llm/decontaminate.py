@@ -78,13 +78,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
         F.col(item_col).cast("long").alias("item_id"), F.xxhash64(item_text).alias("item_hash"), word_hashes(item_text).alias("item"))
     items = materialise(items.dropDuplicates(["item_id", "item_hash"]), "benchmark")
     probes = materialise(seeds(items, "item", masks).withColumnRenamed("at", "item_at"), "benchmark-seeds")
-    hits = seeds(texts.select("key", word_hashes("text").alias("h")), "h", masks).join(broadcast_if_small(probes, 40), "seed")
+    hits = seeds(texts.select("key", word_hashes("text").alias("h")), "h", masks).join(broadcast_if_small(probes, 96), "seed")
     hits = materialise(hits.select("key", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
 
     # word hashes are made again, for the texts that were hit only
     hit_keys = materialise(hits.select("key").distinct(), "hit-texts")
-    hit_texts = texts.join(broadcast_if_small(hit_keys, 24), "key", "left_semi").select("key", word_hashes("text").alias("h"))
-    aligned = hit_texts.join(broadcast_if_small(hits, 64), "key").join(items, ["item_id", "item_hash"])
+    hit_texts = texts.join(broadcast_if_small(hit_keys, 128), "key", "left_semi").select("key", word_hashes("text").alias("h"))
+    aligned = hit_texts.join(broadcast_if_small(hits, 192), "key").join(items, ["item_id", "item_hash"])
     first, end = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item"), F.size("h") - F.col("shift"))
     agree = F.transform(F.sequence(first, end - 1), lambda j: (F.col("h")[j + F.col("shift")] == F.col("item")[j]).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)

@@ -175,7 +175,7 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, most: int = 16384) -> D
     dealt = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.value")
     crowded = materialise(dealt.groupBy("block", "value").count().filter(F.col("count") > most).select(
         "block", "value", F.ceil(F.col("count") / most).cast("int").alias("parts")), "crowded")
-    dealt = dealt.join(broadcast_if_small(crowded, 16), ["block", "value"], "left")
+    dealt = dealt.join(broadcast_if_small(crowded, 96), ["block", "value"], "left")
     own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     dealt = dealt.select("fp", "block", "value", own.alias("own"), other.alias("other")).select(

@@ -33,10 +33,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 16 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only if the counted rows times ``row_bytes`` stay below ``limit_bytes``.
 
-    Larger tables come back as they are and are joined by shuffle. ``df`` should be materialised.
+    ``row_bytes`` is what a row takes in the broadcast table. Larger tables come back as they are and
+    are joined by shuffle. ``df`` should be materialised.
     """
     most = limit_bytes // row_bytes
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
