@@ -54,14 +54,17 @@ class OrdinalModel:
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, l2: np.ndarray,
-                steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+                steps: int = 2000, clean_share: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) that maximise the mean log likelihood minus sum(l2 * w^2) / 2.
 
-    ``rows`` and ``cols`` are the positions of the ones of the binary feature matrix. Thresholds are
-    the first one and logs of the gaps, so they stay in order. Full-batch Adam; no randomness.
+    Texts of grade 0 make up ``clean_share`` of the mean, however rare the others are. ``rows`` and
+    ``cols`` are the positions of the ones of the binary feature matrix. Thresholds are the first one
+    and logs of the gaps, so they stay in order. Full-batch Adam; no randomness.
     """
     n, top, width = len(grades), int(grades.max()), len(l2)
-    share = [np.clip((grades > j).mean(), 1e-4, 1 - 1e-4) for j in range(top)]
+    clean = (grades == 0).mean()
+    each = np.where(grades == 0, clean_share / max(clean, 1e-9), (1 - clean_share) / max(1 - clean, 1e-9)) / n
+    share = [np.clip(each[grades > j].sum(), 1e-4, 1 - 1e-4) for j in range(top)]
     first = [-math.log(p / (1 - p)) for p in share]
     gaps = [math.log(max(b - a, 1e-2)) for a, b in zip(first, first[1:], strict=False)]
     p = np.concatenate([np.zeros(width), [first[0]], gaps])
@@ -72,11 +75,11 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, l2: np.n
         edges = np.r_[-np.inf, t, np.inf]
         upper, lower = _sigmoid(edges[grades + 1] - s), _sigmoid(edges[grades] - s)
         likelihood = np.maximum(upper - lower, 1e-12)
-        du, dl = upper * (1 - upper) / likelihood, lower * (1 - lower) / likelihood
+        du, dl = each * upper * (1 - upper) / likelihood, each * lower * (1 - lower) / likelihood
         du[grades == top] = 0
         dl[grades == 0] = 0
-        gw = np.bincount(cols, weights=(dl - du)[rows], minlength=width) / n - l2 * w
-        gt = (np.bincount(grades, weights=du, minlength=top + 1)[:top] - np.bincount(grades, weights=dl, minlength=top + 1)[1:]) / n
+        gw = np.bincount(cols, weights=(dl - du)[rows], minlength=width) - l2 * w
+        gt = np.bincount(grades, weights=du, minlength=top + 1)[:top] - np.bincount(grades, weights=dl, minlength=top + 1)[1:]
         chain = np.cumsum(gt[::-1])[::-1]  # a threshold moves with every gap before it
         g = np.concatenate([gw, [chain[0]], chain[1:] * np.exp(p[width + 1:])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -131,7 +134,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: s
     return materialise(once.select("text", "label").mapInPandas(extract, "features array<string>, label int"), "labelled")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, least: int = 5, z: float = 4.5, l2: float = 1e-4, **columns: str) -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, least: int = 5, z: float = 4.5, l2: float = 1e-6, **columns: str) -> OrdinalModel:
     """Fit on a bounded sample of labelled rows (``max_rows``, see :func:`labelled_sample`).
 
     Features are chosen by :func:`telling` on the executors; the driver gets the chosen features of

@@ -19,7 +19,7 @@ def test_fit_reaches_the_optimum_and_orders_thresholds():
     s = x @ np.array([2.0, 1.0, 0.0, -1.0, 0.5]) + rng.logistic(size=600)
     grades = (s > 0.5).astype(int) + (s > 1.5) + (s > 3)
     rows, cols = np.nonzero(x)
-    w, t = toxicity.fit_ordinal(rows, cols, grades, np.full(5, 1e-3), steps=1500)
+    w, t = toxicity.fit_ordinal(rows, cols, grades, np.full(5, 1e-3), clean_share=(grades == 0).mean())
     assert (np.diff(t) > 0).all() and np.abs(w - [2, 1, 0, -1, 0.5]).max() < 0.5
     best = likelihood(w, t, rows, cols, grades, 1e-3)
     for i in range(5):
@@ -38,7 +38,7 @@ def test_held_out_accuracy(spark):
     graded = toxicity.grade_documents(docs, model).join(labels.filter(held).withColumnRenamed("toxic", "label"), "doc_id").toPandas()
     hit = (graded["toxic"] == (graded["label"] == 1))
     assert len(graded) > 1000 and hit.mean() > 0.97
-    assert hit[graded["label"] == 0].mean() > 0.995 and hit[graded["label"] == 1].mean() > 0.75
+    assert hit[graded["label"] == 0].mean() > 0.995 and hit[graded["label"] == 1].mean() > 0.8
     assert graded[graded.label == 1].severity.mean() > 1 > 0.1 > graded[graded.label == 0].severity.mean()
     assert len(model.thresholds) == 2
 
