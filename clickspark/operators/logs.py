@@ -43,9 +43,15 @@ def log_partitions(logs: DataFrame, prefix: str = "app") -> DataFrame:
                                                   F.date_format("timestamp", "yyyy.MM.dd"))))
 
 
-def write_logs(logs: DataFrame, path: str) -> None:
-    """K9: append-only JSON partitions per service and day."""
-    log_partitions(logs).drop("index_name").write.mode("append").partitionBy("service", "log_date").json(path)
+def write_logs(logs: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """K9: append-only JSON partitions per service and day. With ``batch_id`` the rows of a batch have
+    folders of their own, which a replay replaces: a flush that is repeated adds nothing."""
+    rows = log_partitions(logs).drop("index_name")
+    if batch_id is None:
+        rows.write.mode("append").partitionBy("service", "log_date").json(path)
+    else:
+        (rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("service", "log_date", "batch_id").json(path))
 
 
 def daily_counts(logs: DataFrame) -> DataFrame:

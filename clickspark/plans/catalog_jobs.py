@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from clickspark.operators import enrich as en
 from clickspark.operators import listing as ls
+from clickspark.operators import logs as lg
 from clickspark.operators import quality as qa
 from clickspark.operators import reports as rp
 from clickspark.operators import resolve as rs
 from clickspark.operators import tables as tb
-from clickspark.plans.catalog import AS_OF, clicks, register, scratch
+from clickspark.plans.catalog import AS_OF, ORACLES, clicks, register, scratch
 from clickspark.plans.catalog_urls import ACTIVE, EMAIL_SQL, urls, users
 from clickspark.plans.fixture_sql import with_views
 from clickspark.sources import fixtures as fx
@@ -177,6 +178,19 @@ register("split_bad_messages", with_views(["raw_click"], f"""
 SELECT reason, CAST(count(*) AS BIGINT) AS messages FROM (SELECT {_BAD} AS reason FROM messy) m WHERE reason IS NOT NULL GROUP BY reason""", ctes=[("messy", _MESSY)]))(
     lambda spark, d: en.split_bad_messages(_messy(spark, d))[1].groupBy("reason").agg(F.count(F.lit(1)).alias("messages")))
 
+
+
+def _shipped(spark, d):
+    """K9: two flushes, the second one repeated; counted from the files."""
+    path, logs = scratch(spark, "logs"), lg.normalise_logs(fx.log_lines(spark, d), ingest_time=AS_OF)
+    for batch_id in (0, 1, 1):
+        lg.write_logs(logs.where(F.col("line_no") % 2 == batch_id).drop("fields"), path, batch_id)
+    return spark.read.schema("level string, service string, log_date date, batch_id bigint").json(path).groupBy(
+        "service", "log_date", "level").agg(F.count(F.lit(1)).alias("lines"))
+
+
+register("log_files", ORACLES["log_daily_counts"])(_shipped)
+
 # Every message twice; each copy gets an id of its own
 register("identical_clicks", with_views(["raw_click"], """
 SELECT CAST(2 * count(*) AS BIGINT) AS messages, CAST(2 * count(*) AS BIGINT) AS ids FROM raw_click"""))(

@@ -11,8 +11,8 @@ def start_log_shipping(lines: DataFrame, out_dir: str, checkpoint: str, service:
                        trigger: dict | None = None):
     """Normalise each micro-batch (J13) and append it under ``service=/log_date=`` (K9).
 
-    The flush-on-size-or-timer rule of the reference maps to the trigger interval plus the
-    source's ``maxFilesPerTrigger``; partitions are by event date, not flush time (trap T21)."""
+    The flush-on-size-or-timer rule maps to the trigger interval plus the source's
+    ``max_bytes_per_trigger`` (K10); partitions are by event date, not flush time (trap T21)."""
     entries = lg.log_partitions(lg.normalise_logs(lines, default_service=service)).drop("index_name")
     return (entries.writeStream.format("json").option("path", out_dir)
             .option("checkpointLocation", checkpoint)

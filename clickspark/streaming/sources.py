@@ -52,9 +52,13 @@ def kafka_click_stream(spark: SparkSession, bootstrap_servers: str, topic: str,
     return raw.select(*parsed(F.col("value").cast("string")), place.alias("position"))
 
 
-def log_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """One JSON log entry per text line."""
+def log_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+               max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """One JSON log entry per text line. ``max_bytes_per_trigger`` flushes on size
+    (K10), the query's trigger interval on time."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     return reader.text(path).withColumnRenamed("value", "line")

@@ -140,7 +140,7 @@ def test_log_shipping_stream(spark, scratch):
     landing = os.path.join(scratch, "logs_in")
     lines.coalesce(2).write.text(landing)
     out = os.path.join(scratch, "logs_out")
-    q = start_log_shipping(src.log_stream(spark, landing), out, os.path.join(scratch, "ckpt"))
+    q = start_log_shipping(src.log_stream(spark, landing, max_bytes_per_trigger=1024), out, os.path.join(scratch, "ckpt"))
     q.awaitTermination()
     shipped = spark.read.json(out)
     assert shipped.count() == lines.where(~F.col("line").startswith("not")).count()
