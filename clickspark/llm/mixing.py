@@ -17,6 +17,7 @@ from clickspark.llm.rowkeys import take_rows
 from clickspark.llm.storage import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
+_STEPS = 4  # Newton steps between two writes of the multipliers
 
 
 def word_count(text: str) -> Column:
@@ -50,7 +51,7 @@ def balance(pairs: DataFrame, sources: DataFrame, cap: float = 2.0, iterations:
     ``pairs`` has source_key, size and n (documents of that size). A source whose target is ``cap``
     times its size, or that has no words, has multiplier null: all rates at the cap. Newton steps are
     kept within 4 of the last multiplier and inside the bracket known so far, else the bracket is
-    halved; the residual is monotone, so this ends. One number reaches the driver per iteration.
+    halved; the residual is monotone, so this ends. One number reaches the driver per write.
     Sums of doubles depend on their order in the last bits, so multipliers are rounded to seven places:
     reruns agree, and what that moves is mended with the copies.
     """
@@ -60,27 +61,34 @@ def balance(pairs: DataFrame, sources: DataFrame, cap: float = 2.0, iterations:
         (F.col("words") > 0) & (F.col("target") < F.lit(float(cap)) * F.col("words") * (1 - 1e-12))).select(
         "source_key", "target", (F.col("words") / F.col("docs")).alias("scale"), F.lit(0.0).alias("multiplier"),
         none.alias("low"), none.alias("high"), F.lit(False).alias("done")), "multipliers")
-    for _ in range(iterations):
+    for _ in range(0, iterations, _STEPS):
         if state.filter(~F.col("done")).limit(1).count() == 0:
             break
-        size = F.col("size") / F.col("scale")
-        rate = tilted_rate(F.col("multiplier"), size, cap)
-        mass = F.col("n") * F.col("size")
-        sums = pairs.join(state, "source_key").groupBy("source_key").agg(
-            F.sum(mass * rate).alias("reached"), F.sum(F.when(rate < cap, mass * size * rate)).alias("slope"))
-        at, over = F.col("multiplier"), F.col("reached") > F.col("target")
-        low, high = F.when(over, F.col("low")).otherwise(at), F.when(over, at).otherwise(F.col("high"))
-        step = (F.col("target") - F.col("reached")) / F.nullif(F.col("slope"), F.lit(0.0))
-        newton = at + F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.coalesce(step, F.when(over, -4.0).otherwise(4.0))))
-        inside = (F.coalesce(newton > low, F.lit(True))) & (F.coalesce(newton < high, F.lit(True)))
-        done = (F.abs(F.col("reached") - F.col("target")) <= F.col("target") * tolerance) | F.coalesce(high - low < 1e-13 * F.greatest(F.lit(1.0), F.abs(at)), F.lit(False))
-        state = materialise(state.join(sums, "source_key").select(
-            "source_key", "target", "scale",
-            F.when(F.col("done") | done, at).when(inside, newton).otherwise((low + high) / 2).alias("multiplier"),
-            low.alias("low"), high.alias("high"), (F.col("done") | done).alias("done")), "multipliers")
+        for _ in range(_STEPS):
+            state = _newton_step(pairs, state, cap, tolerance)
+        state = materialise(state, "multipliers")
     return state.select("source_key", "scale", F.round("multiplier", 7).alias("multiplier"))
 
 
+def _newton_step(pairs: DataFrame, state: DataFrame, cap: float, tolerance: float) -> DataFrame:
+    size = F.col("size") / F.col("scale")
+    rate = tilted_rate(F.col("multiplier"), size, cap)
+    mass = F.col("n") * F.col("size")
+    kept = [F.first(c).alias(c) for c in state.columns if c != "source_key"]
+    state = pairs.join(state, "source_key").groupBy("source_key").agg(
+        F.sum(mass * rate).alias("reached"), F.sum(F.when(rate < cap, mass * size * rate)).alias("slope"), *kept)
+    at, over = F.col("multiplier"), F.col("reached") > F.col("target")
+    low, high = F.when(over, F.col("low")).otherwise(at), F.when(over, at).otherwise(F.col("high"))
+    step = (F.col("target") - F.col("reached")) / F.nullif(F.col("slope"), F.lit(0.0))
+    newton = at + F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.coalesce(step, F.when(over, -4.0).otherwise(4.0))))
+    inside = (F.coalesce(newton > low, F.lit(True))) & (F.coalesce(newton < high, F.lit(True)))
+    done = (F.abs(F.col("reached") - F.col("target")) <= F.col("target") * tolerance) | F.coalesce(high - low < 1e-13 * F.greatest(F.lit(1.0), F.abs(at)), F.lit(False))
+    return state.select(
+        "source_key", "target", "scale",
+        F.when(F.col("done") | done, at).when(inside, newton).otherwise((low + high) / 2).alias("multiplier"),
+        low.alias("low"), high.alias("high"), (F.col("done") | done).alias("done"))
+
+
 def tilted_rate(multiplier: Column, size: Column, cap: float) -> Column:
     """min(cap, exp(multiplier * size)); the cap where there is no multiplier."""
     power = F.least(multiplier * size, F.lit(50.0))
@@ -130,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
                         word_count(text_col).alias("size"))
     sized = materialise(sized, "sized")
     order = [F.col("source_key"), F.col("size"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")]
-    placed = materialise(with_position(sized, order, "mix-order"), "mix-placed")
+    placed = with_position(sized, order, "mix-order")
     pairs = materialise(placed.groupBy("source_key", "size").agg(F.count("*").alias("n"), F.min("position").alias("start")), "pairs")
     sources = materialise(source_targets(pairs.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap), "sources")
     rounded = round_pairs(pairs, sources, balance(pairs, sources, cap), cap)

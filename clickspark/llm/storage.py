@@ -18,6 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of ``rows`` rows where the session has Spark's own number: a row here is a whole
+    text or page, and a worker holds its batches in memory several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -28,6 +36,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Unlike cached blocks the files outlive any executor, and their known size lets Spark choose joins.
     """
     spark = df.sparkSession
+    text_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -50,6 +59,7 @@ def write_blobs(df: DataFrame, blob: str | Column, path: str, trailer: bytes) ->
     line separator, so a format whose files end in a constant can be written through Spark's own
     commit protocol to any file system it knows. ``trailer`` is that constant.
     """
+    text_batches(df.sparkSession)
     column = F.col(blob) if isinstance(blob, str) else blob
     (df.select(column.cast("string").alias("value")).write
        .option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1")

@@ -34,7 +34,7 @@ SEEK_TABLE_MAGIC = 0x184D2A5E
 INDEX_MAGIC = 0x184D2A51
 CHECKSUM_FLAG = 0x80
 
-BLOB_BYTES = 4 << 20
+BLOB_BYTES = 24 << 20
 _WORDS_KEPT = 300_000
 
 # A text of these characters only is already in normal form C, and lower-casing and the classes of
