@@ -42,7 +42,10 @@ FURNITURE = frozenset("""ad ads adv advert adverts advertisement advertising ale
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_TITLE = re.compile(r"<title(?=[\s>])[^>]*>([^<]*)", re.I)
 _DEPTH = 150
+#: Characters from which a text says something about the place it stands at.
+LONG = 40
 _PAIRS = 250_000
 
 
@@ -227,23 +230,44 @@ def _common(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
     return low[:n]
 
 
+def identity(page: str | None, blocks: list) -> tuple | None:
+    """Title and visible headings of a page, by which versions of one article are known; None without a heading."""
+    headings = tuple(t for p, t in blocks if p[-1].split(".")[0] in HEADINGS)
+    title = _TITLE.search(page or "")
+    return (title[1].strip() if title else "", headings) if headings else None
+
+
+def _copies(name: tuple | None, long: Counter, rare: Counter, other: tuple | None, other_long: Counter, other_rare: Counter) -> bool:
+    """Whether two pages are copies: they share more than half of the long texts that are rare on the
+    host, or of all long texts under the same title and headings."""
+    shares = lambda a, b: sum((a & b).values()) * 2 > max(1, min(sum(a.values()), sum(b.values())))
+    return shares(rare, other_rare) or name is not None and name == other and shares(long, other_long)
+
+
 def induce(pages: list[str | None], agree: float = 0.6, fewest: int = 4) -> tuple[str | None, list[int]]:
     """(path of the article's element, marks of the template) from sample pages of one host.
 
-    Every page is aligned with the first one. Pages that share half of their blocks with one taken
-    before are copies and say nothing about the template, so they are left out. A text is template
-    if it agrees with its partner in ``agree`` of at least ``fewest`` - 1 alignments; the other
-    aligned texts and all texts without a partner vary. The article's element is the lowest one
-    that holds all varying texts of 40 characters or more and all varying headings, as most pages
-    see it. Fewer than two different pages give no wrapper.
+    Every page is aligned with the first one. Copies of a page taken before say nothing about the
+    template, so they are left out (:func:`_copies`); what stands on most pages of the host is no sign
+    of a copy by itself. A text is template if it agrees with its partner in ``agree`` of at least
+    ``fewest`` - 1 alignments; the other aligned texts and all texts without a partner vary. The
+    article's element is the lowest one that holds all varying texts of 40 characters or more and all
+    varying headings, as most pages see it. Fewer than two different pages give no wrapper.
     """
-    taken: list[tuple[Node, list]] = []
-    for page in pages:
+    read = []
+    for page in dict.fromkeys(pages):
         tree = parse(page)
-        blocks = list(texts(tree))
-        own = Counter(t for _, t in blocks if len(t) >= 40)
-        if all(sum((own & Counter(t for _, t in other if len(t) >= 40)).values()) * 2 <= max(1, min(sum(own.values()), len(other))) for _, other in taken):
+        read.append((tree, list(texts(tree)), page))
+    stands = Counter(entry for _, blocks, _ in read for entry in set(blocks))
+    taken: list[tuple[Node, list]] = []
+    seen: list[tuple] = []
+    for tree, blocks, page in read:
+        name = identity(page, blocks)
+        long = Counter(t for _, t in blocks if len(t) >= LONG)
+        rare = Counter(t for p, t in blocks if len(t) >= LONG and stands[p, t] < agree * len(read))
+        if not any(_copies(name, long, rare, *other) for other in seen):
             taken.append((tree, blocks))
+            seen.append((name, long, rare))
     if len(taken) < 2:
         return None, []
     pivot, pivot_blocks = taken[0]

@@ -44,6 +44,18 @@ def test_near_copies_do_not_become_template():
         assert ex.main_text(source, root, frozenset(template)).startswith(text)
 
 
+@pytest.mark.parametrize(("own", "constant"), [(1, 2), (2, 3), (1, 6)])
+@pytest.mark.parametrize("headings", [True, False])
+def test_pages_with_more_template_than_article_are_no_copies(own, constant, headings):
+    rng = random.Random(own * 10 + constant)
+    notices = [sentence(rng, 20) for _ in range(constant)]
+    articles = [[*([sentence(rng, 6)] if headings else []), *(sentence(rng, 20) for _ in range(own))] for _ in range(16)]
+    pages = ["<body><div class=post>" + (f"<h2>{a[0]}</h2>" if headings else "") + "".join(f"<p>{t}" for t in (*a[headings:], *notices)) + "</div>" for a in articles]
+    root, template = ex.induce(pages)
+    assert len(template) == constant
+    assert [ex.main_text(p, root, frozenset(template)) for p in pages] == [" ".join(a) for a in articles]
+
+
 def test_alignment_is_the_largest_simple_tree_matching():
     def matched(a, b):
         if isinstance(a, str) or isinstance(b, str):
