@@ -44,6 +44,8 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _TITLE = re.compile(r"<title(?=[\s>])[^>]*>([^<]*)", re.I)
 _DEPTH = 150
+CONTAINERS = frozenset("div section article main header footer aside nav form".split())
+_LAYOUT_DEPTH = 6
 #: Characters from which a text says something about the place it stands at.
 LONG = 40
 _PAIRS = 250_000
@@ -230,6 +232,13 @@ def _common(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
     return low[:n]
 
 
+def article_root(varying: list[tuple[str, ...]]) -> tuple[str, ...]:
+    """The lowest element that holds the blocks at these paths."""
+    common = _common(varying)
+    # a block's own element is no container
+    return common if len(varying) > 1 and common not in varying else common[:-1]
+
+
 def identity(page: str | None, blocks: list) -> tuple | None:
     """Title and visible headings of a page, by which versions of one article are known; None without a heading."""
     headings = tuple(t for p, t in blocks if p[-1].split(".")[0] in HEADINGS)
@@ -244,7 +253,7 @@ def _copies(name: tuple | None, long: Counter, rare: Counter, other: tuple | Non
     return shares(rare, other_rare) or name is not None and name == other and shares(long, other_long)
 
 
-def induce(pages: list[str | None], agree: float = 0.6, fewest: int = 4) -> tuple[str | None, list[int]]:
+def induce(pages: list[str | None], agree: float = 0.6, fewest: int = 2) -> tuple[str | None, list[int]]:
     """(path of the article's element, marks of the template) from sample pages of one host.
 
     Every page is aligned with the first one. Copies of a page taken before say nothing about the
@@ -294,9 +303,7 @@ def induce(pages: list[str | None], agree: float = 0.6, fewest: int = 4) -> tupl
     for _, blocks in taken:
         varying = [p for p, t in blocks if (p, t) not in template and (len(t) >= 40 or p[-1].split(".")[0] in HEADINGS)]
         if varying:
-            common = _common(varying)
-            # a block's own element is no container
-            roots[common if len(varying) > 1 and common not in varying else common[:-1]] += 1
+            roots[article_root(varying)] += 1
     if not roots:
         return None, sorted(mark_of(*entry) for entry in template)
     most = max(roots.values())
@@ -348,44 +355,134 @@ def host_of(url: str) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def induce_wrappers(pages: DataFrame, per_host: int = 16, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, root, template): a wrapper for every host with at least two different pages.
+def skeleton(tree: Node) -> int:
+    """A signed 64-bit name for a page's layout: the paths of its containers, however often each stands."""
+    found: set[tuple[str, ...]] = set()
 
-    Fitted on at most ``per_host`` pages of each host, those with the smallest page hashes; the limit
-    is applied before the shuffle, so a host of any size sends that many pages per task.
+    def walk(node: Node, path: tuple[str, ...]) -> None:
+        for child in node.children:
+            if isinstance(child, Node) and len(path) < _LAYOUT_DEPTH:
+                below = (*path, child.key)
+                if child.tag in CONTAINERS:
+                    found.add(below)
+                walk(child, below)
+    walk(tree, (tree.key,))
+    name = "\x01".join("\x00".join(path) for path in sorted(found))
+    # 0 is the host as a whole
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) or 1
+
+
+def describe(page: str | None) -> tuple[int, int | None, list[tuple[int, str | None, bool]]]:
+    """(layout, name of title and headings or None, blocks); a block is (mark, path if it is evidence
+    for the article's place, whether it is long)."""
+    tree = parse(page)
+    blocks = list(texts(tree))
+    name = identity(page, blocks)
+    number = None if name is None else mark_of((name[0],), "\x00".join(name[1]))
+    return skeleton(tree), number, [
+        (mark_of(p, t), "\x00".join(p) if len(t) >= LONG or p[-1].split(".")[0] in HEADINGS else None, len(t) >= LONG) for p, t in blocks]
+
+
+def induce_wrappers(pages: DataFrame, per_host: int = 16, url_col: str = "url", html_col: str = "html", agree: float = 0.6) -> DataFrame:
+    """(host, skeleton, root, template): a wrapper for every host and every layout of a host with at
+    least two different pages; skeleton 0 is the host as a whole.
+
+    Pages that are equal, or have the same title and headings, count as one. At most ``per_host`` of
+    them, those with the smallest page hashes, are aligned for each layout and host (:func:`induce`).
+    What is template is then decided by all pages: an aligned text, or any text of 40 characters or
+    more, that stands on ``agree`` of them. The article's element is the one that most of all pages
+    see. A layout's template holds its host's as well.
     """
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["hash", "html"])
-        root, template = induce(ordered["html"].tolist())
-        return pd.DataFrame({"host": [key[0]], "root": [root], "template": [template]})
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [describe(page) for page in batch["html"]]
+            yield pd.DataFrame({"host": batch["host"], "hash": batch["hash"], "skeleton": [f[0] for f in found],
+                                "page": [h if f[1] is None else f[1] for h, f in zip(batch["hash"], found, strict=True)],
+                                "blocks": [[{"mark": m, "path": p, "long": w} for m, p, w in f[2]] for f in found]})
+
+    def propose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        template = induce(rows.sort_values(["hash", "html"])["html"].tolist(), agree)[1]
+        return pd.DataFrame({"host": key[0], "skeleton": key[1], "mark": template})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            roots = []
+            for marks, paths, template in zip(batch["marks"], batch["paths"], batch["template"], strict=True):
+                left = set() if template is None else {int(m) for m in template}
+                varying = [tuple(p.split("\x00")) for m, p in zip(marks, paths, strict=True) if int(m) not in left]
+                roots.append("\x00".join(article_root(varying)) if varying else None)
+            yield batch[["host", "skeleton", "page"]].assign(root=roots)
 
     known = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).filter("host is not null and html is not null")
-    first = Window.partitionBy("host").orderBy("hash")
-    sample = known.withColumn("hash", F.xxhash64("html")).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_host)
-    fitted = sample.select("host", "hash", "html").groupBy("host").applyInPandas(fit, "host string, root string, template array<long>")
-    return materialise(fitted, "wrappers")
+    known = known.withColumn("hash", F.xxhash64("html"))
+    layouts = F.explode(F.array(F.lit(0).cast("long"), F.col("skeleton")))
+    described = materialise(known.mapInPandas(
+        read, "host string, hash long, skeleton long, page long, blocks array<struct<mark: bigint, path: string, long: boolean>>"), "page-blocks")
+
+    # one page for each title, and the sizes of layouts and hosts
+    names = described.select("host", layouts.alias("skeleton"), "page", "hash").groupBy("host", "skeleton", "page").agg(F.min("hash").alias("hash"))
+    names = materialise(names, "page-names")
+    sizes = materialise(names.groupBy("host", "skeleton").agg(F.count("*").alias("n")).filter("n > 1"), "layouts")
+
+    # proposals: aligned texts of some pages
+    first = Window.partitionBy("host", "skeleton").orderBy("hash")
+    chosen = names.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_host)
+    chosen = materialise(chosen.join(broadcast_if_small(sizes, 128), ["host", "skeleton"], "left_semi").select("host", "hash", "skeleton"), "sample")
+    sample = known.join(broadcast_if_small(chosen, 160), ["host", "hash"]).dropDuplicates(["host", "skeleton", "hash"])
+    proposed = sample.groupBy("host", "skeleton").applyInPandas(propose, "host string, skeleton long, mark long")
+
+    # confirmed by all pages
+    stands = described.select("host", layouts.alias("skeleton"), "page", F.explode("blocks").alias("b"))
+    stands = stands.groupBy("host", "skeleton", "b.mark", "page").agg(F.max("b.long").alias("long"))
+    stands = stands.groupBy("host", "skeleton", "mark").agg(F.count("*").alias("pages"), F.max("long").alias("long")).filter("pages > 1")
+    confirmed = stands.join(broadcast_if_small(sizes, 128), ["host", "skeleton"]).filter(F.col("pages") - 1 >= agree * (F.col("n") - 1))
+    confirmed = confirmed.join(proposed.distinct().withColumn("aligned", F.lit(True)), ["host", "skeleton", "mark"], "left").filter("long or aligned")
+    templates = materialise(confirmed.groupBy("host", "skeleton").agg(F.sort_array(F.collect_list("mark")).alias("template")), "templates")
+    whole = templates.filter("skeleton = 0").select("host", F.col("template").alias("of_host"))
+    empty = F.array().cast("array<long>")
+    fitted = sizes.join(broadcast_if_small(templates, 4096), ["host", "skeleton"], "left").join(broadcast_if_small(whole, 4096), "host", "left")
+    fitted = materialise(fitted.select("host", "skeleton", F.array_union(F.coalesce("template", empty), F.coalesce("of_host", empty)).alias("template")), "fitted")
+
+    # the article's place, as most of all pages see it
+    evidence = F.filter("blocks", lambda b: b["path"].isNotNull())
+    seen = described.select("host", layouts.alias("skeleton"), "page", evidence["mark"].alias("marks"), evidence["path"].alias("paths"))
+    seen = seen.join(broadcast_if_small(fitted, 4096), ["host", "skeleton"]).select("host", "skeleton", "page", "marks", "paths", "template")
+    seen = seen.mapInPandas(place, "host string, skeleton long, page long, root string").filter("root is not null").distinct()
+    votes = seen.groupBy("host", "skeleton", "root").agg(F.count("*").alias("n"))
+    best = votes.groupBy("host", "skeleton").agg(F.min_by("root", F.struct(-F.col("n"), F.length("root"), F.col("root"))).alias("root"))
+    return materialise(fitted.join(best, ["host", "skeleton"], "left").select("host", "skeleton", "root", "template"), "wrappers")
 
 
 def extract_text(pages: DataFrame, wrappers: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row: the main text of the whole page (:func:`main_text`).
 
-    A null html is an empty page, an empty page has an empty text. Pages without a host, and those of
-    hosts without a wrapper, are read without one. Repeated rows each come back, nulls in id and url
-    stay, an empty table gives no rows. Only the three named columns are read.
+    A page is read with the wrapper of its layout on its host, or else the host's. A null html is an
+    empty page, an empty page has an empty text. Pages without a host, and those of hosts without a
+    wrapper, are read without one. Repeated rows each come back, nulls in id and url stay, an empty
+    table gives no rows. Only the three named columns are read.
     """
     if wrappers is None:
         wrappers = induce_wrappers(pages, url_col=url_col, html_col=html_col)
 
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(skeleton=[skeleton(parse(page)) for page in batch["html"]])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         for batch in batches:
             out = []
-            for host, root, template, page in zip(batch["host"], batch["root"], batch["template"], batch["html"], strict=True):
-                if host not in known:
-                    known[host] = frozenset() if template is None else frozenset(int(x) for x in template)
-                out.append(main_text(page, root, known[host]))
+            for key, root, template, page in zip(zip(batch["host"], batch["layout"], strict=True), batch["root"], batch["template"], batch["html"], strict=True):
+                if key not in known:
+                    known[key] = frozenset() if template is None else frozenset(int(x) for x in template)
+                out.append(main_text(page, root, known[key]))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
 
     rows = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
-    joined = rows.join(broadcast_if_small(wrappers, 4096), "host", "left").select("page_id", "url", "host", "root", "template", "html")
+    rows = rows.mapInPandas(lay, "page_id string, url string, host string, html string, skeleton long")
+    of_layout = wrappers.filter("skeleton <> 0").select("host", "skeleton", F.struct(F.col("skeleton").alias("layout"), "root", "template").alias("own"))
+    of_host = wrappers.filter("skeleton = 0").select("host", F.struct(F.col("skeleton").alias("layout"), "root", "template").alias("general"))
+    joined = rows.join(broadcast_if_small(of_layout, 4096), ["host", "skeleton"], "left").join(broadcast_if_small(of_host, 4096), "host", "left")
+    joined = joined.withColumn("wrapper", F.coalesce("own", "general")).select(
+        "page_id", "url", "host", F.coalesce("wrapper.layout", F.lit(0)).alias("layout"), "wrapper.root", "wrapper.template", "html")
     return joined.mapInPandas(run, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))

@@ -129,3 +129,28 @@ def test_hosts_nulls_repeats_and_empty(spark):
     known = {p: t for p, t in pages} | {"<p>x": "x", None: "", "<p>🙂 y": "🙂 y"}
     assert got == sorted(((i or 0, u or "", known[h], len(known[h])) for i, u, h in rows), key=str)
     assert ex.extract_text(table.limit(0)).collect() == []
+
+
+def extracted(spark, hosts):
+    """{html: text} of the table that holds the pages of every host."""
+    rows = [(f"http://{h}.example/{i}", p) for h, pages in hosts.items() for i, p in enumerate(pages)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = ex.extract_text(table).collect()
+    assert len(got) == len(rows)
+    return {rows[r.page_id][1]: r.text for r in got}
+
+
+def test_wrappers_come_from_all_pages_and_for_every_layout(spark):
+    rng = random.Random(6)
+    notices = [sentence(rng, 20) for _ in range(6)]
+
+    def some(n, start, end, own):
+        articles = [[sentence(rng, 6), sentence(rng, 20), sentence(rng, 25)] for _ in range(n)]
+        return {f"<title>{a[0]}</title><body>{start}<h2>{a[0]}</h2><p>{a[1]}<p>{a[2]}" + "".join(f"<p>{t}" for t in own) + end: " ".join(a) for a in articles}
+
+    copies = some(12, "<div class=post>", "</div>", notices[:1])
+    few = some(3, "<div class=post>", "</div>", notices[1:2])
+    large = some(60, "<div class=post>", "</div>", notices[2:3])
+    rare = some(8, "<section class=story><div class=inner>", "</div></section>", notices[3:])
+    got = extracted(spark, {"copies": [p for p in copies for _ in range(20)], "few": [*few], "large": [*large, *rare]})
+    assert got == copies | few | large | rare
