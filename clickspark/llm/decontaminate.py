@@ -7,15 +7,20 @@ candidate alignments; each is verified word by word around the hit.
 
 from __future__ import annotations
 
+import functools
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickspark.llm.rowkeys import leave_rows
 from clickspark.llm.storage import broadcast_if_small, materialise
 
-#: Fixed masks of weight six. Their gaps recur every fifth, fourth and third position, so each survives
-#: substitutions at that period, which break any run of as many words.
-MASKS = ("1111011", "1110111", "11011011")
+#: Of the words that may be missing, two break every run of five in 12 or 13 words only if they stand so that
+#: one of the gapped windows is whole; tests enumerate all placements.
+MASKS = ("11111", "110111")
+#: Items below so many words are too little evidence.
+FEWEST = 7
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -25,7 +30,7 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _seeds(hashes: str, pairs: str, number: int, mask: str) -> Column:
+def _seeds(hashes: str, pairs: str, mask: str) -> Column:
     """Seed of every window of the mask's length, in order; none if the text is shorter. Neighbouring
     marked words go in as one hash of both."""
     parts, i = [], 0
@@ -35,15 +40,32 @@ def _seeds(hashes: str, pairs: str, number: int, mask: str) -> Column:
             parts.append((pairs if two else hashes, i))
         i += 2 if two else 1
     last = F.size(hashes) - len(mask)
-    seed = lambda at: F.xxhash64(F.lit(number), *[F.col(c)[at + i] for c, i in parts])
+    seed = lambda at: F.xxhash64(F.lit(int(mask, 2)), *[F.col(c)[at + i] for c, i in parts])
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), seed)).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeds(hashed: DataFrame, hashes: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def leaves_seed(n: int, missing: int, masks: tuple[str, ...]) -> bool:
+    """Whether a mask survives every placement of ``missing`` substitutions in ``n`` words."""
+    windows = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(n - len(m) + 1)]
+    return all(any(w.isdisjoint(gone) for w in windows) for gone in combinations(range(n), missing))
+
+
+@functools.cache
+def masks_for(n: int, least: tuple[int, int] = (4, 5)) -> tuple[str, ...]:
+    """Masks of which one survives every placement of the substitutions that ``least`` allows in ``n`` words."""
+    missing = n - -(-n * least[0] // least[1])
+    # so many words stand together however the substitutions are placed
+    run = -(-(n - missing) // (missing + 1))
+    if run < 5 and n <= 20 and leaves_seed(n, missing, MASKS):
+        return MASKS
+    return ("1" * max(1, min(run, 6)),)
+
+
+def seeds(hashed: DataFrame, hashes: str, masks: tuple[str, ...]) -> DataFrame:
     """One row per window and mask: ``seed`` and ``at``, the window's first word. Other columns stay."""
     kept = [c for c in hashed.columns if c != hashes]
     paired = hashed.withColumn("_pairs", F.transform(hashes, lambda w, i: F.xxhash64(w, F.get(hashes, i + 1))))
-    every = F.concat(*[_seeds(hashes, "_pairs", i, m) for i, m in enumerate(masks)])
+    every = F.concat(*[_seeds(hashes, "_pairs", m) for m in masks])
     rows = paired.select(*kept, F.size(hashes).alias("_n"), F.posexplode(every).alias("_i", "seed"))
     # the windows of the masks follow each other in the exploded array
     at, before = F.col("_i"), F.lit(0)
@@ -57,7 +79,7 @@ def word_hashes(text: str) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 13,
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] | None = None, window: int = 13,
                   least: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, matched_words, item_words) for every document that holds a passage
@@ -66,7 +88,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     A passage is an alignment in which ``window`` neighbouring words of the item (the whole item, if it
     is shorter) agree with the document's words in at least ``least`` (4/5) of the places;
     ``matched_words`` counts all places of the best alignment. Substitutions are tolerated, words
-    left out or put in start a new alignment. Items shorter than every mask are too little evidence
+    left out or put in start a new alignment. Every passage leaves a seed, wherever its substitutions
+    stand (:func:`masks_for`), unless other ``masks`` are given. Items under seven words are too little evidence
     and match nothing. Null and empty texts hold no words. Repeated documents give one row; of several
     items with one id the best counts; rows without an item id are left
     out, documents without an id keep their null. Empty tables give no rows. Only the named columns
@@ -76,8 +99,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     texts = docs.select(key, F.col(text_col).alias("text"))
     items = benchmark.filter(F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("item_id"), F.xxhash64(item_text).alias("item_hash"), word_hashes(item_text).alias("item"))
+    if not masks:
+        items = items.filter(F.size("item") >= FEWEST)
     items = materialise(items.dropDuplicates(["item_id", "item_hash"]), "benchmark")
-    probes = materialise(seeds(items, "item", masks).withColumnRenamed("at", "item_at"), "benchmark-seeds")
+    # items by the masks that their length needs; there are at most ``window`` lengths
+    wide = F.least(F.lit(window), F.size("item"))
+    lengths: dict[tuple[str, ...], list[int]] = {}
+    for n in sorted(r[0] for r in items.select(wide.alias("wide")).distinct().collect()):
+        lengths.setdefault(masks or masks_for(n, least), []).append(n)
+    lengths = lengths or {MASKS: []}
+    probes = [seeds(items.filter(wide.isin(ns)), "item", ms) for ms, ns in lengths.items()]
+    probes = materialise(functools.reduce(DataFrame.unionByName, probes).withColumnRenamed("at", "item_at"), "benchmark-seeds")
+    masks = tuple(sorted({m for ms in lengths for m in ms}))
     hits = seeds(texts.select("key", word_hashes("text").alias("h")), "h", masks).join(broadcast_if_small(probes, 96), "seed")
     hits = materialise(hits.select("key", "item_id", "item_hash", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -86,3 +87,26 @@ def test_nulls_repeats_long_texts_and_empty(spark):
     assert kept.schema == table.schema
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text) == [(3, "other words"), (5, "a b")] and kept.count() == 4
     assert dc.find_overlaps(table.limit(0), bench).collect() == [] and dc.find_overlaps(table, bench.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", range(7, 14))
+def test_every_placement_of_substitutions_leaves_a_seed(n):
+    masks = dc.masks_for(n)
+    for gone in itertools.combinations(range(n), n // 5):
+        seen = "".join("0" if i in gone else "1" for i in range(n))
+        assert any(all(c == "1" for c, m in zip(seen[at:], mask) if m == "1") for mask in masks for at in range(n - len(mask) + 1)), gone
+
+
+def test_random_substitutions_in_short_items(spark):
+    rng = random.Random(8)
+    items = [(n, " ".join(f"w{n}x{j}" for j in range(n))) for n in (7, 8, 9, 10, 11, 12, 13, 20)]
+    docs = []
+    for n, text in items:
+        ways = [*itertools.combinations(range(n), n // 5)]
+        for gone in ways if n < 14 else rng.sample(ways, 150):
+            words = ["other" if i in gone else w for i, w in enumerate(text.split())]
+            docs.append((len(docs), " ".join(["before", *words, "after"])))
+    docs += [(len(docs) + i, " ".join("other" if rng.random() < 0.25 else w for w in text.split())) for i, (_, text) in enumerate(items * 5)]
+    found = dc.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.item_id, r.matched_words, r.item_words) for r in found.collect())
+    assert got == brute_force(docs, items) and len(got) > 300
