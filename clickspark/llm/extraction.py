@@ -39,6 +39,9 @@ FURNITURE = frozenset("""ad ads adv advert adverts advertisement advertising ale
     replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar
     topbar widget""".split())
 
+#: First and last parts of names that tell of a page's state, not of what the element is ("has-sidebar", "comments-open").
+STATES = (frozenset("has no with without".split()), frozenset("open closed enabled disabled".split()))
+
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -56,16 +59,18 @@ _PAIRS = 250_000
 class Node:
     """A block element; ``children`` are nodes and strings, the texts of its blocks."""
 
-    __slots__ = ("key", "tag", "unseen", "children")
+    __slots__ = ("key", "tag", "unseen", "named", "children")
 
-    def __init__(self, tag: str, key: str, unseen: bool):
-        self.tag, self.key, self.unseen, self.children = tag, key, unseen, []
+    def __init__(self, tag: str, key: str, unseen: bool, named: bool = False):
+        # named: unseen only for its names or as a form
+        self.tag, self.key, self.unseen, self.named, self.children = tag, key, unseen, named, []
 
 
-def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """(key for alignment, whether the element and all below it is furniture)."""
+def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+    """(key for alignment, whether the element and all below it is furniture, whether it is so by its names or as a form)."""
     names: list[str] = []
-    unseen = tag in UNSEEN or tag == "header" and not in_article
+    telling: list[str] = []
+    unseen = tag in UNSEEN and tag != "form" or tag == "header" and not in_article
     if attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -74,12 +79,17 @@ def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
             elif name == "style":
                 unseen |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif name in ("class", "id", "role"):
-                names += [w.lower() for w in _NAMES.findall(value)]
+                for token in value.split():
+                    parts = [w.lower() for w in _NAMES.findall(token)]
+                    names += parts
+                    if parts and parts[0] not in STATES[0] and parts[-1] not in STATES[1]:
+                        telling += parts
+    named = tag == "form"
     if names and tag not in ("html", "body", "article", "main"):
-        unseen |= not FURNITURE.isdisjoint(names)
+        named |= not FURNITURE.isdisjoint(telling)
     elif tag == "article":
-        unseen |= not {"comment", "comments", "reply", "related", "teaser", "promo"}.isdisjoint(names)
-    return (f"{tag}.{names[0]}" if names else tag), unseen
+        named |= not {"comment", "comments", "reply", "related", "teaser", "promo"}.isdisjoint(telling)
+    return (f"{tag}.{names[0]}" if names else tag), unseen or named, named and not unseen
 
 
 def parse(page: str | None) -> Node:
@@ -153,15 +163,38 @@ def parse(page: str | None) -> Node:
                 break
             if stack[i].tag in SHIELDS:
                 break
-        key, unseen = _describe(name, attributes, any(n.tag in ("article", "main") for n in stack))
-        node = Node(name, key, unseen)
+        key, unseen, named = _describe(name, attributes, any(n.tag in ("article", "main") for n in stack))
+        node = Node(name, key, unseen, named)
         stack[-1].children.append(node)
         if len(stack) < _DEPTH and (name in BLOCKS or not attributes.rstrip().endswith("/")):
             stack.append(node)
     flush()
+    _restore(root)
     return root
 
 
+def _restore(root: Node) -> None:
+    """Names are no reason to leave out what holds most of the page's text, unless a heading, article
+    or main element stands before it: that is the article, and what follows are its comments."""
+    sizes: dict[int, int] = {}
+
+    def measure(node: Node) -> int:
+        sizes[id(node)] = n = sum(len(c) if isinstance(c, str) else measure(c) if c.named or not c.unseen else 0 for c in node.children)
+        return n
+    total, before = measure(root), False
+
+    def walk(node: Node) -> None:
+        nonlocal before
+        for child in node.children:
+            if isinstance(child, Node):
+                if child.named and not before and sizes[id(child)] * 2 > total:
+                    child.unseen = False
+                if not child.unseen:
+                    before |= child.tag in ("article", "main") or child.tag in HEADINGS
+                    walk(child)
+    walk(root)
+
+
 def texts(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
     """(path, text) of the blocks below ``node`` that are not furniture, in page order."""
     path = (*path, node.key)

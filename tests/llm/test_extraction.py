@@ -96,6 +96,19 @@ def test_single_pages(source, text):
     assert ex.main_text(source) == text
 
 
+@pytest.mark.parametrize("opening", ["<div class='content has-sidebar'>", "<div id=layout-no-sidebar>", "<div class='post comments-open'>",
+                                     "<section class=search-results>", "<article class='post no-comments'>", "<form>"])
+def test_names_do_not_drop_the_article(opening):
+    close = f"</{re.match('<([a-z]+)', opening)[1]}>"
+    rng = random.Random(9)
+    own = [[sentence(rng, 5), sentence(rng, 20), sentence(rng, 20)] for _ in range(6)]
+    pages = [f"<body><nav>{sentence(rng, 90)}</nav>{opening}<h2>{a[0]}</h2><p>{a[1]}<p>{a[2]}<div class=share>Share</div>{close}<div class=comments>{sentence(rng, 20)}</div>" for a in own]
+    root, template = ex.induce(pages)
+    for page_, a in zip(pages, own, strict=True):
+        assert ex.main_text(page_) == ex.main_text(page_, root, frozenset(template)) == " ".join(a)
+    assert ex.main_text(f"<body><h1>T</h1><p>short</p><div class=comments>{sentence(rng, 60)}</div>") == "T short"
+
+
 def test_deep_and_long_pages():
     assert ex.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     long = "".join(f"<p>w{i}" for i in range(60_000))
