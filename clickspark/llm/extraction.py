@@ -207,6 +207,12 @@ def texts(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, .
 
 # -- simple tree matching ----------------------------------------------------------------------------
 
+def _same(a: Node | str, b: Node | str) -> bool:
+    if isinstance(a, str) or isinstance(b, str):
+        return a == b
+    return a.key == b.key and a.unseen == b.unseen and len(a.children) == len(b.children) and all(map(_same, a.children, b.children))
+
+
 def _weight(a: Node | str, b: Node | str) -> tuple[int, list]:
     """(matched nodes, matched pairs) of the largest matching that keeps order and ancestry."""
     if isinstance(a, str) or isinstance(b, str):
@@ -214,6 +220,21 @@ def _weight(a: Node | str, b: Node | str) -> tuple[int, list]:
     if a.key != b.key or a.unseen or b.unseen:
         return 0, []
     x, y = a.children, b.children
+    if len(x) * len(y) > _PAIRS:
+        # equal children at both ends are partners in a largest matching
+        most = min(len(x), len(y))
+        head = next((i for i in range(most) if not _same(x[i], y[i])), most)
+        tail = next((i for i in range(most - head) if not _same(x[-1 - i], y[-1 - i])), most - head)
+        if head or tail:
+            inner = Node(a.tag, a.key, False), Node(b.tag, b.key, False)
+            inner[0].children, inner[1].children = x[head:len(x) - tail], y[head:len(y) - tail]
+            total, below = _weight(*inner)
+            pairs = below[1:]
+            for c, d in [*zip(x[:head], y[:head], strict=True), *zip(x[len(x) - tail:], y[len(y) - tail:], strict=True)]:
+                w, below = _weight(c, d)
+                # a text's place is that of the node before it
+                total, pairs = total + w, below + pairs if isinstance(c, str) else pairs + below
+            return total, [(a, b), *pairs]
     if len(x) * len(y) > _PAIRS or all(isinstance(c, str) for c in (*x, *y)):
         # very many children, or nothing but texts: partners in order of their kind
         total, pairs = 1, [(a, b)]

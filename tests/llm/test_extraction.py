@@ -83,6 +83,14 @@ def test_alignment_is_the_largest_simple_tree_matching():
         assert len({id(x) for x, _ in pairs if isinstance(x, ex.Node)}) == sum(isinstance(x, ex.Node) for x, _ in pairs)
 
 
+def test_the_ends_of_very_long_pages_are_aligned():
+    rng = random.Random(10)
+    long = ["<div>" + "<p>Start" + "".join(f"<p>{sentence(rng, 6)}" for _ in range(n)) + "<p>The end" for n in (600, 500, 550, 620)]
+    template = ex.induce(long)[1]
+    path = ("#", "div", "p")
+    assert {ex.mark_of(path, "Start"), ex.mark_of(path, "The end")} <= set(template)
+
+
 @pytest.mark.parametrize(("source", "text"), [
     (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<b>b</b>c<br>d\n\t e</p>f", "abc d e f"),
     ("<article><p>x &lt;b&gt; &#233;&eacute; &am &copy 2<p>y</article>", "x <b> éé &am © 2 y"), ("a < b <3 c", "a < b <3 c"),
