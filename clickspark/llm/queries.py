@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickspark.llm import decontaminate, extraction, knn, mixing, pii, sharding, simhash, tokens, toxicity, warc
+from clickspark.llm import decontaminate, extraction, knn, mixing, pii, sharding, simhash, token_counts, tokens, toxicity, warc
 from clickspark.llm.storage import new_path, text_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_main_text": op2_main_text,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_shards": op8_shards,
     "op9_pii": op9_pii,
     "op10_top_k": op10_top_k,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES: dict[str, str] = {
