@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickspark.llm import decontaminate, extraction, knn, mixing, pii, sharding, simhash, token_counts, tokens, toxicity, warc
+from clickspark.llm import decontaminate, extraction, knn, mixing, pii, sharding, simhash, token_counts, tokens, toxicity, warc, whitening
 from clickspark.llm.storage import new_path, text_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_shards": op8_shards,
     "op9_pii": op9_pii,
     "op10_top_k": op10_top_k,
+    "op11_whitening": op11_whitening,
     "op13_token_counts": op13_token_counts,
 }
 
