@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickspark.llm import decontaminate, extraction, knn, mixing, pii, sharding, simhash, token_counts, tokens, toxicity, warc, whitening
+from clickspark.llm import conversation_trie, decontaminate, extraction, knn, mixing, pii, sharding, simhash, token_counts, tokens, toxicity, warc, whitening
 from clickspark.llm.storage import new_path, text_batches
+from clickspark.plans.sql_rules import crc32_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +84,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = conversation_trie.turn_paths(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie_nodes(conversation_trie.forked_paths(paths, family=5, most=8))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_top_k": op10_top_k,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -139,4 +146,23 @@ ORACLES: dict[str, str] = {
             FROM vectors q JOIN vectors d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op12_prefix_trie": f"""
+        WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS at,
+            coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+        rebuilt AS (SELECT c.conv_id, at, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.at < c.h
+            UNION ALL SELECT conv_id, at, role, text FROM convs JOIN turns USING (conv_id) WHERE at >= h),
+        numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY at) AS depth,
+            sha256(length(role) || ':' || role || text) AS id, octet_length(encode(text)) AS bytes FROM rebuilt),
+        prefixes AS (SELECT conv_id, depth, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, bytes FROM numbered
+            UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+        nodes AS (SELECT depth, path, substr(path, 1, 64 * (depth - 1)) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM prefixes GROUP BY depth, path),
+        kids AS (SELECT above AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+        below AS (SELECT substr(path, 1, 64 * k) AS path, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS leaves
+            FROM (SELECT nodes.*, n_children, unnest(range(depth + 1)) AS k FROM nodes LEFT JOIN kids USING (path)) GROUP BY 1),
+        ends AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+            FROM (SELECT conv_id, max_by(path, depth) AS path FROM prefixes GROUP BY conv_id) GROUP BY path)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+            CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.above LEFT JOIN kids k ON k.path = n.path JOIN below b ON b.path = n.path LEFT JOIN ends e ON e.path = n.path""",
 }
