@@ -147,12 +147,12 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
     "op12_prefix_trie": f"""
-        WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS at,
+        WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
             coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
         convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
-        rebuilt AS (SELECT c.conv_id, at, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.at < c.h
-            UNION ALL SELECT conv_id, at, role, text FROM convs JOIN turns USING (conv_id) WHERE at >= h),
-        numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY at) AS depth,
+        rebuilt AS (SELECT c.conv_id, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place < c.h
+            UNION ALL SELECT conv_id, place, role, text FROM convs JOIN turns USING (conv_id) WHERE place >= h),
+        numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth,
             sha256(length(role) || ':' || role || text) AS id, octet_length(encode(text)) AS bytes FROM rebuilt),
         prefixes AS (SELECT conv_id, depth, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, bytes FROM numbered
             UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
