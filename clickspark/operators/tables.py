@@ -50,8 +50,15 @@ def read_click_table(spark: SparkSession, path: str, start_date=None, end_date=N
                      codes: list[str] | None = None) -> DataFrame:
     """Click table scan. Date bounds also become bounds on the ``clicked_month`` partition
     column (Catalyst cannot derive the month from the date), so whole months are pruned; the
-    code filter is pushed to Parquet (row-group stats + bloom filters)."""
-    df = spark.read.parquet(path)
+    code filter is pushed to Parquet (row-group stats + bloom filters). Of a table under a commit log
+    (``operators.snapshots``) only committed folders of the months asked for are listed."""
+    from clickspark.operators import snapshots as sn
+    store, _, table = path.rstrip("/").rpartition("/")
+    if sn.is_committed(spark, store):
+        month = lambda day: None if day is None else str(day)[:7].replace("-", "")
+        df = sn.read(spark, store, table, months=(month(start_date), month(end_date)))
+    else:
+        df = spark.read.parquet(path)
     if start_date is not None:
         df = df.where((F.col("clicked_month") >= F.date_format(F.lit(str(start_date)).cast("date"), "yyyyMM"))
                       & (F.col("clicked_date") >= F.lit(str(start_date)).cast("date")))
@@ -135,7 +142,11 @@ def retention(clicks: DataFrame, as_of, days: int) -> DataFrame:
 def drop_expired(spark: SparkSession, path: str, as_of, days: int) -> list[str]:
     """M3 / M4 as a job on the stored click table: the boundary month is rewritten without its
     expired rows and every month before it is removed as a folder. Returns the removed months.
-    Running it again changes nothing."""
+    Running it again changes nothing. A table under a commit log changes by one commit."""
+    from clickspark.operators import snapshots as sn
+    store, _, table = path.rstrip("/").rpartition("/")
+    if sn.is_committed(spark, store):
+        return sn.drop_expired(spark, store, as_of, days, table)
     cutoff = _cutoff_date(as_of, days)
     month = cutoff.strftime("%Y%m")
     jvm = spark.sparkContext._jvm
@@ -163,7 +174,13 @@ def rewrite_cold(clicks: DataFrame, path: str, as_of, cold_days: int = 7) -> Non
 
     Only whole cold months are touched, so each replaced partition is replaced by all of its own
     rows; the month of the cutoff and later ones stay as they are. ``path`` may be the folder that
-    ``clicks`` is read from: the new files are put in place after they are complete."""
+    ``clicks`` is read from: the new files are put in place after they are complete. A table under a
+    commit log is rewritten from its committed rows, by one commit."""
+    from clickspark.operators import snapshots as sn
+    store, _, table = path.rstrip("/").rpartition("/")
+    if sn.is_committed(clicks.sparkSession, store):
+        sn.rewrite_cold(clicks.sparkSession, store, as_of, cold_days, table)
+        return
     month = _cutoff_date(as_of, cold_days).strftime("%Y%m")
     if "clicked_month" not in clicks.columns:
         clicks = clicks.withColumn("clicked_month", F.date_format("clicked_date", "yyyyMM"))

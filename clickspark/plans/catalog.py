@@ -331,3 +331,4 @@ register("series_daily_from_sketches")(
 from clickspark.plans import catalog_urls  # noqa: E402,F401
 from clickspark.plans import catalog_rows  # noqa: E402,F401
 from clickspark.plans import catalog_jobs  # noqa: E402,F401
+from clickspark.plans import catalog_stored  # noqa: E402,F401

@@ -1,8 +1,10 @@
 """Micro-batch pipelines (X1-X7, X9, X11, X12) built from the batch operators.
 
-Every sink is keyed by the micro-batch id and written with dynamic partition overwrite, so a
-batch replayed after a failure (checkpointed offsets, at-least-once delivery) rewrites exactly
-its own output: effectively-once results on plain files.
+The sinks of the enrichment pipeline are tables of one committed store (``operators.snapshots``): a
+micro-batch writes its folders and publishes all of them by one commit, so readers see a batch in
+every sink or in none, and a batch that is delivered again after its commit is left out. The other
+sinks are keyed by the micro-batch id and written with dynamic partition overwrite, so a replayed
+batch rewrites exactly its own output.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from clickspark.operators import enrich as en
 from clickspark.operators import reports as rp
 from clickspark.operators import resolve as rs
 from clickspark.operators import rollups as ru
+from clickspark.operators import snapshots as sn
 from clickspark.operators import tables as tb
 from clickspark.streaming import sources as src
 
@@ -43,16 +46,22 @@ CLICK_FILE_OPTIONS = tb.CLICK_WRITE_OPTIONS
 
 ARRIVAL_COL = "_arrival"
 
+#: The enrichment sinks: partition columns before the batch id.
+SINKS = {"clicks": ["clicked_month"], "rollups": ["rollup"], "search": [], "quarantine": []}
+STREAM = "enrichment"
+
 
 def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, max_attempts: int = 3):
-    """The ``foreachBatch`` function of the enrichment pipeline.
+    """The ``foreachBatch`` function of the enrichment pipeline.
 
     1. quarantine malformed messages and those without a short code, never block;
     2. enrich (J1) and write the click table (K3/K4); a failure here fails the batch, so it is
-       retried from the checkpoint. Every try is noted under the batch id, and from the
-       ``max_attempts``-th on the batch's messages go to the quarantine instead (X12);
+       retried from the checkpoint. Every try is noted under the batch id; from the
+       ``max_attempts``-th on the messages that cannot be enriched are found by bisection and go to the
+       quarantine, and the others are written (X12);
     3. write mergeable rollup partials (R1-R4 with HLL visitor sketches);
-    4. export the bulk search documents (K6) - a failure is logged, the batch still commits.
+    4. export the bulk search documents (K6) - a failure is logged, the batch still commits;
+    5. commit the folders of all sinks at once.
 
     Messages without an id of their own are numbered per file (``enrich.with_positions``), so
     identical clicks are kept apart and a replay gives the same ids."""
@@ -60,24 +69,28 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, max
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         attempt = note_attempt(spark, out_dir, batch_id)
+        if sn.snapshot(spark, out_dir).has(STREAM, batch_id):
+            log.info("batch %s is committed already", batch_id)
+            return
+        for sink, parts in SINKS.items():  # what a try before left half-written
+            sn.discard(spark, out_dir, sink, sn.written(spark, out_dir, sink, batch_id, parts))
         batch = batch.persist()  # the source is read once for all sinks
         clicks = None
         try:
             good, bad = en.split_bad_messages(batch)
             bad = bad.drop(ARRIVAL_COL, src.FILE_COL).withColumn("attempts", F.lit(attempt))
-            if not bad.isEmpty():
-                _write_batch(bad, f"{out_dir}/quarantine", batch_id)
             try:
-                clicks = _enriched(good, arrival).persist()
-                _write_batch(clicks, f"{out_dir}/clicks", batch_id, ["clicked_month"],
-                             sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
+                clicks = _write_clicks(good, arrival, out_dir, batch_id)
             except Exception as exc:
                 if attempt < max_attempts:
                     raise
-                log.error("batch %s failed %s times, its messages go to the quarantine: %s", batch_id, attempt, exc)
-                failed = good.drop(ARRIVAL_COL, src.FILE_COL).withColumn("reason", F.lit("failed batch")).withColumn("attempts", F.lit(attempt))
-                _write_batch(bad.unionByName(failed, allowMissingColumns=True), f"{out_dir}/quarantine", batch_id)
-                return
+                log.error("batch %s failed %s times, looking for the messages at fault: %s", batch_id, attempt, exc)
+                good, failed = _isolate(good, lambda rows: _enriched(rows, arrival))
+                bad = bad.unionByName(failed.drop(ARRIVAL_COL, src.FILE_COL).withColumn("attempts", F.lit(attempt)), allowMissingColumns=True)
+                if good is not None:
+                    clicks = _write_clicks(good, arrival, out_dir, batch_id)
+            if not bad.isEmpty():
+                _write_batch(bad, f"{out_dir}/quarantine", batch_id)
 
             def rollups():
                 _write_batch(ru.partial_rollups(clicks), f"{out_dir}/rollups", batch_id, ["rollup"])
@@ -90,15 +103,20 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, max
                              fmt="text")
 
             # the two sinks read the cached click rows and run as concurrent Spark jobs
+            skipped = set()
             with ThreadPoolExecutor(max_workers=2) as pool:
-                rollup_job = pool.submit(rollups)
-                search_job = pool.submit(search) if search_export else None
+                rollup_job = pool.submit(rollups) if clicks is not None else None
+                search_job = pool.submit(search) if clicks is not None and search_export else None
                 if search_job is not None:
                     try:
                         search_job.result()
                     except Exception as exc:  # search sink is best effort (X1)
                         log.warning("search export failed for batch %s: %s", batch_id, exc)
-                rollup_job.result()  # a rollup failure fails the batch (retried from the checkpoint)
+                        skipped.add("search")
+                if rollup_job is not None:
+                    rollup_job.result()  # a rollup failure fails the batch (retried from the checkpoint)
+            sn.commit(spark, out_dir, {sink: sn.written(spark, out_dir, sink, batch_id, parts) for sink, parts in SINKS.items() if sink not in skipped},
+                      stream=STREAM, batch_id=batch_id)
         finally:
             if clicks is not None:
                 clicks.unpersist()
@@ -107,6 +125,50 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, max
     return run
 
 
+def _write_clicks(good: DataFrame, arrival, out_dir: str, batch_id: int) -> DataFrame:
+    """Write a batch's enriched rows and return them, cached."""
+    clicks = _enriched(good, arrival).persist()
+    try:
+        _write_batch(clicks, f"{out_dir}/clicks", batch_id, SINKS["clicks"], sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
+    except Exception:
+        clicks.unpersist()
+        raise
+    return clicks
+
+
+def _isolate(rows: DataFrame, build, most: int = 64, bits: int = 40) -> tuple[DataFrame | None, DataFrame]:
+    """(rows that ``build`` can compute, the others with a ``reason``).
+
+    Rows are dealt by a hash of all their columns and halved by its bits: a part that computes is done, one
+    that does not is halved again until its rows are all alike. A bad row costs about two small jobs per halving.
+    With more than ``most`` failing parts the fault is not in single messages; those parts are then given up
+    whole, so a batch never takes more than a few hundred jobs. ``None`` if no part computes."""
+    slot = F.xxhash64(*rows.columns).bitwiseAND((1 << bits) - 1)
+    inside = lambda taken, value: slot.bitwiseAND((1 << taken) - 1) == value
+    failing, open_parts, computed = [], [(0, 0)], False
+    while open_parts:
+        taken, value = open_parts.pop(0)
+        part = rows.where(inside(taken, value))
+        if taken:
+            if part.isEmpty():
+                continue
+            try:
+                build(part).write.format("noop").mode("overwrite").save()
+                computed = True
+                continue
+            except Exception as exc:
+                log.debug("part %s/%s does not compute: %s", taken, value, exc)
+        if taken == bits or len(failing) + len(open_parts) >= most or part.select(slot.alias("s")).distinct().limit(2).count() < 2:
+            failing.append((taken, value))
+        else:
+            open_parts += [(taken + 1, value), (taken + 1, value | 1 << taken)]
+    at_fault = F.lit(False)
+    for taken, value in failing:
+        at_fault = at_fault | inside(taken, value)
+    reason = F.lit("failed message" if computed else "failed batch")
+    return (rows.where(~at_fault) if computed else None), rows.where(at_fault).withColumn("reason", reason)
+
+
 def _enriched(good: DataFrame, arrival) -> DataFrame:
     """Enriched rows with ids by position; positions only where the source or the publisher gives any."""
     stamped = ARRIVAL_COL in good.columns and arrival is None
@@ -117,11 +179,13 @@ def _enriched(good: DataFrame, arrival) -> DataFrame:
 
 
 def note_attempt(spark: SparkSession, out_dir: str, batch_id: int) -> int:
-    """Note one more try of a micro-batch (an empty marker file) and return how many there are."""
+    """Note one more try of a micro-batch (a marker file) and return how many there are."""
     fs, folder = _fs(spark, f"{out_dir}/attempts/batch_id={batch_id}")
     fs.mkdirs(folder)
     made = len(fs.listStatus(folder)) + 1
-    fs.createNewFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"try-{made:06d}"))
+    mark = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"try-{made:06d}"), False)
+    mark.write(bytearray(b"1"))  # readers skip empty files
+    mark.close()
     return made
 
 
@@ -140,13 +204,20 @@ def start_enrichment(raw: DataFrame, out_dir: str, checkpoint: str, trigger: dic
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _sink(spark: SparkSession, out_dir: str, name: str, schema=None) -> DataFrame:
+    """Committed rows of a sink; of a folder that was never under a commit log, all of them."""
+    if sn.is_committed(spark, out_dir):
+        return sn.read(spark, out_dir, name, schema=schema)
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(f"{out_dir}/{name}")
+
+
 def _rollup_inputs(spark: SparkSession, out_dir: str, name: str, upto: int | None = None) -> DataFrame:
     """Latest compacted version of a rollup plus the partial rows of later batches."""
     compacted_dir = f"{out_dir}/rollups_compacted/{name}"
     versions = committed_versions(spark, compacted_dir)
     if upto is not None:
         versions = [v for v in versions if v < upto]
-    partials = spark.read.parquet(f"{out_dir}/rollups")
+    partials = _sink(spark, out_dir, "rollups")
     keep = ru.select_rollup(partials, name).columns
     parts = partials.where(F.col("rollup") == name).select(*keep, "batch_id")
     if versions:
@@ -292,17 +363,25 @@ def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
     fs, path = _fs(spark, f"{out_dir}/quarantine")
     if not fs.exists(path):  # nothing quarantined yet
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{out_dir}/quarantine")
+    return _sink(spark, out_dir, "quarantine", schema)
 
 
 def quarantine_report(spark: SparkSession, out_dir: str, alert_threshold: int = 100) -> DataFrame:
     """Quarantined messages per batch and reason, with an alert flag when a batch
-    quarantined more than ``alert_threshold`` messages."""
+    quarantined more than ``alert_threshold`` messages; ``attempts`` counts every delivery of the batch,
+    also those after its commit."""
     q = read_quarantine(spark, out_dir)
     per = q.groupBy("batch_id", "reason").agg(F.count(F.lit(1)).alias("messages"), F.max("attempts").alias("attempts"))
+    fs, folder = _fs(spark, f"{out_dir}/attempts")
+    if fs.exists(folder):
+        tries = spark.read.format("binaryFile").load(f"{out_dir}/attempts").groupBy("batch_id").agg(F.count(F.lit(1)).cast("int").alias("_tries"))
+        per = per.join(tries, "batch_id", "left").withColumn("attempts", F.greatest("attempts", "_tries")).drop("_tries")
     return per.withColumn("alert", F.col("messages") > alert_threshold)
 
 
+_BARE = "batch_id long"  # enough to count rows
+
+
 def backlog(query, landing: DataFrame, out_dir: str, threshold_rows: int = 10_000) -> dict:
     """S8 / S9 for a running query over landing files: entries that no committed micro-batch has
     taken yet, against the threshold, besides the last progress.
@@ -313,7 +392,7 @@ def backlog(query, landing: DataFrame, out_dir: str, threshold_rows: int = 10_00
     taken = 0
     for folder in ("clicks", "quarantine"):
         fs, path = _fs(spark, f"{out_dir}/{folder}")
-        taken += spark.read.parquet(f"{out_dir}/{folder}").count() if fs.exists(path) else 0
+        taken += _sink(spark, out_dir, folder, _BARE).count() if fs.exists(path) else 0
     waiting = max(0, landing.count() - taken)
     return {"batch_id": p.get("batchId"), "input_rows": int(p.get("numInputRows", 0) or 0),
             "input_rows_per_second": p.get("inputRowsPerSecond"),
