@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,13 @@ def prune_months(df: DataFrame, start=None, end=None, col: str = "clicked_month"
     return df
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL is a value like others; the keys come back once."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def share_pct(part: Column, total: Column) -> Column:
     """``part * 100 / total`` in DOUBLE, rounded to 6 places; NULL when total is 0.
     The reference's scalar-subquery denominator becomes a window sum over the already

@@ -24,10 +24,12 @@ def assign_short_codes(requests: DataFrame, time_col: str = "requested_at", key_
     issued by earlier runs: a generator goes on after its own, so no id is issued twice.
 
     A generator's requests are cut into blocks of time, as many as its request count asks for;
-    position and running max are found inside a block and carried over by one row per block."""
+    position and running max are found inside a block and carried over by one row per block. Requests
+    without a time or a generator get no code: they are kept, with NULL in the columns added here."""
     ms = F.unix_millis(F.col(time_col)) - F.lit(base62.EPOCH_MS)
     gen = (F.col(generator_col) if generator_col else F.pmod(F.col(key_col), F.lit(GENERATORS))).cast("int")
-    df = requests.withColumn("_ms", ms).withColumn("_gen", gen)
+    every = requests.withColumn("_ms", ms).withColumn("_gen", gen)
+    df = every.where(F.col("_ms").isNotNull() & F.col("_gen").isNotNull())
     span = df.groupBy("_gen").agg(F.count(F.lit(1)).alias("_rows"), F.min("_ms").alias("_from"), F.max("_ms").alias("_to"))
     width = F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_rows") / block_rows))
     df = df.join(span.select("_gen", "_from", width.alias("_width")), "_gen") \
@@ -52,10 +54,11 @@ def assign_short_codes(requests: DataFrame, time_col: str = "requested_at", key_
     datacenter = F.shiftright(F.col("_gen"), base62.WORKER_BITS)
     worker = F.col("_gen").bitwiseAND(F.lit((1 << base62.WORKER_BITS) - 1))
     df = df.withColumn("id", base62.compose_id(issued_ms, datacenter, worker, seq))
-    return (df.withColumn("short_code", base62.encode("id"))
-            .withColumn("datacenter", datacenter).withColumn("worker", worker)
-            .withColumn("sequence", seq.cast("int"))
-            .drop("_ms", "_gen", "_i", "_lead", "_block", "_ahead", "_carry", "_slot"))
+    coded = (df.withColumn("short_code", base62.encode("id"))
+             .withColumn("datacenter", datacenter).withColumn("worker", worker)
+             .withColumn("sequence", seq.cast("int"))
+             .drop("_ms", "_gen", "_i", "_lead", "_block", "_ahead", "_carry", "_slot"))
+    return coded.unionByName(every.where(F.col("_ms").isNull() | F.col("_gen").isNull()).drop("_ms", "_gen"), allowMissingColumns=True)
 
 
 def last_slots_of(assigned: DataFrame) -> DataFrame:

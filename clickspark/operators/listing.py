@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickspark.functions import validation as v
-from clickspark.operators.common import top_n_per_key, ts, with_scalar_total
+from clickspark.operators.common import join_keys, top_n_per_key, ts, with_scalar_total
 
 
 @dataclass(frozen=True)
@@ -115,19 +115,21 @@ def viewer_pages(df: DataFrame, order_cols: list, key: str, size: int = 10, bloc
     (e.g. per short code for the click viewer). ``order_cols`` starts with the time column.
 
     A hot key is cut into blocks of time, as many as its row count asks for; the rank runs inside
-    a block and a prefix sum over one row per block carries it on."""
+    a block and a prefix sum over one row per block carries it on. Rows without a key share the pages of a
+    NULL key; rows without a time come last when the newest come first, else first."""
     first = order_cols[0]
     time_col, newest = (first[0], first[1] == "desc") if isinstance(first, tuple) else (first, False)
     t = F.unix_micros(F.col(time_col))
     span = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.min(t).alias("_from"), F.max(t).alias("_to"))
     width = F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_rows") / block_rows))
     block = F.floor(((F.col("_to") - t) if newest else (t - F.col("_from"))) / width).cast("bigint")
-    cut = df.join(span, key).withColumn("_block", block).drop("_from", "_to")
+    block = F.when(t.isNull(), F.lit(1 << 62 if newest else -1)).otherwise(block)
+    cut = join_keys(df, span, [key]).withColumn("_block", block).drop("_from", "_to")
     counts = cut.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     order = [(F.desc(c[0]) if c[1] == "desc" else F.asc(c[0])) if isinstance(c, tuple) else F.asc(c) for c in order_cols]
     rank = F.col("_offset") + F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order))
-    return (cut.join(counts, [key, "_block"]).withColumn("_rn", rank)
+    return (join_keys(cut, counts, [key, "_block"]).withColumn("_rn", rank)
             .withColumn("page_no", F.floor((F.col("_rn") - 1) / size).cast("int"))
             .withColumn("page_count", F.ceil(F.col("_rows") / size).cast("int")).drop("_rn", "_rows", "_block", "_offset"))

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickspark.operators import enrich as en
+from clickspark.operators import limits as lm
+from clickspark.operators import listing as ls
 from clickspark.operators import snapshots as sn
 from clickspark.operators import tables as tb
-from clickspark.plans.catalog import AS_OF, register, scratch
+from clickspark.plans import catalog_rows as cr
+from clickspark.plans.catalog import AS_OF, ORACLES, register, scratch
 from clickspark.plans.fixture_sql import with_views
 from clickspark.sources import fixtures as fx
 from clickspark.streaming import pipeline as pl
+from clickspark.streaming import ratelimit as rl
 
 # --- one store for all sinks of the enrichment pipeline (K3, M3-M5, X1, X3) ----------------------------
 
@@ -80,3 +84,53 @@ def _published(spark, d):
 
 
 register("committed_rollup", with_views(["raw_click"], "SELECT short_code, CAST(count(*) AS BIGINT) AS clicks FROM raw_click GROUP BY short_code"))(_published)
+
+# --- rate limits on streams, hot clients and incomplete requests (W1, W5, W6, L6, X8) -------------------
+
+_GAPS = """
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ip END AS ip, CASE WHEN event_id % 7 = 0 THEN NULL ELSE requested_at END AS requested_at FROM requests"""
+_GAPPY = [("gappy", _GAPS)]
+
+
+def _gappy(spark, d):
+    e = F.col("event_id")
+    return fx.requests(spark, d).select(
+        e, F.when(e % 5 != 0, F.col("ip")).alias("ip"), F.when(e % 7 != 0, F.col("requested_at")).alias("requested_at"))
+
+
+_US = cr.WINDOW_S * 1_000_000
+register("rate_verdict_incomplete", with_views(["requests"], f"""
+SELECT event_id, ip, requested_at, CASE WHEN requested_at IS NOT NULL THEN CAST(n AS BIGINT) END AS prior_count,
+  CASE WHEN requested_at IS NOT NULL THEN n < {cr.LIMIT} END AS allowed
+FROM (SELECT *, count(*) OVER (PARTITION BY ip ORDER BY epoch_us(requested_at) RANGE BETWEEN {_US - 1} PRECEDING AND 1 PRECEDING) AS n FROM gappy) x""", ctes=_GAPPY))(
+    lambda spark, d: lm.sliding_window_verdicts(_gappy(spark, d), cr.LIMIT, cr.WINDOW_S).select("event_id", "ip", "requested_at", "prior_count", "allowed"))
+
+register("rate_fixed_window_incomplete", with_views(["requests"], f"""
+SELECT event_id, ip, CASE WHEN requested_at IS NOT NULL THEN position END AS position, CASE WHEN requested_at IS NOT NULL THEN position <= {cr.LIMIT} END AS allowed
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ip, epoch_us(requested_at) // {_US} ORDER BY requested_at, event_id) AS INTEGER) AS position FROM gappy) x""", ctes=_GAPPY))(
+    lambda spark, d: lm.fixed_window_verdicts(_gappy(spark, d), cr.LIMIT, cr.WINDOW_S).select("event_id", "ip", "position", "allowed"))
+
+register("viewer_pages_incomplete", with_views(["requests"], """
+SELECT event_id, CAST((row_number() OVER (PARTITION BY ip ORDER BY requested_at DESC NULLS LAST, event_id) - 1) // 10 AS INTEGER) AS page_no,
+  CAST(ceil(count(*) OVER (PARTITION BY ip) / 10.0) AS INTEGER) AS page_count FROM gappy""", ctes=_GAPPY))(
+    lambda spark, d: ls.viewer_pages(_gappy(spark, d), [("requested_at", "desc"), ("event_id", "asc")], "ip", 10).select("event_id", "page_no", "page_count"))
+
+# every client in blocks of 20 requests: the bucket is carried from block to block
+register("token_bucket_blocks", ORACLES["token_bucket"])(
+    lambda spark, d: lm.token_bucket_verdicts(fx.requests(spark, d), cr._CAP, cr._RATE, block_rows=20)
+    .select("event_id", "ip", "requested_at", F.round("tokens_before", 6).alias("tokens_before"), "allowed"))
+
+
+def _streamed_verdicts(spark, d):
+    """Three micro-batches in the order of time, each with requests that are late by days; the last one is
+    delivered twice."""
+    out = scratch(spark, "verdicts")
+    run, requests = rl.verdict_batch(out, cr.LIMIT, cr.WINDOW_S), fx.requests(spark, d).select("event_id", "ip", "requested_at")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
+    part = F.least(F.floor((F.dayofmonth("requested_at") - 1) / 10) + F.when(late, 1).otherwise(0), F.lit(2))
+    for batch_id in (0, 1, 2, 2):
+        run(requests.where(part == batch_id), batch_id)
+    return rl.read_verdicts(spark, out).select("event_id", "ip", "requested_at", "prior_count", "allowed", "remaining", "reset_at")
+
+
+register("rate_verdict_stream", ORACLES["rate_verdict"])(_streamed_verdicts)

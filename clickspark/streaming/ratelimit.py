@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickspark.operators.common import ts
 from clickspark.operators.limits import sliding_window_verdicts
 
 
@@ -19,63 +22,124 @@ def _exists(spark: SparkSession, folder: str) -> bool:
 
 
 VERDICT = ["prior_count", "allowed", "remaining", "reset_at"]
+HOUR = "req_hour"
+_MOST_SPANS = 100
+
+
+_HOUR_US = 3_600_000_000
+
+
+def _slot_us(window_us: int) -> int:
+    """Width of a storage slot: whole hours, about a quarter of the window, so that the slots around a
+    batch are few and hold little else."""
+    return max(1, window_us // 4 // _HOUR_US) * _HOUR_US
+
+
+def _slot(time, width: int):
+    """First hour (``yyyyMMddHH``) of the slot that a time lies in."""
+    return F.date_format(F.timestamp_micros((F.floor(F.unix_micros(time) / width) * width).cast("bigint")), "yyyyMMddHH")
+
+
+def _spans(batch: DataFrame, time_col: str, window_us: int) -> list[tuple[int, int]]:
+    """(first, last) request times of the batch in microseconds, cut where no request lies within two
+    windows, so that what happens around one span cannot touch the next. One row per slot reaches the driver; with more than 100 spans neighbours are put together, which reads more but is as right."""
+    micros = F.unix_micros(F.col(time_col))
+    hours = batch.where(F.col(time_col).isNotNull()).groupBy(_slot(F.col(time_col), _slot_us(window_us)).alias("h")).agg(
+        F.min(micros).alias("first"), F.max(micros).alias("last")).collect()
+    spans: list[tuple[int, int]] = []
+    for first, last in sorted((r["first"], r["last"]) for r in hours):
+        if spans and first - spans[-1][1] <= 2 * window_us:
+            spans[-1] = spans[-1][0], max(last, spans[-1][1])
+        else:
+            spans.append((first, last))
+    step = max(1, -(-len(spans) // _MOST_SPANS))
+    return [(spans[i][0], spans[min(i + step, len(spans)) - 1][1]) for i in range(0, len(spans), step)]
+
+
+def _between(time, spans: list[tuple[int, int]]):
+    found = F.lit(False)
+    for low, high in spans:
+        found = found | ((time > F.timestamp_micros(F.lit(low))) & (time < F.timestamp_micros(F.lit(high))))
+    return found
+
+
+def _stored(spark: SparkSession, folder: str, spans: list[tuple[int, int]], before: int, width: int) -> DataFrame | None:
+    """Rows that earlier batches stored for the slots of ``spans``. Only folders of these slots are
+    listed and read, so the cost follows the batch and the window, not the age of the job."""
+    numbers = {s for low, high in spans for s in range(low // width, high // width + 1)}
+    hours = [dt.datetime.fromtimestamp(s * width // 1_000_000, dt.UTC).strftime("%Y%m%d%H") for s in sorted(numbers)]
+    paths = [p for h in hours if _exists(spark, p := f"{folder}/{HOUR}={h}")]
+    if not paths:
+        return None
+    return spark.read.option("basePath", folder).parquet(*paths).where(F.col("batch_id") < before)
 
 
 def verdict_batch(out_dir: str, limit: int, window_seconds: float, key: str = "ip",
                   time_col: str = "requested_at", id_col: str = "event_id"):
     """``foreachBatch`` function: verdicts of the micro-batch's requests, exact for late ones too.
 
-    The batch operator runs over the batch and the stored requests from one window before its
-    first request to one window after its last (the history is partitioned by request hour, so
-    only those hours are read). It writes the verdicts of the batch and, again, those of stored
-    requests that the batch changed. History and verdicts are written under the batch id, and
-    a replay leaves out rows of its own and later batches, so it rewrites the same partitions."""
+    The batch operator runs over the batch and the stored requests within one window of any of its
+    requests. It writes the verdicts of the batch and, again, those of stored requests that the batch
+    changed. Requests and verdicts are stored by request hour (or some hours, see ``_slot_us``) and batch id; a
+    request and all its verdicts share the folder, and only those around the batch are listed and read. A replay leaves out
+    rows of its own and later batches, so it rewrites the same partitions. Requests without a time get
+    verdicts of NULL and touch no other."""
+
+    window = int(round(window_seconds * 1_000_000))
+    width = _slot_us(window)
 
-    def write(df: DataFrame, batch_id: int, folder: str, *parts: str) -> None:
-        (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "batch_id").parquet(folder))
+    def write(df: DataFrame, batch_id: int, folder: str) -> None:
+        (df.withColumn(HOUR, _slot(F.col(time_col), width)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+         .hint("rebalance", HOUR).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(HOUR, "batch_id").parquet(folder))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            first, last = batch.agg(F.min(time_col), F.max(time_col)).first()
-            if first is None:
+            if batch.isEmpty():
                 return
-            window = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(window_seconds)))
+            spans = _spans(batch, time_col, window)
+            around = [(low - window, high + window) for low, high in spans]
+            time = F.col(time_col)
             combined = batch.withColumn("_new", F.lit(True))
             history, stored = f"{out_dir}/requests", f"{out_dir}/verdicts"
-            if _exists(spark, history):
-                lo, hi = F.lit(first) - window, F.lit(last) + window
-                hour = F.col("req_hour").cast("string")
-                near = (spark.read.parquet(history)
-                        .where((hour >= F.date_format(lo, "yyyyMMddHH")) & (hour <= F.date_format(hi, "yyyyMMddHH"))
-                               & (F.col(time_col) > lo) & (F.col(time_col) < hi) & (F.col("batch_id") < batch_id)))
-                combined = combined.unionByName(near.select(*batch.columns).withColumn("_new", F.lit(False)))
+            near = _stored(spark, history, around, batch_id, width)
+            if near is not None:
+                near = near.where(_between(time, around)).select(*batch.columns)
+                combined = combined.unionByName(near.withColumn("_new", F.lit(False)))
             verdicts = sliding_window_verdicts(combined, limit, window_seconds, key, time_col, id_col)
             fresh = verdicts.where("_new").drop("_new")
-            if _exists(spark, stored):
-                known = read_verdicts(spark, out_dir, before=batch_id, id_col=id_col).select(
-                    id_col, F.struct(*VERDICT).alias("_known"))
-                old = verdicts.where(~F.col("_new") & (F.col(time_col) > F.lit(first))).drop("_new")
-                changed = old.join(known, id_col).where(F.struct(*VERDICT) != F.col("_known")).drop("_known")
+            after = [(low, high + window) for low, high in spans]
+            known = None if near is None else _stored(spark, stored, after, batch_id, width)
+            if known is not None:
+                known = _latest(known, id_col).select(id_col, F.struct(*VERDICT).alias("_known"))
+                old = verdicts.where(~F.col("_new") & _between(time, after)).drop("_new")
+                changed = old.join(known, id_col).where(~F.struct(*VERDICT).eqNullSafe(F.col("_known"))).drop("_known")
                 fresh = fresh.unionByName(changed.select(*fresh.columns))
             write(fresh, batch_id, stored)
-            write(batch.withColumn("req_hour", F.date_format(F.col(time_col), "yyyyMMddHH")), batch_id, history, "req_hour")
+            write(batch, batch_id, history)
         finally:
             batch.unpersist()
 
     return run
 
 
-def read_verdicts(spark: SparkSession, out_dir: str, before: int | None = None, id_col: str = "event_id") -> DataFrame:
-    """The latest verdict of every request (a later batch may have corrected it)."""
-    rows = spark.read.parquet(f"{out_dir}/verdicts")
-    if before is not None:
-        rows = rows.where(F.col("batch_id") < before)
-    kept = [c for c in rows.columns if c not in (id_col, "batch_id")]
-    latest = rows.groupBy(id_col).agg(F.max_by(F.struct(*kept), F.col("batch_id")).alias("_row"))
-    return latest.select(id_col, "_row.*")
+def _latest(rows: DataFrame, id_col: str) -> DataFrame:
+    """The row of the latest batch for every request."""
+    kept = [c for c in rows.columns if c not in (id_col, HOUR, "batch_id")]
+    return rows.groupBy(id_col).agg(F.max_by(F.struct(*kept), F.col("batch_id")).alias("_row")).select(id_col, "_row.*")
+
+
+def read_verdicts(spark: SparkSession, out_dir: str, id_col: str = "event_id", start=None, end=None, window_seconds: float = 3600) -> DataFrame:
+    """The latest verdict of every request (a later batch may have corrected it); of the folders that
+    hold the hours from ``start`` to ``end`` only, for verdicts of ``window_seconds``."""
+    rows, stored = spark.read.parquet(f"{out_dir}/verdicts"), F.col(HOUR).cast("string")
+    width = _slot_us(int(round(window_seconds * 1_000_000)))
+    if start is not None:
+        rows = rows.where(stored >= _slot(ts(start), width))
+    if end is not None:
+        rows = rows.where(stored <= _slot(ts(end), width))
+    return _latest(rows, id_col)
 
 
 def start_rate_verdicts(requests: DataFrame, out_dir: str, checkpoint: str, limit: int, window_seconds: float,

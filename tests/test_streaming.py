@@ -267,3 +267,35 @@ def test_late_requests_correct_earlier_verdicts(spark, scratch):
     got = {r.event_id: (r.prior_count, r.allowed, r.reset_at) for r in rl.read_verdicts(spark, out).collect()}
     want = {r.event_id: (r.prior_count, r.allowed, r.reset_at) for r in limits.sliding_window_verdicts(reqs, 3, 86400).collect()}
     assert got == want
+
+
+def test_rate_verdicts_read_only_the_hours_around_a_batch(spark, scratch, monkeypatch):
+    """The files opened by a late batch are as many as those of an early one; late requests still correct."""
+    import datetime as dt
+    import random
+
+    pick, out, start = random.Random(4), os.path.join(scratch, "rl"), dt.datetime(2024, 1, 1)
+    opened, stored = [], rl._stored
+
+    def watched(spark_, *where):
+        rows = stored(spark_, *where)
+        opened[-1].append(0 if rows is None else len(rows.inputFiles()))
+        return rows
+
+    monkeypatch.setattr(rl, "_stored", watched)
+    run, every = rl.verdict_batch(out, 2, 900), []
+    for batch_id in range(14):
+        rows = [(batch_id * 100 + i, pick.choice(["a", "b", None]), start + dt.timedelta(hours=3 * batch_id, minutes=pick.randrange(60))) for i in range(12)]
+        if batch_id in (6, 13):  # late by hours, and without a time
+            rows += [(batch_id * 100 + 50, "a", start + dt.timedelta(minutes=20)), (batch_id * 100 + 51, "b", start + dt.timedelta(hours=9, minutes=5)), (batch_id * 100 + 52, "a", None)]
+        every += rows
+        opened.append([])
+        run(spark.createDataFrame(rows, "event_id long, ip string, requested_at timestamp").coalesce(1), batch_id)
+    opened.append([])
+    run(spark.createDataFrame(rows, "event_id long, ip string, requested_at timestamp").coalesce(1), 13)  # replay
+    whole = spark.createDataFrame(every, "event_id long, ip string, requested_at timestamp")
+    verdict = lambda df: {r.event_id: (r.prior_count, r.allowed, r.reset_at) for r in df.collect()}
+    assert verdict(rl.read_verdicts(spark, out)) == verdict(limits.sliding_window_verdicts(whole, 2, 900))
+    assert opened[2] == opened[5] == opened[12] and sum(opened[13]) < 15
+    day = rl.read_verdicts(spark, out, start="2024-01-01 00:00:00", end="2024-01-01 00:59:59")
+    assert {r.event_id // 100 for r in day.collect()} == {0, 6, 13}

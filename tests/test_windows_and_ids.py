@@ -199,3 +199,66 @@ def test_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(k, x) for k, xs in data.items() for x in xs] + [("e", None)], "k string, x double")
     for r in quantiles(df, ["k"], "x", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).collect():
         assert np.allclose([r.p50, r.p95, r.p99], np.quantile(data[r.k], [0.5, 0.95, 0.99]))
+
+
+def _one_client(n, seed, step_us):
+    """A client that never pauses for long, one that does, one without an address, and requests without a time."""
+    pick, at, rows = random.Random(seed), dt.datetime(2024, 1, 1), []
+    for i in range(n):
+        at += dt.timedelta(microseconds=pick.choice(step_us))
+        rows.append((i, "hot", at))
+    for i in range(40):
+        rows.append((n + i, pick.choice(["cold", None]), at + dt.timedelta(minutes=pick.randrange(300))))
+    return rows + [(n + 90, "hot", None), (n + 91, None, None)]
+
+
+def _bucket_loop(rows, capacity, rate):
+    found, state = {}, {}
+    for eid, ip, t in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[0])):
+        tokens, last = state.get(ip, (capacity, t))
+        tokens = min(capacity, tokens + (t - last).total_seconds() * rate)
+        found[eid] = tokens, tokens >= 1.0
+        state[ip] = tokens - (tokens >= 1.0), t
+    return found | {eid: (None, None) for eid, _, t in rows if t is None}
+
+
+@pytest.mark.parametrize("capacity,rate,steps", [
+    (4.0, 0.25, [0, 1_000_000, 3_000_000, 4_000_000]),  # exact in doubles: tokens of exactly 1 are met
+    (2.5, 0.5, [0, 500_000, 1_500_000, 4_500_000]), (7.0, 1 / 3, [1, 999_983, 2_718_281, 19_999_999])])
+def test_a_client_without_a_pause_is_cut_into_blocks(spark, capacity, rate, steps):
+    rows = _one_client(4000, 8, steps)
+    df = spark.createDataFrame(rows, "event_id long, ip string, requested_at timestamp").repartition(5)
+    got = {r.event_id: (r.tokens_before, r.allowed) for r in limits.token_bucket_verdicts(df, capacity, rate, block_rows=150).collect()}
+    want = _bucket_loop(rows, capacity, rate)
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert all(v[0] is None and want[k][0] is None or abs(v[0] - want[k][0]) < 1e-6 for k, v in got.items())
+
+
+def test_token_transfer_is_the_recursion_for_every_start():
+    pick = random.Random(2)
+    for one, full in ((5, 20), (7, 24), (3, 3)):
+        transfer, states = limits.TokenTransfer(one, full), list(range(full + 1))
+        for _ in range(300):
+            refill = pick.choice([0, 0, 1, 2, pick.randrange(full + 2)])
+            transfer.request(refill)
+            states = [t - one if (t := min(full, s + refill)) >= one else t for s in states]
+            assert [transfer(x) for x in range(full + 1)] == states
+            assert len(transfer.pieces) <= 2 * (full // one) + 4
+
+
+def test_requests_without_key_or_time_are_kept(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", at), (2, None, at + dt.timedelta(seconds=1)), (3, None, at + dt.timedelta(seconds=2)), (4, "a", None), (5, None, None)]
+    df = spark.createDataFrame(rows, "event_id long, ip string, requested_at timestamp")
+    slid = {r.event_id: (r.prior_count, r.allowed, r.remaining) for r in limits.sliding_window_verdicts(df, 1, 60, bucket_rows=1).collect()}
+    assert slid == {1: (0, True, 0), 2: (0, True, 0), 3: (1, False, 0), 4: (None, None, None), 5: (None, None, None)}
+    assert {r.event_id: r.http_status for r in limits.rate_headers(limits.sliding_window_verdicts(df, 1, 60), 1).collect()} == {1: 200, 2: 200, 3: 429, 4: None, 5: None}
+    fixed = {r.event_id: (r.position, r.allowed) for r in limits.fixed_window_verdicts(df, 1, 60, bucket_rows=1).collect()}
+    assert fixed == {1: (1, True), 2: (1, True), 3: (2, False), 4: (None, None), 5: (None, None)}
+    from clickspark.operators import listing
+    pages = {r.event_id: (r.page_no, r.page_count) for r in listing.viewer_pages(df, [("requested_at", "desc"), "event_id"], "ip", 1, block_rows=1).collect()}
+    assert pages == {1: (0, 2), 4: (1, 2), 3: (0, 3), 2: (1, 3), 5: (2, 3)}
+    first = {r.event_id: r.page_no for r in listing.viewer_pages(df, ["requested_at", "event_id"], "ip", 1, block_rows=1).collect()}
+    assert first == {4: 0, 1: 1, 5: 0, 2: 1, 3: 2}
+    coded = ids.assign_short_codes(spark.createDataFrame([(1, at), (None, at), (2, None)], "request_id long, requested_at timestamp")).collect()
+    assert {(r.request_id, r.requested_at is None): r.short_code is None for r in coded} == {(1, False): False, (None, False): True, (2, True): True}
