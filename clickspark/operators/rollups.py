@@ -18,6 +18,7 @@ import datetime as dtm
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickspark.operators import idsets as ids
 from clickspark.operators.common import dt, prune_months, share_pct, top_n_per_key, ts
 
 HLL_LG_K = 12  # 2^12 registers: ~1.6 % relative error, 4 KiB per sketch
@@ -119,6 +120,54 @@ def estimate_visitors(rollup: DataFrame) -> DataFrame:
     return rollup.withColumn("unique_visitors", F.hll_sketch_estimate("visitors_sketch")).drop("visitors_sketch")
 
 
+#: Who is counted by R6 besides everybody, by device type (trap T12).
+AUDIENCES = {"unique_visitors": None, "mobile_clicks": "mobile", "desktop_clicks": "desktop"}
+
+
+def _rolled_keys(clicks: DataFrame, rollup: str) -> tuple[DataFrame, list[str]]:
+    if rollup == "daily_stats":
+        return clicks.withColumn("day", F.date_trunc("day", "clicked_at")), ["short_code", "day"]
+    if rollup == "hourly_clicks":
+        return clicks.withColumn("clicked_hour", F.date_trunc("hour", "clicked_at")).withColumn("clicked_date", F.to_date("clicked_at")), ROLLUP_KEYS[rollup]
+    return clicks, ROLLUP_KEYS[rollup]
+
+
+def exact_partials(clicks: DataFrame, dictionary: DataFrame, rollup: str) -> DataFrame:
+    """Partial rows of R1, R4 or R6 (``daily_by_url``, ``hourly_clicks``, ``daily_stats``) whose merged visitors
+    are exact. Clicks are counts; visitors are sets of the ids that ``dictionary`` (ip_address, id; see
+    ``idsets.extend_dictionary``) gives to their addresses, one set for every audience (``who``)."""
+    rows, keys = _rolled_keys(clicks, rollup)
+    empty = {"bucket": "bigint", "positions": "array<smallint>", "bitmap": "binary"}
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("clicks")).withColumn("who", F.lit("clicks")).withColumns(
+        {c: F.lit(None).cast(t) for c, t in empty.items()})
+    names = AUDIENCES if rollup == "daily_stats" else {"unique_visitors": None}
+    device = F.coalesce("device_type", F.lit(""))
+    who = F.filter(F.array(*[F.when(F.lit(d is None) | (device == (d or "")), F.lit(n)) for n, d in names.items()]), lambda n: n.isNotNull())
+    seen = ids.with_ids(rows.select(*keys, "ip_address", F.explode(who).alias("who")).distinct(), dictionary, "ip_address")
+    sets = ids.id_sets(seen, [*keys, "who"])
+    return counts.unionByName(sets.withColumn("clicks", F.lit(0).cast("bigint")))
+
+
+def merge_exact_partials(partials: DataFrame, rollup: str) -> DataFrame:
+    """R5 with exact visitors: partial rows of any number of batches become one row of counts per key and one
+    set per key and audience, still mergeable."""
+    keys = ["short_code", "day"] if rollup == "daily_stats" else ROLLUP_KEYS[rollup]
+    counted = F.col("who") == "clicks"
+    counts = partials.where(counted).groupBy(*keys, "who").agg(F.sum("clicks").alias("clicks"))
+    sets = ids.merge_sets(partials.where(~counted), [*keys, "who"]).withColumn("clicks", F.lit(0).cast("bigint"))
+    return counts.unionByName(sets, allowMissingColumns=True)
+
+
+def rollup_from_exact(merged: DataFrame, rollup: str) -> DataFrame:
+    """The rollup's own columns from merged exact partials: equal to the rollup of all clicks."""
+    keys = ["short_code", "day"] if rollup == "daily_stats" else ROLLUP_KEYS[rollup]
+    names = AUDIENCES if rollup == "daily_stats" else {"unique_visitors": None}
+    size = F.when(F.col("bucket").isNotNull(), ids.set_size())
+    return merged.groupBy(*keys).agg(
+        F.sum("clicks").cast("bigint").alias("total_clicks" if rollup == "daily_stats" else "click_count"),
+        *[F.coalesce(F.sum(F.when(F.col("who") == n, size)), F.lit(0)).cast("bigint").alias(n) for n in names])
+
+
 def country_share_from_rollup(by_country: DataFrame, start, end, top_n: int = 20) -> DataFrame:
     """A3 answered from R2 instead of raw clicks (same result, far fewer rows scanned)."""
     base = by_country.where(F.col("clicked_date").between(dt(start), dt(end)))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickspark.operators import enrich as en
+from clickspark.operators import idsets as ids
 from clickspark.operators import limits as lm
 from clickspark.operators import listing as ls
+from clickspark.operators import rollups as ru
 from clickspark.operators import snapshots as sn
 from clickspark.operators import tables as tb
 from clickspark.plans import catalog_rows as cr
@@ -134,3 +136,22 @@ def _streamed_verdicts(spark, d):
 
 
 register("rate_verdict_stream", ORACLES["rate_verdict"])(_streamed_verdicts)
+
+# --- exact visitors that merge over batches (R1, R4, R5, R6, trap T5) ---------------------------------
+
+
+def _merged_exact(spark, d, rollup):
+    """Three batches: the dictionary grows with each, partial rows are stored and merged, the first two beforehand."""
+    base, every, known = scratch(spark, "exact"), fx.click_events(spark, d), None
+    for batch_id in range(3):
+        batch = every.where(F.col("event_id").cast("bigint") % 3 == batch_id)
+        ids.extend_dictionary(batch, "ip_address", known).write.parquet(f"{base}/visitors/v={batch_id}")
+        known = spark.read.parquet(f"{base}/visitors/v={batch_id}")
+        ru.exact_partials(batch, known, rollup).write.parquet(f"{base}/partials/{batch_id}")
+    parts = [spark.read.parquet(f"{base}/partials/{i}") for i in range(3)]
+    two = ru.merge_exact_partials(parts[0].unionByName(parts[1]), rollup)
+    return ru.rollup_from_exact(ru.merge_exact_partials(two.unionByName(parts[2]), rollup), rollup)
+
+
+for _rollup, _twin in (("daily_stats", "rollup_daily_stats"), ("daily_by_url", "rollup_daily"), ("hourly_clicks", "rollup_hourly")):
+    register(f"exact_merge_{_rollup}", ORACLES[_twin])(lambda spark, d, r=_rollup: _merged_exact(spark, d, r))
