@@ -12,9 +12,11 @@ from clickspark.operators import idsets as ids
 from clickspark.operators import limits as lm
 from clickspark.operators import listing as ls
 from clickspark.operators import rollups as ru
+from clickspark.operators import search_index as si
 from clickspark.operators import snapshots as sn
 from clickspark.operators import tables as tb
 from clickspark.plans import catalog_rows as cr
+from clickspark.plans import sql_rules as sr
 from clickspark.plans.catalog import AS_OF, ORACLES, register, scratch
 from clickspark.plans.fixture_sql import with_views
 from clickspark.sources import fixtures as fx
@@ -155,3 +157,36 @@ def _merged_exact(spark, d, rollup):
 
 for _rollup, _twin in (("daily_stats", "rollup_daily_stats"), ("daily_by_url", "rollup_daily"), ("hourly_clicks", "rollup_hourly")):
     register(f"exact_merge_{_rollup}", ORACLES[_twin])(lambda spark, d, r=_rollup: _merged_exact(spark, d, r))
+
+# --- the stored search index (F12, K5, K7) --------------------------------------------------------------
+
+
+def _queries(spark, d):
+    number = F.col("s_suppkey")
+    return fx.table(spark, d, "supplier").select(number.alias("query_id"), F.when(number % 3 == 0, F.lit("HTTPS nothing")).when(
+        number % 3 == 1, F.format_string("c%02d", "s_suppkey")).otherwise(F.lit("none")).alias("q"))
+
+
+def _searched(spark, d, many):
+    """Index of two thirds of the URLs, some with another address, and of some that are none; a delta mends it."""
+    store, urls, code = scratch(spark, "search-index"), fx.urls(spark, d), F.xxhash64("short_code")
+    stale = urls.where(F.pmod(code, F.lit(3)) > 0).withColumn("long_url", F.when(F.pmod(code, F.lit(7)) == 0, F.lit("none c01 FR")).otherwise(F.col("long_url")))
+    wrong = urls.select(F.concat(F.lit("x"), "short_code").alias("short_code"), "long_url", "created_at")
+    si.build(stale.select(*wrong.columns).unionByName(wrong), store, slot_rows=100)
+    si.refresh(spark, store, urls.where((F.pmod(code, F.lit(3)) == 0) | (F.pmod(code, F.lit(7)) == 0)), wrong, slot_rows=100)
+    asked = _queries(spark, d)
+    if many:
+        asked = asked.withColumn("q", F.concat_ws(" ", F.lit("https c1 top c10"), "q"))
+    return si.bulk_search(spark, store, asked, per_query=5)
+
+
+register("bulk_url_search_stored", ORACLES["bulk_url_search"])(lambda spark, d: _searched(spark, d, many=False))
+
+_MANY = "list_concat(['https', 'c1', 'top', 'c10'], CASE s_suppkey % 3 WHEN 0 THEN ['https', 'nothing'] WHEN 1 THEN ['c' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0')] ELSE ['none'] END)"
+register("bulk_url_search_stored_terms", with_views(["urls"], f"""
+SELECT query_id, short_code, created_at, rank, total FROM (
+  SELECT query_id, short_code, created_at, CAST(row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, short_code) AS INTEGER) AS rank,
+    CAST(count(*) OVER (PARTITION BY query_id) AS BIGINT) AS total
+  FROM (SELECT s_suppkey AS query_id, {_MANY} AS terms FROM supplier) q
+  JOIN urls ON list_has_any(list_concat({sr.tokens_sql('long_url')}, {sr.tokens_sql('short_code')}), terms)) x
+WHERE rank <= 5"""))(lambda spark, d: _searched(spark, d, many=True))
