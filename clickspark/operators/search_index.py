@@ -73,7 +73,8 @@ def _publish(spark: SparkSession, store: str, docs: DataFrame, old: dict[str, li
     if folders:
         blocks = _blocks(stored.parquet(*[f"{store}/docs/{f}" for f in folders])).withColumn("batch_id", F.lit(batch_id))
         (blocks.hint("rebalance", "slot").sortWithinPartitions("slot", "token").write.mode("append").partitionBy("slot", "batch_id")
-         .option("compression", "zstd").option("parquet.bloom.filter.enabled#token", "true").parquet(f"{store}/blocks"))
+         .option("compression", "zstd").option("parquet.bloom.filter.adaptive.enabled", "true")
+         .option("parquet.bloom.filter.enabled#token", "true").parquet(f"{store}/blocks"))
     add = {t: sn.written(spark, store, t, batch_id, ["slot"]) for t in ("docs", "blocks")}
     return sn.commit(spark, store, add, old)
 

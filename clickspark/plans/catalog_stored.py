@@ -172,8 +172,8 @@ def _searched(spark, d, many):
     store, urls, code = scratch(spark, "search-index"), fx.urls(spark, d), F.xxhash64("short_code")
     stale = urls.where(F.pmod(code, F.lit(3)) > 0).withColumn("long_url", F.when(F.pmod(code, F.lit(7)) == 0, F.lit("none c01 FR")).otherwise(F.col("long_url")))
     wrong = urls.select(F.concat(F.lit("x"), "short_code").alias("short_code"), "long_url", "created_at")
-    si.build(stale.select(*wrong.columns).unionByName(wrong), store, slot_rows=100)
-    si.refresh(spark, store, urls.where((F.pmod(code, F.lit(3)) == 0) | (F.pmod(code, F.lit(7)) == 0)), wrong, slot_rows=100)
+    si.build(stale.select(*wrong.columns).unionByName(wrong), store, slot_rows=1000)
+    si.refresh(spark, store, urls.where((F.pmod(code, F.lit(3)) == 0) | (F.pmod(code, F.lit(7)) == 0)), wrong, slot_rows=1000)
     asked = _queries(spark, d)
     if many:
         asked = asked.withColumn("q", F.concat_ws(" ", F.lit("https c1 top c10"), "q"))
