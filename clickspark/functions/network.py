@@ -45,6 +45,48 @@ def ipv4_number(ip: Column | str) -> Column:
     return F.when(is_ipv4(ip), num)
 
 
+def ip_bits(ip: Column | str) -> Column:
+    """An address as ``4`` and 32 or ``6`` and 128 binary digits, NULL for anything else. A mapped IPv4
+    address in IPv6 form is the IPv4 address. Prefixes of the text are the networks that hold the address."""
+    c = _c(ip)
+    binary = lambda number, digits, base=10: F.lpad(F.conv(number, base, 2), digits, "0")
+    four = lambda text: binary(ipv4_number(text).cast("string"), 32)
+    dotted = F.regexp_extract(c, r"([0-9.]+)$", 1)
+    tail = lambda part: F.lower(F.hex(F.shiftright(ipv4_number(dotted), 16) if part else ipv4_number(dotted).bitwiseAND(0xFFFF)))
+    plain = F.when(c.contains("."), F.concat(F.regexp_replace(c, r"[0-9.]+$", ""), tail(1), F.lit(":"), tail(0))).otherwise(c)
+    halves = F.split(plain, "::")
+    groups = lambda half: F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(halves, 0)), groups(F.get(halves, 1))
+    full = F.concat(left, F.array_repeat(F.lit("0"), (F.lit(8) - F.size(left) - F.size(right)).cast("int")), right)
+    six = F.array_join(F.transform(full, lambda g: binary(g, 16, 16)), "")
+    mapped = six.startswith("0" * 80 + "1" * 16)
+    return (F.when(is_ipv4(c), F.concat(F.lit("4"), four(c)))
+            .when(is_ipv6(c), F.when(mapped, F.concat(F.lit("4"), F.substring(six, 97, 32))).otherwise(F.concat(F.lit("6"), six))))
+
+
+def range_prefixes(low: Column, high: Column) -> Column:
+    """The fewest prefixes that cover ``low`` to ``high`` (``ip_bits`` of one family, low <= high). Both are used
+    many times over, so they should be columns that are computed already.
+
+    Up to the first digit in which they differ the two share a prefix. Below it, every 0 of ``low`` leaves out a
+    sibling that lies above it and every 1 of ``high`` one that lies below; zeros at the end of ``low`` and ones at
+    the end of ``high`` make their own prefix shorter."""
+    size, one = F.length(low), F.lit(1)
+    at = lambda text, i: F.substring(text, i, one)
+    upto = lambda text, n: F.substring(text, one, n)
+    differ = F.array_min(F.filter(F.sequence(one, size), lambda i: at(low, i) != at(high, i)))
+    last = lambda text, digit: F.when(text.contains(digit), size - F.instr(F.reverse(text), digit) + 1).otherwise(0)
+    low_end, high_end = F.greatest(differ, last(low, "1")), F.greatest(differ, last(high, "0"))
+
+    def siblings(text: Column, end: Column, digit: str, other: str) -> Column:
+        inside = F.when(end > differ + 1, F.sequence(differ + 1, end - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(inside, lambda i: at(text, i) == digit), lambda i: F.concat(upto(text, i - 1), F.lit(other)))
+
+    sides = F.concat(F.array(upto(low, low_end), upto(high, high_end)), siblings(low, low_end, "0", "1"), siblings(high, high_end, "1", "0"))
+    whole = (low_end == differ) & (high_end == differ)
+    return F.when(differ.isNull(), F.array(low)).when(whole, F.array(upto(low, differ - 1))).otherwise(sides)
+
+
 def _in_cidr(num: Column, base: str, bits: int) -> Column:
     a, b, c, d = (int(x) for x in base.split("."))
     start = (a << 24) | (b << 16) | (c << 8) | d

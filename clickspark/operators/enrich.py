@@ -157,33 +157,27 @@ def derive_expiry(requests: DataFrame, default_ttl_hours: int = 72) -> DataFrame
 
 
 def geo_by_range(clicks: DataFrame, ranges: DataFrame, ip_col: str = "ip_address") -> DataFrame:
-    """IP -> location through a user-supplied IPv4 range table
+    """IP -> location through a user-supplied table of IPv4 and IPv6 ranges
     (``start_ip, end_ip, country, country_code, region, city``).
 
-    Work is done once per *distinct* IP, not per click. Ranges are cut into aligned blocks of 2^k
-    addresses, a handful of sizes per range (a range of 2^24 addresses has at most 48 blocks), and an
-    address looks up its own block of every size: equi-joins on (size, block), so neither a
-    dense block nor a wide range makes pairs that are thrown away. Where ranges overlap the one
-    with the highest start, then the smallest, wins: a click is never multiplied."""
-    sizes = F.explode(F.sequence(F.lit(0), F.lit(32)))
-    width = F.pow(F.lit(2.0), F.col("k")).cast("bigint")
-    r = ranges.select(
-        network.ipv4_number("start_ip").alias("lo"), (network.ipv4_number("end_ip") + 1).alias("hi"),
-        F.struct("country", "country_code", "region", "city").alias("place")).where(F.col("lo") < F.col("hi"))
-    # a range holds an aligned block of 2^k iff the block lies inside and its parent does not;
-    # for every k those are at most one block at each end
-    cut = r.withColumn("k", sizes)
-    first, last = F.ceil(F.col("lo") / width).cast("bigint"), F.floor(F.col("hi") / width).cast("bigint")
-    blocks = cut.select("lo", "hi", "place", "k", width.alias("w"), first.alias("first"), (last - 1).alias("last")) \
-        .where(F.col("first") <= F.col("last"))
-    ends = F.array_distinct(F.array("first", "last"))
-    parent_low = F.floor(F.col("block") / 2) * 2 * F.col("w")
-    whole_parent = (parent_low >= F.col("lo")) & (parent_low + 2 * F.col("w") <= F.col("hi"))
-    blocks = blocks.withColumn("block", F.explode(ends)).where(~whole_parent | (F.col("k") == 32))
-    ips = clicks.select(F.col(ip_col).alias("ip")).distinct().withColumn("ip_num", network.ipv4_number("ip")) \
-        .where(F.col("ip_num").isNotNull())
-    probes = ips.withColumn("k", sizes).withColumn("block", F.floor(F.col("ip_num") / width).cast("bigint"))
-    found = probes.join(blocks.select("k", "block", "lo", "hi", "place"), ["k", "block"]).groupBy("ip").agg(
-        F.max_by("place", F.struct("lo", -F.col("hi"), F.to_json("place"))).alias("place"))
+    Work is done once per *distinct* IP, not per click. Ranges are cut into network prefixes, and an
+    address looks up its own prefix of every length in use: equi-joins on the prefix, so neither a dense
+    network nor a wide range makes pairs that are thrown away. Where ranges overlap the one with the highest
+    start, then the smallest, wins; each prefix keeps its winner only, so a click is never multiplied. A mapped
+    IPv4 address is looked up as IPv4; ranges whose ends are of two families or in the wrong order hold nothing."""
+    place = F.struct("country", "country_code", "region", "city")
+    r = ranges.select(network.ip_bits("start_ip").alias("lo"), network.ip_bits("end_ip").alias("hi"), place.alias("place")).where(
+        (F.col("lo") <= F.col("hi")) & (F.substring("lo", 1, 1) == F.substring("hi", 1, 1)))
+    order = F.struct("lo", F.translate("hi", "01", "10"), F.to_json("place"))
+    nets = r.withColumn("net", F.explode(network.range_prefixes(F.col("lo"), F.col("hi")))).groupBy("net").agg(
+        F.max(order).alias("order"), F.max_by("place", order).alias("place"))
+    lengths: dict[str, list[int]] = {"4": [], "6": []}
+    for row in nets.select(F.substring("net", 1, 1).alias("family"), F.length("net").alias("n")).distinct().collect():  # 162 at most
+        lengths[row["family"]].append(row["n"])
+    sizes = lambda family: F.array(*[F.lit(n) for n in sorted(lengths[family])]).cast("array<int>")
+    ips = clicks.select(F.col(ip_col).alias("ip")).distinct().withColumn("bits", network.ip_bits("ip"))
+    probes = ips.select("ip", "bits", F.explode(F.when(F.col("bits").startswith("4"), sizes("4")).when(F.col("bits").startswith("6"), sizes("6"))).alias("n"))
+    probes = probes.select("ip", F.substring(F.col("bits"), F.lit(1), F.col("n")).alias("net"))
+    found = probes.join(nets, "net").groupBy("ip").agg(F.max_by("place", "order").alias("place"))
     located = found.select(F.col("ip").alias(ip_col), "place.country", "place.country_code", "place.region", "place.city")
     return clicks.drop("country", "country_code", "region", "city").join(located, ip_col, "left")

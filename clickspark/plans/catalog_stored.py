@@ -190,3 +190,42 @@ SELECT query_id, short_code, created_at, rank, total FROM (
   FROM (SELECT s_suppkey AS query_id, {_MANY} AS terms FROM supplier) q
   JOIN urls ON list_has_any(list_concat({sr.tokens_sql('long_url')}, {sr.tokens_sql('short_code')}), terms)) x
 WHERE rank <= 5"""))(lambda spark, d: _searched(spark, d, many=True))
+
+# --- IPv6 ranges (C10, J9): one range per nation inside a wide one that holds them all ------------------
+
+
+def _located_v6(spark, d):
+    user, event = F.col("user_id") % 256, F.col("event_id") % 65536
+    clicks = fx.table(spark, d, "events").select("event_id", F.format_string("2001:db8:%x::%x", user.cast("int"), event.cast("int")).alias("ip_address"))
+    n = F.col("n_nationkey").cast("int") * 10
+    own = fx.table(spark, d, "nation").select(
+        F.format_string("2001:DB8:%x::", n).alias("start_ip"), F.format_string("2001:db8:%x:ffff:ffff:ffff:ffff:ffff", n + 9).alias("end_ip"),
+        F.col("n_name").alias("country"), F.lit("").alias("country_code"), F.lit("").alias("region"), F.lit("").alias("city"))
+    wide = own.limit(1).select(F.lit("2001:db8::").alias("start_ip"), F.lit("2001:db8:ffff:ffff:ffff:ffff:ffff:ffff").alias("end_ip"),
+                               F.lit("ELSEWHERE").alias("country"), "country_code", "region", "city")
+    return en.geo_by_range(clicks, own.unionByName(wide)).select("event_id", "country")
+
+
+register("geo_by_range_v6", """
+SELECT event_id, coalesce(n_name, 'ELSEWHERE') AS country FROM events LEFT JOIN nation ON user_id % 256 BETWEEN n_nationkey * 10 AND n_nationkey * 10 + 9""")(_located_v6)
+
+# --- late clicks (X5-X7, R7): what the watermark drops is computed anew --------------------------------
+
+
+def _late_rollup(spark, d):
+    """Three landed files in the order of time; a tenth of the clicks lands one file late, days behind."""
+    base, clicks = scratch(spark, "late"), fx.click_events(spark, d)
+    late = F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
+    part = F.least(F.floor((F.dayofmonth("clicked_at") - 1) / 10) + F.when(late, 1).otherwise(0), F.lit(2))
+    for i in range(3):
+        clicks.where(part == i).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    landed = spark.readStream.schema(clicks.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    pl.start_windowed(landed, base, f"{base}/ck-windows", "1 day", "2 days").awaitTermination()
+    pl.start_late(landed, base, f"{base}/ck-late", "1 day", "2 days").awaitTermination()
+    pl.refresh_late(spark, base, clicks, "1 day")
+    return pl.read_windowed(spark, base).select("short_code", "bucket_start", "click_count")
+
+
+register("late_click_rollup", with_views(["click_events"], """
+SELECT short_code, date_trunc('day', clicked_at)::TIMESTAMP AS bucket_start, CAST(count(*) AS BIGINT) AS click_count FROM click_events
+WHERE date_trunc('day', clicked_at) + INTERVAL 1 DAY <= (SELECT max(clicked_at) FROM click_events) - INTERVAL 2 DAY GROUP BY ALL"""))(_late_rollup)

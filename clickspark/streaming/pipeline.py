@@ -12,8 +12,10 @@ from __future__ import annotations
 import logging
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from clickspark.operators import enrich as en
 from clickspark.operators import reports as rp
@@ -21,6 +23,7 @@ from clickspark.operators import resolve as rs
 from clickspark.operators import rollups as ru
 from clickspark.operators import snapshots as sn
 from clickspark.operators import tables as tb
+from clickspark.operators.common import prune_months
 from clickspark.streaming import sources as src
 
 log = logging.getLogger(__name__)
@@ -51,6 +54,33 @@ SINKS = {"clicks": ["clicked_month"], "rollups": ["rollup"], "search": [], "quar
 STREAM = "enrichment"
 
 
+class StopRequested(RuntimeError):
+    """Raised before a batch begins when the job was asked to stop; the batch before is committed."""
+
+
+def request_stop(spark: SparkSession, out_dir: str) -> None:
+    """X11: ask the running enrichment query to stop. The batch under way is finished and committed; the next
+    one does not begin, and stays in the checkpoint for the next start."""
+    fs, mark = _fs(spark, f"{out_dir}/_stop")
+    fs.create(mark, True).close()
+
+
+def _stop_requested(spark: SparkSession, out_dir: str) -> bool:
+    fs, mark = _fs(spark, f"{out_dir}/_stop")
+    return fs.exists(mark)
+
+
+def await_stop(query, out_dir: str | None = None, timeout: float | None = None) -> bool:
+    """Wait for the query's end; True if it ended or stopped as asked, False after ``timeout`` seconds. Any
+    other failure is raised."""
+    try:
+        return query.awaitTermination(timeout) if timeout is not None else (query.awaitTermination() or True)
+    except StreamingQueryException as exc:
+        if "StopRequested" not in str(exc):
+            raise
+        return True
+
+
 def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, max_attempts: int = 3):
     """The ``foreachBatch`` function of the enrichment pipeline.
 
@@ -68,6 +98,8 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, max
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if _stop_requested(spark, out_dir):
+            raise StopRequested(f"stop mark under {out_dir}")
         attempt = note_attempt(spark, out_dir, batch_id)
         if sn.snapshot(spark, out_dir).has(STREAM, batch_id):
             log.info("batch %s is committed already", batch_id)
@@ -193,6 +225,8 @@ def start_enrichment(raw: DataFrame, out_dir: str, checkpoint: str, trigger: dic
                      arrival=None, query_name: str | None = None, max_attempts: int = 3):
     """Start the enrichment query. ``trigger`` defaults to ``availableNow`` (drain
     and stop, for jobs); pass ``{"processingTime": "1 second"}`` for a service."""
+    fs, mark = _fs(raw.sparkSession, f"{out_dir}/_stop")
+    fs.delete(mark, False)  # of a stop that was asked for before
     if arrival is None:
         # stamped in the streaming plan: Spark replaces current_timestamp() by the micro-batch
         # time recorded in the offset log, so a replayed batch sees the same arrival time
@@ -350,6 +384,78 @@ def windowed_rollup(clicks: DataFrame, bucket: str = "1 hour", watermark: str =
                     F.col("bucket.end").alias("bucket_end"), "click_count", "unique_visitors"))
 
 
+def _bucket(bucket: str):
+    return F.window("clicked_at", bucket)
+
+
+def start_windowed(clicks: DataFrame, out_dir: str, checkpoint: str, bucket: str = "1 hour", watermark: str = "3 days", trigger: dict | None = None):
+    """``windowed_rollup`` of a click stream into ``out_dir/windows``."""
+    return (windowed_rollup(clicks, bucket, watermark).writeStream.format("parquet").outputMode("append").option("path", f"{out_dir}/windows")
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def late_batch(out_dir: str, bucket: str = "1 hour", watermark: str = "3 days"):
+    """The ``foreachBatch`` function that keeps what a watermark drops, for a second query on the clicks.
+
+    A click is late if its bucket ends at or before the horizon, the latest click time so far minus
+    ``watermark``. The stream's own watermark is never ahead of that, so whatever it drops is found here. Only the
+    late (code, bucket) pairs are stored, by batch id; the horizon is one row per batch."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            newest = batch.agg(F.max("clicked_at").alias("newest"))
+            seen = _horizon(spark, out_dir, batch_id)
+            newest = newest if seen is None else newest.unionByName(seen).agg(F.max("newest").alias("newest"))
+            _write_batch(newest, f"{out_dir}/horizon", batch_id)
+            horizon = _horizon(spark, out_dir, batch_id + 1).select((F.col("newest") - F.expr(f"INTERVAL {watermark}")).alias("_horizon"))
+            placed = batch.select("short_code", _bucket(bucket).alias("w")).select("short_code", F.col("w.start").alias("bucket_start"), F.col("w.end").alias("bucket_end"))
+            late = placed.distinct().join(F.broadcast(horizon), F.col("bucket_end") <= F.col("_horizon")).drop("_horizon")  # the horizon is one row
+            _write_batch(late, f"{out_dir}/late", batch_id)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def _horizon(spark: SparkSession, out_dir: str, before: int) -> DataFrame | None:
+    """The newest click time of all batches before ``before``: the row of the last of them."""
+    fs, root = _fs(spark, f"{out_dir}/horizon")
+    if not fs.exists(root):
+        return None
+    ids = [int(st.getPath().getName().removeprefix("batch_id=")) for st in fs.listStatus(root) if st.getPath().getName().startswith("batch_id=")]
+    ids = [i for i in ids if i < before]
+    return spark.read.schema("newest timestamp").parquet(f"{out_dir}/horizon/batch_id={max(ids)}") if ids else None
+
+
+def start_late(clicks: DataFrame, out_dir: str, checkpoint: str, bucket: str = "1 hour", watermark: str = "3 days", trigger: dict | None = None):
+    return (clicks.writeStream.foreachBatch(late_batch(out_dir, bucket, watermark)).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def refresh_late(spark: SparkSession, out_dir: str, clicks: DataFrame, bucket: str = "1 hour") -> None:
+    """R7 for what came too late: the (code, bucket) pairs of the side table are computed anew from ``clicks``
+    (the stored table) into ``out_dir/corrected``; months without one are not read. Running it again gives the same."""
+    late = spark.read.schema("short_code string, bucket_start timestamp, bucket_end timestamp").parquet(f"{out_dir}/late").distinct()
+    first, last = late.agg(F.min("bucket_start"), F.max("bucket_end")).first()
+    rows = prune_months(clicks, first, last).where((F.col("clicked_at") >= F.lit(first)) & (F.col("clicked_at") < F.lit(last)))
+    placed = rows.withColumn("w", _bucket(bucket)).select("short_code", F.col("w.start").alias("bucket_start"), F.col("w.end").alias("bucket_end"), "ip_address")
+    keys = ["short_code", "bucket_start", "bucket_end"]
+    fresh = placed.join(late, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("click_count"), F.count_distinct("ip_address").alias("unique_visitors"))
+    fresh.write.mode("overwrite").parquet(f"{out_dir}/corrected")
+
+
+def read_windowed(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The closed buckets: as the stream emitted them, but for those that were computed anew."""
+    emitted = spark.read.parquet(f"{out_dir}/windows")
+    fs, path = _fs(spark, f"{out_dir}/corrected")
+    if not fs.exists(path):
+        return emitted
+    corrected = spark.read.parquet(f"{out_dir}/corrected")
+    return emitted.join(corrected, ["short_code", "bucket_start"], "left_anti").unionByName(corrected)
+
+
 # --- X9 / X12 / S9: quarantine and backlog monitoring -------------------------------------------
 
 def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -400,6 +506,46 @@ def backlog(query, landing: DataFrame, out_dir: str, threshold_rows: int = 10_00
             "backlog_rows": waiting, "backlog_alert": waiting > threshold_rows}
 
 
+class ProgressLog(StreamingQueryListener):
+    """S8 / S9 for running queries without a scan: adds up what each finished batch reports.
+
+    ``backlog(query_id)`` has the rows taken so far, the entries that the source knows of and has not handed out
+    (files for a file source, offsets for Kafka), the rate, and the alert. Register with
+    ``spark.streams.addListener``; the numbers are those of committed batches."""
+
+    def __init__(self, threshold: int = 10_000):
+        self.threshold, self.state = threshold, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.state.setdefault(str(event.id), {"rows": 0, "batch_id": None, "waiting": 0, "rows_per_second": None, "running": True})["running"] = True
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        held = self.state.setdefault(str(p.id), {"rows": 0, "batch_id": None, "waiting": 0, "rows_per_second": None, "running": True})
+        if held["batch_id"] is None or p.batchId > held["batch_id"]:  # an idle query reports its last batch again
+            held["rows"] += p.numInputRows
+        held |= {"batch_id": p.batchId, "waiting": sum(_outstanding(s) for s in p.sources), "rows_per_second": p.processedRowsPerSecond}
+
+    def onQueryIdle(self, event) -> None:
+        self.state.get(str(event.id), {})["waiting"] = 0
+
+    def onQueryTerminated(self, event) -> None:
+        self.state.get(str(event.id), {})["running"] = False
+
+    def backlog(self, query_id) -> dict:
+        held = self.state.get(str(query_id), {"rows": 0, "batch_id": None, "waiting": 0, "rows_per_second": None, "running": False})
+        return held | {"backlog_alert": held["waiting"] > self.threshold}
+
+
+def _outstanding(source) -> int:
+    """Entries that a source knows of and that are not in a finished batch."""
+    metrics = source.metrics or {}
+    for name in ("numFilesOutstanding", "maxOffsetsBehindLatest"):
+        if name in metrics:
+            return int(float(metrics[name]))
+    return 0
+
+
 def resolve_stream(clicks: DataFrame, urls: DataFrame) -> DataFrame:
     """C1 on a stream: stream-static join of enriched clicks with the URL table, honouring
     expiry at click time. The static side is re-read per micro-batch; Catalyst broadcasts it

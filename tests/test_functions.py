@@ -230,3 +230,50 @@ def test_rules_against_literal_rows(spark):
     got = {r.a: (r.browser, r.browser_version, r.device_type, r.device_brand, r.device_model) for r in rows}
     assert {k: x[:3] for k, x in got.items()} == {k: x[:3] for k, x in agents.items()}
     assert got[list(agents)[0]] == agents[list(agents)[0]]
+
+
+def test_ip_bits_and_range_prefixes_against_the_library(spark):
+    import ipaddress
+    import random
+
+    from pyspark.sql import functions as F
+
+    from clickspark.functions import network
+    pick = random.Random(6)
+    texts = ["0.0.0.0", "255.255.255.255", "1.2.3.4", "::", "::1", "1::", "fe80::1:2", "1:2:3:4:5:6:7:8", "::ffff:10.0.0.1", "::FFFF:a00:1",
+             "2001:db8::1.2.3.4", "64:ff9b::192.0.2.33", "ABCD::ef01:0:0", "0:0:0:0:0:ffff:1.2.3.4"]
+    texts += [str(ipaddress.IPv6Address(pick.getrandbits(128) & ~(((1 << 64) - 1) << pick.choice([0, 32, 64])))) for _ in range(60)]
+
+    def bits(text):
+        a = ipaddress.ip_address(text)
+        a = getattr(a, "ipv4_mapped", None) or a
+        return f"{a.version}{int(a):0{a.max_prefixlen}b}"
+
+    got = spark.createDataFrame([(t,) for t in [*texts, "1.2.3", "1:2", "x", "", None]], "ip string").select("ip", network.ip_bits("ip").alias("b")).collect()
+    assert {r.ip: r.b for r in got} == {t: bits(t) for t in texts} | {"1.2.3": None, "1:2": None, "x": None, "": None, None: None}
+    ranges = [("0.0.0.0", "255.255.255.255"), ("10.0.0.3", "10.0.0.3"), ("10.0.0.0", "10.255.255.255"), ("9.255.255.255", "10.0.0.0"), ("::", "ffff:" * 7 + "ffff")]
+    for family, width in ((ipaddress.IPv4Address, 32), (ipaddress.IPv6Address, 128)):
+        for _ in range(60):
+            a = pick.getrandbits(width) >> pick.randrange(width) << pick.randrange(8)
+            b = min(a + (pick.getrandbits(width) >> pick.randrange(width)), (1 << width) - 1)
+            ranges.append((str(family(min(a, b) % (1 << width))), str(family(b))))
+    ranges = [(a, b) for a, b in ranges if bits(a) <= bits(b) and bits(a)[0] == bits(b)[0]]
+    ends = spark.createDataFrame([(a, b, bits(a), bits(b)) for a, b in ranges], "a string, b string, low string, high string")
+    rows = ends.select("a", "b", F.array_sort(network.range_prefixes(F.col("low"), F.col("high"))).alias("p")).collect()
+    for r in rows:
+        ends = [getattr(x, "ipv4_mapped", None) or x for x in (ipaddress.ip_address(r.a), ipaddress.ip_address(r.b))]
+        nets = ipaddress.summarize_address_range(*ends)
+        assert r.p == sorted(f"{n.version}{int(n.network_address):0{n.max_prefixlen}b}"[:n.prefixlen + 1] for n in nets), (r.a, r.b)
+
+
+def test_geo_ranges_of_both_families(spark):
+    from clickspark.operators import enrich as en
+    ranges = [("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "wide"), ("2001:db8:1::", "2001:db8:1::ff", "narrow"), ("2001:db8:1::", "2001:db8:1::f", "tie"),
+              ("10.0.0.0", "10.0.0.255", "ten"), ("10.0.0.7", "11.0.0.0", "later"), ("1.1.1.1", "::5", "mixed"), ("9.0.0.9", "9.0.0.1", "backwards")]
+    table = spark.createDataFrame([(a, b, c, c[:2], "r", "t") for a, b, c in ranges], "start_ip string, end_ip string, country string, country_code string, region string, city string")
+    want = {"2001:db8::1": "wide", "2001:DB8:1:0::10": "narrow", "2001:db8:1::2": "tie", "2001:db9::": None, "10.0.0.6": "ten", "10.0.0.9": "later", "::ffff:10.0.0.1": "ten",
+            "11.0.0.1": None, "9.0.0.5": None, "1.1.1.1": None, "not-an-ip": None, None: None}
+    clicks = spark.createDataFrame([(ip,) for ip in [*want, "10.0.0.6"]], "ip_address string")
+    got = en.geo_by_range(clicks, table).collect()
+    assert len(got) == len(want) + 1 and {r.ip_address: r.country for r in got} == want
+    assert en.geo_by_range(clicks, table.limit(0)).where("country IS NOT NULL").count() == 0

@@ -299,3 +299,35 @@ def test_rate_verdicts_read_only_the_hours_around_a_batch(spark, scratch, monkey
     assert opened[2] == opened[5] == opened[12] and sum(opened[13]) < 15
     day = rl.read_verdicts(spark, out, start="2024-01-01 00:00:00", end="2024-01-01 00:59:59")
     assert {r.event_id // 100 for r in day.collect()} == {0, 6, 13}
+
+
+def test_a_stop_request_leaves_the_batch_committed_and_listener_counts(spark, scratch):
+    from clickspark.operators import tables as tb
+    landing, out, ckpt = _land_raw(spark, scratch, parts=3), os.path.join(scratch, "out"), os.path.join(scratch, "ckpt")
+    watch = pl.ProgressLog(threshold=0)
+    spark.streams.addListener(watch)
+    try:
+        run, calls = pl.note_attempt, []
+
+        def asked(spark_, out_dir, batch_id):  # the request comes while the first batch is under way
+            calls.append(batch_id)
+            if len(calls) == 1:
+                pl.request_stop(spark_, out_dir)
+            return run(spark_, out_dir, batch_id)
+
+        pl.note_attempt = asked
+        try:
+            query = pl.start_enrichment(src.click_stream(spark, landing, max_files_per_trigger=1), out, ckpt, arrival=AS_OF)
+            assert pl.await_stop(query, timeout=120)
+        finally:
+            pl.note_attempt = run
+        first = tb.read_click_table(spark, f"{out}/clicks").count()
+        assert calls == [0] and 0 < first < fx.raw_clicks(spark, SF_SMALL).count()
+        query = pl.start_enrichment(src.click_stream(spark, landing, max_files_per_trigger=1), out, ckpt, arrival=AS_OF)
+        assert pl.await_stop(query, timeout=300)
+        assert tb.read_click_table(spark, f"{out}/clicks").count() == fx.raw_clicks(spark, SF_SMALL).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        log = watch.backlog(query.id)
+        assert log["rows"] == fx.raw_clicks(spark, SF_SMALL).count() and log["batch_id"] == 2 and not log["running"] and not log["backlog_alert"]
+    finally:
+        spark.streams.removeListener(watch)
