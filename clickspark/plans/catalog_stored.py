@@ -22,6 +22,8 @@ from clickspark.plans.fixture_sql import with_views
 from clickspark.sources import fixtures as fx
 from clickspark.streaming import pipeline as pl
 from clickspark.streaming import ratelimit as rl
+from clickspark.streaming import sources as src
+from clickspark.streaming.logs import start_log_shipping
 
 # --- one store for all sinks of the enrichment pipeline (K3, M3-M5, X1, X3) ----------------------------
 
@@ -229,3 +231,47 @@ def _late_rollup(spark, d):
 register("late_click_rollup", with_views(["click_events"], """
 SELECT short_code, date_trunc('day', clicked_at)::TIMESTAMP AS bucket_start, CAST(count(*) AS BIGINT) AS click_count FROM click_events
 WHERE date_trunc('day', clicked_at) + INTERVAL 1 DAY <= (SELECT max(clicked_at) FROM click_events) - INTERVAL 2 DAY GROUP BY ALL"""))(_late_rollup)
+
+# --- whole streams from landed files (S1-S3, S7, K2, K10, X1, X2, X10) ------------------------------------
+
+
+def _replayed(spark, d) -> str:
+    """Every click published again into a landing folder, a few files to a micro-batch."""
+    base = scratch(spark, "stream")
+    tb.replay_clicks(fx.click_events(spark, d).repartition(4), f"{base}/landing")
+    return base
+
+
+def _streamed_clicks(spark, d):
+    base = _replayed(spark, d)
+    landed = src.click_stream(spark, f"{base}/landing", max_files_per_trigger=2)
+    pl.await_stop(pl.start_enrichment(landed, f"{base}/out", f"{base}/ck", arrival=AS_OF))
+    return _counted(tb.read_click_table(spark, f"{base}/out/clicks"))
+
+
+register("stream_enrichment", with_views(["click_events"], """
+SELECT short_code, date_trunc('second', clicked_at) AS clicked_at, CAST(count(*) AS BIGINT) AS clicks FROM click_events GROUP BY ALL"""))(_streamed_clicks)
+
+
+def _streamed_counters(spark, d):
+    base = _replayed(spark, d)
+    pl.seed_url_table(fx.urls(spark, d), f"{base}/urls")
+    pl.start_counters(src.click_stream(spark, f"{base}/landing", max_files_per_trigger=2), f"{base}/deltas", f"{base}/ck").awaitTermination()
+    return pl.read_counters(spark, f"{base}/urls", f"{base}/deltas", AS_OF).select("short_code", "clicks")
+
+
+register("stream_counters", ORACLES["counter_pipeline"])(_streamed_counters)
+
+
+def _streamed_logs(spark, d):
+    """Landed in eight files, flushed whenever about a third of their bytes are read."""
+    base = scratch(spark, "log-stream")
+    lines = fx.log_lines(spark, d).select("line")
+    lines.repartition(8).write.text(f"{base}/landing")
+    size = lines.agg(F.sum(F.octet_length("line") + 1)).first()[0]
+    start_log_shipping(src.log_stream(spark, f"{base}/landing", max_bytes_per_trigger=max(1, size // 3)), f"{base}/out", f"{base}/ck").awaitTermination()
+    return spark.read.schema("level string, service string, log_date date, batch_id bigint").json(f"{base}/out").groupBy(
+        "service", "log_date", "level").agg(F.count(F.lit(1)).alias("lines"))
+
+
+register("stream_logs", ORACLES["log_daily_counts"])(_streamed_logs)

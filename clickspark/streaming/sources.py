@@ -38,13 +38,17 @@ def click_stream(spark: SparkSession, path: str, max_files_per_trigger: int | No
 
 
 def kafka_click_stream(spark: SparkSession, bootstrap_servers: str, topic: str,
-                       max_offsets_per_trigger: int | None = None, starting_offsets: str = "earliest") -> DataFrame:
+                       max_offsets_per_trigger: int | None = None, starting_offsets: str = "earliest",
+                       starting_timestamp: int | None = None) -> DataFrame:
     """S1 on Kafka (requires the Kafka connector on the classpath): JSON value -> raw click
-    columns plus the message position (partition, offset) for deterministic event ids."""
+    columns plus the message position (partition, offset) for deterministic event ids.
+    ``starting_timestamp`` (epoch milliseconds) reprocesses from a point in time with a fresh checkpoint (X13)."""
     reader = (spark.readStream.format("kafka")
               .option("kafka.bootstrap.servers", bootstrap_servers)
               .option("subscribe", topic)
               .option("startingOffsets", starting_offsets))
+    if starting_timestamp is not None:
+        reader = reader.option("startingTimestamp", str(starting_timestamp))
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     raw = reader.load()
