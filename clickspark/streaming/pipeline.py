@@ -409,9 +409,9 @@ def late_batch(out_dir: str, bucket: str = "1 hour", watermark: str = "3 days"):
             seen = _horizon(spark, out_dir, batch_id)
             newest = newest if seen is None else newest.unionByName(seen).agg(F.max("newest").alias("newest"))
             _write_batch(newest, f"{out_dir}/horizon", batch_id)
-            horizon = _horizon(spark, out_dir, batch_id + 1).select((F.col("newest") - F.expr(f"INTERVAL {watermark}")).alias("_horizon"))
+            micros = _horizon(spark, out_dir, batch_id + 1).select(F.unix_micros(F.col("newest") - F.expr(f"INTERVAL {watermark}"))).first()[0]
             placed = batch.select("short_code", _bucket(bucket).alias("w")).select("short_code", F.col("w.start").alias("bucket_start"), F.col("w.end").alias("bucket_end"))
-            late = placed.distinct().join(F.broadcast(horizon), F.col("bucket_end") <= F.col("_horizon")).drop("_horizon")  # the horizon is one row
+            late = placed.distinct().where(F.unix_micros("bucket_end") <= F.lit(micros).cast("bigint"))
             _write_batch(late, f"{out_dir}/late", batch_id)
         finally:
             batch.unpersist()

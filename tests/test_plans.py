@@ -12,7 +12,7 @@ from tests.conftest import SF_SMALL
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
                 "FlatMapGroupsInPandasWithState", "PythonUDF")
-ALLOWED_PYTHON = {"token_bucket"}  # per-key recursion, mapInPandas over sorted (ip, burst) rows
+ALLOWED_PYTHON = {"token_bucket", "token_bucket_blocks"}  # recursion, mapInPandas over sorted (ip, burst, block) rows
 
 
 def _plan(df):
