@@ -138,14 +138,14 @@ ORACLES: dict[str, str] = {
             AND list_max([5 * list_sum(list_slice(agree, CAST(k + 1 AS BIGINT), CAST(k + wide AS BIGINT))) for k in range(len(agree) - wide + 1)]) >= 4 * wide
         GROUP BY doc_id, item_id""",
     "op10_top_k": """
-        WITH vectors AS (
-            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
-            WHERE len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+        WITH vectors AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS place, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
         scored AS (
-            SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.v, d.v)]) AS BIGINT) AS score
-            FROM vectors q JOIN vectors d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id)
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-        FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+            SELECT q.place, q.vec_id AS query_id, d.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.v, d.v)]) AS BIGINT) AS score
+            FROM vectors q JOIN vectors d ON q.vec_id % 50 = 0 AND d.place <> q.place AND len(d.v) = len(q.v))
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) <= 5""",
     "op12_prefix_trie": f"""
         WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
             coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),

@@ -12,15 +12,12 @@ from tests.conftest import SF_SMALL
 
 
 def brute_force(rows, step, k):
-    usable = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            v = [math.floor(256 * x) for x in v]
-            usable[i] = min(v, usable.get(i, v))
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+              if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in usable.items():
+    for a, (q, v) in enumerate(usable):
         if q % step == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable.items() if i != q and len(w) == len(v))
+            scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for b, (i, w) in enumerate(usable) if b != a and len(w) == len(v))
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -59,3 +56,21 @@ def test_pruning_only_drops_what_cannot_win(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = knn.top_k(table, F.col("vec_id") % 15 == 0, k=4, pivots=6, group_queries=5)
     assert sorted(tuple(r) for r in got.collect()) == brute_force(rows, 15, 4)
+
+
+def test_rows_that_repeat_an_id_all_count(spark):
+    rng = random.Random(4)
+    rows = [(1, [0.1, 0.0]), (1, [5.0, 0.0]), (0, [256.0, 0.0]), (0, [256.0, 0.0]), (0, [-1.0, 1.0])]
+    rows += [(rng.randrange(2, 12), [rng.gauss(0, 1), rng.gauss(0, 1)]) for _ in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in knn.top_k(table, F.col("vec_id") % 5 == 0, k=4, pivots=6, group_queries=9, chunk_rows=40).collect())
+    assert got == brute_force(rows, 5, 4) and (0, 2, 1, 256 * 256 * 256 * 5) in got
+
+
+def test_cells_that_cannot_win_are_dropped_as_a_whole():
+    cells = knn.Cells([[100, 0], [-100, 0], [0, 3]])
+    held = {(2, 1): (1.0, 50), (2, 2): (1.0, 50), (2, 3): (2.0, 2)}
+    near, floors = knn.related_cells(cells, {(2, 1): (1.0, 4)}, held, k=5)
+    assert near == {(2, 1): [1], (2, 2): [], (2, 3): []} and 9700 < floors[2, 1] < 9801
+    near, floors = knn.related_cells(cells, {(2, 1): (1.0, 4)}, {(2, 3): (2.0, 2)}, k=5)
+    assert near == {(2, 3): [1]} and floors[2, 1] == -math.inf
