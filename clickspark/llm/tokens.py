@@ -12,6 +12,7 @@ A reader decodes the tail of a file and then only the frames of the documents it
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
@@ -37,6 +38,14 @@ CHECKSUM_FLAG = 0x80
 BLOB_BYTES = 24 << 20
 _WORDS_KEPT = 300_000
 
+# fixed values: the rules of a tokenizer file whose words _SPLIT finds
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 # A text of these characters only is already in normal form C, and lower-casing and the classes of
 # the tokenizer's split mean the same here as in the tokenizer.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ž]*")
@@ -69,8 +78,16 @@ class _Words(dict):
         return packed
 
 
+def splits_alike(tokenizer) -> bool:
+    """Whether the tokenizer's own rules are those that ``_SPLIT`` stands for."""
+    own = json.loads(tokenizer.to_str())
+    added = own["added_tokens"]
+    return all(own[k] == rule for k, rule in _RULES.items()) and own["model"]["type"] == "BPE" and not own["model"].get("dropout") and all(
+        t["special"] and not (t["normalized"] or t["single_word"]) for t in added)
+
+
 def _loaded(path: str):
-    """(tokenizer, its words, its special tokens), kept for all tasks of a worker process.
+    """(tokenizer, its words or None if it has other rules, its added tokens), kept for all tasks of a worker process.
 
     Functions of this module arrive in a worker by value, new ones with every task, so what is kept
     hangs on a module of its own."""
@@ -79,31 +96,35 @@ def _loaded(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        kept[path] = tokenizer, _Words(tokenizer.model), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        kept[path] = tokenizer, _Words(tokenizer.model) if splits_alike(tokenizer) else None, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return kept[path]
 
 
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that splits into words before its merges.
+    """Ids of whole texts, as the tokenizers library gives them for any of its files.
 
-    Words repeat far more often than texts, so the ids of a word are kept as packed bytes and a
-    text's ids are the joined bytes of its words. Texts with special tokens or with characters
-    outside the plain range are encoded whole by the tokenizer itself.
+    Words repeat far more often than texts. Where the file's rules are those of :data:`_RULES`, the
+    library's ids of a word are kept as packed bytes, and the ids of a text of plain characters without
+    added tokens are the joined bytes of its words. All other texts, and all texts of other files, are
+    encoded whole by the library.
     """
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer, self.words, self.special = _loaded(path)
         self.end = struct.pack("<I", end_id)
 
+    def _by_words(self, text: str) -> bool:
+        return self.words is not None and _PLAIN.fullmatch(text) is not None and not any(t in text for t in self.special)
+
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
     def pack(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, the end id included."""
-        get = self.words.__getitem__
-        return [(self._whole(t) if any(s in t for s in self.special) or not _PLAIN.fullmatch(t)
-                 else b"".join(map(get, _SPLIT.findall(t.lower())))) + self.end for t in texts]
+        """Packed ids of each text, the end id included. One text at a time: the library's results take far more memory than the ids."""
+        return [(b"".join(map(self.words.__getitem__, _SPLIT.findall(t.lower()))) if self._by_words(t) else self._whole(t)) + self.end for t in texts]
 
 
 def build_file(part: int, number: int, ids: list[int | None], packed: list[bytes]) -> bytes:
@@ -162,6 +183,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                       id_col: str = "doc_id", text_col: str = "text", blob_bytes: int = BLOB_BYTES) -> None:
     """Encode every whole text and write the ids under ``path`` in ascending id order.
 
+    ``tokenizer`` is any file of the tokenizers library; the ids are the library's, without special
+    tokens added and without its truncation and padding.
     A null text is an empty one and holds the end id alone. Null ids come first; repeated ids are
     ordered by their text. An empty table writes a folder without documents. Only the two named
     columns are read. A file takes documents until ``blob_bytes`` of packed ids are reached.

@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 
@@ -31,6 +32,40 @@ def test_word_encoder_equals_the_tokenizer():
         assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == [*tok.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
+OTHERS = {
+    "padded": {"padding": {"strategy": {"Fixed": 9}, "direction": "Right", "pad_to_multiple_of": None, "pad_id": 0, "pad_type_id": 0, "pad_token": "!"},
+               "truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}},
+    "cased": {"normalizer": {"type": "NFC"}},
+    "spaces": {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"\s+"}, "behavior": "Removed", "invert": False},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}},
+    "added": {"added_tokens": [{"id": 49406, "content": "hello", "single_word": True, "lstrip": False, "rstrip": False, "normalized": True, "special": False}]},
+}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k", *OTHERS])
+def test_ids_of_any_tokenizer_file_are_the_librarys(name, tmp_path):
+    path = tokenizer_path(f"{name}.json") if name not in OTHERS else str(tmp_path / f"{name}.json")
+    if name in OTHERS:
+        with open(tokenizer_path()) as given, open(path, "w") as changed:
+            json.dump(json.load(given) | OTHERS[name], changed)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    texts = [*ODD, "Hello World, it's 2024", "hello othello HELLO"]
+    encoder = tokens.WordEncoder(path, 1)
+    assert (encoder.words is not None) == (name == "padded")
+    for text, packed in zip(texts, encoder.pack(texts), strict=True):
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == [*tok.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
+def test_files_of_another_tokenizer(spark):
+    path = new_path(spark, "tokens")
+    docs = spark.createDataFrame([(0, "Hello World, it's 2024"), (1, None)], "doc_id long, text string")
+    tokens.write_token_files(docs, path, tokenizer_path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.ids for r in tokens.read_token_files(spark, path).collect()} == {0: [15496, 2159, 11, 340, 338, 48609, 1], 1: [1]}
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id").collect()
     got = sorted(tuple(r) for r in op7_token_files(spark, SF_SMALL).collect())
