@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,8 @@ CONTAINERS = frozenset("div section article main header footer aside nav form".s
 _LAYOUT_DEPTH = 6
 #: Characters from which a text says something about the place it stands at.
 LONG = 40
-_PAIRS = 250_000
+#: Pairs of children whose table of sums is kept whole; larger tables are halved and computed again.
+_CELLS = 250_000
 
 
 # -- pages as trees of blocks ------------------------------------------------------------------------
@@ -213,62 +215,121 @@ def _same(a: Node | str, b: Node | str) -> bool:
     return a.key == b.key and a.unseen == b.unseen and len(a.children) == len(b.children) and all(map(_same, a.children, b.children))
 
 
-def _weight(a: Node | str, b: Node | str) -> tuple[int, list]:
-    """(matched nodes, matched pairs) of the largest matching that keeps order and ancestry."""
-    if isinstance(a, str) or isinstance(b, str):
-        return (1, [(a, b)]) if isinstance(a, str) and isinstance(b, str) else (0, [])
-    if a.key != b.key or a.unseen or b.unseen:
-        return 0, []
+class _Shapes:
+    """Numbers of trees that differ in more than their texts, and the largest matchings between them.
+
+    Any two texts match, so what two trees match depends on their shapes alone, and pages have few shapes.
+    Shape 0 is a text, shape -1 an element that matches nothing.
+    """
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.parts: list[tuple] = [()]
+        self.of: dict[int, int] = {}
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def number(self, node: Node | str) -> int:
+        if isinstance(node, str):
+            return 0
+        if node.unseen:
+            return -1
+        if id(node) not in self.of:
+            shape = node.key, tuple([self.number(c) for c in node.children])
+            if shape not in self.numbers:
+                self.numbers[shape] = len(self.parts)
+                self.parts.append(shape)
+            self.of[id(node)] = self.numbers[shape]
+        return self.of[id(node)]
+
+    def score(self, a: int, b: int) -> int:
+        """Matched nodes and texts of the largest matching that keeps order and ancestry."""
+        if a < 1 or b < 1:
+            return int(a == b == 0)
+        if (a, b) not in self.scores:
+            (key, x), (other, y) = self.parts[a], self.parts[b]
+            if key != other:
+                found = 0
+            elif not any(x) and not any(y):
+                found = 1 + min(len(x), len(y))
+            else:
+                found = 1 + int(self.sums(x, y)[-1])
+            self.scores[a, b] = found
+        return self.scores[a, b]
+
+    def rows(self, x: tuple[int, ...], y: tuple[int, ...]) -> Iterator[np.ndarray]:
+        """Largest sums of the first 0, 1, ... of ``x`` against every head of ``y``."""
+        kinds, place = np.unique(np.array(y, dtype=np.int64), return_inverse=True)
+        known: dict[int, np.ndarray] = {}
+        row = np.zeros(len(y) + 1, dtype=np.int64)
+        yield row
+        for a in x:
+            if a not in known:
+                known[a] = np.array([self.score(a, int(b)) for b in kinds], dtype=np.int64)[place]
+            best = row.copy()
+            np.maximum(row[1:], row[:-1] + known[a], out=best[1:])
+            row = np.maximum.accumulate(best)
+            yield row
+
+    def sums(self, x: tuple[int, ...], y: tuple[int, ...]) -> np.ndarray:
+        row = np.zeros(1)
+        for row in self.rows(x, y):
+            pass
+        return row
+
+    def partners(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places that a largest matching pairs, in rising order."""
+        if not x or not y:
+            return []
+        if len(x) > 1 and len(x) * len(y) > _CELLS:
+            # halve x: the cut of y where the best sums of both halves add up to the most
+            half = len(x) // 2
+            cut = int(np.argmax(self.sums(x[:half], y) + self.sums(x[:half - 1:-1], y[::-1])[::-1]))
+            return self.partners(x[:half], y[:cut]) + [(half + i, cut + j) for i, j in self.partners(x[half:], y[cut:])]
+        best, found = list(self.rows(x, y)), []
+        i, j = len(x), len(y)
+        while i and j:
+            worth = self.score(x[i - 1], y[j - 1])
+            if worth and best[i][j] == best[i - 1][j - 1] + worth:
+                i, j = i - 1, j - 1
+                found.append((i, j))
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return found[::-1]
+
+
+def _pairs(a: Node | str, b: Node | str, shapes: _Shapes) -> Iterator[tuple[Node | str, Node | str]]:
+    """The matched pairs of two trees whose roots match; a node stands before what is below it, a text's place is
+    that of the node before it."""
+    yield a, b
+    if isinstance(a, str):
+        return
     x, y = a.children, b.children
-    if len(x) * len(y) > _PAIRS:
+    if all(isinstance(c, str) for c in (*x, *y)):
+        yield from zip(x, y, strict=False)
+        return
+    head = tail = 0
+    if len(x) * len(y) > _CELLS:
         # equal children at both ends are partners in a largest matching
         most = min(len(x), len(y))
         head = next((i for i in range(most) if not _same(x[i], y[i])), most)
         tail = next((i for i in range(most - head) if not _same(x[-1 - i], y[-1 - i])), most - head)
-        if head or tail:
-            inner = Node(a.tag, a.key, False), Node(b.tag, b.key, False)
-            inner[0].children, inner[1].children = x[head:len(x) - tail], y[head:len(y) - tail]
-            total, below = _weight(*inner)
-            pairs = below[1:]
-            for c, d in [*zip(x[:head], y[:head], strict=True), *zip(x[len(x) - tail:], y[len(y) - tail:], strict=True)]:
-                w, below = _weight(c, d)
-                # a text's place is that of the node before it
-                total, pairs = total + w, below + pairs if isinstance(c, str) else pairs + below
-            return total, [(a, b), *pairs]
-    if len(x) * len(y) > _PAIRS or all(isinstance(c, str) for c in (*x, *y)):
-        # very many children, or nothing but texts: partners in order of their kind
-        total, pairs = 1, [(a, b)]
-        queue: dict = {}
-        for c in y:
-            queue.setdefault("" if isinstance(c, str) else c.key, []).append(c)
-        turn: Counter = Counter()
-        for c in x:
-            k = "" if isinstance(c, str) else c.key
-            if turn[k] < len(queue.get(k, ())):
-                w, below = _weight(c, queue[k][turn[k]])
-                turn[k] += 1
-                total, pairs = total + w, pairs + below
-        return total, pairs
-    match = [[_weight(c, d) for d in y] for c in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + match[i - 1][j - 1][0])
-    pairs, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j - 1] + match[i - 1][j - 1][0] and match[i - 1][j - 1][0]:
-            pairs += match[i - 1][j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[-1][-1], pairs
+    inner = shapes.partners(tuple(shapes.number(c) for c in x[head:len(x) - tail]), tuple(shapes.number(c) for c in y[head:len(y) - tail]))
+    ends = len(x) - tail, len(y) - tail
+    matched = [*((i, i) for i in range(head)), *((head + i, head + j) for i, j in inner), *((ends[0] + i, ends[1] + i) for i in range(tail))]
+    matched = [(x[i], y[j]) for i, j in matched if shapes.score(shapes.number(x[i]), shapes.number(y[j]))]
+    # texts first, while the node above them is the one last named
+    yield from ((c, d) for c, d in matched if isinstance(c, str))
+    for c, d in matched:
+        if not isinstance(c, str):
+            yield from _pairs(c, d, shapes)
 
 
 def align(a: Node, b: Node) -> list[tuple[Node | str, Node | str]]:
-    """Pairs of nodes and of texts that simple tree matching aligns."""
-    return _weight(a, b)[1]
+    """Pairs of nodes and of texts that simple tree matching aligns, however many children they have."""
+    shapes = _Shapes()
+    return list(_pairs(a, b, shapes)) if shapes.score(shapes.number(a), shapes.number(b)) else []
 
 
 # -- wrappers ----------------------------------------------------------------------------------------
@@ -387,18 +448,14 @@ def main_text(page: str | None, root: str | None = None, template: frozenset[int
     """The article's blocks in page order, joined by one space.
 
     The article is what stands at the path ``root``; where the page has no such element, or the path
-    is the page's body or nothing, it is the largest article or main element, or else the whole page.
+    is the page's body or nothing, it is all outermost article and main elements, or else the whole page.
     Furniture and blocks whose marks are in ``template`` are left out.
     """
     tree = parse(page)
     path = tuple(root.split("\x00")) if root else ()
     found = list(_at(tree, path)) if path and path[-1] not in ("#", "html", "body") else []
     if not found:
-        found = list(_named(tree))
-        if len(found) > 1:
-            found = [max(found, key=lambda f: sum(len(t) for _, t in texts(f[0])))]
-    if not found:
-        found = [(tree, ())]
+        found = list(_named(tree)) or [(tree, ())]
     return " ".join(t for node, above in found for p, t in texts(node, above) if not template or mark_of(p, t) not in template)
 
 
@@ -441,7 +498,10 @@ def induce_wrappers(pages: DataFrame, per_host: int = 16, url_col: str = "url",
     """(host, skeleton, root, template): a wrapper for every host and every layout of a host with at
     least two different pages; skeleton 0 is the host as a whole.
 
-    Pages that are equal, or have the same title and headings, count as one. At most ``per_host`` of
+    Pages that are equal, or have the same title and headings, count as one. Where ``agree`` of a host's
+    pages, three at least, share title and headings, these say nothing of the article: such a page counts
+    for itself if half of its long texts at least do not stand on ``agree`` of them, and as one with
+    those that share its first long text that stands on less than a quarter of them. At most ``per_host`` of
     them, those with the smallest page hashes, are aligned for each layout and host (:func:`induce`).
     What is template is then decided by all pages: an aligned text, or any text of 40 characters or
     more, that stands on ``agree`` of them. The article's element is the one that most of all pages
@@ -450,7 +510,7 @@ def induce_wrappers(pages: DataFrame, per_host: int = 16, url_col: str = "url",
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [describe(page) for page in batch["html"]]
-            yield pd.DataFrame({"host": batch["host"], "hash": batch["hash"], "skeleton": [f[0] for f in found],
+            yield pd.DataFrame({"host": batch["host"], "hash": batch["hash"], "skeleton": [f[0] for f in found], "named": [f[1] is not None for f in found],
                                 "page": [h if f[1] is None else f[1] for h, f in zip(batch["hash"], found, strict=True)],
                                 "blocks": [[{"mark": m, "path": p, "long": w} for m, p, w in f[2]] for f in found]})
 
@@ -471,7 +531,26 @@ def induce_wrappers(pages: DataFrame, per_host: int = 16, url_col: str = "url",
     known = known.withColumn("hash", F.xxhash64("html"))
     layouts = F.explode(F.array(F.lit(0).cast("long"), F.col("skeleton")))
     described = materialise(known.mapInPandas(
-        read, "host string, hash long, skeleton long, page long, blocks array<struct<mark: bigint, path: string, long: boolean>>"), "page-blocks")
+        read, "host string, hash long, skeleton long, named boolean, page long, blocks array<struct<mark: bigint, path: string, long: boolean>>"), "page-blocks")
+
+    # headings that most pages of a host share
+    empty = F.array().cast("array<long>")
+    headed = described.groupBy("host", "page", "named").agg(F.count_distinct("hash").alias("n"))
+    headed = headed.groupBy("host").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "named", "page")).alias("top"))
+    headed = headed.filter("top.named and top.n >= 3").filter(F.col("top.n") >= agree * F.col("pages")).select("host", "top.page", "top.n")
+    headed = materialise(headed, "constant-headings")
+    long = F.array_distinct(F.filter("blocks", lambda b: b["long"])["mark"])
+    shared = described.join(broadcast_if_small(headed, 128), ["host", "page"]).select("host", "page", "n", "hash", F.explode(long).alias("mark")).distinct()
+    shared = shared.groupBy("host", "page", "n", "mark").agg(F.count("*").alias("stands")).filter(F.col("stands") * 4 >= F.col("n"))
+    shared = shared.groupBy("host", "page").agg(F.collect_list(F.when(F.col("stands") >= agree * F.col("n"), F.col("mark"))).alias("common"),
+                                                F.collect_list("mark").alias("frequent"))
+    headed = headed.join(shared, ["host", "page"], "left").select(
+        "host", "page", F.coalesce("common", empty).alias("common"), F.coalesce("frequent", empty).alias("frequent"))
+    headed = materialise(headed, "constant-heading-texts")
+    rare, own = F.array_except(long, "common"), F.array_min(F.array_except(long, "frequent"))
+    itself = F.col("common").isNotNull() & (F.size(rare) > 0) & (F.size(rare) * 2 >= F.size(long))
+    described = described.join(broadcast_if_small(headed, 4096), ["host", "page"], "left").select(
+        "host", "hash", "skeleton", F.when(itself, F.coalesce(own, F.array_min(rare))).otherwise(F.col("page")).alias("page"), "blocks")
 
     # one page for each title, and the sizes of layouts and hosts
     names = described.select("host", layouts.alias("skeleton"), "page", "hash").groupBy("host", "skeleton", "page").agg(F.min("hash").alias("hash"))
@@ -493,7 +572,6 @@ def induce_wrappers(pages: DataFrame, per_host: int = 16, url_col: str = "url",
     confirmed = confirmed.join(proposed.distinct().withColumn("aligned", F.lit(True)), ["host", "skeleton", "mark"], "left").filter("long or aligned")
     templates = materialise(confirmed.groupBy("host", "skeleton").agg(F.sort_array(F.collect_list("mark")).alias("template")), "templates")
     whole = templates.filter("skeleton = 0").select("host", F.col("template").alias("of_host"))
-    empty = F.array().cast("array<long>")
     fitted = sizes.join(broadcast_if_small(templates, 4096), ["host", "skeleton"], "left").join(broadcast_if_small(whole, 4096), "host", "left")
     fitted = materialise(fitted.select("host", "skeleton", F.array_union(F.coalesce("template", empty), F.coalesce("of_host", empty)).alias("template")), "fitted")
 

@@ -91,13 +91,59 @@ def test_the_ends_of_very_long_pages_are_aligned():
     assert {ex.mark_of(path, "Start"), ex.mark_of(path, "The end")} <= set(template)
 
 
+def test_long_pages_are_aligned_like_short_ones(monkeypatch):
+    rng = random.Random(11)
+
+    def grow(depth):
+        node = ex.Node("div", "div." + rng.choice("ab"), rng.random() < 0.1)
+        for _ in range(rng.randrange(5) if depth else 0):
+            node.children.append(grow(depth - 1) if rng.random() < 0.7 else rng.choice("xyz"))
+        return node
+
+    trees = [(grow(3), grow(3)) for _ in range(200)]
+    whole = [len(ex.align(a, b)) for a, b in trees]
+    monkeypatch.setattr(ex, "_CELLS", 2)
+    assert [len(ex.align(a, b)) for a, b in trees] == whole
+
+
+def test_six_hundred_paragraphs_and_subheadings():
+    rng = random.Random(12)
+    kinds = [[rng.choice(("p", "h3", "ul")) for _ in range(600)] for _ in range(2)]
+    nodes = []
+    for row in kinds:
+        top = ex.Node("div", "div", False)
+        for i, kind in enumerate(row):
+            child = ex.Node(kind, kind, False)
+            child.children = [f"{i} of {id(row)}"]
+            top.children.append(child)
+        nodes.append(top)
+    best = [0] * 601
+    for a in kinds[0]:
+        row = [0]
+        for j, b in enumerate(kinds[1]):
+            row.append(max(row[-1], best[j + 1], best[j] + 2 * (a == b)))
+        best = row
+    pairs = ex.align(*nodes)
+    assert len(pairs) == 1 + best[-1]
+    places = [(nodes[0].children.index(a), nodes[1].children.index(b)) for a, b in pairs[1:] if isinstance(a, ex.Node)]
+    assert all(i < k and j < m for (i, j), (k, m) in zip(places, places[1:]))
+
+
+def test_texts_stand_where_their_element_stands():
+    rng = random.Random(13)
+    notice, pages = sentence(rng, 20), []
+    for _ in range(6):
+        pages.append(f"<body><div class=post>{notice}<p>{sentence(rng, 20)}<p>{sentence(rng, 20)}</div>")
+    assert ex.induce(pages)[1] == [ex.mark_of(("#", "body", "div.post"), notice)]
+
+
 @pytest.mark.parametrize(("source", "text"), [
     (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<b>b</b>c<br>d\n\t e</p>f", "abc d e f"),
     ("<article><p>x &lt;b&gt; &#233;&eacute; &am &copy 2<p>y</article>", "x <b> éé &am © 2 y"), ("a < b <3 c", "a < b <3 c"),
     ("<p>one<!-- <p>no --> two<!-- open", "one two"), ("<script>x<p>y", ""), ("<article>a<nav>n</nav><div class='ad'>z</div>b</article>c", "a b"),
     ("<div class=side-bar>q</div><p hidden>r</p><p style='display: none'>s</p><p>t", "q t"), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a b c d"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"), ("<main><header><h1>T</h1></header><p>u</p></main><header>no</header>", "T u"),
-    ("<article class='comment'>c</article><article>a long one</article><article>b</article>", "a long one"), ("<p title='a>b'>v</p>", "v"),
+    ("<article class='comment'>c</article><article>a long one</article><article>b</article>", "a long one b"), ("<p title='a>b'>v</p>", "v"),
     ("<a href='x", ""), ("<" * 1000, "<" * 1000), ("<textarea>no</textarea><p>w", "w"), ("<P>UP</P><NAV>x</NAV>", "UP"), ("x</p>y</br>z", "x y z"),
 ])
 def test_single_pages(source, text):
@@ -175,3 +221,30 @@ def test_wrappers_come_from_all_pages_and_for_every_layout(spark):
     rare = some(8, "<section class=story><div class=inner>", "</div></section>", notices[3:])
     got = extracted(spark, {"copies": [p for p in copies for _ in range(20)], "few": [*few], "large": [*large, *rare]})
     assert got == copies | few | large | rare
+
+
+def test_every_article_element_is_kept(spark):
+    rng = random.Random(14)
+    pages = {}
+    for _ in range(10):
+        a = [sentence(rng, 20) for _ in range(5)]
+        pages[f"<title>{a[0]}</title><body><nav>Home</nav><article><h2>{a[0]}</h2><p>{a[1]}<p>{a[2]}</article><article><p>{a[3]}<p>{a[4]}</article>"] = " ".join(a)
+    assert extracted(spark, {"two": [*pages]}) == pages
+    assert [ex.main_text(p) for p in pages] == [*pages.values()]
+
+
+def test_hosts_whose_pages_share_title_and_headings(spark):
+    rng = random.Random(15)
+    head, notices = "<title>The Daily</title><body><h1>The Daily</h1>", [sentence(rng, 20) for _ in range(3)]
+
+    def some(n, own, constant):
+        articles = [[sentence(rng, 20) for _ in range(own)] for _ in range(n)]
+        return {f"{head}<div class=post>" + "".join(f"<p>{t}" for t in (*a, *constant)) + "</div>": " ".join(a) for a in articles}
+
+    plain_host, hot = some(30, 2, notices[:1]), some(12, 3, notices[1:])
+    # the versions of one article are no different pages: what they share stays
+    story = [sentence(rng, 20) for _ in range(5)]
+    versions = {f"{head}<div class=post>" + "".join(f"<p>{t}" for t in (*story, extra)) + "</div>": " ".join(["The Daily", *story, extra])
+                for extra in (sentence(rng, 20) for _ in range(9))}
+    got = extracted(spark, {"plain": [*plain_host], "hot": [p for p in hot for _ in range(15)], "versions": [*versions]})
+    assert got == plain_host | hot | versions
