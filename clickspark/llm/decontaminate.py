@@ -19,8 +19,8 @@ from clickspark.llm.storage import broadcast_if_small, materialise
 #: Of the words that may be missing, two break every run of five in 12 or 13 words only if they stand so that
 #: one of the gapped windows is whole; tests enumerate all placements.
 MASKS = ("11111", "110111")
-#: Items below so many words are too little evidence.
-FEWEST = 7
+#: Items below so many words must be found whole, word for word.
+EXACT_BELOW = 7
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -50,15 +50,28 @@ def leaves_seed(n: int, missing: int, masks: tuple[str, ...]) -> bool:
     return all(any(w.isdisjoint(gone) for w in windows) for gone in combinations(range(n), missing))
 
 
+def part_masks(n: int, missing: int) -> tuple[str, ...]:
+    """``n`` words in ``missing`` + 3 parts: whatever words are missing, three parts are whole. One mask for
+    every choice of three; masks that differ in their place only are one, since windows slide."""
+    count = min(n, missing + 3)
+    cuts = [n * i // count for i in range(count + 1)]
+    masks = {"".join("01"[i not in gone] * (cuts[i + 1] - cuts[i]) for i in range(count)).strip("0") for gone in combinations(range(count), missing)}
+    return tuple(sorted(masks))
+
+
 @functools.cache
 def masks_for(n: int, least: tuple[int, int] = (4, 5)) -> tuple[str, ...]:
     """Masks of which one survives every placement of the substitutions that ``least`` allows in ``n`` words."""
     missing = n - -(-n * least[0] // least[1])
     # so many words stand together however the substitutions are placed
     run = -(-(n - missing) // (missing + 1))
-    if run < 5 and n <= 20 and leaves_seed(n, missing, MASKS):
+    if run >= 5 or not missing:
+        return ("1" * min(run, 6),)
+    if n <= 20 and leaves_seed(n, missing, MASKS):
         return MASKS
-    return ("1" * max(1, min(run, 6)),)
+    # of so many equal pieces one misses two words at most
+    pieces = missing // 3 + 1
+    return part_masks(n // pieces, missing // pieces)
 
 
 def seeds(hashed: DataFrame, hashes: str, masks: tuple[str, ...]) -> DataFrame:
@@ -80,7 +93,7 @@ def word_hashes(text: str) -> Column:
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] | None = None, window: int = 13,
-                  least: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text",
+                  least: tuple[int, int] = (4, 5), exact_below: int = EXACT_BELOW, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, matched_words, item_words) for every document that holds a passage
     of a benchmark item.
@@ -89,8 +102,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     is shorter) agree with the document's words in at least ``least`` (4/5) of the places;
     ``matched_words`` counts all places of the best alignment. Substitutions are tolerated, words
     left out or put in start a new alignment. Every passage leaves a seed, wherever its substitutions
-    stand (:func:`masks_for`), unless other ``masks`` are given. Items under seven words are too little evidence
-    and match nothing. Null and empty texts hold no words. Repeated documents give one row; of several
+    stand (:func:`masks_for`), unless other ``masks`` are given. Items of fewer than ``exact_below`` words are
+    little evidence: they match where they stand whole, word for word. Null and empty texts hold no
+    words, and items without words match nothing. Repeated documents give one row; of several
     items with one id the best counts; rows without an item id are left
     out, documents without an id keep their null. Empty tables give no rows. Only the named columns
     are read.
@@ -99,14 +113,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     texts = docs.select(key, F.col(text_col).alias("text"))
     items = benchmark.filter(F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("item_id"), F.xxhash64(item_text).alias("item_hash"), word_hashes(item_text).alias("item"))
-    if not masks:
-        items = items.filter(F.size("item") >= FEWEST)
-    items = materialise(items.dropDuplicates(["item_id", "item_hash"]), "benchmark")
-    # items by the masks that their length needs; there are at most ``window`` lengths
-    wide = F.least(F.lit(window), F.size("item"))
+    items = materialise(items.filter(F.size("item") > 0).dropDuplicates(["item_id", "item_hash"]), "benchmark")
+    # items by the masks that their length needs; there are at most max(window, exact_below) lengths
+    span = lambda size: F.when(size < exact_below, size).otherwise(F.least(F.lit(window), size))
+    wide = span(F.size("item"))
     lengths: dict[tuple[str, ...], list[int]] = {}
     for n in sorted(r[0] for r in items.select(wide.alias("wide")).distinct().collect()):
-        lengths.setdefault(masks or masks_for(n, least), []).append(n)
+        lengths.setdefault(masks or masks_for(n, (1, 1) if n < exact_below else least), []).append(n)
     lengths = lengths or {MASKS: []}
     probes = [seeds(items.filter(wide.isin(ns)), "item", ms) for ms, ns in lengths.items()]
     probes = materialise(functools.reduce(DataFrame.unionByName, probes).withColumnRenamed("at", "item_at"), "benchmark-seeds")
@@ -122,9 +135,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     agree = F.transform(F.sequence(first, end - 1), lambda j: (F.col("h")[j + F.col("shift")] == F.col("item")[j]).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     checked = aligned.select("key", "item_id", F.size("item").alias("item_words"), agree.alias("agree"))
-    checked = checked.withColumn("wide", F.least(F.lit(window), F.col("item_words"))).filter(F.size("agree") >= F.col("wide"))
+    checked = checked.withColumn("wide", span(F.col("item_words"))).filter(F.size("agree") >= F.col("wide"))
+    needed = F.when(F.col("item_words") < exact_below, F.col("wide") * least[1]).otherwise(F.col("wide") * least[0])
     passage = F.exists(F.sequence(F.lit(1), F.size("agree") - F.col("wide") + 1),
-                       lambda i: total(F.slice("agree", i, F.col("wide"))) * least[1] >= F.col("wide") * least[0])
+                       lambda i: total(F.slice("agree", i, F.col("wide"))) * least[1] >= needed)
     found = checked.filter(passage).select("key", "item_id", total(F.col("agree")).alias("matched_words"), "item_words")
     return found.groupBy("key", "item_id").agg(F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words")).select(
         "key.doc_id", "key.text_hash", "item_id", "matched_words", "item_words")

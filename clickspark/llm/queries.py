@@ -120,22 +120,22 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
         FROM hashed JOIN twenty USING (hex)""",
+    # every alignment that shares enough words, without seeds
     "op4_decontamination": r"""
         WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS h FROM documents),
-        items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark),
-        masks AS (SELECT * FROM (VALUES (7, [0, 1, 2, 3, 5, 6]), (7, [0, 1, 2, 4, 5, 6]), (8, [0, 1, 3, 4, 6, 7])) v(span, marked)),
-        doc_seeds AS (SELECT doc_id, span, marked, i AS at, array_to_string([h[CAST(i + m + 1 AS BIGINT)] for m in marked], ' ') AS seed
-            FROM (SELECT doc_id, h, span, marked, unnest(range(greatest(len(h) - span + 1, 0))) AS i FROM docs, masks)),
-        item_seeds AS (SELECT item_id, span, marked, i AS at, array_to_string([t[CAST(i + m + 1 AS BIGINT)] for m in marked], ' ') AS seed
-            FROM (SELECT item_id, t, span, marked, unnest(range(greatest(len(t) - span + 1, 0))) AS i FROM items, masks)),
-        hits AS (SELECT DISTINCT d.doc_id, b.item_id, d.at - b.at AS shift FROM doc_seeds d JOIN item_seeds b USING (seed, marked)),
-        aligned AS (SELECT doc_id, item_id, len(t) AS n, least(13, len(t)) AS wide,
+        items AS (SELECT item_id, t, CASE WHEN len(t) < 7 THEN len(t) ELSE least(13, len(t)) END AS wide, CASE WHEN len(t) < 7 THEN 5 ELSE 4 END AS fifths
+            FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark WHERE item_id IS NOT NULL) WHERE len(t) > 0),
+        doc_words AS (SELECT doc_id, unnest(h) AS word, unnest(range(len(h))) AS at FROM docs),
+        item_words AS (SELECT item_id, wide, fifths, unnest(t) AS word, unnest(range(len(t))) AS at FROM items),
+        alignments AS (SELECT doc_id, item_id, d.at - b.at AS shift FROM doc_words d JOIN item_words b USING (word)
+            GROUP BY doc_id, item_id, shift, wide, fifths HAVING 5 * count(*) >= fifths * wide),
+        aligned AS (SELECT doc_id, item_id, len(t) AS n, wide, fifths,
             [CASE WHEN h[CAST(j + shift + 1 AS BIGINT)] = t[CAST(j + 1 AS BIGINT)] THEN 1 ELSE 0 END
              for j in range(greatest(0, -shift), least(len(t), len(h) - shift))] AS agree
-            FROM hits JOIN docs USING (doc_id) JOIN items USING (item_id))
+            FROM alignments JOIN docs USING (doc_id) JOIN items USING (item_id))
         SELECT doc_id, item_id, CAST(max(list_sum(agree)) AS INTEGER) AS matched_words, CAST(max(n) AS INTEGER) AS item_words
         FROM aligned WHERE len(agree) >= wide
-            AND list_max([5 * list_sum(list_slice(agree, CAST(k + 1 AS BIGINT), CAST(k + wide AS BIGINT))) for k in range(len(agree) - wide + 1)]) >= 4 * wide
+            AND list_max([5 * list_sum(list_slice(agree, CAST(k + 1 AS BIGINT), CAST(k + wide AS BIGINT))) for k in range(len(agree) - wide + 1)]) >= fifths * wide
         GROUP BY doc_id, item_id""",
     "op10_top_k": """
         WITH vectors AS MATERIALIZED (
