@@ -2,13 +2,15 @@
 the labelers, and a span classifier trained on the weighed votes decides.
 
 Text is only touched by SQL functions. What reaches the driver are counts of vote patterns, of which
-there are at most as many as combinations of five kinds, three three-valued votes and three flags.
+there are at most as many as combinations of five kinds, three three-valued votes and three flags. The
+trained weights go back into SQL and score every candidate, also with votes that no fitted span had.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,33 +32,49 @@ BASE = {
 }
 
 # -- candidates beyond the base ---------------------------------------------------------------------
+# What may be personal, wide on purpose: the votes decide. No length is capped; every pattern starts at
+# the first character of its run only and takes runs possessively, so it is linear on any text.
+_AT = r"(?: ?@ ?| ?[(\[](?i:at)[)\]] ?)"
+_DOT = r"(?:\.| ?[(\[](?i:dot)[)\]] ?)"
+_PART = r"(?:\.| ?[(\[](?:\.|(?i:dot))[)\]] ?)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 CANDIDATE = {
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{{1,63}}+){{1,8}}+",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
-    "phone": r"(?<![0-9])\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,200}+[0-9])(?=[0-9_/+-]{0,200}+[A-Za-z])[A-Za-z0-9_/+-]{16,}+",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:{_PART}[0-9]{{1,3}}){{3}}(?![0-9.])"
+          rf"|(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}}+)?+::(?:{_HEX}(?::{_HEX}){{0,6}}+)?+)(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,}+",
 }
 
 # regex labeler: what a well-formed span looks like
 WELL_FORMED = {
-    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+){1,8}$",
-    "phone": r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$",
+    "email": rf"^[{_LOCAL}]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++$(?<=[A-Za-z]{{2}})",
+    "phone": r"^(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})$",
     "secret": r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|[0-9a-f]{16,}|[0-9A-F]{16,}|(?:gh[pousr]|sk|pk)[_-][A-Za-z0-9_-]{16,})$",
 }
-# gazetteer labeler: card issuers, calling codes, top-level domains, key prefixes and names of secrets
-ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|4|5))"
-CALLING_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
-TOP_DOMAIN = r"(?i)\b(?:com|org|net|edu|gov|info|biz|io|de|fr|es|it|uk|eu|nl|ch|at|us|ca)$"
-KEY_PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|sk[_-]|pk[_-])"
-SECRET_NAME = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|key|bearer|auth)"
+# gazetteer labeler. Card issuers, E.164 country codes, area codes of +1, generic and national
+# top-level domains, special networks, prefixes of issued keys, names under which secrets are stored
+ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[47]|3(?:0[0-5]|[689])|35|6(?:011|4|5|2))"
+CALLING_CODE = (r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+                r"|2[1-69][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[0578][0-9]|9[679][0-9])")
+AREA_CODE = r"^(?:1[ .-])?\(?[2-9][0-8][0-9]\)?[ .-]"
+TOP_DOMAIN = (r"(?i)\b(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|io|ai|co|me|tv|eu"
+              r"|ae|ar|at|au|be|bg|br|ca|ch|cl|cn|cz|de|dk|ee|es|fi|fr|gr|hk|hr|hu|id|ie|il|in|is|it|jp|ke|kr|lt|lu|lv|ma|mx|my"
+              r"|ng|nl|no|nz|pe|ph|pk|pl|pt|ro|rs|ru|sa|se|sg|si|sk|th|tr|tw|ua|uk|us|ve|vn|za)$")
+NETWORK = r"(?i)^(?:10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|[23][0-9a-f]{3}:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+NO_HOST = r"(?i)^(?:0\.|127\.|22[4-9]\.|2[3-5][0-9]\.|::1?$|ff[0-9a-f]{2}:)"
+KEY_PREFIX = (r"^(?:AKIA|ASIA|AIza|ya29|eyJ|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[spr]k[_-]|npm_|pypi-|hf_|dop_v1_|shp(?:at|ss)_|whsec_)")
+SECRET_NAME = r"(?i)(?:password|passwd|passphrase|pwd|token|secret|credential|api[_-]?key|key|bearer|auth)"
 # context labeler: words that announce a kind, close before the span
 CUES = {
     "email": r"(?i)(?:e-?mail|mail|contact|write to|reach)\W{0,6}$",
+    "ip": r"(?i)(?:\bip(?:v[46])?|addr(?:ess)?|host|server|client|peer|ping|from)\W{0,6}$",
     "card": r"(?i)(?:card|visa|mastercard|amex|credit|debit)\W{0,6}(?:no\.?|number)?\W{0,6}$",
     "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|whatsapp)\W{0,6}$",
     "secret": r"(?i)[=:]\s{0,3}[\"'`]?$",
 }
-COUNTER_CUE = r"(?i)(?:order|isbn|version|invoice|build|commit|sha|id)\W{0,4}$"
+COUNTER_CUE = r"(?i)(?:order|isbn|version|invoice|build|commit|sha|\bid)\W{0,4}$"
 
 _BLOCK = 256
 _SPAN = "struct<at:int,stop:int,match:string,before:string,after:string>"
@@ -140,7 +158,12 @@ def votes(kind: str, span: Column) -> dict[str, Column]:
     if kind == "card":
         regex, gazetteer = _vote(is_card(match), ~is_card(match)), _vote(match.rlike(ISSUER), ~match.rlike(ISSUER))
     elif kind == "phone":
-        regex, gazetteer = _vote(match.rlike(WELL_FORMED[kind]), match.rlike("^[0-9]+$")), _vote(match.rlike(CALLING_CODE))
+        regex, gazetteer = _vote(match.rlike(WELL_FORMED[kind]), match.rlike("^[0-9]+$")), _vote(match.rlike(CALLING_CODE) | match.rlike(AREA_CODE))
+    elif kind == "ip":
+        plain = F.regexp_replace(match, _PART, ".")
+        v4 = ~match.contains(":")
+        regex = _vote(F.when(v4, base_valid("ip", plain)).otherwise(match.rlike("^[0-9A-Fa-f]+:.*[0-9A-Fa-f]$") & match.rlike("[0-9]")), v4)
+        gazetteer = _vote(plain.rlike(NETWORK), plain.rlike(NO_HOST))
     elif kind == "email":
         regex, gazetteer = _vote(match.rlike(WELL_FORMED[kind])), _vote(match.rlike(TOP_DOMAIN))
     else:
@@ -164,36 +187,74 @@ def features(kind: str, span: Column) -> Column:
 
 @dataclass(frozen=True)
 class SpanModel:
-    """``reliability[labeler][vote]`` = (chance if not personal, chance if personal); the classifier's
-    weights by feature; ``accepted`` the combinations that it calls personal."""
+    """``reliability[kind][labeler][vote]`` = (chance if not personal, chance if personal); the classifier's
+    weights by feature, which decide on every span; ``accepted`` lists the fitted combinations that they
+    call personal, to look at. A model without weights accepts nothing."""
 
     reliability: dict
     weights: dict
     accepted: frozenset
 
+    def personal(self, pattern: tuple) -> bool:
+        """Whether (kind, votes..., flags...) is personal: one half or more, and some labeler spoke for it."""
+        return bool(self.weights) and sum(self.weights.get(f, 0.0) for f in _encode(pattern)) >= 0 and any(v > 0 for v in pattern[1:1 + len(VOTES)])
+
+    def score(self, kind: str, said: dict[str, Column]) -> Column:
+        """:meth:`personal` in SQL, from the votes and flags of a span of ``kind``."""
+        if not self.weights:
+            return F.lit(False)
+        w = lambda f: self.weights.get(f, 0.0)
+        total = F.lit(w("bias") + w(f"kind={kind}"))
+        for v in VOTES:
+            for x in (1, -1):
+                total = total + F.when(said[v] == x, w(f"{v}={x}") + w(f"{kind},{v}={x}")).otherwise(0.0)
+        for flag in FLAGS:
+            total = total + said[flag] * w(f"{flag}=1")
+        return (total >= 0) & (F.greatest(*[said[v] for v in VOTES]) > 0)
+
+
+#: Counts that the pooled reliabilities weigh in a kind's own: kinds with few candidates lean on the others.
+_POOLED = 10.0
+
+
+#: Share of the classifier's fit that goes to all vote patterns alike.
+_ANY = 0.2
+
+
+def _posterior(pattern: tuple, prior: tuple | list, table: dict) -> float:
+    """Chance that a span with these votes is personal, given the weights of both truths in its kind."""
+    odds = math.log(prior[1] / prior[0])
+    odds += sum(math.log(table[pattern[0]][v][x][1] / table[pattern[0]][v][x][0]) for v, x in zip(VOTES, pattern[1:], strict=False))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
 
 def posteriors(counts: dict[tuple, int], rounds: int = 50) -> tuple[dict[tuple, float], dict]:
     """Expectation-maximisation over vote patterns (kind, votes...): chance that a span is personal,
-    and each labeler's reliabilities. It starts from the majority vote; labelers are independent
-    given the truth; a count of one on every vote keeps chances off 0 and 1."""
+    and each labeler's reliabilities for each kind. It starts from the majority vote; labelers are
+    independent given the truth; a kind's reliabilities are drawn towards those over all kinds as by
+    ten spans more, and these have a count of one on every vote, so chances are never 0 or 1."""
     chance = {p: 1 / (1 + math.exp(-1.5 * sum(p[1:1 + len(VOTES)]) + 0.1)) for p in counts}
+    sides = (-1, 0, 1)
     table: dict = {}
     for _ in range(rounds):
         prior = {k: [1.0, 1.0] for k in KINDS}
-        seen = {v: {x: [1.0, 1.0] for x in (-1, 0, 1)} for v in VOTES}
-        for v in VOTES:  # a labeler is better than chance before any count
-            seen[v][1][1] += 2
-            seen[v][-1][0] += 2
+        seen = {k: {v: {x: [0.0, 0.0] for x in sides} for v in VOTES} for k in KINDS}
         for p, n in counts.items():
             for truth, weight in ((0, n * (1 - chance[p])), (1, n * chance[p])):
                 prior[p[0]][truth] += weight
                 for v, x in zip(VOTES, p[1:], strict=False):
-                    seen[v][x][truth] += weight
-        table = {v: {x: tuple(seen[v][x][t] / sum(seen[v][y][t] for y in (-1, 0, 1)) for t in (0, 1)) for x in (-1, 0, 1)} for v in VOTES}
+                    seen[p[0]][v][x][truth] += weight
+        for v in VOTES:
+            pooled = {x: [1.0 + sum(seen[k][v][x][t] for k in KINDS) for t in (0, 1)] for x in sides}
+            pooled[1][1] += 2  # a labeler is better than chance before any count
+            pooled[-1][0] += 2
+            whole = [sum(pooled[x][t] for x in sides) for t in (0, 1)]
+            for k in KINDS:
+                own = [sum(seen[k][v][x][t] for x in sides) for t in (0, 1)]
+                table.setdefault(k, {})[v] = {
+                    x: tuple((seen[k][v][x][t] + _POOLED * pooled[x][t] / whole[t]) / (own[t] + _POOLED) for t in (0, 1)) for x in sides}
         for p in counts:
-            odds = math.log(prior[p[0]][1] / prior[p[0]][0])
-            odds += sum(math.log(table[v][x][1] / table[v][x][0]) for v, x in zip(VOTES, p[1:], strict=False))
-            chance[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+            chance[p] = _posterior(p, prior[p[0]], table)
     return chance, table
 
 
@@ -205,8 +266,8 @@ def _encode(p: tuple) -> list[str]:
 
 def train(counts: dict[tuple, int], steps: int = 400, l2: float = 1e-3) -> SpanModel:
     """The classifier is a logistic regression on kind, votes and flags, fitted to the posteriors of
-    the label model by full gradient steps. A span is personal from one half on, and only if some
-    labeler spoke for it."""
+    the label model by full gradient steps. A fixed share of the fit goes to all vote patterns alike, with
+    what the label model says of them, so a vote that the counted spans never show has its weight as well."""
     if not counts:
         return SpanModel({}, {}, frozenset())
     by_votes: dict[tuple, int] = {}
@@ -214,7 +275,13 @@ def train(counts: dict[tuple, int], steps: int = 400, l2: float = 1e-3) -> SpanM
         by_votes[p[:1 + len(VOTES)]] = by_votes.get(p[:1 + len(VOTES)], 0) + n
     chance, table = posteriors(by_votes)
     total = sum(counts.values())
-    rows = [(_encode(p), n / total, chance[p[:1 + len(VOTES)]]) for p, n in sorted(counts.items())]
+    rows = [(_encode(p), (1 - _ANY) * n / total, chance[p[:1 + len(VOTES)]]) for p, n in sorted(counts.items())]
+    every = [(k, *said) for k in KINDS for said in itertools.product((-1, 0, 1), repeat=len(VOTES))]
+    prior = {k: [1.0, 1.0] for k in KINDS}
+    for p, n in by_votes.items():
+        prior[p[0]][0] += n * (1 - chance[p])
+        prior[p[0]][1] += n * chance[p]
+    rows += [(_encode((*p, *[0] * len(FLAGS))), _ANY / len(every), _posterior(p, prior[p[0]], table)) for p in every]
     weights = {f: 0.0 for fs, _, _ in rows for f in fs}
     memory = dict.fromkeys(weights, 1e-8)
     score = lambda fs: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[f] for f in fs)))))
@@ -227,16 +294,16 @@ def train(counts: dict[tuple, int], steps: int = 400, l2: float = 1e-3) -> SpanM
         for f, g in slope.items():  # steps scaled by past slopes
             memory[f] += g * g
             weights[f] -= 0.5 * g / math.sqrt(memory[f])
-    accepted = frozenset(p for p in counts if score(_encode(p)) >= 0.5 and any(v > 0 for v in p[1:1 + len(VOTES)]))
-    return SpanModel(table, weights, accepted)
+    model = SpanModel(table, weights, frozenset())
+    return replace(model, accepted=frozenset(p for p in counts if model.personal(p)))
 
 
 # -- the operator ----------------------------------------------------------------------------------------
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts without a digit or an at sign hold nothing to find and are not searched."""
+    """Texts without a digit, an at sign or two colons hold nothing to find and are not searched."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(text.rlike(r"[0-9@]|[(\[]at[)\]]"), text).otherwise("").alias("t"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(text.rlike(r"[0-9@]|::|[(\[](?i:at)[)\]]"), text).otherwise("").alias("t"))
 
 
 def fit_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
@@ -265,17 +332,11 @@ def find_pii(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc
                          *[f"more_{k}" for k in CANDIDATE])
 
     def accepted(kind: str) -> Column:
-        combinations = [p[1:] for p in model.accepted if p[0] == kind]
-        if not combinations:
-            return F.array().cast("array<struct<kind:int,at:int,stop:int,match:string>>")
-        allowed = F.array(*[F.lit(",".join(map(str, c))) for c in sorted(combinations)])
-
         def keep(s: Column) -> Column:
-            said = F.concat_ws(",", *[v.cast("string") for v in votes(kind, s).values()])
             free = F.lit(True)
             if kind in BASE:
                 free = ~F.exists(f"base_{kind}", lambda b: (b["at"] < s["stop"]) & (s["at"] < b["stop"]))
-            return F.array_contains(allowed, said) & free
+            return free & model.score(kind, votes(kind, s))
         return F.transform(F.filter(f"more_{kind}", keep), lambda s: row(kind, s))
 
     base = F.concat(*[F.transform(f"base_{k}", lambda s: row(k, s)) for k in BASE])
