@@ -44,6 +44,10 @@ def _ua_stage_columns(app_id: str) -> tuple[list[Column], list[Column]]:
     return first, [cols[k].alias(f"_ua_{k}") for k in UA_COLUMNS]
 
 
+#: Copies of one message that one row stands for while they are numbered.
+PART_ROWS = 50_000
+
+
 def with_positions(raw: DataFrame, file_col: str | None = None) -> DataFrame:
     """Add ``position``, which tells identical messages apart and is the same on a replay.
 
@@ -51,7 +55,8 @@ def with_positions(raw: DataFrame, file_col: str | None = None) -> DataFrame:
     has it already. The others are counted per identical content and file and numbered 1..n:
     which of n equal rows gets which number makes no difference. The first one of rows without a
     file has position NULL. Only the messages without an id of their own are shuffled; a source
-    whose messages all carry one needs no exchange at all (pass it on as it is)."""
+    whose messages all carry one needs no exchange at all (pass it on as it is). A message that repeats
+    more than ``PART_ROWS`` times is numbered in parts by many tasks."""
     own = [F.col(c) for c in ("message_id", "position") if c in raw.columns]
     known = F.coalesce(*own) if len(own) > 1 else own[0] if own else F.lit(None).cast("string")
     cols = [c for c in raw.columns if c not in ("position", file_col)]
@@ -62,10 +67,19 @@ def with_positions(raw: DataFrame, file_col: str | None = None) -> DataFrame:
         _numbered(rows.where(F.col("position").isNull()).drop("position"), cols, file_col))
 
 
-def _numbered(rows: DataFrame, cols: list[str], file_col: str | None) -> DataFrame:
+def _numbered(rows: DataFrame, cols: list[str], file_col: str | None, part_rows: int = PART_ROWS) -> DataFrame:
     keys = cols + ([file_col] if file_col else [])
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    each = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    # a message that repeats more often is numbered in parts, which are dealt to the tasks; the number of
+    # tasks is given, because parts are few bytes and would be coalesced into one task before they unfold
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / part_rows).cast("bigint"))
+    dealt = (counted.where(F.col("_n") > part_rows).withColumn("_part", F.explode(parts))
+             .repartition(tasks, F.xxhash64(*keys), "_part")
+             .withColumn("_from", F.col("_part") * part_rows + 1)
+             .withColumn("_to", F.least(F.col("_from") + part_rows - 1, "_n")).drop("_part", "_n"))
+    whole = counted.where(F.col("_n") <= part_rows).withColumn("_from", F.lit(1).cast("bigint")).withColumnRenamed("_n", "_to")
+    each = whole.unionByName(dealt).withColumn("_i", F.explode(F.sequence("_from", "_to")))
     number = F.concat(F.lit("#"), F.col("_i").cast("string"))
     position = F.concat(F.col(file_col), number) if file_col else F.when(F.col("_i") > 1, number)
     return each.select(*cols, position.alias("position"))

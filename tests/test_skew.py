@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from clickspark.operators import enrich as en
 from clickspark.operators import reports as rp
 from clickspark.operators import resolve as rs
 from clickspark.sources import fixtures as fx
@@ -45,3 +46,20 @@ def test_hot_code_reports_stay_exact(spark):
     assert got["c07"] >= clicks.count() // 3
     top = rp.country_share(clicks, "2024-01-01", "2024-01-30", 5).where("short_code = 'c07'").collect()
     assert len(top) == 5 and abs(sum(r.percentage for r in top)) <= 100.0 + 1e-6
+
+
+def test_a_message_that_repeats_is_numbered_in_parts(spark):
+    """Every number 1..n once for each message, of one or many parts; null fields group as equal."""
+    copies = {"a": 1, "b": 10, "c": 11, "d": 5003, None: 21}
+    rows = spark.createDataFrame([(k, f) for k, n in copies.items() for f in ("f1", "f2") for _ in range(n)], "short_code string, file string")
+    for file_col in (None, "file"):
+        cols = ["short_code"] if file_col else ["short_code", "file"]
+        numbered = en._numbered(rows, cols, file_col, part_rows=10)
+        got = {}
+        for r in numbered.collect():
+            key, n = (r.position.split("#") if r.position else (r.file, "1"))
+            got.setdefault((r.short_code, key or r.file), []).append(int(n))
+        assert {k: sorted(v) for k, v in got.items()} == {(k, f): list(range(1, n + 1)) for k, n in copies.items() for f in ("f1", "f2")}
+    sizes = [r["count"] for r in numbered.where("short_code = 'd'").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 10_006  # more than one task shares the copies
+    assert en._numbered(rows.limit(0), cols, "file").count() == 0
