@@ -1,7 +1,7 @@
 """SimHash near-duplicates through a hierarchical index over fingerprints in Gray order.
 
-Fingerprints that differ in at most d bits agree in one of d + 1 blocks of bits, so the fingerprints
-are dealt out by (block, value). In each task the fingerprints of a value are sorted by their rank in
+Fingerprints that differ in at most d bits agree in some b - d of b blocks of bits, so the fingerprints
+are dealt out by (choice of blocks, their bits); more fingerprints take more blocks. In each task the fingerprints of a value are sorted by their rank in
 the reflected Gray code; runs of neighbours share many bits. An inner node keeps the bits on which
 all fingerprints below it agree and that no node above it has fixed yet. A search adds up the
 differences on those bits from the root down and leaves a whole group as soon as they exceed d.
@@ -9,7 +9,9 @@ differences on those bits from the root down and leaves a whole group as soon as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,7 @@ from clickspark.llm.storage import broadcast_if_small, materialise
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FANOUT = 8
 _FRONTIER = 4 << 20
+_LARGE = 20_000  # members of a component whose rows are not moved to one place
 
 
 # -- fingerprints ----------------------------------------------------------------------------------
@@ -161,17 +164,37 @@ def local_links(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
 
 # -- the operator ----------------------------------------------------------------------------------
 
-def link_fingerprints(fps: DataFrame, distance: int = 4, most: int = 16384) -> DataFrame:
+def block_count(n: int, distance: int, most: int) -> int:
+    """The number of blocks that deals ``n`` evenly spread fingerprints out in the fewest copies.
+
+    One copy goes out per choice of ``blocks - distance`` blocks, times the parts of a cell that holds
+    more than ``most``. Any number finds the same links.
+    """
+    def copies(blocks: int) -> int:
+        kept = blocks - distance
+        return math.comb(blocks, kept) * max(1, math.ceil(n / 2 ** (64 * kept // blocks) / most))
+
+    return min(range(distance + 1, min(2 * distance + 2, 64) + 1), key=copies)
+
+
+def block_masks(blocks: int, distance: int) -> list[int]:
+    """The bits of every choice of ``blocks - distance`` blocks, as signed longs."""
+    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [mask - (1 << 64) if mask >> 63 else mask for mask in map(sum, combinations(parts, blocks - distance))]
+
+
+def link_fingerprints(fps: DataFrame, distance: int = 4, most: int = 16384, blocks: int | None = None) -> DataFrame:
     """Links (u, v) between the distinct values of column ``fp`` whose connected components are those
     of all pairs within ``distance`` bits.
 
-    A (block, value) with more than ``most`` fingerprints is cut into parts by hash, and every pair
-    of parts becomes a group of its own, so no pair is lost and no task holds more than two parts.
+    ``blocks`` follows from the number of fingerprints if not given (:func:`block_count`). A cell
+    (block choice, value) with more than ``most`` fingerprints is cut into parts by hash, and every
+    pair of parts becomes a group of its own, so no pair is lost and no task holds more than two parts.
     """
-    blocks = distance + 1
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1).alias("value"))
-                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    blocks = blocks or block_count(fps.count(), distance, most)
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("value"))
+                     for k, mask in enumerate(block_masks(blocks, distance))])
     dealt = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.value")
     crowded = materialise(dealt.groupBy("block", "value").count().filter(F.col("count") > most).select(
         "block", "value", F.ceil(F.col("count") / most).cast("int").alias("parts")), "crowded")
@@ -209,8 +232,12 @@ def simhash_components(docs: DataFrame, words: int = 4, distance: int = 4, id_co
     fps = materialise(keys.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
     found = connected_components(link_fingerprints(fps, distance))
     rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = materialise(rooted.join(firsts, "root").select("fp", "root", "component_id"), "fp-components")
+    firsts = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "components")
+    # rows of a large component stay where they are: it is found by broadcast, and they join on their own fingerprint
+    large = broadcast_if_small(firsts.filter(F.col("members") > _LARGE).select("root", F.col("component_id").alias("large_id"), F.lit(True).alias("large")), 96)
+    spread = rooted.join(large, "root", "left").withColumn("at", F.when(F.col("large"), F.col("fp")).otherwise(F.col("root")))
+    placed = spread.join(firsts.select(F.col("root").alias("at"), "component_id"), "at", "left")
+    by_fp = materialise(placed.select("fp", "root", F.when(F.col("large"), F.col("large_id")).otherwise(F.col("component_id")).alias("component_id")), "fp-components")
     return keys.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 

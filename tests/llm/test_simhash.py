@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,12 +93,13 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def test_crowded_values_are_cut_without_losing_links(spark):
+@pytest.mark.parametrize("blocks", [None, 5, 6, 8])
+def test_crowded_values_are_cut_without_losing_links(spark, blocks):
     rng = random.Random(7)
     centre = rng.getrandbits(64)
     fps = list({near(rng, centre, rng.randrange(7)) for _ in range(400)} | {rng.getrandbits(64) for _ in range(100)})
     table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    links = simhash.link_fingerprints(table, 4, most=16).collect()
+    links = simhash.link_fingerprints(table, 4, most=16, blocks=blocks).collect()
     got = plain_components(fps, -1)
     for r in links:
         x, y = sorted((got[r.u & M], got[r.v & M]))
@@ -105,6 +107,27 @@ def test_crowded_values_are_cut_without_losing_links(spark):
     assert got == plain_components(fps)
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.block_count(10 ** e, 4, 16384) for e in (0, 3, 8, 9, 10)] == [5, 5, 5, 6, 6]
+    rng = random.Random(9)
+    for blocks in range(5, 11):
+        masks = [m & M for m in simhash.block_masks(blocks, 4)]
+        for _ in range(300):
+            f = rng.getrandbits(64)
+            g = near(rng, f, 4)
+            assert any(f & m == g & m for m in masks)
+
+
+def test_rows_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_LARGE", 2)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[:j] + ["other"] + words[j + 1:])) for i, j in enumerate(range(0, 400, 10))] + [(50, "one"), (51, "two"), (None, " ".join(words))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = simhash.simhash_components(table).collect()
+    assert Counter((r.doc_id, f"{r.fp & M:016x}", r.component_id) for r in rows) == expected_rows(docs)
+    assert max(Counter(r.root for r in rows).values()) > 2
+
+
 def expected_rows(docs):
     fp = {r: plain_fingerprint(r[1]) for r in set(docs)}
     root = plain_components(fp.values())

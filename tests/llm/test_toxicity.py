@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -50,6 +52,51 @@ def test_query_grades_every_document(spark):
     assert rows.exceptAll(again).count() == 0
 
 
+def plain_features(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return {*words, *(w[:4] + "*" for w in words if len(w) > 4)}
+
+
+def test_query_equals_a_plain_version(spark):
+    """Sample, feature choice, grades and scores without Spark; only the optimiser (tested above) is shared."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF_ORACLE}/documents.parquet").select("doc_id", "text").collect()]
+    label = {}
+    for r in spark.read.parquet(f"{SF_ORACLE}/labels.parquet").collect():
+        if r.doc_id is not None and r.toxic is not None:
+            label[r.doc_id] = max(label.get(r.doc_id, 0), int(r.toxic > 0))
+    assert len(label) <= 8000  # so the sample is every labelled document
+    texts = {}
+    for i, t in docs:
+        if i in label and t is not None:
+            texts[t] = max(texts.get(t, 0), label[i])
+    held = [(y, plain_features(t)) for t, y in texts.items()]
+    n, n1 = len(held), sum(y for y, _ in held)
+    marks = {}
+    for f in sorted(set().union(*(s for _, s in held))):
+        c, a = sum(f in s for _, s in held), sum(y for y, s in held if f in s)
+        if 5 <= c < n:
+            p = c / n
+            z = (a / n1 - (c - a) / (n - n1)) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
+            if abs(z) > 4.5:
+                marks[f] = z
+    names = list(marks)
+    held = sorted((y, sorted(names.index(f) for f in s if f in marks)) for y, s in held)
+    strong = {i for i, f in enumerate(names) if marks[f] > max(marks.values()) / 3 and not f.endswith("*")}
+    middle = np.median([len(strong & set(h)) for y, h in held if y])
+    grades = np.array([y + (y and len(strong & set(h)) > middle) for y, h in held])
+    penalty = np.array([1e-6 * max(map(abs, marks.values())) / abs(marks[f]) for f in names])
+    weights, edges = toxicity.fit_ordinal(np.repeat(np.arange(n), [len(h) for _, h in held]), np.concatenate([h for _, h in held]).astype(int), grades, penalty)
+    weight = dict(zip(names, weights, strict=True))
+    expected = []
+    for i, t in docs:
+        score = sum(weight.get(f, 0.0) for f in plain_features(t))
+        over = [1 / (1 + math.exp(min(max(e - score, -60), 60))) for e in edges]
+        chance = [1 - over[0], over[0] - over[1], over[1]]
+        expected.append((i, round(sum(over), 6), chance.index(max(chance)), over[0] >= 0.5 and score > 0))
+    got = [(r.doc_id, round(r.severity, 6), r.grade, r.toxic) for r in op3_toxicity(spark, SF_ORACLE).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_nulls_repeats_empty_and_clashing_names(spark):
     texts = [f"you idiot{'!' * i} scum" for i in range(12)] + [f"kind word number {'abcdefghijkl'[i]}" for i in range(12)]
     docs = spark.createDataFrame([(i, t, 1.5, [1]) for i, t in enumerate(texts)] + [(None, None, None, None), (3, "", None, None), (0, texts[0], 1.0, None), (99, "You IDIOT scum " * 20_000, 0.0, None)],
