@@ -37,8 +37,8 @@ def sliding_window_verdicts(requests: DataFrame, limit: int, window_seconds: flo
     the reset time (oldest request in the window + window when denied, else t + window).
 
     Each request is a +1 at its time and a -1 one window later, so the prior count is a
-    running sum, and the reset time of a denied request is the next expiry after it. Both are
-    frames that only grow, hence linear in a key's requests however dense they are. A key is
+    running sum, and the reset time of a denied request is the next expiry after it. The sum's
+    frame only grows and the next expiry only moves on, hence linear in a key's requests however dense they are. A key is
     cut into time buckets of about ``bucket_rows`` requests; two rows per bucket carry the sum
     of the buckets before and the first expiry of the buckets after it.
 
@@ -66,9 +66,9 @@ def sliding_window_verdicts(requests: DataFrame, limit: int, window_seconds: flo
     high = buckets.select(key, "_b", F.lit(1 << 62).cast("bigint").alias("_o"), F.col("_next").alias("_expiry"))
     every = moves.unionByName(low, allowMissingColumns=True).unionByName(high, allowMissingColumns=True)
     ahead = Window.partitionBy(key, "_b").orderBy("_o").rangeBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(key, "_b").orderBy(F.desc("_o")).rangeBetween(Window.unboundedPreceding, -1)
-    scored = (every.withColumn("prior_count", F.coalesce(F.sum("_d").over(ahead), F.lit(0)))
-              .withColumn("_frees", F.min("_expiry").over(later)).where(F.col("_t").isNotNull()))
+    # expiries are in order, so the next one after a request is the smallest; both columns need one sort
+    frees = F.expr(f"lead(_expiry) IGNORE NULLS OVER (PARTITION BY `{key}`, _b ORDER BY _o)")
+    scored = every.select("*", F.coalesce(F.sum("_d").over(ahead), F.lit(0)).alias("prior_count"), frees.alias("_frees")).where(F.col("_t").isNotNull())
     allowed = F.col("prior_count") < limit
     judged = (scored
             .withColumn("allowed", allowed)
