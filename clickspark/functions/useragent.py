@@ -8,10 +8,14 @@ strings, never errors. Tablets are never detected (trap T14).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BOT_PATTERN = r"(?i)(bot|crawler|spider|slurp|crawling)"
+# An agent that holds one of these in any case is a crawler ("crawling" among them).
+BOT_WORDS = ["bot", "crawler", "spider", "slurp", "crawling"]
+BOT_PATTERN = f"(?i)({'|'.join(BOT_WORDS)})"
 
 # Brand keywords in priority order (first match wins), then the brand.
 BRAND_KEYWORDS = [
@@ -34,8 +38,11 @@ def _extract(ua: Column, pattern: str) -> Column:
     return F.regexp_extract(ua, pattern, 1)
 
 
-def is_bot(ua_col: Column | str) -> Column:
-    return _ua(ua_col).rlike(BOT_PATTERN)
+def is_bot(ua_col: Column | str, low: Column | None = None) -> Column:
+    """Does the agent hold a crawler word; ``low`` is the lower-cased agent, if it is a column already."""
+    if low is None:
+        return _ua(ua_col).rlike(BOT_PATTERN)
+    return functools.reduce(Column.__or__, [low.contains(word) for word in BOT_WORDS])
 
 
 def browser(ua_col: Column | str, bot: Column | None = None) -> Column:
@@ -70,9 +77,15 @@ def platform(ua_col: Column | str) -> Column:
             .otherwise(F.lit("")))
 
 
-def os_name(ua_col: Column | str) -> Column:
+def windows_kernel(ua_col: Column | str) -> Column:
+    """The kernel version of a Windows agent; the other agents cost no regex."""
+    ua = _ua(ua_col)
+    return F.when(ua.contains("Windows NT"), _extract(ua, r"Windows NT ([0-9.]+)"))
+
+
+def os_name(ua_col: Column | str, kernel: Column | None = None) -> Column:
     ua = _ua(ua_col)
-    nt = _extract(ua, r"Windows NT ([0-9.]+)")
+    nt = windows_kernel(ua) if kernel is None else kernel
     windows = F.concat(F.lit("Windows NT "), nt)
     for version, name in WINDOWS_NAMES:
         windows = F.when(nt == version, F.lit(name)).otherwise(windows)
@@ -114,22 +127,21 @@ def device_model(ua_col: Column | str) -> Column:
             .otherwise(F.lit("")))
 
 
-def device_brand(ua_col: Column | str) -> Column:
-    """First listed keyword contained in the lower-cased agent; Apple platform fallback."""
-    ua = _ua(ua_col)
-    low = F.lower(ua)
-    plat = F.lower(platform(ua))
+def device_brand(ua_col: Column | str, low: Column | None = None) -> Column:
+    """First listed keyword contained in the lower-cased agent. An Apple platform (iPhone, iPad) is
+    in the list by its own name, so it needs no rule after it."""
+    low = F.lower(_ua(ua_col)) if low is None else low
     expr = None
     for keyword, brand in BRAND_KEYWORDS:
         cond = low.contains(keyword)
         expr = F.when(cond, F.lit(brand)) if expr is None else expr.when(cond, F.lit(brand))
-    return (expr.when(plat.contains("iphone") | plat.contains("ipad"), F.lit("Apple"))
-            .otherwise(F.lit("")))
+    return expr.otherwise(F.lit(""))
 
 
-def parse(ua_col: Column | str, bot: Column | None = None, os_col: Column | None = None) -> dict[str, Column]:
-    """All UA-derived columns of the click table. ``bot`` / ``os_col`` may be precomputed
-    columns so the regexes behind them run once per row."""
+def parse(ua_col: Column | str, bot: Column | None = None, os_col: Column | None = None,
+          low: Column | None = None) -> dict[str, Column]:
+    """All UA-derived columns of the click table. ``bot`` / ``os_col`` / ``low`` may be precomputed
+    columns so that what is behind them runs once per row."""
     os_col = os_name(ua_col) if os_col is None else os_col
     return {
         "browser": browser(ua_col, bot),
@@ -137,6 +149,6 @@ def parse(ua_col: Column | str, bot: Column | None = None, os_col: Column | None
         "os": os_col,
         "os_version": os_version(os_col),
         "device_type": device_type(ua_col, bot),
-        "device_brand": device_brand(ua_col),
+        "device_brand": device_brand(ua_col, low),
         "device_model": device_model(ua_col),
     }

@@ -35,13 +35,14 @@ def parse_click_time(text: Column, arrival: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=32)
-def _ua_stage_columns(app_id: str) -> tuple[list[Column], list[Column]]:
-    """UA stages over a ``_ua`` column: (bot flag + OS, parsed columns). Built once per
+def _ua_stage_columns(app_id: str) -> tuple[list[Column], list[Column], list[Column]]:
+    """UA stages over a ``_ua`` column: (lower case + Windows kernel, bot flag + OS, parsed columns). Built once per
     SparkContext: Columns are unresolved expressions, so reusing them across micro-batches
     saves the driver-side construction of large rule trees."""
-    first = [useragent.is_bot("_ua").alias("_bot"), useragent.os_name("_ua").alias("_os")]
-    cols = useragent.parse(F.col("_ua"), F.col("_bot"), F.col("_os"))
-    return first, [cols[k].alias(f"_ua_{k}") for k in UA_COLUMNS]
+    texts = [F.lower("_ua").alias("_low"), useragent.windows_kernel("_ua").alias("_nt")]
+    first = [useragent.is_bot("_ua", F.col("_low")).alias("_bot"), useragent.os_name("_ua", F.col("_nt")).alias("_os")]
+    cols = useragent.parse(F.col("_ua"), F.col("_bot"), F.col("_os"), F.col("_low"))
+    return texts, first, [cols[k].alias(f"_ua_{k}") for k in UA_COLUMNS]
 
 
 #: Copies of one message that one row stands for while they are numbered.
@@ -147,9 +148,9 @@ def enrich_clicks(raw: DataFrame, arrival=None, position: str | None = None,
     whole-stage-codegen span."""
     app_id = raw.sparkSession.sparkContext.applicationId
     cols = _enrich_stage_columns(app_id, None if arrival is None else str(arrival), position, arrival_col)
-    first, parsed = _ua_stage_columns(app_id)
-    flags = raw.select(*cols["inputs"]).select("*", *cols["ip_flags"]).select("*", *cols["geo"])
-    return flags.select("*", *first).select("*", *parsed).select(*cols["final"])
+    texts, first, parsed = _ua_stage_columns(app_id)
+    flags = raw.select(*cols["inputs"]).select("*", *cols["ip_flags"], *texts).select("*", *cols["geo"], *first)
+    return flags.select("*", *parsed).select(*cols["final"])
 
 
 def split_bad_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
