@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from clickspark.operators import idsets
 from clickspark.operators import snapshots as sn
 from clickspark.operators.common import top_n_per_key
-from clickspark.operators.search import tokens
+from clickspark.operators.search import path_steps, path_totals, term_paths, tokens
 
 SLOT = 32_768  # numbers in a bucket of a set
 _NO_TIME = -(1 << 62)  # URLs without a creation time are the oldest
@@ -144,14 +144,27 @@ def bulk_search(spark: SparkSession, store: str, queries: DataFrame, per_query:
     return top.select("query_id", "short_code", created.alias("created_at"), "rank").join(totals, "query_id")
 
 
+_PATH_TERMS = 16  # of a list of more known terms the sets are united
+
+
 def _totals(blocks: DataFrame, directory: DataFrame, asked: DataFrame) -> DataFrame:
     """(``_terms``, total): URLs with any of the terms. Lists of terms are looked up once, however many queries
-    share them; a list of which the index knows one term needs counts alone."""
+    share them; a list of which the index knows one term needs counts alone.
+
+    Of the others (see ``search.term_paths``) each path takes the set of its last term, slot by slot, to those
+    of the terms before it in the same slot: only members of that last and rarest term go on from there, so a frequent
+    term's set is not copied for every list it stands in. Terms before are paired with the last one, which is many
+    pairs for a long list; there the sets are united instead."""
     counts = directory.groupBy("token").agg(F.sum("n").alias("n"))
-    pairs = asked.select("_terms", F.explode("_terms").alias("token")).join(counts, "token")
-    known = pairs.groupBy("_terms").agg(F.count(F.lit(1)).alias("_known"), F.sum("n").alias("total"))
-    several = known.where(F.col("_known") > 1).select("_terms")
-    sets = pairs.join(several, "_terms").select("_terms", "token").join(
-        blocks.select("token", F.col("slot").alias("bucket"), "positions", "bitmap"), "token").drop("token")
-    united = idsets.merge_sets(sets, ["_terms"]).groupBy("_terms").agg(F.sum(idsets.set_size()).alias("total"))
-    return known.where(F.col("_known") == 1).select("_terms", "total").unionByName(united)
+    known, paths = term_paths(asked, counts)
+    short, long = known.where(F.col("_found") <= _PATH_TERMS), known.where(F.col("_found") > _PATH_TERMS)
+    paths = paths.join(short.select("_terms"), "_terms", "left_semi")
+    sets = blocks.select("token", F.col("slot").alias("bucket"), "positions", "bitmap")
+    last = path_steps(paths).join(sets, "token").select("_path", "bucket", "positions", "bitmap", F.explode("_before").alias("token"))
+    others = sets.withColumnsRenamed({"positions": "_positions", "bitmap": "_bitmap"})
+    common = last.join(others, ["token", "bucket"]).select("_path", "bucket", idsets.common_positions("positions", "bitmap", "_positions", "_bitmap").alias("_common"))
+    shared = common.groupBy("_path", "bucket").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_common")))).alias("_n")) \
+        .groupBy("_path").agg(F.sum("_n").alias("_shared"))
+    listed = long.select("_terms", F.explode("_terms").alias("token")).join(sets, "token").drop("token")
+    united = idsets.merge_sets(listed, ["_terms"]).groupBy("_terms").agg(F.sum(idsets.set_size()).alias("total"))
+    return path_totals(short, paths, shared).unionByName(united)

@@ -63,3 +63,58 @@ def test_empty_table(spark, scratch):
     assert si.bulk_search(spark, store, queries, 5).collect() == []
     si.refresh(spark, store, spark.createDataFrame(_urls(5, 1), SCHEMA))
     assert si.bulk_search(spark, store, queries, 5).where(F.col("query_id") == 1).count() == 5
+
+
+def _shuffled(df):
+    """Rows written to shuffles when ``df`` is computed."""
+    df.collect()
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        metrics, below = node.metrics(), node.children()
+        own = metrics.apply("shuffleRecordsWritten").value() if metrics.contains("shuffleRecordsWritten") else 0
+        return own + sum(walk(below.apply(i)) for i in range(below.size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_no_pair_of_query_and_url_is_shuffled(spark, scratch):
+    urls = spark.createDataFrame(_urls(600, 4), SCHEMA)
+    queries = spark.createDataFrame([(i, f"https common rare{i % 20} c{i}") for i in range(600)], "query_id int, q string")
+    found = search.bulk_url_search(urls, queries, 5)
+    assert _shuffled(found) < 600 * 600 / 4
+    assert {r.total for r in found.collect()} == {600}
+    store = os.path.join(scratch, "index")
+    si.build(urls, store, slot_rows=100)
+    stored = si.bulk_search(spark, store, queries, 5)
+    assert _shuffled(stored) < 600 * 600 / 4
+    assert _found(stored) == _found(found)
+
+
+def test_totals_of_lists_that_overlap(spark, scratch):
+    """Against plain sets: sparse and dense rows of sets, paths that are shared, long lists, odd URLs and queries."""
+    pick = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    share = {w: (0.97, 0.6, 0.3, 0.02)[i % 4] for i, w in enumerate(words)}
+    start = dt.datetime(2024, 1, 1)
+    urls = [(f"c{i}", "/".join(w for w in words if pick.random() < share[w]), start + dt.timedelta(minutes=i)) for i in range(5000)]
+    asked = [(i, " ".join(pick.sample([*words, "none", f"c{i}"], 1 + i % 6))) for i in range(40)] + [(100, " ".join(words)), (101, "w3 w7"), (102, "W3 w3 w3")]
+    has = {c: {c, *u.split("/")} for c, u, _ in urls}
+    want = {i: sum(not t.isdisjoint(q.lower().split()) for t in has.values()) for i, q in asked}
+    table, queries = spark.createDataFrame(urls, SCHEMA), spark.createDataFrame(asked, "query_id int, q string")
+    totals = lambda df: {r.query_id: r.total for r in df.collect()}
+    assert totals(search.bulk_url_search(table, queries, 3)) == want
+    store = os.path.join(scratch, "index")
+    si.build(table, store)
+    assert totals(si.bulk_search(spark, store, queries, 3)) == want
+
+
+def test_repeated_and_null_keys_of_a_search(spark):
+    day = dt.datetime(2024, 1, 1)
+    urls = spark.createDataFrame([("a", "x/y", day), ("a", "x/z", day), ("a", "z", None), (None, "x", day), (None, "x", None)], SCHEMA)
+    queries = spark.createDataFrame([(1, "x"), (1, "y q"), (2, "z"), (None, "x"), (3, None)], "query_id int, q string")
+    assert sorted(((r.query_id, r.rank, r.short_code, r.created_at, r.total) for r in search.bulk_url_search(urls, queries, 9).collect()), key=lambda r: r[:2]) == [
+        (1, 1, None, day, 3), (1, 2, "a", day, 3), (1, 3, None, None, 3), (2, 1, "a", day, 2), (2, 2, "a", None, 2)]
