@@ -50,21 +50,23 @@ def sliding_window_verdicts(requests: DataFrame, limit: int, window_seconds: flo
     span = span.select(key, "_from", F.greatest(F.lit(1), F.ceil(
         (F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / bucket_rows))).cast("bigint").alias("_width"))
     # order inside a bucket: at one time expiries (even) come before requests (odd)
-    arrivals = join_keys(timed, span, [key]).withColumn("_at", F.col("_t")) \
-        .withColumn("_o", F.col("_t") * 2 + 1).withColumn("_d", F.lit(1).cast("bigint"))
-    expiries = arrivals.select(key, "_from", "_width", (F.col("_t") + w_us).alias("_at"),
-                               ((F.col("_t") + w_us) * 2).alias("_o"), F.lit(-1).cast("bigint").alias("_d"),
-                               (F.col("_t") + w_us).alias("_expiry"))
-    moves = arrivals.unionByName(expiries, allowMissingColumns=True) \
-        .withColumn("_b", F.floor((F.col("_at") - F.col("_from")) / F.col("_width")).cast("bigint")).drop("_from", "_width", "_at")
+    # (a request becomes both rows in one pass: a union would scan and place the requests once per side)
+    came = F.col("_came")
+    both = join_keys(timed, span, [key]).withColumn("_came", F.explode(F.array(F.lit(True), F.lit(False)))) \
+        .withColumn("_at", F.when(came, F.col("_t")).otherwise(F.col("_t") + w_us))
+    moves = both.select(
+        *[F.col(c) if c == key else F.when(came, F.col(c)).alias(c) for c in requests.columns], F.when(came, F.col("_t")).alias("_t"),
+        (F.col("_at") * 2 + F.when(came, 1).otherwise(0)).alias("_o"), F.when(came, 1).otherwise(-1).cast("bigint").alias("_d"),
+        F.when(~came, F.col("_at")).alias("_expiry"), F.floor((F.col("_at") - F.col("_from")) / F.col("_width")).cast("bigint").alias("_b"))
     buckets = moves.groupBy(key, "_b").agg(F.sum("_d").alias("_sum"), F.min("_expiry").alias("_first"))
     by_bucket = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_sum").over(by_bucket), F.lit(0))) \
         .withColumn("_next", F.min("_first").over(back))
-    low = buckets.select(key, "_b", F.lit(-(1 << 62)).cast("bigint").alias("_o"), F.col("_before").alias("_d"))
-    high = buckets.select(key, "_b", F.lit(1 << 62).cast("bigint").alias("_o"), F.col("_next").alias("_expiry"))
-    every = moves.unionByName(low, allowMissingColumns=True).unionByName(high, allowMissingColumns=True)
+    none = F.lit(None).cast("bigint")
+    low = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("_o"), F.col("_before").alias("_d"), none.alias("_expiry"))
+    high = F.struct(F.lit(1 << 62).cast("bigint").alias("_o"), none.alias("_d"), F.col("_next").alias("_expiry"))
+    every = moves.unionByName(buckets.select(key, "_b", F.inline(F.array(low, high))), allowMissingColumns=True)
     ahead = Window.partitionBy(key, "_b").orderBy("_o").rangeBetween(Window.unboundedPreceding, -1)
     # expiries are in order, so the next one after a request is the smallest; both columns need one sort
     frees = F.expr(f"lead(_expiry) IGNORE NULLS OVER (PARTITION BY `{key}`, _b ORDER BY _o)")

@@ -331,3 +331,46 @@ def test_a_stop_request_leaves_the_batch_committed_and_listener_counts(spark, sc
         assert log["rows"] == fx.raw_clicks(spark, SF_SMALL).count() and log["batch_id"] == 2 and not log["running"] and not log["backlog_alert"]
     finally:
         spark.streams.removeListener(watch)
+
+
+def test_verdicts_scan_the_requests_a_few_times_only(spark, scratch):
+    requests = spark.range(50).select(F.col("id").alias("event_id"), F.lit("a").alias("ip"), F.timestamp_seconds("id").alias("requested_at"))
+    plan = limits.sliding_window_verdicts(requests, 3, 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 50") <= 5  # requests and their spans, twice; those without a time
+
+
+def test_new_and_corrected_verdicts_come_from_one_pass(spark, scratch, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    plain = rl.sliding_window_verdicts
+
+    def counted(*args):
+        verdicts = plain(*args)
+        names = verdicts.columns
+
+        def count(batches):
+            for pdf in batches:
+                seen.add(len(pdf))
+                yield pdf
+        return verdicts.mapInPandas(count, verdicts.schema).select(*names)
+
+    monkeypatch.setattr(rl, "sliding_window_verdicts", counted)
+    run, out = rl.verdict_batch(os.path.join(scratch, "verdicts"), 2, 60), os.path.join(scratch, "verdicts")
+    rows = lambda ids: spark.createDataFrame([(i, "a", i) for i in ids], "event_id int, ip string, s int").select(
+        "event_id", "ip", F.timestamp_seconds("s").alias("requested_at"))
+    run(rows(range(0, 100, 2)), 0)
+    run(rows([1, 51]), 1)
+    assert seen.value == 50 + 52
+    want = plain(rows([*range(0, 100, 2), 1, 51]), 2, 60)
+    columns = ["event_id", "prior_count", "allowed", "remaining", "reset_at"]
+    assert sorted(rl.read_verdicts(spark, out).select(*columns).collect()) == sorted(want.select(*columns).collect())
+
+
+def test_rollups_read_the_written_clicks(spark, scratch, monkeypatch):
+    seen, plain = [], ru.partial_rollups
+    monkeypatch.setattr(ru, "partial_rollups", lambda clicks: seen.append((clicks.is_cached, len(clicks.inputFiles()), clicks.count())) or plain(clicks))
+    raw = fx.raw_clicks(spark, SF_SMALL)
+    pl.enrichment_batch(os.path.join(scratch, "out"), arrival=AS_OF, search_export=False)(raw, 0)
+    assert len(seen) == 1 and not seen[0][0] and seen[0][1] > 0 and seen[0][2] == raw.count()
+    none = raw.withColumn("short_code", F.lit(""))  # nothing but bad messages
+    pl.enrichment_batch(os.path.join(scratch, "none"), arrival=AS_OF)(none, 0)
+    assert len(seen) == 1 and pl._sink(spark, os.path.join(scratch, "none"), "quarantine").count() == raw.count()
