@@ -134,7 +134,7 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, max
                 _write_batch(tb.export_bulk_ndjson(docs, "clicks", "event_id"), f"{out_dir}/search", batch_id,
                              fmt="text")
 
-            # the two sinks read the cached click rows and run as concurrent Spark jobs
+            # the two sinks read the written click rows and run as concurrent Spark jobs
             skipped = set()
             with ThreadPoolExecutor(max_workers=2) as pool:
                 rollup_job = pool.submit(rollups) if clicks is not None else None
@@ -150,22 +150,22 @@ def enrichment_batch(out_dir: str, arrival=None, search_export: bool = True, max
             sn.commit(spark, out_dir, {sink: sn.written(spark, out_dir, sink, batch_id, parts) for sink, parts in SINKS.items() if sink not in skipped},
                       stream=STREAM, batch_id=batch_id)
         finally:
-            if clicks is not None:
-                clicks.unpersist()
             batch.unpersist()
 
     return run
 
 
-def _write_clicks(good: DataFrame, arrival, out_dir: str, batch_id: int) -> DataFrame:
-    """Write a batch's enriched rows and return them, cached."""
-    clicks = _enriched(good, arrival).persist()
-    try:
-        _write_batch(clicks, f"{out_dir}/clicks", batch_id, SINKS["clicks"], sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
-    except Exception:
-        clicks.unpersist()
-        raise
-    return clicks
+def _write_clicks(good: DataFrame, arrival, out_dir: str, batch_id: int) -> DataFrame | None:
+    """Write a batch's enriched rows and return them as written; ``None`` if there are none.
+
+    The other sinks read a few columns of the files, which costs less than a cache of all columns in memory."""
+    spark, clicks = good.sparkSession, _enriched(good, arrival)
+    _write_batch(clicks, f"{out_dir}/clicks", batch_id, SINKS["clicks"], sort_cols=["short_code", "clicked_at"], options=CLICK_FILE_OPTIONS)
+    folders = sn.written(spark, out_dir, "clicks", batch_id, SINKS["clicks"])
+    if not folders:
+        return None
+    stored = spark.read.schema(clicks.schema).option("basePath", f"{out_dir}/clicks")
+    return stored.parquet(*[f"{out_dir}/clicks/{f}" for f in folders]).select(*clicks.columns)
 
 
 def _isolate(rows: DataFrame, build, most: int = 64, bits: int = 40) -> tuple[DataFrame | None, DataFrame]:
