@@ -154,12 +154,16 @@ def _totals(blocks: DataFrame, directory: DataFrame, asked: DataFrame) -> DataFr
     Of the others (see ``search.term_paths``) each path takes the set of its last term, slot by slot, to those
     of the terms before it in the same slot: only members of that last and rarest term go on from there, so a frequent
     term's set is not copied for every list it stands in. Terms before are paired with the last one, which is many
-    pairs for a long list; there the sets are united instead."""
+    pairs for a long list; there the sets are united instead. A URL that a delta brought twice is two in a count
+    and one in a set."""
     counts = directory.groupBy("token").agg(F.sum("n").alias("n"))
-    known, paths = term_paths(asked, counts)
-    short, long = known.where(F.col("_found") <= _PATH_TERMS), known.where(F.col("_found") > _PATH_TERMS)
+    each = asked.select("_terms", F.explode("_terms").alias("token"))
+    single = each.join(counts, "token").groupBy("_terms").agg(F.count(F.lit(1)).alias("_known"), F.sum("n").alias("total")).where("_known = 1")
+    sets = blocks.select("token", F.col("slot").alias("bucket"), F.array_distinct("positions").alias("positions"), "bitmap") \
+        .join(each.select("token").distinct(), "token", "left_semi")
+    known, paths = term_paths(asked, sets.groupBy("token").agg(F.sum(idsets.set_size()).alias("n")))
+    short, long = known.where(F.col("_found").between(2, _PATH_TERMS)), known.where(F.col("_found") > _PATH_TERMS)
     paths = paths.join(short.select("_terms"), "_terms", "left_semi")
-    sets = blocks.select("token", F.col("slot").alias("bucket"), "positions", "bitmap")
     last = path_steps(paths).join(sets, "token").select("_path", "bucket", "positions", "bitmap", F.explode("_before").alias("token"))
     others = sets.withColumnsRenamed({"positions": "_positions", "bitmap": "_bitmap"})
     common = last.join(others, ["token", "bucket"]).select("_path", "bucket", idsets.common_positions("positions", "bitmap", "_positions", "_bitmap").alias("_common"))
@@ -167,4 +171,4 @@ def _totals(blocks: DataFrame, directory: DataFrame, asked: DataFrame) -> DataFr
         .groupBy("_path").agg(F.sum("_n").alias("_shared"))
     listed = long.select("_terms", F.explode("_terms").alias("token")).join(sets, "token").drop("token")
     united = idsets.merge_sets(listed, ["_terms"]).groupBy("_terms").agg(F.sum(idsets.set_size()).alias("total"))
-    return path_totals(short, paths, shared).unionByName(united)
+    return single.select("_terms", "total").unionByName(path_totals(short, paths, shared)).unionByName(united)

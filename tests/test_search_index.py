@@ -118,3 +118,11 @@ def test_repeated_and_null_keys_of_a_search(spark):
     queries = spark.createDataFrame([(1, "x"), (1, "y q"), (2, "z"), (None, "x"), (3, None)], "query_id int, q string")
     assert sorted(((r.query_id, r.rank, r.short_code, r.created_at, r.total) for r in search.bulk_url_search(urls, queries, 9).collect()), key=lambda r: r[:2]) == [
         (1, 1, None, day, 3), (1, 2, "a", day, 3), (1, 3, None, None, 3), (2, 1, "a", day, 2), (2, 2, "a", None, 2)]
+
+
+def test_a_url_that_a_delta_brings_twice_is_one_in_a_total(spark, scratch):
+    store, rows = os.path.join(scratch, "index"), _urls(50, 6)
+    si.build(spark.createDataFrame(rows, SCHEMA), store, slot_rows=20)
+    si.refresh(spark, store, spark.createDataFrame(rows[:10] * 2, SCHEMA), slot_rows=20)
+    queries = spark.createDataFrame([(1, "https common"), (2, "c3 c4 nothing"), (3, "https rare1 rare2 c5")], "query_id int, q string")
+    assert {r.query_id: r.total for r in si.bulk_search(spark, store, queries, 3).collect()} == {1: 50, 2: 2, 3: 50}
