@@ -7,8 +7,6 @@ lists and ``bitmap_or_agg``, never by adding counts, so a count of merged sets i
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,20 +74,13 @@ def set_size() -> Column:
 def common_positions(positions: str, bitmap: str, other_positions: str, other_bitmap: str) -> Column:
     """Positions of one row of a set that are in a row of another set, of the same bucket, too."""
 
-    def common(own: pd.Series, own_bits: pd.Series, other: pd.Series, other_bits: pd.Series) -> pd.Series:
-        found = []
-        for members, bits, others, their_bits in zip(own, own_bits, other, other_bits, strict=True):
-            if bits is not None:
-                members = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
-            members = np.asarray(members, np.int64)
-            if their_bits is not None:
-                held = np.frombuffer(their_bits, np.uint8)[members >> 3] >> (members & 7).astype(np.uint8) & 1
-                found.append(members[held > 0].astype(np.int16))
-            else:
-                found.append(np.intersect1d(members, others, assume_unique=True).astype(np.int16))
-        return pd.Series(found, dtype=object)
-
-    return F.pandas_udf(common, "array<smallint>")(positions, bitmap, other_positions, other_bitmap)
+    def held(bits: str, p: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(p.cast("int"), 3) + 1, F.lit(1))), 16, 10).cast("int")
+        return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(p.cast("int"), F.lit(8)))), F.lit(2)) == 1
+
+    every = F.sequence(F.lit(0), F.lit(32_767)).cast("array<smallint>")
+    own = F.when(F.col(bitmap).isNotNull(), F.filter(every, lambda p: held(bitmap, p))).otherwise(F.col(positions))
+    return F.when(F.col(other_bitmap).isNotNull(), F.filter(own, lambda p: held(other_bitmap, p))).otherwise(F.array_intersect(own, other_positions))
 
 
 def with_ids(rows: DataFrame, dictionary: DataFrame, col: str) -> DataFrame:
